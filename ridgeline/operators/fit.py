@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import pixel
 from ..functions.numeric import clip, ratio
 from . import folds as fd
-from .prefix import exact_quantiles
+from .prefix import value_profile
 
 BANDS = {"B4": "rho4", "B5": "rho5"}
 ERROR_WIDTH = 1.0 / 4096  # bucket of an absolute reflectance error in exact quantiles
@@ -39,11 +39,11 @@ def through_origin(n: Column, sxy: Column, sxx: Column, minimum: int) -> dict[st
 
 
 def error_metrics(df: DataFrame, keys: list[str], error: str = "e", width: float = ERROR_WIDTH) -> DataFrame:
-    """count, bias, MAE, median and P90 of |error| per key."""
-    base = df.where(F.col(error).isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("count"), F.avg(error).alias("bias"), F.avg(F.abs(error)).alias("mae"))
-    q = exact_quantiles(df, keys, F.abs(error), {"median_abs": 0.5, "p90_abs": 0.9}, width)
-    return base.join(q, keys)
+    """count, bias, MAE, median and P90 of |error| per key, from one pass."""
+    p = value_profile(df, keys, F.abs(error), {"median_abs": 0.5, "p90_abs": 0.9}, width, {"_e": F.col(error)})
+    return p.where("valid > 0").select(
+        *keys, F.col("rows").alias("population"), F.col("valid").alias("count"), (F.col("_e") / F.col("valid")).alias("bias"),
+        (F.col("total") / F.col("valid")).alias("mae"), "median_abs", "p90_abs")
 
 
 def fold_alpha(px: DataFrame, folds: list[dict], minimum: int) -> DataFrame:
@@ -87,7 +87,7 @@ def holdout_units(px: DataFrame, acq_split: DataFrame, folds: list[dict], minimu
     """The spatial-holdout table: one row per unit, unsupported units kept with their reason."""
     z = fd.with_zone(px, folds, BUFFER_CELLS)
     alpha = fold_alpha(z, folds, minimum)
-    metrics = error_metrics(scored_residuals(z, folds, minimum), ["a", "k", "band"])
+    metrics = error_metrics(scored_residuals(z, folds, minimum), ["a", "k", "band"]).drop("population")
     u = unit_universe(acq_split.select("a", "split"), folds)
     u = u.join(alpha, ["a", "k", "band"], "left").join(core_accounting(z, folds), ["a", "k"], "left")
     u = u.join(metrics, ["a", "k", "band"], "left")

@@ -15,53 +15,68 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 def running_sums(
     df: DataFrame, keys: list[str], order: list, bucket: Column, sums: dict[str, Column],
-    totals: bool = False,
+    totals: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of ``sums`` along ``order`` within ``keys``.
 
-    ``bucket`` must grow with the order. With ``totals`` each sum also gets a
-    ``<name>_all`` column, the total over the key.
+    ``bucket`` must grow with the order. ``totals`` adds sums over the whole
+    key. Both branches read the same columns, so Spark reuses one exchange.
     """
+    totals = totals or {}
     b = df.withColumn("_bucket", bucket)
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
     run = b.withColumns({name: F.sum(value).over(inside) for name, value in sums.items()})
-    per_bucket = b.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
+    per_bucket = b.groupBy(*keys, "_bucket").agg(
+        *[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()], *[F.sum(v).alias(f"_w_{n}") for n, v in totals.items()])
     offset = per_bucket.select(
         *keys, "_bucket",
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
-        *([F.sum(f"_t_{n}").over(whole).alias(f"{n}_all") for n in sums] if totals else []),
-    )
+        *[F.sum(f"_w_{n}").over(whole).alias(n) for n in totals])
     out = run.join(offset, [*keys, "_bucket"])
     return out.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in sums}).drop(
         "_bucket", *[f"_o_{n}" for n in sums])
 
 
-def exact_quantiles(
+def value_profile(
     df: DataFrame, keys: list[str], value: Column, probs: dict[str, float], width: float,
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per key.
+    """Exact quantiles and sums per key from one pass over the rows.
 
-    Equal values are counted together before the shuffle, so ties cost one
-    row; ``width`` is the bucket width in units of the value and should put
-    the expected range into some thousands of buckets.
+    Gives ``rows`` (all), ``valid`` (value not null), ``total`` (sum of the
+    value), one column per quantile (linear interpolation over valid rows) and
+    the sums in ``extra``. Equal values are counted together before the
+    shuffle, so ties cost one row; ``width`` is the bucket width in units of
+    the value and should cut its expected range into some thousands of buckets.
     """
-    counted = (df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-               .groupBy(*keys, "_v").agg(F.count("*").alias("_n")))
-    run = running_sums(counted, keys, ["_v"], F.floor(F.col("_v") / width), {"_cum": F.col("_n")}, totals=True)
+    extra = extra or {}
+    v, n = F.col("_v"), F.col("_n")
+    counted = (df.select(*keys, value.cast("double").alias("_v"), *[c.alias(x) for x, c in extra.items()])
+               .groupBy(*keys, "_v").agg(F.count("*").alias("_n"), *[F.sum(x).alias(f"_x_{x}") for x in extra]))
+    run = running_sums(
+        counted, keys, [v.asc_nulls_last()], F.coalesce(F.floor(v / width), F.lit(2 ** 62)), {"_cum": n},
+        {"_rows": n, "_valid": F.when(v.isNotNull(), n).otherwise(0), "_total": v * n,
+         **{f"_e_{x}": F.col(f"_x_{x}") for x in extra}})
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_cum") - F.col("_n") <= rank) & (rank < F.col("_cum")), F.col("_v")))
+        return F.max(F.when((F.col("_cum") - n <= rank) & (rank < F.col("_cum")), v))
 
-    aggs = []
+    aggs = [F.max("_rows").alias("rows"), F.max("_valid").alias("valid"), F.max("_total").alias("total"),
+            *[F.max(f"_e_{x}").alias(x) for x in extra]]
     for name, p in probs.items():
-        pos = (F.col("_cum_all") - 1) * F.lit(float(p))
+        pos = (F.col("_valid") - 1) * F.lit(float(p))
         aggs += [at(F.floor(pos)).alias(f"_lo_{name}"), at(F.ceil(pos)).alias(f"_hi_{name}"),
                  F.max(pos - F.floor(pos)).alias(f"_f_{name}")]
     out = run.groupBy(*keys).agg(*aggs)
-    return out.select(*keys, *[
-        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in probs])
+    return out.select(*keys, "rows", "valid", "total", *extra, *[
+        (F.col(f"_lo_{x}") + (F.col(f"_hi_{x}") - F.col(f"_lo_{x}")) * F.col(f"_f_{x}")).alias(x) for x in probs])
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict[str, float], width: float) -> DataFrame:
+    """Quantile columns of ``value_profile``, one row per key that has a value."""
+    return value_profile(df, keys, value, probs, width).where("valid > 0").select(*keys, *probs)
 
 
 def average_ranks(df: DataFrame, value: str, width: float, out: str) -> DataFrame:

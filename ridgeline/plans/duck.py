@@ -108,4 +108,70 @@ VIEWS = {
     "artifact": "SELECT doc_id AS id, source AS role, text FROM documents",
     "mrow": """SELECT vec_id, label, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2,
         embedding[1]::DOUBLE+embedding[2]::DOUBLE AS x3, embedding[3]::DOUBLE AS y FROM embeddings""",
+    "sightd": "SELECT unnest([30e0,60e0,90e0,120e0,150e0]) AS dist",
+    "sight": """SELECT r AS pr, c AS pc, zf AS z0, az, dist, least(greatest(r-dist*cos(az)/30e0,0e0),rmax) AS y,
+        least(greatest(c+dist*sin(az)/30e0,0e0),cmax) AS x, rmax, cmax
+        FROM dem, ext, (SELECT i*(2*pi()/8) AS az FROM range(0,8) t(i)), sightd""",
+    "sightz": """SELECT pr, pc, az, dist, any_value(z0) AS z0, sum(w*zf) AS zz, bool_and(zf IS NOT NULL) AS full_line FROM
+        (SELECT s.*, least(floor(y)+i, rmax) AS r, least(floor(x)+j, cmax) AS c,
+          (CASE WHEN i=1 THEN y-floor(y) ELSE 1-(y-floor(y)) END)*(CASE WHEN j=1 THEN x-floor(x) ELSE 1-(x-floor(x)) END) AS w
+         FROM sight s, (VALUES (0,0),(0,1),(1,0),(1,1)) q(i,j)) k LEFT JOIN dem USING (r,c) WHERE w>0 GROUP BY pr,pc,az,dist""",
+    "vsky": """SELECT pr AS r, pc AS c, avg(1e0/(1e0+t*t)) AS v_sky FROM (SELECT pr, pc, az, greatest(max((zz-z0)/dist),0e0) AS t
+        FROM sightz GROUP BY pr,pc,az) GROUP BY pr,pc""",
+    "vrole": "SELECT role.*, v_sky FROM role JOIN vsky USING (r,c)",
+    "gram": """SELECT a, k, band, count(*)::DOUBLE AS n, sum(mu) AS m, sum(mu*mu) AS mm, sum(mu*v_sky) AS mv, sum(v_sky) AS v,
+        sum(v_sky*v_sky) AS vv, sum(mu*rho) AS my, sum(rho) AS y, sum(v_sky*rho) AS vy,
+        quantile_cont(v_sky,0.75)-quantile_cont(v_sky,0.25) AS iqr
+        FROM (SELECT vrole.*, band, CASE WHEN band='B4' THEN rho4 ELSE rho5 END AS rho FROM vrole, band)
+        WHERE land AND lit AND role='domain' GROUP BY a,k,band""",
+    "cand0": """SELECT a,k,band,n,iqr,mm,'C0' AS candidate, mm AS g11, 0e0 AS g12, mm AS g22, my AS b1, 0e0 AS b2 FROM gram
+        UNION ALL SELECT a,k,band,n,iqr,mm,'C1p', mm, m, n, my, y FROM gram
+        UNION ALL SELECT a,k,band,n,iqr,mm,'C1', mm, mv, vv, my, vy FROM gram
+        UNION ALL SELECT a,k,band,n,iqr,mm,'C2a', mm, m-mv, n-2*v+vv, my, y-vy FROM gram""",
+    "cand1": """SELECT *, (g11+g22)/2+sqrt(pow((g11-g22)/2,2)+g12*g12) AS big, g11*g22-g12*g12 AS det FROM cand0""",
+    "cfit": """SELECT a,k,band,n,iqr,candidate, CASE WHEN n<20 THEN 'support_below_minimum' WHEN mm<=0 THEN 'nonpositive_denominator'
+        WHEN candidate<>'C0' AND iqr<5e-2 THEN 'v_sky_range_below_minimum'
+        WHEN candidate<>'C0' AND NOT (sqrt(greatest(det,0)/big) > sqrt(big)*1e-10) THEN 'rank_deficient' END AS reason,
+        CASE WHEN candidate='C0' THEN b1/mm WHEN det>0 THEN (g22*b1-g12*b2)/det END AS t1,
+        CASE WHEN candidate<>'C0' AND det>0 THEN (g11*b2-g12*b1)/det END AS t2,
+        CASE WHEN candidate='C0' THEN 1e0 WHEN det>0 THEN sqrt(big/(greatest(det,0)/big)) END AS cond FROM cand1""",
+    "cres": """SELECT x.a,x.k,x.band,candidate, t1*mu+coalesce(t2,0e0)*(CASE candidate WHEN 'C1p' THEN 1e0 WHEN 'C1' THEN v_sky
+        WHEN 'C2a' THEN 1-v_sky ELSE 0e0 END)-rho AS e FROM (SELECT vrole.*, band, CASE WHEN band='B4' THEN rho4 ELSE rho5 END AS rho
+        FROM vrole, band WHERE role='core' AND land AND lit) x JOIN cfit f ON x.a=f.a AND x.k=f.k AND x.band=f.band AND f.reason IS NULL""",
+    "abl": """SELECT u.*, coalesce(n,0)::BIGINT AS n, coalesce(core_land,0) AS core_land, f.candidate IS NOT NULL AS has_fit, t1, t2, cond,
+        CASE WHEN f.a IS NULL THEN 'support_below_minimum' WHEN f.reason IS NOT NULL THEN f.reason WHEN cnt IS NULL THEN 'no_supported_pixel_in_core' END AS reason,
+        CASE WHEN f.a IS NULL OR f.reason IS NOT NULL THEN 'unsupported' WHEN cnt IS NULL THEN 'not_scored' ELSE 'scored' END AS state,
+        cnt, bias, mae, p90, CASE WHEN core_land>0 THEN cnt::DOUBLE/core_land END AS coverage
+        FROM (SELECT a, k, band, split, unnest(['C0','C1p','C1','C2a']) AS candidate FROM split, fold, band) u
+        LEFT JOIN cfit f USING (a,k,band,candidate) LEFT JOIN corecnt USING (a,k)
+        LEFT JOIN (SELECT a,k,band,candidate,count(*) AS cnt,avg(e) AS bias,avg(abs(e)) AS mae,quantile_cont(abs(e),0.9) AS p90 FROM cres GROUP BY 1,2,3,4) s
+        USING (a,k,band,candidate)""",
+    "pairs": """SELECT x.*, b.mae AS mae_base, b.coverage AS coverage_base, b.t1 AS alpha_base,
+        abs(coalesce(x.coverage,0e0)-coalesce(b.coverage,0e0))<=1e-3 AS comparable, CASE WHEN b.mae>0 THEN (b.mae-x.mae)/b.mae END AS improvement
+        FROM abl x JOIN abl b USING (a,k,band) WHERE x.candidate<>'C0' AND b.candidate='C0' AND x.state='scored' AND b.state='scored'""",
+    "train": "SELECT * FROM pairs WHERE split='train' AND comparable AND improvement IS NOT NULL",
+    "msum": """SELECT a,k,band,count(*)::DOUBLE AS n, count(*) FILTER (WHERE lit)::DOUBLE AS nl, sum(mu) AS sx, sum(mu*mu) AS sxx, sum(rho) AS sy,
+        sum(mu*rho) AS sxy, sum(rho*rho) AS syy, sum(CASE WHEN lit THEN mu*mu ELSE 0e0 END) AS hxx, sum(CASE WHEN lit THEN mu*rho ELSE 0e0 END) AS hxy,
+        sum(CASE WHEN lit THEN rho*rho ELSE 0e0 END) AS hyy, """ + ", ".join(f"sum({WEIGHT.format(k=k)}*mu*mu) AS w{k}xx, sum({WEIGHT.format(k=k)}*mu*rho) AS w{k}xy, "
+        f"sum({WEIGHT.format(k=k)}*rho*rho) AS w{k}yy" for k in (15, 30, 60)) + """ FROM rb WHERE land AND role='domain' GROUP BY a,k,band""",
+    "msl": """SELECT *, CASE WHEN nn>0 AND xx>0 THEN least(greatest(xy/xx,0e0),1e0) END AS alpha FROM (
+        SELECT a,k,band,'hard_mask' AS method, nl AS nn, hxy AS xy, hxx AS xx, hyy AS yy FROM msum
+        UNION ALL SELECT a,k,band,'soft_weight_k15',n,w15xy,w15xx,w15yy FROM msum UNION ALL SELECT a,k,band,'soft_weight_k30',n,w30xy,w30xx,w30yy FROM msum
+        UNION ALL SELECT a,k,band,'soft_weight_k60',n,w60xy,w60xx,w60yy FROM msum)""",
+    "dcand": """SELECT a,k,band,n,sx,sy,sxx,sxy,syy, 0 AS rk, CASE WHEN sxx*n-sx*sx>1e-12 THEN (sxy*n-sx*sy)/(sxx*n-sx*sx) END AS al,
+          CASE WHEN sxx*n-sx*sx>1e-12 THEN (sxx*sy-sx*sxy)/(sxx*n-sx*sx) END AS d FROM msum
+        UNION ALL SELECT a,k,band,n,sx,sy,sxx,sxy,syy,1,CASE WHEN sxx>0 THEN sxy/sxx END,CASE WHEN sxx>0 THEN 0e0 END FROM msum
+        UNION ALL SELECT a,k,band,n,sx,sy,sxx,sxy,syy,2,u,1e-1*u FROM (SELECT *, least(greatest((sxy+1e-1*sy)/(sxx+2*1e-1*sx+1e-1*1e-1*n),0e0),1e0) AS u FROM msum)
+        UNION ALL SELECT a,k,band,n,sx,sy,sxx,sxy,syy,3,1e0,least(greatest((sy-sx)/n,0e0),1e-1) FROM msum
+        UNION ALL SELECT a,k,band,n,sx,sy,sxx,sxy,syy,4,0e0,0e0 FROM msum""",
+    "dbest": """SELECT a,k,band,n,al,d,obj FROM (SELECT *, row_number() OVER (PARTITION BY a,k,band ORDER BY obj, rk) AS rn FROM (
+        SELECT a,k,band,n,rk,al,d, al*al*sxx+2*al*d*sx-2*al*sxy+d*d*n-2*d*sy+syy AS obj FROM (SELECT * REPLACE (least(greatest(al,0e0),1e0) AS al, greatest(d,0e0) AS d)
+        FROM dcand WHERE al>=-1e-12 AND al<=1+1e-12 AND d>=-1e-12 AND d<=1e-1*al+1e-12))) WHERE rn=1""",
+    "mfit": """SELECT a,k,band,method,alpha,0e0 AS d,nn::BIGINT AS n_cal,alpha*alpha*xx-2*alpha*xy+yy AS objective,false AS boundary_hit FROM msl
+        UNION ALL SELECT a,k,band,'bounded_scene_constant_diffuse',al,d,n::BIGINT,obj,dl<=1e-12 OR dl>=1e-1-1e-12 FROM
+        (SELECT *, CASE WHEN al<=1e-12 THEN 0e0 ELSE least(greatest(d/al,0e0),1e-1) END AS dl FROM dbest)""",
+    "mres": """SELECT rb.a,rb.k,rb.band,method,r,c,cos_i,lit,rho,rho4,rho5,CASE WHEN cos_i<=0 THEN 'shadow' WHEN cos_i<=1e-1 THEN 'near_zero' ELSE 'lit' END AS part,
+        CASE WHEN method<>'hard_mask' OR lit THEN alpha*mu+d-rho END AS e,
+        CASE WHEN method='hard_mask' THEN (CASE WHEN lit THEN 1e0 END) ELSE """ + WEIGHT.format(k=30) + """ END AS rel
+        FROM rb JOIN mfit f ON rb.a=f.a AND rb.k=f.k AND rb.band=f.band WHERE role='core' AND land""",
 }

@@ -71,7 +71,7 @@ def eligible_members(s, d):
     (SELECT a, k, band, count(x.a) AS n FROM (SELECT a, k, band FROM acq, fold, band) u
      LEFT JOIN (SELECT DISTINCT a, k, band FROM resid) x USING (a, k, band) GROUP BY 1, 2, 3)""")
 def membership(s, d):
-    z = fd.with_zone(views.px(s, d), FOLDS, BUFFER)
+    z = fd.with_zone(views.px_table(s, d), FOLDS, BUFFER)
     have = fit.scored_residuals(z, FOLDS, 20).select("a", "k", "band").distinct()
     return jn.membership(fit.unit_universe(views.acq(s, d).select("a"), FOLDS), have, ["a", "k", "band"])
 

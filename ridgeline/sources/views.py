@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import masks, pixel
 from ..functions.numeric import flag
 from ..operators import grid
+from . import io
 
 WIDTH, RES = 50, 30.0
 
@@ -168,3 +169,26 @@ def model_rows(spark: SparkSession, d: str) -> DataFrame:
         "vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(3)])
     return e.select("vec_id", "label", F.col("e0").alias("x1"), F.col("e1").alias("x2"),
                     (F.col("e0") + F.col("e1")).alias("x3"), F.col("e2").alias("y"))
+
+
+def sky(spark: SparkSession, d: str) -> DataFrame:
+    """Sky view of the gap-free surface: 8 azimuths, 150 m."""
+    from ..operators.skyview import sky_view
+    return sky_view(dem(spark, d), "zf", RES, 8, 150.0)
+
+
+CELL_COLUMNS = ["a", "r", "c", "z", "qa", "v4", "v5", "rho4", "rho5", "msource", "clear", "water", "inrange", "tvalid",
+                "base", "land", "lit", "cos_i", "mu"]
+
+
+def px_table(spark: SparkSession, d: str) -> DataFrame:
+    """``px`` written once for plans with several branches."""
+    return io.materialize(spark, px(spark, d).select(*CELL_COLUMNS), "cells")
+
+
+def px_sky_table(spark: SparkSession, d: str) -> DataFrame:
+    return io.materialize(spark, px_sky(spark, d).select(*CELL_COLUMNS, "v_sky"), "cells")
+
+
+def px_sky(spark: SparkSession, d: str) -> DataFrame:
+    return px(spark, d).join(sky(spark, d), ["r", "c"], "left")
