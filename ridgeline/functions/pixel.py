@@ -22,11 +22,11 @@ def reflectance(dn: Column) -> Column:
     return dn * DN_SCALE + DN_OFFSET
 
 
-def ndvi(b4: Column, b5: Column, eps: float = 1e-12) -> Column:
-    """(b5-b4)/(b5+b4), null when the denominator is too small or the result leaves [-1, 1]."""
+def ndvi(b4: Column, b5: Column, eps: float = 1e-12, bounded: bool = True) -> Column:
+    """(b5-b4)/(b5+b4), null when the denominator is too small or, if bounded, the result leaves [-1, 1]."""
     den = b5 + b4
     value = F.when(F.abs(den) > eps, (b5 - b4) / den)
-    return F.when(value.between(-1, 1), value)
+    return F.when(value.between(-1, 1), value) if bounded else value
 
 
 def brightness(b4: Column, b5: Column) -> Column:

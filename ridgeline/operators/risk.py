@@ -192,3 +192,55 @@ def coverage_curve(res: DataFrame, keys: list[str], targets: int = 100) -> DataF
     return g.select(*keys, "q", "denominator", "supported", ratio(F.col("supported"), n).alias("maximum_coverage"),
                     F.when(ok, "reachable").otherwise("not_reachable").alias("status"), F.when(ok, need).otherwise(F.lit(0)).alias("selected"),
                     F.when(ok, F.col("_s") / F.col("_n")).alias("mae"), F.when(ok, ratio(need, n)).alias("actual_coverage"))
+
+
+DEFINITIONS = ["ndvi", "brightness"]
+
+
+def surface_values(rho4: Column, rho5: Column) -> Column:
+    """Array of (definition, value) for the two surface measures; null where undefined."""
+    from ..functions import pixel
+    values = {"ndvi": pixel.ndvi(rho4, rho5, 1e-6, bounded=False), "brightness": pixel.brightness(rho4, rho5)}
+    return F.array(*[F.struct(F.lit(n).alias("definition"), values[n].alias("value")) for n in DEFINITIONS])
+
+
+def with_surface(df: DataFrame) -> DataFrame:
+    return (df.withColumn("_d", F.explode(surface_values(F.col("rho4"), F.col("rho5")))).select("*", "_d.*").drop("_d")
+            .where(F.col("value").isNotNull()))
+
+
+def quartile_cuts(calibration: DataFrame, keys: list[str]) -> DataFrame:
+    """Quartile cut points of each surface measure over calibration cells."""
+    rows = with_surface(calibration.select(*keys, "rho4", "rho5"))
+    return exact_quantiles(rows, [*keys, "definition"], F.col("value"), {"t1": 0.25, "t2": 0.5, "t3": 0.75}, 1 / 4096)
+
+
+def quartile_metrics(res: DataFrame, cuts: DataFrame, unit: list[str], cut_keys: list[str]) -> DataFrame:
+    """Metrics per stratum and method over the common lit cells, plus a ``global`` line.
+
+    Cut points come from calibration cells only and are applied to holdout cells.
+    """
+    from .prefix import value_profile
+    v = F.col("value")
+    rows = with_surface(res.where("lit")).join(cuts, [*cut_keys, "definition"])
+    stratum = F.when(v <= F.col("t1"), "q1").when(v <= F.col("t2"), "q2").when(v <= F.col("t3"), "q3").otherwise("q4")
+    rows = rows.withColumn("stratum", F.explode(F.array(F.lit("global"), stratum)))
+    p = value_profile(rows, [*unit, "definition", "stratum", "method"], F.abs("e"), {"p90": 0.9}, 1 / 4096)
+    return p.select(*unit, "definition", "stratum", "method", F.col("rows").alias("n"), (F.col("total") / F.col("valid")).alias("mae"), "p90")
+
+
+def ranking_verdicts(metrics: DataFrame, unit: list[str], minimum: int) -> DataFrame:
+    """Method order overall and per sufficient stratum, reversals, strict wins and the sensitivity flag."""
+    k = [*unit, "definition"]
+    order = F.sort_array(F.collect_list(F.struct("mae", "method")))  # one entry per method
+    r = metrics.groupBy(*k, "stratum").agg(order.alias("o"), F.min("n").alias("n"))
+    r = r.select(*k, "stratum", "n", F.array_join(F.transform("o", lambda x: x["method"]), ">").alias("ranking"),
+                 F.col("o")[0]["method"].alias("first"),
+                 (F.get("o", F.lit(1)).isNotNull() & (F.col("o")[0]["mae"] < F.get("o", F.lit(1))["mae"])).alias("strict"))
+    g = r.where("stratum = 'global'").select(*k, F.col("ranking").alias("global_ranking"), F.col("first").alias("_winner"))
+    s = r.where(F.col("stratum") != "global").join(g, k)
+    enough = F.col("n") >= minimum
+    out = s.groupBy(*k, "global_ranking").agg(
+        F.count_if(enough).alias("sufficient_strata"), F.count_if(enough & (F.col("ranking") != F.col("global_ranking"))).alias("reversed_strata"),
+        F.count_if(enough & F.col("strict") & (F.col("first") == F.col("_winner"))).alias("strict_wins"))
+    return out.withColumn("sensitive", (F.col("reversed_strata") >= 2) | ((F.col("sufficient_strata") > 0) & (F.col("strict_wins") <= 1)))

@@ -174,4 +174,49 @@ VIEWS = {
         CASE WHEN method<>'hard_mask' OR lit THEN alpha*mu+d-rho END AS e,
         CASE WHEN method='hard_mask' THEN (CASE WHEN lit THEN 1e0 END) ELSE """ + WEIGHT.format(k=30) + """ END AS rel
         FROM rb JOIN mfit f ON rb.a=f.a AND rb.k=f.k AND rb.band=f.band WHERE role='core' AND land""",
+    "scoped": "SELECT resid.*, unnest(['unit_all_scored', " + STRATUM + "]) AS scope FROM resid",
+    "pts": """SELECT a,k,band,scope,score,point,accepted,scored,points,core_land AS den,accepted::DOUBLE/core_land AS coverage,ss/accepted AS mae FROM (
+        SELECT a,k,band,scope,score,row_number() OVER w AS point, (sum(n) OVER w)::BIGINT AS accepted, sum(s) OVER w AS ss,
+          (sum(n) OVER (PARTITION BY a,k,band,scope))::BIGINT AS scored, count(*) OVER (PARTITION BY a,k,band,scope) AS points
+        FROM (SELECT a,k,band,scope,score,count(*) AS n,sum(abs(e)) AS s FROM scoped GROUP BY 1,2,3,4,5)
+        WINDOW w AS (PARTITION BY a,k,band,scope ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) JOIN corecnt USING (a,k)""",
+    "adm": "SELECT * FROM pts WHERE accepted>=5",
+    "gridm": """SELECT g.a,g.k,g.band,g.scope,q,den,top,max(p.point) AS pt FROM (SELECT a,k,band,scope,any_value(den) AS den,max(accepted) AS top FROM adm GROUP BY 1,2,3,4) g
+        CROSS JOIN (SELECT * FROM range(1,21) t(q)) LEFT JOIN (SELECT a,k,band,scope,point,accepted FROM adm) p
+        ON p.a=g.a AND p.k=g.k AND p.band=g.band AND p.scope=g.scope AND 20*p.accepted<=q*den GROUP BY 1,2,3,4,5,6,7""",
+    "gridr": """SELECT a,k,band,scope,q,status,reason,pt AS point,coverage,mae,accepted,CASE WHEN pt IS NOT NULL THEN first_q/20e0 END AS canonical FROM (
+        SELECT m.*, CASE WHEN pt IS NULL THEN 'unreachable' WHEN q=first_q THEN 'reachable' ELSE 'duplicate' END AS status,
+          CASE WHEN raw IS NULL THEN 'below_min_accepted_support' WHEN above THEN 'above_max_reachable_coverage' WHEN q<>first_q THEN 'duplicate_exact_point' END AS reason
+        FROM (SELECT *, min(q) OVER (PARTITION BY a,k,band,scope,pt) AS first_q FROM (SELECT a,k,band,scope,q,pt AS raw,q*den>20*top AS above,
+          CASE WHEN q*den>20*top THEN NULL ELSE pt END AS pt FROM gridm)) m)
+        LEFT JOIN (SELECT a,k,band,scope,point AS pt,coverage,mae,accepted FROM adm) USING (a,k,band,scope,pt)""",
+    "aurc": """SELECT a,k,band,scope,CASE WHEN n>=2 THEN area END AS area,CASE WHEN n>=2 THEN span END AS span,CASE WHEN n>=2 AND span>0 THEN area/span END AS normalized FROM (
+        SELECT a,k,band,scope,count(*) AS n,sum(mae*(nxt-coverage)) AS area,max(coverage)-min(coverage) AS span FROM
+        (SELECT *, lead(coverage) OVER (PARTITION BY a,k,band,scope ORDER BY point) AS nxt FROM adm) GROUP BY 1,2,3,4)""",
+    "shape": """SELECT a,k,band,scope,count(*) AS reachable,CASE WHEN bool_or(up) AND bool_or(dn) THEN 'mixed' WHEN bool_or(up) THEN 'order_consistent'
+        WHEN bool_or(dn) THEN 'order_inverted' ELSE 'flat' END AS shape FROM (SELECT *, coalesce(mae-p>1e-12+1e-12*greatest(abs(mae),abs(p)),false) AS up,
+        coalesce(mae-p<-(1e-12+1e-12*greatest(abs(mae),abs(p))),false) AS dn FROM (SELECT *, lag(mae) OVER (PARTITION BY a,k,band,scope ORDER BY q) AS p FROM gridr WHERE status='reachable')) GROUP BY 1,2,3,4""",
+    "scopeval": """SELECT *, CASE WHEN reason IS NULL THEN 'evaluated' ELSE 'not_evaluable' END AS gate, CASE WHEN reason IN ('unit_gate_not_scored',
+        'zero_base_valid_land_denominator','zero_scored_denominator','scored_below_minimum') THEN 'not_evaluable_insufficient_scored_support'
+        WHEN reason IS NOT NULL THEN 'not_evaluable_score_degenerate' ELSE 'risk_proxy_'||shape END AS verdict FROM (
+        SELECT u.a,u.k,u.band,scope,split,coalesce(scored,0) AS n_scored,s_min,s_max,exact_points,admissible_points,area,span,normalized,shape,
+        CASE WHEN NOT (alpha IS NOT NULL AND core_scored>0) THEN 'unit_gate_not_scored' WHEN core_land=0 THEN 'zero_base_valid_land_denominator'
+        WHEN scored IS NULL THEN 'zero_scored_denominator' WHEN scored<20 THEN 'scored_below_minimum'
+        WHEN s_max-s_min<=1e-12+1e-12*greatest(abs(s_min),abs(s_max)) THEN 'score_range_at_or_below_tau_score'
+        WHEN coalesce(exact_points,0)<3 THEN 'unique_proxy_values_below_3' WHEN coalesce(admissible_points,0)<3 THEN 'admissible_exact_points_below_3'
+        WHEN coalesce(reachable,0)<3 THEN 'canonical_reachable_grid_points_below_3' WHEN coalesce(span,0)<=0 THEN 'AURC_nonpositive_span' END AS reason
+        FROM (SELECT *, unnest(['unit_all_scored','mu_band_low','mu_band_mid','mu_band_high']) AS scope FROM unit) u
+        LEFT JOIN (SELECT a,k,band,scope,max(scored) AS scored,min(score)::DOUBLE AS s_min,max(score)::DOUBLE AS s_max,max(points) AS exact_points,
+          count(*) FILTER (WHERE accepted>=5) AS admissible_points FROM pts GROUP BY 1,2,3,4) USING (a,k,band,scope)
+        LEFT JOIN aurc USING (a,k,band,scope) LEFT JOIN shape USING (a,k,band,scope))""",
+    "main3": "SELECT * FROM mres WHERE method IN ('hard_mask','soft_weight_k30','bounded_scene_constant_diffuse')",
+    "defs": """SELECT *, def, CASE WHEN def='ndvi' THEN (CASE WHEN abs(rho5+rho4)>1e-6 THEN (rho5-rho4)/(rho5+rho4) END) ELSE (rho4+rho5)/2 END AS dv
+        FROM role, (SELECT unnest(['ndvi','brightness']) AS def)""",
+    "cuts": """SELECT a,k,def,quantile_cont(dv,0.25) AS t1,quantile_cont(dv,0.5) AS t2,quantile_cont(dv,0.75) AS t3 FROM defs
+        WHERE land AND role='domain' AND dv IS NOT NULL GROUP BY 1,2,3""",
+    "strat": """SELECT m.a,m.k,m.band,def,method,e,CASE WHEN dv<=t1 THEN 'q1' WHEN dv<=t2 THEN 'q2' WHEN dv<=t3 THEN 'q3' ELSE 'q4' END AS stratum FROM (
+        SELECT main3.*, def, CASE WHEN def='ndvi' THEN (CASE WHEN abs(rho5+rho4)>1e-6 THEN (rho5-rho4)/(rho5+rho4) END) ELSE (rho4+rho5)/2 END AS dv
+        FROM main3, (SELECT unnest(['ndvi','brightness']) AS def) WHERE lit) m JOIN cuts c ON m.a=c.a AND m.k=c.k AND m.def=c.def WHERE dv IS NOT NULL""",
+    "smet": """SELECT a,k,band,def,stratum,method,count(*) AS n,avg(abs(e)) AS mae,quantile_cont(abs(e),0.9) AS p90 FROM
+        (SELECT * REPLACE (unnest(['global', stratum]) AS stratum) FROM strat) GROUP BY 1,2,3,4,5,6""",
 }
