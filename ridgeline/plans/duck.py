@@ -214,9 +214,37 @@ VIEWS = {
         FROM role, (SELECT unnest(['ndvi','brightness']) AS def)""",
     "cuts": """SELECT a,k,def,quantile_cont(dv,0.25) AS t1,quantile_cont(dv,0.5) AS t2,quantile_cont(dv,0.75) AS t3 FROM defs
         WHERE land AND role='domain' AND dv IS NOT NULL GROUP BY 1,2,3""",
-    "strat": """SELECT m.a,m.k,m.band,def,method,e,CASE WHEN dv<=t1 THEN 'q1' WHEN dv<=t2 THEN 'q2' WHEN dv<=t3 THEN 'q3' ELSE 'q4' END AS stratum FROM (
+    "strat": """SELECT m.a,m.k,m.band,m.def,method,e,CASE WHEN dv<=t1 THEN 'q1' WHEN dv<=t2 THEN 'q2' WHEN dv<=t3 THEN 'q3' ELSE 'q4' END AS stratum FROM (
         SELECT main3.*, def, CASE WHEN def='ndvi' THEN (CASE WHEN abs(rho5+rho4)>1e-6 THEN (rho5-rho4)/(rho5+rho4) END) ELSE (rho4+rho5)/2 END AS dv
         FROM main3, (SELECT unnest(['ndvi','brightness']) AS def) WHERE lit) m JOIN cuts c ON m.a=c.a AND m.k=c.k AND m.def=c.def WHERE dv IS NOT NULL""",
     "smet": """SELECT a,k,band,def,stratum,method,count(*) AS n,avg(abs(e)) AS mae,quantile_cont(abs(e),0.9) AS p90 FROM
         (SELECT * REPLACE (unnest(['global', stratum]) AS stratum) FROM strat) GROUP BY 1,2,3,4,5,6""",
+    "cls": """SELECT r, c, (p_size<=35)::INT AS land, (p_size<=5)::INT AS shadow, (p_size BETWEEN 6 AND 10)::INT AS near_zero, (p_size BETWEEN 11 AND 35)::INT AS lit FROM dem""",
+    "core0": """SELECT r AS r0, c AS c0, e AS edge, r+e AS r1, c+e AS c1 FROM dem, ext, (SELECT unnest([6,10]) AS e)
+        WHERE r+e<=rmax+1 AND c+e<=cmax+1 AND (r%4=0 OR r=rmax+1-e) AND (c%4=0 OR c=cmax+1-e)""",
+    "cdist": """SELECT r0,c0,edge,r,c,land,shadow,near_zero,lit,sqrt(pow(greatest(r0-r,r-(r1-1),0),2)+pow(greatest(c0-c,c-(c1-1),0),2)) AS dist FROM core0, cls""",
+    "cand": """SELECT r0,c0,edge, sum(CASE WHEN dist=0 THEN land ELSE 0 END)::BIGINT AS holdout_land, sum(CASE WHEN dist<5 THEN land ELSE 0 END)::BIGINT AS near_land,
+        sum(CASE WHEN dist>=5 THEN land ELSE 0 END)::BIGINT AS calibration_land, sum(CASE WHEN dist=0 THEN shadow ELSE 0 END)::BIGINT AS holdout_shadow,
+        sum(CASE WHEN dist=0 THEN near_zero ELSE 0 END)::BIGINT AS holdout_near_zero, sum(CASE WHEN dist=0 THEN lit ELSE 0 END)::BIGINT AS holdout_lit,
+        sum(CASE WHEN dist>=5 THEN shadow ELSE 0 END)::BIGINT AS calibration_shadow, min(CASE WHEN dist>=5 AND land=1 THEN dist END) AS nearest_outside FROM cdist GROUP BY 1,2,3""",
+    "kinds": "SELECT unnest(['clean','shadow','near_zero','combined_risk']) AS kind",
+    "qual": """SELECT cand.*, kind FROM cand, kinds WHERE coalesce(nearest_outside,1e9)+1e-9>=5 AND calibration_land>=200 AND holdout_land>=20 AND
+        (kind='clean' OR (kind='shadow' AND holdout_shadow>=3) OR (kind='near_zero' AND holdout_near_zero>=3) OR (kind='combined_risk' AND holdout_shadow>=3 AND holdout_near_zero>=3))""",
+    "cons0": """SELECT scene_id AS consumer, a, cents%37 AS r0, cents%43 AS c0, cents%37+1+cents%5 AS r1, cents%43+1+cents%4 AS c1, CASE a%3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END AS radius FROM scene""",
+    "cons": "SELECT *, r0-radius AS ir0, c0-radius AS ic0, r1+radius AS ir1, c1+radius AS ic1 FROM cons0",
+    "chg0": """SELECT consumer, radius, rmax, cmax, ir0, ic0, ir1, ic1, ir0>=0 AND ic0>=0 AND ir1<=rmax+1 AND ic1<=46 AS old_covers, ir0>=0 AND ic0>=0 AND ir1<=rmax+1 AND ic1<=cmax+1 AS new_covers,
+        count(d.r) AS differing, max(d.delta) AS max_delta FROM cons CROSS JOIN ext LEFT JOIN (SELECT x.r, x.c, abs(y.z-x.z) AS delta FROM dem x JOIN demv2 y ON x.r=y.r AND x.c=y.c WHERE x.z IS DISTINCT FROM y.z) d
+        ON d.r>=ir0 AND d.r<ir1 AND d.c>=ic0 AND d.c<ic1 GROUP BY 1,2,3,4,5,6,7,8,9,10""",
+    "chg": """SELECT *, CASE WHEN NOT new_covers THEN 'scope_extension' WHEN NOT old_covers THEN 'scope_extension' WHEN differing=0 THEN 'artifact_only' ELSE 'value_change_in_scope' END AS change_class,
+        NOT new_covers AS insufficient FROM chg0""",
+    "inv": "SELECT 's'||(substr(consumer,10))::BIGINT::VARCHAR AS node FROM chg WHERE change_class<>'artifact_only'",
+    "edges": """SELECT DISTINCT 's'||l_suppkey::VARCHAR AS src, 'o'||l_orderkey::VARCHAR AS dst FROM lineitem UNION ALL SELECT 'o'||o_orderkey::VARCHAR, 'c'||o_custkey::VARCHAR FROM orders
+        UNION ALL SELECT 'c'||c_custkey::VARCHAR, 'n'||c_nationkey::VARCHAR FROM customer""",
+    "d1": "SELECT dst AS node, min(src||'>'||dst) AS path FROM edges JOIN inv ON src=inv.node GROUP BY dst",
+    "d2": "SELECT dst AS node, min(path||'>'||dst) AS path FROM edges JOIN d1 ON src=d1.node GROUP BY dst",
+    "d3": "SELECT dst AS node, min(path||'>'||dst) AS path FROM edges JOIN d2 ON src=d2.node GROUP BY dst",
+    "desc1": "SELECT node, path, 1 AS depth FROM d1 UNION ALL SELECT node, path, 2 FROM d2 UNION ALL SELECT node, path, 3 FROM d3",
+    "nodes": "SELECT src AS node FROM edges UNION SELECT dst FROM edges",
+    "marks": """SELECT n.node, CASE WHEN inv.node IS NOT NULL THEN 'invalidated' WHEN desc1.node IS NOT NULL THEN 'quarantined' ELSE 'valid' END AS mark,
+        CASE WHEN inv.node IS NOT NULL THEN n.node ELSE desc1.path END AS path FROM nodes n LEFT JOIN inv ON n.node=inv.node LEFT JOIN desc1 ON n.node=desc1.node""",
 }

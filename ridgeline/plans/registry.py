@@ -27,6 +27,7 @@ def expand(body: str) -> str:
     visit(body)
     if not need:
         return body
+    need.sort(key=list(VIEWS).index)  # VIEWS is written in dependency order
     head = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in need)
     body = body.strip()
     if body.upper().startswith("WITH RECURSIVE "):
