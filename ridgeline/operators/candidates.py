@@ -92,7 +92,8 @@ def nearest_outside(spark: SparkSession, cores: DataFrame, mask: DataFrame, buff
             F.struct((F.col("c0") - F.greatest(F.col("_need"), F.lit(1))).alias("c"), F.lit(True).alias("left")),
             F.struct(F.when(F.col("_need") > 0, F.col("c1") - 1 + F.col("_need")).otherwise(F.col("c0")).alias("c"), F.lit(False).alias("left")))
         q = q.select(*ID, "r1", "c1", "r", "_v", F.explode(sides).alias("k")).select(*ID, "r1", "c1", "r", "_v", "k.*")
-        h = F.when(F.col("left"), F.col("c0") - F.col("last_set")).otherwise(F.greatest(F.col("next_set") - (F.col("c1") - 1), F.lit(0)))
+        h = F.when(F.col("left"), F.col("c0") - F.col("last_set")).when(
+            F.col("next_set").isNotNull(), F.greatest(F.col("next_set") - (F.col("c1") - 1), F.lit(0)))
         d = q.join(look, ["r", "c"], "left").groupBy(*ID, "r1", "c1").agg(F.min(F.hypot(F.col("_v"), h)).alias("nearest_outside"))
         if reach >= height:
             return d.select(*ID, "nearest_outside") if done is None else done.unionByName(d.select(*ID, "nearest_outside"))
