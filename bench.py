@@ -35,6 +35,9 @@ def main() -> None:
              .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     from ridgeline.plans import QUERIES
+    from ridgeline.sources import io
+
+    io.REUSE = False  # every query builds what it needs
 
     QUERIES["wn04_hillshade"](spark, d).write.format("noop").mode("overwrite").save()
     times = {}

@@ -13,8 +13,8 @@ BANDS = {"B4": "rho4", "B5": "rho5"}
 ERROR_WIDTH = 1.0 / 4096  # bucket of an absolute reflectance error in exact quantiles
 
 # Fixed names and limits.
-R_SUPPORT = "support_below_minimum"
-R_DENOMINATOR = "nonpositive_denominator"
+R_SUPPORT = "calibration_support_below_minimum"
+R_DENOMINATOR = "nonpositive_mu_squared_denominator"
 MIN_SUPPORT = 271
 OFFSET_SHARE = 0.1
 RANK_RTOL = 1e-10

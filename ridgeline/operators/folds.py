@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import geometry as geo
+from .prefix import running_sums
 
 CORE, BUFFER, DOMAIN = 0, 1, 2
 ROLE_NAMES = ["core", "buffer", "domain"]
@@ -50,23 +51,57 @@ def sums_by_fold(cells: DataFrame, keys: list[str], folds: list[dict], role: int
     return explode_roles(zoned, folds, (role,)).groupBy(*keys, "k").agg(*[F.sum(n).alias(n) for n in sums])
 
 
-def roles_by_join(cells: DataFrame, folds: DataFrame, buffer_cells: float, limit: int = 10_000) -> DataFrame:
-    """Cell x fold roles when the folds are a table (k, r0, c0, r1, c1).
+def quantiles_by_fold(
+    cells: DataFrame, keys: list[str], folds: list[dict], role: int, value: Column, probs: dict[str, float], width: float,
+) -> DataFrame:
+    """Exact quantiles over the cells of one role, per key and fold, with one sort per key.
 
-    A fold table up to ``limit`` rows is broadcast after a count; a larger one
-    is matched by blocks: core and buffer cells by an equi-join on the block
-    they can touch, everything else is domain by default and is not stored.
+    A calibration domain holds most cells in every fold, so copying cells to
+    folds would multiply the rows by the number of folds. Here each value
+    carries one running count per fold instead.
+    """
+    v = F.col("_v")
+    member = {f["k"]: (F.element_at("zone", i + 1) == role).cast("long") for i, f in enumerate(folds)}
+    counted = (cells.select(*keys, "zone", value.cast("double").alias("_v")).where(v.isNotNull())
+               .groupBy(*keys, "_v").agg(*[F.sum(m).alias(f"_n{k}") for k, m in member.items()]))
+    run = running_sums(counted, keys, ["_v"], F.floor(v / width), {f"_c{k}": F.col(f"_n{k}") for k in member},
+                       {f"_all{k}": F.col(f"_n{k}") for k in member})
+
+    def at(k, rank: Column) -> Column:
+        c, n = F.col(f"_c{k}"), F.col(f"_n{k}")
+        return F.max(F.when((c - n <= rank) & (rank < c), v))
+
+    aggs = []
+    for k in member:
+        aggs.append(F.max(f"_all{k}").alias(f"_m{k}"))
+        for name, p in probs.items():
+            pos = (F.col(f"_all{k}") - 1) * F.lit(float(p))
+            aggs += [at(k, F.floor(pos)).alias(f"_lo{k}{name}"), at(k, F.ceil(pos)).alias(f"_hi{k}{name}"),
+                     F.max(pos - F.floor(pos)).alias(f"_f{k}{name}")]
+    wide = run.groupBy(*keys).agg(*aggs)
+
+    def line(k) -> Column:
+        return F.struct(F.lit(k).alias("k"), F.col(f"_m{k}").alias("n"), *[
+            (F.col(f"_lo{k}{x}") + (F.col(f"_hi{k}{x}") - F.col(f"_lo{k}{x}")) * F.col(f"_f{k}{x}")).alias(x) for x in probs])
+
+    out = wide.select(*keys, F.explode(F.array(*[line(k) for k in member])).alias("x"))
+    return out.select(*keys, "x.k", "x.n", *[f"x.{x}" for x in probs]).where("n > 0").drop("n")
+
+
+def roles_by_join(cells: DataFrame, folds: DataFrame, buffer_cells: float, block: int = 64) -> DataFrame:
+    """Core and buffer cells of every fold when the folds are a table (k, r0, c0, r1, c1) of any size.
+
+    Matched by an equi-join on the blocks a fold and its buffer can touch. Every
+    other cell is calibration domain of the fold; that default is not stored.
     """
-    code = role_code_columns(buffer_cells)
-    if folds.limit(limit + 1).count() <= limit:
-        return cells.crossJoin(F.broadcast(folds)).withColumn("role", code)
-    size = 64
     reach = int(buffer_cells) + 1
+
     def blocks(low: str, high: str) -> Column:
-        return F.explode(F.sequence(F.floor((F.col(low) - reach) / size), F.floor((F.col(high) + reach) / size)))
+        return F.explode(F.sequence(F.floor((F.col(low) - reach) / block), F.floor((F.col(high) + reach) / block)))
+
     near = folds.withColumn("_br", blocks("r0", "r1")).withColumn("_bc", blocks("c0", "c1"))
-    hit = cells.withColumns({"_br": F.floor(F.col("r") / size), "_bc": F.floor(F.col("c") / size)}).join(near, ["_br", "_bc"])
-    return hit.drop("_br", "_bc").withColumn("role", code).where(F.col("role") != DOMAIN)
+    hit = cells.withColumns({"_br": F.floor(F.col("r") / block), "_bc": F.floor(F.col("c") / block)}).join(near, ["_br", "_bc"])
+    return hit.drop("_br", "_bc").withColumn("role", role_code_columns(buffer_cells)).where(F.col("role") != DOMAIN)
 
 
 def role_code_columns(buffer_cells: float) -> Column:

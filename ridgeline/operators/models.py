@@ -7,14 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import masks, pixel
 from ..functions.numeric import clip, ratio
 from . import fit, folds as fd
-from .prefix import exact_quantiles, value_profile
+from .prefix import value_profile
 
 BANDS = fit.BANDS
 METHODS = ["hard_mask", "soft_weight_k15", "soft_weight_k30", "soft_weight_k60", "bounded_scene_constant_diffuse"]
 MAIN_METHODS = ["hard_mask", "soft_weight_k30", "bounded_scene_constant_diffuse"]
 CANDIDATES = ["C0", "C1p", "C1", "C2a"]
-R_FLAT = "v_sky_range_below_minimum"
-R_SINGULAR = "rank_deficient"
+R_FLAT = "insufficient_v_sky_variation"
+R_SINGULAR = "singular_design_matrix"
 R_NO_CELL = "no_supported_pixel_in_core"
 
 
@@ -137,8 +137,7 @@ def candidate_fits(px: DataFrame, folds: list[dict], minimum: int, min_iqr: floa
 def train_iqr(px: DataFrame, folds: list[dict]) -> DataFrame:
     """Interquartile range of v_sky over the calibration cells of each acquisition and fold."""
     cal = px.where(F.col("land") & F.col("lit") & F.col("v_sky").isNotNull())
-    rows = fd.explode_roles(cal.select("a", "zone", "v_sky"), folds, (fd.DOMAIN,))
-    q = exact_quantiles(rows, ["a", "k"], F.col("v_sky"), {"q1": 0.25, "q3": 0.75}, 1.0 / 4096)
+    q = fd.quantiles_by_fold(cal, ["a"], folds, fd.DOMAIN, F.col("v_sky"), {"q1": 0.25, "q3": 0.75}, 1.0 / 4096)
     return q.select("a", "k", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 

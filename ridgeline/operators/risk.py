@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import masks
 from ..functions.numeric import ratio
-from .prefix import average_ranks, exact_quantiles, running_sums
+from . import folds as fd
+from .prefix import average_ranks, exact_quantiles, running_sums, value_profile
 
 # Fixed names of the closed sets.
-SHAPE_VERDICT = {"order_consistent": "risk_proxy_order_consistent", "order_inverted": "risk_proxy_order_inverted",
-                 "flat": "risk_proxy_flat", "mixed": "risk_proxy_mixed"}
+SHAPE_VERDICT = {"order_consistent": "descriptive_ordering_signal", "order_inverted": "directionally_adverse",
+                 "flat": "descriptive_non_discriminative", "mixed": "descriptive_non_discriminative"}
 V_SUPPORT = "not_evaluable_insufficient_scored_support"
 V_DEGENERATE = "not_evaluable_score_degenerate"
 SCOPES = ["unit_all_scored", "mu_band_low", "mu_band_mid", "mu_band_high"]
@@ -108,7 +109,7 @@ def curve_shape(grid: DataFrame, keys: list[str], tau_abs: float, tau_rel: float
                     .when(F.col("_down"), "order_inverted").otherwise("flat").alias("shape"))
 
 
-def evaluate_scopes(rows: DataFrame, unit: DataFrame, keys: list[str], minimum: int, min_points: int = 3, min_accept: int = 20,
+def evaluate_scopes(rows: DataFrame, unit: DataFrame, keys: list[str], minimum: int = 271, min_points: int = 3, min_accept: int = 271,
                     tau: tuple[float, float] = (1e-12, 1e-12)) -> dict[str, DataFrame]:
     """Ordered gates, then curve, area, shape and verdict per unit and scope.
 
@@ -136,7 +137,7 @@ def evaluate_scopes(rows: DataFrame, unit: DataFrame, keys: list[str], minimum:
         (~F.col("unit_scored"), V_SUPPORT, "unit_gate_not_scored"),
         (F.col("core_land") == 0, V_SUPPORT, "zero_base_valid_land_denominator"),
         (n == 0, V_SUPPORT, "zero_scored_denominator"),
-        (n < minimum, V_SUPPORT, "scored_below_minimum"),
+        (n < minimum, V_SUPPORT, f"N_scored_below_{minimum}"),
         (span <= limit, V_DEGENERATE, "score_range_at_or_below_tau_score"),
         (F.coalesce("exact_points", F.lit(0)) < min_points, V_DEGENERATE, "unique_proxy_values_below_3"),
         (F.coalesce("admissible_points", F.lit(0)) < min_points, V_DEGENERATE, "admissible_exact_points_below_3"),
@@ -169,6 +170,20 @@ def order_positions(rows: DataFrame, keys: list[str]) -> DataFrame:
     return inside.join(place, [*keys, "rel"]).withColumn("position", F.col("_pos") + F.col("_before")).drop("_pos", "_before")
 
 
+def curve_quantiles(res: DataFrame, keys: list[str], targets: list[int], width: float = 1 / 4096) -> DataFrame:
+    """Exact median and P90 of |error| at a few coverage targets (percent) of the curve.
+
+    A cell is copied once per target it belongs to, so the list should be short.
+    """
+    pop = res.groupBy(*keys).agg(F.count("*").alias("denominator"), F.count("e").alias("supported"))
+    ranked = order_positions(res.where(F.col("e").isNotNull()), keys).join(pop, keys)
+    need = F.ceil(F.col("q") * F.col("denominator") / F.lit(100).cast("decimal(20,0)"))
+    rows = ranked.withColumn("q", F.explode(F.array(*[F.lit(t) for t in targets])))
+    rows = rows.where((F.col("position") <= need) & (need <= F.col("supported")))
+    p = value_profile(rows, [*keys, "q"], F.abs("e"), {"median_abs": 0.5, "p90_abs": 0.9}, width)
+    return p.select(*keys, "q", F.col("rows").alias("selected"), "median_abs", "p90_abs")
+
+
 def coverage_curve(res: DataFrame, keys: list[str], targets: int = 100) -> DataFrame:
     """Metrics of the first ceil(q n) cells by reliability for q = 1..targets percent.
 
@@ -209,10 +224,10 @@ def with_surface(df: DataFrame) -> DataFrame:
             .where(F.col("value").isNotNull()))
 
 
-def quartile_cuts(calibration: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartile cut points of each surface measure over calibration cells."""
-    rows = with_surface(calibration.select(*keys, "rho4", "rho5"))
-    return exact_quantiles(rows, [*keys, "definition"], F.col("value"), {"t1": 0.25, "t2": 0.5, "t3": 0.75}, 1 / 4096)
+def quartile_cuts(land: DataFrame, keys: list[str], folds: list[dict]) -> DataFrame:
+    """Quartile cut points of each surface measure over the calibration domain of every fold."""
+    rows = with_surface(land.select(*keys, "zone", "rho4", "rho5"))
+    return fd.quantiles_by_fold(rows, [*keys, "definition"], folds, fd.DOMAIN, F.col("value"), {"t1": 0.25, "t2": 0.5, "t3": 0.75}, 1 / 4096)
 
 
 def quartile_metrics(res: DataFrame, cuts: DataFrame, unit: list[str], cut_keys: list[str]) -> DataFrame:
@@ -220,7 +235,6 @@ def quartile_metrics(res: DataFrame, cuts: DataFrame, unit: list[str], cut_keys:
 
     Cut points come from calibration cells only and are applied to holdout cells.
     """
-    from .prefix import value_profile
     v = F.col("value")
     rows = with_surface(res.where("lit")).join(cuts, [*cut_keys, "definition"])
     stratum = F.when(v <= F.col("t1"), "q1").when(v <= F.col("t2"), "q2").when(v <= F.col("t3"), "q3").otherwise("q4")

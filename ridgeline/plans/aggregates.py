@@ -169,7 +169,7 @@ def metric_rows(s, d):
 
 
 @query("ag16_through_origin", f"""SELECT a, band, n, {R('num')} AS sxy, {R('den')} AS sxx, CASE WHEN n<300 THEN 'unsupported_calibration' ELSE 'fitted' END AS state,
-    CASE WHEN n<300 THEN 'support_below_minimum' END AS reason, {R('CASE WHEN n>=300 THEN least(greatest(num/den,0e0),1e0) END')} AS alpha FROM
+    CASE WHEN n<300 THEN 'calibration_support_below_minimum' END AS reason, {R('CASE WHEN n>=300 THEN least(greatest(num/den,0e0),1e0) END')} AS alpha FROM
     (SELECT a, band, count(*) AS n, sum(mu*rho) AS num, sum(mu*mu) AS den FROM (SELECT px.*, band, CASE WHEN band='B4' THEN rho4 ELSE rho5 END AS rho FROM px, band)
      WHERE land AND lit GROUP BY a, band)""")
 def through_origin(s, d):
@@ -252,8 +252,8 @@ def coverage_identities(s, d):
 
 
 def units(s, d):
-    px = views.px_table(s, d)
-    return io.materialize(s, fit.holdout_units(px, fd.time_split(views.acq(s, d), ["day", "a"]), FOLDS, MIN_CALIBRATION), "units")
+    return io.derived(s, d, "units", lambda: fit.holdout_units(
+        views.px_table(s, d), fd.time_split(views.acq(s, d), ["day", "a"]), FOLDS, MIN_CALIBRATION))
 
 
 @query("ag24_describe", f"""SELECT band, k, count(mae) AS count, {R('median(mae)')} AS median, {R('min(mae)')} AS min, {R('max(mae)')} AS max FROM unit GROUP BY band, k""")
@@ -401,8 +401,8 @@ def parameter_shift(s, d):
 
 
 def ablation_units(s, d):
-    u = models.ablation(zoned_sky(s, d), fd.time_split(views.acq(s, d), ["day", "a"]), FOLDS, MIN_CALIBRATION, 0.05)
-    return io.materialize(s, u, "ablation")
+    return io.derived(s, d, "ablation", lambda: models.ablation(
+        zoned_sky(s, d), fd.time_split(views.acq(s, d), ["day", "a"]), FOLDS, MIN_CALIBRATION, 0.05))
 
 
 def ablation_pairs(s, d):

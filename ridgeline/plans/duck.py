@@ -76,7 +76,7 @@ VIEWS = {
         coalesce(sum(mu*mu) FILTER (WHERE cal),0e0) AS den FROM (SELECT *, land AND lit AND role='domain' AS cal FROM rb)
         GROUP BY a, k, band""",
     "alpha": """SELECT *, CASE WHEN n_cal<20 OR den<=0 THEN NULL ELSE least(greatest(num/den,0e0),1e0) END AS alpha,
-        CASE WHEN n_cal<20 THEN 'support_below_minimum' WHEN den<=0 THEN 'nonpositive_denominator' END AS reason FROM fit""",
+        CASE WHEN n_cal<20 THEN 'calibration_support_below_minimum' WHEN den<=0 THEN 'nonpositive_mu_squared_denominator' END AS reason FROM fit""",
     "resid": """SELECT rb.a, rb.k, rb.band, rb.r, rb.c, cos_i, mu, rho, rho4, rho5, alpha*mu-rho AS e,
         (1::FLOAT - cos_i::FLOAT)::FLOAT AS score
         FROM rb JOIN alpha USING (a, k, band) WHERE role='core' AND land AND lit AND alpha IS NOT NULL""",
@@ -88,7 +88,7 @@ VIEWS = {
         FROM role WHERE role='core' GROUP BY a, k""",
     "unit": """SELECT u.a, u.k, u.band, s.split, coalesce(n_cal,0) AS n_cal, alpha,
         CASE WHEN alpha IS NULL THEN 'unsupported_calibration' ELSE 'fitted' END AS state,
-        CASE WHEN n_cal IS NULL THEN 'support_below_minimum' ELSE reason END AS reason,
+        CASE WHEN n_cal IS NULL THEN 'calibration_support_below_minimum' ELSE reason END AS reason,
         coalesce(core_total,0) AS core_total, coalesce(core_land,0) AS core_land,
         coalesce(core_geometry,0) AS core_geometry, coalesce(core_scored,0) AS core_scored,
         CASE WHEN core_land>0 THEN core_scored::DOUBLE/core_land END AS coverage, bias, mae, med, p90, n_res
@@ -129,9 +129,9 @@ VIEWS = {
         UNION ALL SELECT a,k,band,n,iqr,mm,'C1', mm, mv, vv, my, vy FROM gram
         UNION ALL SELECT a,k,band,n,iqr,mm,'C2a', mm, m-mv, n-2*v+vv, my, y-vy FROM gram""",
     "cand1": """SELECT *, (g11+g22)/2+sqrt(pow((g11-g22)/2,2)+g12*g12) AS big, g11*g22-g12*g12 AS det FROM cand0""",
-    "cfit": """SELECT a,k,band,n,iqr,candidate, CASE WHEN n<20 THEN 'support_below_minimum' WHEN mm<=0 THEN 'nonpositive_denominator'
-        WHEN candidate<>'C0' AND iqr<5e-2 THEN 'v_sky_range_below_minimum'
-        WHEN candidate<>'C0' AND NOT (sqrt(greatest(det,0)/big) > sqrt(big)*1e-10) THEN 'rank_deficient' END AS reason,
+    "cfit": """SELECT a,k,band,n,iqr,candidate, CASE WHEN n<20 THEN 'calibration_support_below_minimum' WHEN mm<=0 THEN 'nonpositive_mu_squared_denominator'
+        WHEN candidate<>'C0' AND iqr<5e-2 THEN 'insufficient_v_sky_variation'
+        WHEN candidate<>'C0' AND NOT (sqrt(greatest(det,0)/big) > sqrt(big)*1e-10) THEN 'singular_design_matrix' END AS reason,
         CASE WHEN candidate='C0' THEN b1/mm WHEN det>0 THEN (g22*b1-g12*b2)/det END AS t1,
         CASE WHEN candidate<>'C0' AND det>0 THEN (g11*b2-g12*b1)/det END AS t2,
         CASE WHEN candidate='C0' THEN 1e0 WHEN det>0 THEN sqrt(big/(greatest(det,0)/big)) END AS cond FROM cand1""",
@@ -139,7 +139,7 @@ VIEWS = {
         WHEN 'C2a' THEN 1-v_sky ELSE 0e0 END)-rho AS e FROM (SELECT vrole.*, band, CASE WHEN band='B4' THEN rho4 ELSE rho5 END AS rho
         FROM vrole, band WHERE role='core' AND land AND lit) x JOIN cfit f ON x.a=f.a AND x.k=f.k AND x.band=f.band AND f.reason IS NULL""",
     "abl": """SELECT u.*, coalesce(n,0)::BIGINT AS n, coalesce(core_land,0) AS core_land, f.candidate IS NOT NULL AS has_fit, t1, t2, cond,
-        CASE WHEN f.a IS NULL THEN 'support_below_minimum' WHEN f.reason IS NOT NULL THEN f.reason WHEN cnt IS NULL THEN 'no_supported_pixel_in_core' END AS reason,
+        CASE WHEN f.a IS NULL THEN 'calibration_support_below_minimum' WHEN f.reason IS NOT NULL THEN f.reason WHEN cnt IS NULL THEN 'no_supported_pixel_in_core' END AS reason,
         CASE WHEN f.a IS NULL OR f.reason IS NOT NULL THEN 'unsupported' WHEN cnt IS NULL THEN 'not_scored' ELSE 'scored' END AS state,
         cnt, bias, mae, p90, CASE WHEN core_land>0 THEN cnt::DOUBLE/core_land END AS coverage
         FROM (SELECT a, k, band, split, unnest(['C0','C1p','C1','C2a']) AS candidate FROM split, fold, band) u
@@ -197,11 +197,12 @@ VIEWS = {
         WHEN bool_or(dn) THEN 'order_inverted' ELSE 'flat' END AS shape FROM (SELECT *, coalesce(mae-p>1e-12+1e-12*greatest(abs(mae),abs(p)),false) AS up,
         coalesce(mae-p<-(1e-12+1e-12*greatest(abs(mae),abs(p))),false) AS dn FROM (SELECT *, lag(mae) OVER (PARTITION BY a,k,band,scope ORDER BY q) AS p FROM gridr WHERE status='reachable')) GROUP BY 1,2,3,4""",
     "scopeval": """SELECT *, CASE WHEN reason IS NULL THEN 'evaluated' ELSE 'not_evaluable' END AS gate, CASE WHEN reason IN ('unit_gate_not_scored',
-        'zero_base_valid_land_denominator','zero_scored_denominator','scored_below_minimum') THEN 'not_evaluable_insufficient_scored_support'
-        WHEN reason IS NOT NULL THEN 'not_evaluable_score_degenerate' ELSE 'risk_proxy_'||shape END AS verdict FROM (
+        'zero_base_valid_land_denominator','zero_scored_denominator','N_scored_below_20') THEN 'not_evaluable_insufficient_scored_support'
+        WHEN reason IS NOT NULL THEN 'not_evaluable_score_degenerate' WHEN shape='order_consistent' THEN 'descriptive_ordering_signal' WHEN shape='order_inverted' THEN 'directionally_adverse'
+        ELSE 'descriptive_non_discriminative' END AS verdict FROM (
         SELECT u.a,u.k,u.band,scope,split,coalesce(scored,0) AS n_scored,s_min,s_max,exact_points,admissible_points,area,span,normalized,shape,
         CASE WHEN NOT (alpha IS NOT NULL AND core_scored>0) THEN 'unit_gate_not_scored' WHEN core_land=0 THEN 'zero_base_valid_land_denominator'
-        WHEN scored IS NULL THEN 'zero_scored_denominator' WHEN scored<20 THEN 'scored_below_minimum'
+        WHEN scored IS NULL THEN 'zero_scored_denominator' WHEN scored<20 THEN 'N_scored_below_20'
         WHEN s_max-s_min<=1e-12+1e-12*greatest(abs(s_min),abs(s_max)) THEN 'score_range_at_or_below_tau_score'
         WHEN coalesce(exact_points,0)<3 THEN 'unique_proxy_values_below_3' WHEN coalesce(admissible_points,0)<3 THEN 'admissible_exact_points_below_3'
         WHEN coalesce(reachable,0)<3 THEN 'canonical_reachable_grid_points_below_3' WHEN coalesce(span,0)<=0 THEN 'AURC_nonpositive_span' END AS reason

@@ -108,7 +108,8 @@ def result_audit(s, d):
 @query("dq04_domain_reconciliation", " UNION ALL ".join([
     line("R1", "SELECT count(*) FROM (SELECT d FROM dday EXCEPT SELECT d FROM dclass)"),
     line("R2", "SELECT count(*) FROM (SELECT d, count(DISTINCT CASE WHEN d%5<3 THEN 'train' WHEN d%5=3 THEN 'calibration' ELSE 'evaluation' END) AS n FROM dclass GROUP BY d) WHERE n<>1"),
-    line("R3", "SELECT 0"), line("R4", "SELECT 0"), line("R5", "SELECT count(*) FROM (SELECT DISTINCT d FROM dclass WHERE d NOT IN (SELECT d FROM refday))"),
+    line("R3", "SELECT count(*) FROM (SELECT d, count(*) AS t, count(coverage) AS s, count(*) FILTER (WHERE coverage IS NULL) AS u, count(*) FILTER (WHERE coverage>=3e-1) AS f, count(*) FILTER (WHERE coverage<3e-1) AS j FROM dday GROUP BY d) WHERE s+u<>t OR f+j<>s"),
+    line("R4", "SELECT 0"), line("R5", "SELECT count(*) FROM (SELECT DISTINCT d FROM dclass WHERE d NOT IN (SELECT d FROM refday))"),
     line("R6", "SELECT 0"), line("R7", "SELECT count(*) FROM artifact WHERE role NOT IN ('ground_truth','reference_observation','proxy','unavailable')"),
     line("R8", "SELECT CASE WHEN count(*)>0 THEN 0 ELSE 1 END FROM refday"), line("R9", "SELECT count(*) FROM artifact WHERE role='ground_truth'"),
     line("R10", "SELECT 0")]))
@@ -134,7 +135,12 @@ def domain_reconciliation(s, d):
 
 
 @query("dq05_output_validator", " UNION ALL ".join([
-    line("unique_keys", "SELECT 0"), line("finite", "SELECT 0"), line("verdict_owner", "SELECT 0"), line("stratum_sum", "SELECT 0"), line("scope_identities", "SELECT 0"), line("grid_sequence", "SELECT 0")]))
+    line("unique_keys", "SELECT count(*) FROM (SELECT a,k,band,scope FROM scopeval GROUP BY 1,2,3,4 HAVING count(*)>1)"),
+    line("finite", "SELECT count(*) FROM scopeval WHERE isnan(normalized) OR isinf(normalized)"),
+    line("verdict_owner", "SELECT count(*) FROM scopeval WHERE (gate='evaluated') <> (reason IS NULL AND verdict NOT LIKE 'not_evaluable%')"),
+    line("stratum_sum", "SELECT count(*) FROM (SELECT a,k,band,sum(n_scored) FILTER (WHERE scope='unit_all_scored') AS w,sum(n_scored) FILTER (WHERE scope<>'unit_all_scored') AS p FROM scopeval GROUP BY 1,2,3) WHERE w<>p"),
+    line("scope_identities", "SELECT count(*) FROM (SELECT a,k,band,count(*) AS n FROM scopeval GROUP BY 1,2,3) WHERE n<>4"),
+    line("grid_sequence", "SELECT count(*) FROM (SELECT a,k,band,scope,count(*) AS n,min(q) AS lo,max(q) AS hi FROM gridr GROUP BY 1,2,3,4) WHERE n<>20 OR lo<>1 OR hi<>20")]))
 def output_validator(s, d):
     out = scopes(s, d)
     k = ["a", "k", "band"]
@@ -143,14 +149,14 @@ def output_validator(s, d):
                              F.count("*").alias("scopes"))
     seq = out["grid"].groupBy(*k, "scope").agg(F.count("*").alias("n"), F.min("q").alias("lo"), F.max("q").alias("hi"))
     bad_float = F.coalesce(F.isnan("normalized") | (F.abs("normalized") == float("inf")), F.lit(False))
-    owner = (C("gate") == "evaluated") != (C("reason").isNull() & C("verdict").startswith("risk_proxy_"))
+    owner = (C("gate") == "evaluated") != (C("reason").isNull() & C("verdict").startswith("d"))
     parts = [q.unique_keys("unique_keys", sm, [*k, "scope"]), q.rules(sm, {"finite": bad_float, "verdict_owner": owner}),
              q.rules(per, {"stratum_sum": C("whole") != C("parts"), "scope_identities": C("scopes") != 4}),
              q.rule("grid_sequence", seq, (C("n") != 20) | (C("lo") != 1) | (C("hi") != 20))]
     return q.union_all(parts)
 
 
-@query("dq06_leakage_check", """SELECT a, k, 0::BIGINT AS violations, count(*) AS used FROM role WHERE land AND lit AND role='domain' GROUP BY a, k""")
+@query("dq06_leakage_check", """SELECT a, k, count(*) FILTER (WHERE greatest((k-1)*10-c, c-(k*10-6), 0) < 3) AS violations, count(*) AS used FROM role WHERE land AND lit AND role='domain' GROUP BY a, k""")
 def leakage_check(s, d):
     z = fd.explode_roles(fd.with_zone(views.px(s, d), FOLDS, fit.BUFFER_CELLS), FOLDS, (fd.DOMAIN,))
     core = geo.rect_distance(C("c").cast("double"), C("r").cast("double"), (C("k") * 10 - 10).cast("double"), F.lit(0.0), (C("k") * 10 - 6).cast("double"), F.lit(2e9))

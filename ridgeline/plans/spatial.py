@@ -27,7 +27,7 @@ def classes(s, d):
 
 
 def records(s, d):
-    return io.materialize(s, cd.candidate_records(s, classes(s, d), EDGES, STRIDE, BUF, NAMES), "candidates")
+    return io.derived(s, d, "candidates", lambda: cd.candidate_records(s, classes(s, d), EDGES, STRIDE, BUF, NAMES))
 
 
 @query("sp01_sky_view", f"SELECT r, c, {R('v_sky')} AS v_sky FROM vsky")

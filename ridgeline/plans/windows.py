@@ -66,9 +66,8 @@ def time_split(s, d):
 def scored(s, d):
     """Scored core cells and the unit table, each written once."""
     z = zoned(s, d)
-    rows = io.materialize(s, fit.scored_residuals(z, FOLDS, MIN_CALIBRATION).select(*KEYS, "r", "c", "cos_i", "score", "e"), "residuals")
-    core = fit.core_accounting(z, FOLDS)
-    return rows, core
+    rows = io.derived(s, d, "residuals", lambda: fit.scored_residuals(z, FOLDS, MIN_CALIBRATION).select(*KEYS, "r", "c", "cos_i", "score", "e"))
+    return rows, fit.core_accounting(z, FOLDS)
 
 
 @query("wn09_risk_coverage_curve", f"""SELECT a, k, band, point, {R('score::DOUBLE')} AS score, accepted, {R('coverage')} AS coverage, {R('mae')} AS mae FROM pts WHERE scope='unit_all_scored'""")
@@ -85,12 +84,24 @@ def risk_coverage_curve(s, d):
     CASE WHEN need<=sup THEN need ELSE 0 END AS selected,{R('CASE WHEN need<=sup THEN need::DOUBLE/den END')} AS actual_coverage,{R('mae')} AS mae FROM t LEFT JOIN m USING (a,k,band,method,q)""")
 def fixed_coverage_curve(s, d):
     z = zoned(s, d)
-    res = io.materialize(s, models.method_residuals(z, models.method_fits(z, FOLDS), FOLDS, models.MAIN_METHODS)
-                         .select(*KEYS, "method", "r", "c", "e", "rel"), "residuals")
+    res = io.derived(s, d, "method_residuals", lambda: models.method_residuals(
+        z, models.method_fits(z, FOLDS), FOLDS, models.MAIN_METHODS).select(*KEYS, "method", "r", "c", "e", "rel"))
     g = risk.coverage_curve(res, [*KEYS, "method"])
     return g.select(*KEYS, "method", "q", "denominator", "supported", "status", long("selected").alias("selected"), *r6c("maximum_coverage", "actual_coverage", "mae"))
 
 
+@query("wn10_curve_quantiles", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY a,k,band,method ORDER BY rel DESC, r, c) AS pos FROM main3 WHERE e IS NOT NULL),
+    n AS (SELECT a,k,band,method,count(*) AS den,count(e) AS sup FROM main3 GROUP BY 1,2,3,4), t AS (SELECT *, (q*den+99)//100 AS need FROM n, (SELECT unnest([20,50,80,100]) AS q))
+    SELECT t.a,t.k,t.band,t.method,q,count(*) AS selected,{R('quantile_cont(abs(e),0.5)')} AS median_abs,{R('quantile_cont(abs(e),0.9)')} AS p90_abs FROM t
+    JOIN p ON p.a=t.a AND p.k=t.k AND p.band=t.band AND p.method=t.method AND pos<=need WHERE need<=sup GROUP BY 1,2,3,4,5""")
+def curve_quantiles(s, d):
+    z = zoned(s, d)
+    res = io.derived(s, d, "method_residuals", lambda: models.method_residuals(
+        z, models.method_fits(z, FOLDS), FOLDS, models.MAIN_METHODS).select(*KEYS, "method", "r", "c", "e", "rel"))
+    g = risk.curve_quantiles(res, [*KEYS, "method"], [20, 50, 80, 100])
+    return g.select(*KEYS, "method", "q", "selected", *r6c("median_abs", "p90_abs"))
+
+
 @query("wn11_fixed_grid_map", f"""SELECT a, k, band, q, status, reason, point, {R('coverage')} AS coverage, {R('mae')} AS mae, {R('canonical')} AS canonical FROM gridr WHERE scope='unit_all_scored'""")
 def fixed_grid_map(s, d):
     rows, core = scored(s, d)
@@ -115,8 +126,7 @@ def curve_shape(s, d):
 
 def quartiles(s, d):
     z = zoned(s, d)
-    cal = fd.explode_roles(z.where("land"), FOLDS, (fd.DOMAIN,))
-    cuts = risk.quartile_cuts(cal, ["a", "k"])
+    cuts = risk.quartile_cuts(z.where("land"), ["a"], FOLDS)
     res = models.method_residuals(z, models.method_fits(z, FOLDS), FOLDS, models.MAIN_METHODS)
     return risk.quartile_metrics(res, cuts, KEYS, ["a", "k"])
 

@@ -42,10 +42,19 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(root)
+REUSE = True  # set False to rebuild derived tables in every query (bench.py does)
+_derived: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def derived(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table of one source folder, written on first use and read by later plans of the session.
+
+    The source folder is taken as immutable for the life of the session.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    if not REUSE or key not in _derived:
+        _derived[key] = materialize(spark, build(), name)
+    return _derived[key]
 
 
 def same_columns(df: DataFrame, want: T.StructType) -> DataFrame:

@@ -183,11 +183,11 @@ CELL_COLUMNS = ["a", "r", "c", "z", "qa", "v4", "v5", "rho4", "rho5", "msource",
 
 def px_table(spark: SparkSession, d: str) -> DataFrame:
     """``px`` written once for plans with several branches."""
-    return io.materialize(spark, px(spark, d).select(*CELL_COLUMNS), "cells")
+    return io.derived(spark, d, "cells", lambda: px(spark, d).select(*CELL_COLUMNS))
 
 
 def px_sky_table(spark: SparkSession, d: str) -> DataFrame:
-    return io.materialize(spark, px_sky(spark, d).select(*CELL_COLUMNS, "v_sky"), "cells")
+    return io.derived(spark, d, "cells_sky", lambda: px_table(spark, d).join(sky(spark, d), ["r", "c"], "left"))
 
 
 def px_sky(spark: SparkSession, d: str) -> DataFrame:

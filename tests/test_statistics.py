@@ -154,9 +154,14 @@ def test_zone_sums_equal_the_long_form(spark):
         want = sum(v for _, r, c, v in rows if np.hypot(max(f["r0"] - r, r - f["r1"], 0), max(f["c0"] - c, c - f["c1"], 0)) >= 3.5)
         assert a[f["k"]] == pytest.approx(want)
     t = spark.createDataFrame([(f["k"], f["r0"], f["c0"], f["r1"], f["c1"]) for f in folds], "k int, r0 long, c0 long, r1 long, c1 long")
-    small = fd.roles_by_join(df, t, 3.5).where("role <> 2").select("r", "c", "k", "role").collect()
-    large = fd.roles_by_join(df, t, 3.5, limit=0).select("r", "c", "k", "role").collect()
-    assert sorted(small) == sorted(large) and len(small) > 0
+    by_zone = fd.explode_roles(z, folds, (fd.CORE, fd.BUFFER)).select("r", "c", "k", "role").collect()
+    for block in (5, 64):
+        by_join = fd.roles_by_join(df, t, 3.5, block).select("r", "c", "k", "role").collect()
+        assert sorted(by_zone) == sorted(by_join) and len(by_join) > 0
+    q = {r["k"]: r["p"] for r in fd.quantiles_by_fold(z, ["a"], folds, fd.DOMAIN, F.col("v"), {"p": 0.3}, 1 / 64).collect()}
+    for f in folds:
+        vals = [v for _, r, c, v in rows if np.hypot(max(f["r0"] - r, r - f["r1"], 0), max(f["c0"] - c, c - f["c1"], 0)) >= 3.5]
+        assert q[f["k"]] == pytest.approx(np.percentile(vals, 30))
 
 
 MODELS = {
