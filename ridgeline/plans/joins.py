@@ -93,12 +93,8 @@ def rectangle_pairs(s, d):
     # one box per acquisition: the pair join runs over that dimension only
     box = views.px(s, d).where("cos_i <= 0").groupBy(C("a").alias("k")).agg(
         *[f(c).cast("double").alias(n) for f, c, n in ((F.min, "c", "c0"), (F.max, "c", "c1"), (F.min, "r", "r0"), (F.max, "r", "r1"))])
-    a, b = box.alias("x"), box.alias("y")
-    bx = {t: [C(f"{t}.{n}") for n in ("c0", "r0", "c1", "r1")] for t in "xy"}
-    half = {t: [v[0], v[1], v[2] + 1, v[3] + 1] for t, v in bx.items()}
-    return a.join(b, C("x.k") < C("y.k")).select(
-        C("x.k").alias("first_a"), C("y.k").alias("second_a"), *rounded(gap=geo.rect_gap(bx["x"], bx["y"])),
-        geo.half_open_overlap(half["x"], half["y"]).alias("overlaps"), geo.overlap_area(half["x"], half["y"]).alias("shared_cells"))
+    p = fd.fold_pairs(box)
+    return p.select(C("fold_a").alias("first_a"), C("fold_b").alias("second_a"), *r6c("gap"), "overlaps", "shared_cells")
 
 
 @query("jn09_nearest_date", """SELECT d, strftime(day,'%Y-%m-%d') AS day, CASE WHEN g<=7 THEN g END AS gap,

@@ -49,7 +49,6 @@ def reconciliation_suite(s, d):
         sp_ = fd.time_split(acq, ["day", "a"]).agg(F.count("*").alias("m"), F.max("n").alias("n"), F.count_if(C("split") == "train").alias("tr"))
         return q.rule("C7", sp_, ~((C("m") == C("n")) & (C("tr") == F.greatest(F.floor(C("n") * 0.6), F.lit(1)))))
     docs = views.artifact(s, d).select("id", F.sha2("text", 256).alias("h"))
-    flags = masks.source_valid(F.lit(1))
     checks = [
         ("C1", "same acquisitions", lambda: q.same_ids("C1", acq, obs, "a")), ("C2", "order is time order", order_ok),
         ("C3", "cells lie on the grid", grid_ok), ("C4", "content hashes present", lambda: q.rule("C4", docs, F.length("h") != 64)),
@@ -297,7 +296,6 @@ def missing_metadata(s, d):
 @query("dq18_versioned_universe", """SELECT 'left' AS change, count(*) AS n FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'joined', count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)""")
 def versioned_universe(s, d):
     v = q.version_difference(views.table(s, d, "documents"), views.table(s, d, "labels"), "doc_id")
-    names = F.array(F.lit("left"), F.lit("joined"))
     g = v.agg(F.count_if(C("change") == "left").alias("left"), F.count_if(C("change") == "joined").alias("joined"))
     rows = F.array(*[F.struct(F.lit(n).alias("change"), C(n).alias("n")) for n in ("left", "joined")])
     return g.select(F.explode(rows).alias("x")).select("x.*")
