@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality_rules, sharding
+from . import chat, decontaminate, html_extract, language_id, mixing, quality_rules, secrets, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,21 @@ SELECT doc_id, size, source_size, target,
   (size * (passes + CASE WHEN upto <= budget OR (upto - own <= budget AND upto - budget < budget - (upto - own)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r"""
 
+DECONTAMINATION_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS u, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k
+      FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+v AS (SELECT u, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
+      FROM (SELECT u, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
+m AS (SELECT v.u, v.i, v.n, g.item_id FROM v JOIN g ON v.n = g.n AND v.k = g.k),
+h AS (SELECT u, count(DISTINCT p) AS n_hit FROM (SELECT u, unnest(range(i, i + n)) AS p FROM m) GROUP BY u),
+t AS (SELECT u, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT u, item_id FROM m WHERE item_id IS NOT NULL) GROUP BY u)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN h USING (u) LEFT JOIN t USING (u)"""
+
 CHAT_SQL = r"""
 WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -81,6 +96,12 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id"""
 
 register("op1_quality_rules", quality_rules.op1_quality, sql=QUALITY_SQL)
+QUERIES["op3_decontamination"] = lambda spark, sf_dir: decontaminate.op3_decontamination(
+    table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+ORACLES["op3_decontamination"] = DECONTAMINATION_SQL
 register("op4_source_mixing", mixing.op4_mixing, sql=MIX_SQL)
+register("op5_secret_scan", secrets.op5_secrets)
+register("op6_html_extraction", html_extract.op6_html, "pages")
 register("op7_chat_formatting", chat.op7_chat, "conversations", CHAT_SQL)
 register("op8_sharding", sharding.op8_sharding)
+register("op10_language_id", language_id.op10_language)
