@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_extract, language_id, mixing, quality_rules, secrets, sharding
+from . import chat, decontaminate, html_extract, language_id, mixing, near_dedup, quality_rules, secrets, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,4 +104,5 @@ register("op5_secret_scan", secrets.op5_secrets)
 register("op6_html_extraction", html_extract.op6_html, "pages")
 register("op7_chat_formatting", chat.op7_chat, "conversations", CHAT_SQL)
 register("op8_sharding", sharding.op8_sharding)
+register("op9_near_dedup", near_dedup.op9_near_dedup)
 register("op10_language_id", language_id.op10_language)
