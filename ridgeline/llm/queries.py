@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_extract, language_id, mixing, near_dedup, quality_rules, secrets, sharding
+from . import chat, decontaminate, html_extract, language_id, mixing, near_dedup, quality_rules, secrets, sharding, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id"""
 
 register("op1_quality_rules", quality_rules.op1_quality, sql=QUALITY_SQL)
+register("op2_suffix_dedup", suffix_dedup.op2_suffix)
 QUERIES["op3_decontamination"] = lambda spark, sf_dir: decontaminate.op3_decontamination(
     table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 ORACLES["op3_decontamination"] = DECONTAMINATION_SQL
