@@ -16,10 +16,10 @@ KINDS = ["clean", "shadow", "near_zero", "combined_risk"]
 def scan_cores(cells: DataFrame, edges: list[int], stride: int) -> DataFrame:
     """All square cores by edge and stride, border positions included.
 
-    Every candidate starts at a cell, so the scan is a filter over the cells
-    and runs as wide as the grid does; nothing is listed on the driver.
+    Candidates come from the extent, so a start cell may be absent; positions
+    are generated in the tasks and nothing is listed on the driver.
     """
-    sized = cells.select("r", "c").crossJoin(F.broadcast(grid.extent(cells))).withColumn("edge", F.explode(F.array(*[F.lit(e) for e in edges])))
+    sized = grid.universe(cells).crossJoin(F.broadcast(grid.extent(cells))).withColumn("edge", F.explode(F.array(*[F.lit(e) for e in edges])))
     e, h, w = F.col("edge"), F.col("_rmax") + 1, F.col("_cmax") + 1
     fits = (F.col("r") + e <= h) & (F.col("c") + e <= w)
     on_row = (F.col("r") % stride == 0) | (F.col("r") == h - e)
@@ -29,7 +29,8 @@ def scan_cores(cells: DataFrame, edges: list[int], stride: int) -> DataFrame:
 
 
 def prefixes(cells: DataFrame, names: list[str], band: int = 64) -> DataFrame:
-    """Row sums ``row_<n>`` and 2-D prefix sums ``int_<n>`` of several 0/1 columns."""
+    """Row sums ``row_<n>`` and 2-D prefix sums ``int_<n>`` of several 0/1 columns, for every cell of the grid."""
+    cells = grid.dense(cells, names)
     row = W.partitionBy("r").orderBy("c").rowsBetween(W.unboundedPreceding, 0)
     rows = cells.withColumns({f"row_{n}": F.sum(n).over(row) for n in names}).withColumn("_band", F.floor(F.col("r") / band))
     inside = W.partitionBy("_band", "c").orderBy("r").rowsBetween(W.unboundedPreceding, 0)
@@ -79,7 +80,7 @@ def nearest_outside(spark: SparkSession, cores: DataFrame, mask: DataFrame, buff
     searched rows cannot be beaten, so only open candidates go on, with twice
     the rows; the loop ends when none is open or the whole grid was searched.
     """
-    look = grid.last_next(mask).select("r", "c", "last_set", "next_set")
+    look = io.materialize(spark, grid.last_next(grid.dense(mask, ["m"])).select("r", "c", "last_set", "next_set"), "look")
     height = mask.agg(F.max("r") + 1).first()[0]
     reach, done, open_ = buffer + 16, None, cores
     while True:
@@ -138,10 +139,10 @@ def qualifying(cand: DataFrame, thresholds: list[tuple[int, int, int]]) -> DataF
 
 
 def top_candidates(q: DataFrame, limit: int = 5) -> DataFrame:
-    """Best ``limit`` per kind by the kind's own count, then land, calibration, edge, row, column."""
+    """Best ``limit`` per threshold triple and kind by the kind's own count, then land, calibration, edge, row, column."""
     primary = (F.when(F.col("kind") == "shadow", F.col("holdout_shadow")).when(F.col("kind") == "near_zero", F.col("holdout_near_zero"))
                .when(F.col("kind") == "combined_risk", F.col("holdout_shadow") + F.col("holdout_near_zero")).otherwise(F.col("holdout_land")))
-    w = W.partitionBy("kind").orderBy(F.desc("_p"), F.desc("holdout_land"), F.desc("calibration_land"), "edge", "r0", "c0")
+    w = W.partitionBy(*[k for k in ("min_calibration", "min_holdout", "min_risk") if k in q.columns], "kind").orderBy(F.desc("_p"), F.desc("holdout_land"), F.desc("calibration_land"), "edge", "r0", "c0")
     return q.withColumn("_p", primary).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumnRenamed("_p", "primary_count")
 
 

@@ -16,6 +16,19 @@ def extent(cells: DataFrame) -> DataFrame:
     return cells.agg(F.max("r").alias("_rmax"), F.max("c").alias("_cmax"))
 
 
+def universe(cells: DataFrame) -> DataFrame:
+    """All (r, c) up to the last row and column; rows are generated in the tasks."""
+    last = cells.agg(F.max("r"), F.max("c")).first()
+    h, w = (0, 1) if last[0] is None else (last[0] + 1, last[1] + 1)
+    return cells.sparkSession.range(h * w).select(F.expr(f"id div {w}").alias("r"), (F.col("id") % w).alias("c"))
+
+
+def dense(cells: DataFrame, names: list[str]) -> DataFrame:
+    """One row for every cell of the grid; 0/1 columns ``names`` are 0 where a cell is absent or null."""
+    full = universe(cells).join(cells.select("r", "c", *names), ["r", "c"], "left")
+    return full.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in names})
+
+
 def halo_tiles(cells: DataFrame, tile: int, halo: int) -> DataFrame:
     """Copy each cell to every tile whose halo covers it (adds ``_tr``, ``_tc``)."""
     def span(x: str) -> Column:
@@ -135,12 +148,12 @@ def row_prefix(mask: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def integral_image(mask: DataFrame, band: int = 64) -> DataFrame:
-    """2-D prefix sums of ``mask(r, c, m)``.
+    """2-D prefix sums of ``mask(r, c, m)`` for every cell of the grid; absent cells count 0.
 
     Row sums first; then down each column inside a band of rows, plus the
     totals of the bands above. No column is ever sorted as a whole.
     """
-    rows = row_prefix(mask).withColumn("_band", F.floor(F.col("r") / band))
+    rows = row_prefix(dense(mask, ["m"])).withColumn("_band", F.floor(F.col("r") / band))
     inside = W.partitionBy("_band", "c").orderBy("r").rowsBetween(W.unboundedPreceding, 0)
     above = W.partitionBy("c").orderBy("_band").rowsBetween(W.unboundedPreceding, -1)
     run = rows.withColumn("_in", F.sum("row_sum").over(inside))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import identity
@@ -57,7 +59,7 @@ def change_classes(consumers: DataFrame, old: DataFrame, new: DataFrame, old_box
         "change_class": F.when(~new_ok | ~old_ok, "scope_extension").when(F.col("differing") == 0, "artifact_only").otherwise("value_change_in_scope")})
 
 
-def descendants(spark: SparkSession, edges: DataFrame, roots: DataFrame, limit: int = 1000) -> DataFrame:
+def descendants(spark: SparkSession, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Transitive dependents of all roots with depth and one path each (smallest text at the first depth).
 
     Breadth first over all roots at once: a node is visited one time, so the
@@ -66,7 +68,7 @@ def descendants(spark: SparkSession, edges: DataFrame, roots: DataFrame, limit:
     edges = io.materialize(spark, edges.select("src", "dst").distinct(), "edges")
     level = io.materialize(spark, roots.select("node", F.col("node").alias("path"), F.lit(0).alias("depth")).distinct(), "level")
     seen, out = level, []
-    for depth in range(1, limit + 1):
+    for depth in itertools.count(1):
         step = level.join(edges, level["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(
             F.min(F.concat_ws(">", "path", "dst")).alias("path")).withColumn("depth", F.lit(depth))
         level = io.materialize(spark, step.join(seen.select("node"), "node", "left_anti"), "level")

@@ -41,44 +41,59 @@ def mask_agreement(df: DataFrame, keys: list[str], ref: Column, cand: Column, su
     return out.withColumn("differ_ratio", ratio(F.col("differ"), F.col("support")))
 
 
-def support_record(px: DataFrame, keys: list[str]) -> DataFrame:
+def over_universe(counts: DataFrame, universe: DataFrame, keys: list[str], absent: list[str]) -> DataFrame:
+    """Counts per key over all cells of the grid.
+
+    ``universe`` has one row a key with ``grid_cells``; ``counts`` has ``_rows`` observed rows a key. A
+    cell without a row is a cell without a source: it goes to the ``absent`` columns, so no cell is ever listed.
+    """
+    out = universe.select(*keys, "grid_cells").join(counts, keys, "left").na.fill(0)
+    missing = F.col("grid_cells") - F.col("_rows")
+    return out.withColumns({c: F.col(c) + missing for c in absent}).drop("grid_cells", "_rows")
+
+
+def support_record(px: DataFrame, keys: list[str], universe: DataFrame) -> DataFrame:
     """Counts of every validity primitive over all cells of a key."""
     names = {"msource": "msource", "clear": "clear", "inrange": "inrange", "water": "water", "tvalid": "tvalid",
              "base": "base", "land": "land"}
-    return px.groupBy(*keys).agg(F.count("*").alias("cells"), *[F.count_if(c).alias(f"n_{n}") for n, c in names.items()])
+    counts = px.groupBy(*keys).agg(F.count("*").alias("_rows"), F.count("*").alias("cells"), *[F.count_if(c).alias(f"n_{n}") for n, c in names.items()])
+    return over_universe(counts, universe, keys, ["cells"])
 
 
-def loss_ledger(px: DataFrame, keys: list[str]) -> DataFrame:
-    """Exclusive split of the lost cells and the overlapping loss kinds."""
+def loss_ledger(px: DataFrame, keys: list[str], universe: DataFrame) -> DataFrame:
+    """Exclusive split of the lost cells of the grid and the overlapping loss kinds."""
     src, q = F.col("msource"), ~F.col("clear")
     rng, ter = ~F.col("inrange"), ~F.col("tvalid")
     several = q.cast("int") + rng.cast("int") + ter.cast("int") > 1
     out = px.groupBy(*keys).agg(
-        F.count_if(~src).alias("passive"), F.count_if(src & ~F.col("base")).alias("active"),
+        F.count("*").alias("_rows"), F.count_if(~src).alias("passive"), F.count_if(src & ~F.col("base")).alias("active"),
         F.count_if(~F.col("base")).alias("not_base"), F.count_if(src & q).alias("qa_rejected"),
         F.count_if(src & rng).alias("out_of_range"), F.count_if(src & ter).alias("terrain_missing"),
         F.count_if(src & several).alias("several_kinds"), F.count_if(F.col("base") & F.col("water")).alias("water_excluded"))
+    out = over_universe(out, universe, keys, ["passive", "not_base"])
     return out.withColumn("closes", F.col("passive") + F.col("active") == F.col("not_base"))
 
 
-def waterfall(px: DataFrame, keys: list[str]) -> DataFrame:
-    """Total -> upstream loss -> water -> dark cells -> calibration, with the closing sum."""
+def waterfall(px: DataFrame, keys: list[str], universe: DataFrame) -> DataFrame:
+    """All cells of the grid -> upstream loss -> water -> dark cells -> calibration, with the closing sum."""
     dark = F.col("land") & ~F.col("lit")
     out = px.groupBy(*keys).agg(
-        F.count("*").alias("total"), F.count_if(~F.col("msource")).alias("passive"),
+        F.count("*").alias("_rows"), F.count("*").alias("total"), F.count_if(~F.col("msource")).alias("passive"),
         F.count_if(F.col("msource") & ~F.col("base")).alias("active"),
         F.count_if(F.col("base") & F.col("water")).alias("water"),
         F.count_if(dark & (F.col("cos_i") > 0)).alias("near_zero"), F.count_if(dark & (F.col("cos_i") <= 0)).alias("self_shadow"),
         F.count_if(F.col("land") & F.col("lit")).alias("calibration"))
+    out = over_universe(out, universe, keys, ["total", "passive"])
     parts = ["passive", "active", "water", "near_zero", "self_shadow", "calibration"]
     return out.withColumn("closes", sum((F.col(p) for p in parts), F.lit(0)) == F.col("total"))
 
 
-def cell_support(px: DataFrame) -> DataFrame:
-    """Times each cell was sourced, clear and base-valid land over all acquisitions."""
-    return px.groupBy("r", "c").agg(
+def cell_support(px: DataFrame, cells: DataFrame) -> DataFrame:
+    """Times each cell of ``cells`` (r, c) was seen, sourced, clear and base-valid land over all acquisitions."""
+    counts = px.groupBy("r", "c").agg(
         F.count("*").alias("seen"), F.count_if("msource").alias("sourced"), F.count_if("clear").alias("cleared"),
         F.count_if("land").alias("supported"))
+    return cells.select("r", "c").join(counts, ["r", "c"], "left").na.fill(0)
 
 
 def cause(zero: Column, native: Column, edge: Column, explained: Column) -> tuple[Column, Column]:
@@ -95,13 +110,22 @@ def cause(zero: Column, native: Column, edge: Column, explained: Column) -> tupl
 
 
 def coverage_identities(total: Column, base: Column, scored: Column, accepted: Column) -> dict[str, Column]:
-    """Coverage ratios; product rules are tested on integers by cross-multiplication."""
-    t, b, s, a = (c.cast("decimal(18,0)") for c in (total, base, scored, accepted))
+    """Coverage ratios of stored counts. The product rules hold the ratios as reported against ratios of the counts."""
+    evidence = F.when(base > 0, ratio(base, total)).otherwise(F.lit(0.0))
+    scoring, selective, acceptance = ratio(scored, base), ratio(accepted, base), ratio(accepted, scored)
+    return {"evidence": evidence, "scoring": scoring, "selective": selective, "acceptance": acceptance,
+            **identity_rules(total, base, scored, accepted, evidence, scoring, selective, acceptance)}
+
+
+def identity_rules(total: Column, base: Column, scored: Column, accepted: Column, evidence: Column, scoring: Column,
+                   selective: Column, acceptance: Column, tol: float = 1e-9) -> dict[str, Column]:
+    """Whether reported ratios agree with stored counts, which may come from another table."""
+    def near(x: Column, y: Column) -> Column:
+        return F.coalesce(F.abs(x - y) <= tol, x.isNull() & y.isNull())
     return {
-        "evidence": F.when(base > 0, ratio(base, total)).otherwise(F.lit(0.0)),
-        "scoring": ratio(scored, base), "selective": ratio(accepted, base), "acceptance": ratio(accepted, scored),
         "ordered": (accepted <= scored) & (scored <= base) & (base <= total),
-        "identities_hold": (b * s * t == s * b * t) & (a * b * s == s * a * b),
+        "identities_hold": near(evidence * total, base.cast("double")) & near(evidence * scoring, F.when(base > 0, ratio(scored, total)))
+        & near(F.when(scored > 0, scoring * acceptance), F.when(scored > 0, selective)),
         "reason": F.when(total == 0, "zero_total").when(base == 0, "zero_base_valid_land_denominator")
         .when(scored == 0, "zero_scored_denominator")}
 

@@ -107,45 +107,51 @@ def scene_summary(s, d):
         *[F.count_if(masks.qa_flag(C("qa"), i)).alias(n) for i, n in enumerate(masks.QA_BITS)])
 
 
+def acquisitions(s, d):
+    """Every acquisition with the number of cells of the grid."""
+    return views.acq(s, d).select("a").crossJoin(F.broadcast(views.dem(s, d).agg(F.count("*").alias("grid_cells"))))
+
+
 @query("ag09_support_record", "SELECT a, count(*) AS cells, " + ", ".join(
-    f"count(*) FILTER (WHERE {n}) AS n_{n}" for n in ("msource", "clear", "inrange", "water", "tvalid", "base", "land")) + " FROM px GROUP BY a")
+    f"count(*) FILTER (WHERE {n}) AS n_{n}" for n in ("msource", "clear", "inrange", "water", "tvalid", "base", "land")) + " FROM fullpx GROUP BY a")
 def support_record(s, d):
-    return sp.support_record(views.px(s, d), ["a"])
+    return sp.support_record(views.px(s, d), ["a"], acquisitions(s, d))
 
 
 @query("ag10_loss_ledger", """SELECT a, passive, active, not_base, passive+active=not_base AS closes FROM (SELECT a, count(*) FILTER (WHERE NOT msource) AS passive,
-    count(*) FILTER (WHERE msource AND NOT base) AS active, count(*) FILTER (WHERE NOT base) AS not_base FROM px GROUP BY a)""")
+    count(*) FILTER (WHERE msource AND NOT base) AS active, count(*) FILTER (WHERE NOT base) AS not_base FROM fullpx GROUP BY a)""")
 def loss_ledger(s, d):
-    return sp.loss_ledger(views.px(s, d), ["a"]).select("a", "passive", "active", "not_base", "closes")
+    return sp.loss_ledger(views.px(s, d), ["a"], acquisitions(s, d)).select("a", "passive", "active", "not_base", "closes")
 
 
 @query("ag11_loss_kinds", """SELECT a, count(*) FILTER (WHERE msource AND NOT clear) AS qa_rejected, count(*) FILTER (WHERE msource AND NOT inrange) AS out_of_range,
     count(*) FILTER (WHERE msource AND NOT tvalid) AS terrain_missing, count(*) FILTER (WHERE msource AND (NOT clear)::INT+(NOT inrange)::INT+(NOT tvalid)::INT>1) AS several_kinds,
-    count(*) FILTER (WHERE base AND water) AS water_excluded FROM px GROUP BY a""")
+    count(*) FILTER (WHERE base AND water) AS water_excluded FROM fullpx GROUP BY a""")
 def loss_kinds(s, d):
-    return sp.loss_ledger(views.px(s, d), ["a"]).select("a", "qa_rejected", "out_of_range", "terrain_missing", "several_kinds", "water_excluded")
+    return sp.loss_ledger(views.px(s, d), ["a"], acquisitions(s, d)).select("a", "qa_rejected", "out_of_range", "terrain_missing", "several_kinds", "water_excluded")
 
 
-@query("ag12_cell_support", """SELECT r, c, count(*) AS seen, count(*) FILTER (WHERE msource) AS sourced, count(*) FILTER (WHERE clear) AS cleared,
-    count(*) FILTER (WHERE land) AS supported FROM px GROUP BY r, c""")
+@query("ag12_cell_support", """SELECT r, c, count(*) FILTER (WHERE seen) AS seen, count(*) FILTER (WHERE msource) AS sourced, count(*) FILTER (WHERE clear) AS cleared,
+    count(*) FILTER (WHERE land) AS supported FROM fullpx GROUP BY r, c""")
 def cell_support(s, d):
-    return sp.cell_support(views.px(s, d))
+    return sp.cell_support(views.px(s, d), views.dem(s, d))
 
 
 @query("ag12_cell_support_extremes", """SELECT count(*) FILTER (WHERE s=0) AS never, count(*) FILTER (WHERE s=n) AS always, min(s) AS low, max(s) AS high FROM
-    (SELECT count(*) AS n, count(*) FILTER (WHERE land) AS s FROM px GROUP BY r, c)""")
+    (SELECT count(*) AS n, count(*) FILTER (WHERE land) AS s FROM fullpx GROUP BY r, c)""")
 def cell_support_extremes(s, d):
-    return sp.cell_support(views.px(s, d)).agg(
-        F.count_if(C("supported") == 0).alias("never"), F.count_if(C("supported") == C("seen")).alias("always"),
+    scenes = views.acq(s, d).agg(F.count("*").alias("n"))
+    return sp.cell_support(views.px(s, d), views.dem(s, d)).crossJoin(F.broadcast(scenes)).agg(
+        F.count_if(C("supported") == 0).alias("never"), F.count_if(C("supported") == C("n")).alias("always"),
         F.min("supported").alias("low"), F.max("supported").alias("high"))
 
 
 @query("ag13_support_waterfall", """SELECT *, passive+active+water+near_zero+self_shadow+calibration=total AS closes FROM (SELECT a, count(*) AS total,
     count(*) FILTER (WHERE NOT msource) AS passive, count(*) FILTER (WHERE msource AND NOT base) AS active, count(*) FILTER (WHERE base AND water) AS water,
     count(*) FILTER (WHERE land AND NOT lit AND cos_i>0) AS near_zero, count(*) FILTER (WHERE land AND NOT lit AND cos_i<=0) AS self_shadow,
-    count(*) FILTER (WHERE land AND lit) AS calibration FROM px GROUP BY a)""")
+    count(*) FILTER (WHERE land AND lit) AS calibration FROM fullpx GROUP BY a)""")
 def support_waterfall(s, d):
-    return sp.waterfall(views.px(s, d), ["a"])
+    return sp.waterfall(views.px(s, d), ["a"], acquisitions(s, d))
 
 
 @query("ag14_error_metrics", f"""SELECT a, k, band, n_res AS count, {R('bias')} AS bias, {R('mae')} AS mae, {R('med')} AS median_abs, {R('p90')} AS p90_abs

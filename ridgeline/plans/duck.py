@@ -220,8 +220,10 @@ VIEWS = {
         FROM main3, (SELECT unnest(['ndvi','brightness']) AS def) WHERE lit) m JOIN cuts c ON m.a=c.a AND m.k=c.k AND m.def=c.def WHERE dv IS NOT NULL""",
     "smet": """SELECT a,k,band,def,stratum,method,count(*) AS n,avg(abs(e)) AS mae,quantile_cont(abs(e),0.9) AS p90 FROM
         (SELECT * REPLACE (unnest(['global', stratum]) AS stratum) FROM strat) GROUP BY 1,2,3,4,5,6""",
+    "fullpx": """SELECT acq.a, dem.r, dem.c, px.a IS NOT NULL AS seen, px.cos_i, coalesce(px.msource, false) AS msource, coalesce(px.clear, false) AS clear, coalesce(px.inrange, false) AS inrange, coalesce(px.water, false) AS water, coalesce(px.tvalid, false) AS tvalid, coalesce(px.base, false) AS base, coalesce(px.land, false) AS land, coalesce(px.lit, false) AS lit
+        FROM acq CROSS JOIN dem LEFT JOIN px ON px.a=acq.a AND px.r=dem.r AND px.c=dem.c""",
     "cls": """SELECT r, c, (p_size<=35)::INT AS land, (p_size<=5)::INT AS shadow, (p_size BETWEEN 6 AND 10)::INT AS near_zero, (p_size BETWEEN 11 AND 35)::INT AS lit FROM dem""",
-    "core0": """SELECT r AS r0, c AS c0, e AS edge, r+e AS r1, c+e AS c1 FROM dem, ext, (SELECT unnest([6,10]) AS e)
+    "core0": """SELECT r AS r0, c AS c0, e AS edge, r+e AS r1, c+e AS c1 FROM (SELECT unnest(range(0, rmax+1)) AS r FROM ext) rr, (SELECT unnest(range(0, cmax+1)) AS c FROM ext) cc, ext, (SELECT unnest([6,10]) AS e)
         WHERE r+e<=rmax+1 AND c+e<=cmax+1 AND (r%4=0 OR r=rmax+1-e) AND (c%4=0 OR c=cmax+1-e)""",
     "cdist": """SELECT r0,c0,edge,r,c,land,shadow,near_zero,lit,sqrt(pow(greatest(r0-r,r-(r1-1),0),2)+pow(greatest(c0-c,c-(c1-1),0),2)) AS dist FROM core0, cls""",
     "cand": """SELECT r0,c0,edge, sum(CASE WHEN dist=0 THEN land ELSE 0 END)::BIGINT AS holdout_land, sum(CASE WHEN dist<5 THEN land ELSE 0 END)::BIGINT AS near_land,
@@ -229,8 +231,10 @@ VIEWS = {
         sum(CASE WHEN dist=0 THEN near_zero ELSE 0 END)::BIGINT AS holdout_near_zero, sum(CASE WHEN dist=0 THEN lit ELSE 0 END)::BIGINT AS holdout_lit,
         sum(CASE WHEN dist>=5 THEN shadow ELSE 0 END)::BIGINT AS calibration_shadow, min(CASE WHEN dist>=5 AND land=1 THEN dist END) AS nearest_outside FROM cdist GROUP BY 1,2,3""",
     "kinds": "SELECT unnest(['clean','shadow','near_zero','combined_risk']) AS kind",
-    "qual": """SELECT cand.*, kind FROM cand, kinds WHERE coalesce(nearest_outside,1e9)+1e-9>=5 AND calibration_land>=200 AND holdout_land>=20 AND
-        (kind='clean' OR (kind='shadow' AND holdout_shadow>=3) OR (kind='near_zero' AND holdout_near_zero>=3) OR (kind='combined_risk' AND holdout_shadow>=3 AND holdout_near_zero>=3))""",
+    "triples": """SELECT min_calibration, min_holdout, min_risk FROM (SELECT unnest([200, 400]) AS min_calibration), (SELECT unnest([20, 30]) AS min_holdout), (SELECT unnest([3, 5]) AS min_risk)""",
+    "qual": """SELECT cand.*, kind, min_calibration, min_holdout, min_risk FROM cand, kinds, triples WHERE coalesce(nearest_outside,1e9)+1e-9>=5 AND calibration_land>=min_calibration AND holdout_land>=min_holdout AND
+        (kind='clean' OR (kind='shadow' AND holdout_shadow>=min_risk) OR (kind='near_zero' AND holdout_near_zero>=min_risk)
+         OR (kind='combined_risk' AND holdout_shadow>=min_risk AND holdout_near_zero>=min_risk))""",
     "cons0": """SELECT scene_id AS consumer, a, cents%37 AS r0, cents%43 AS c0, cents%37+1+cents%5 AS r1, cents%43+1+cents%4 AS c1, CASE a%3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END AS radius FROM scene""",
     "cons": "SELECT *, r0-radius AS ir0, c0-radius AS ic0, r1+radius AS ir1, c1+radius AS ic1 FROM cons0",
     "chg0": """SELECT consumer, radius, rmax, cmax, ir0, ic0, ir1, ic1, ir0>=0 AND ic0>=0 AND ir1<=rmax+1 AND ic1<=46 AS old_covers, ir0>=0 AND ic0>=0 AND ir1<=rmax+1 AND ic1<=cmax+1 AS new_covers,

@@ -17,7 +17,8 @@ from .registry import query
 
 EDGES, STRIDE, BUF = [6, 10], 4, 5
 NAMES = ["land", "shadow", "near_zero", "lit"]
-THRESHOLDS = [(200, 20, 3), (200, 30, 5)]
+THRESHOLDS = [(c, h, k) for c in (200, 400) for h in (20, 30) for k in (3, 5)]  # calibration x holdout x risk minima
+TRIPLE = ["min_calibration", "min_holdout", "min_risk"]
 
 
 def classes(s, d):
@@ -38,9 +39,9 @@ def sky_view(s, d):
 @query("sp01_sky_view_join_form", f"SELECT r, c, {R('v_sky')} AS v_sky FROM vsky")
 def sky_view_join_form(s, d):
     dem = views.dem(s, d)
-    pts = dem.select((C("r") * 1000 + C("c")).alias("pid"), "r", "c")
+    pts = dem.select((C("r") * 2**31 + C("c")).alias("pid"), "r", "c")
     v = skyview.sky_view_join(pts, dem, "zf", views.RES, 8, 150.0)
-    return v.select(F.floor(C("pid") / 1000).alias("r"), F.pmod("pid", F.lit(1000)).alias("c"), *r6c("v_sky"))
+    return v.select(F.shiftright("pid", 31).alias("r"), (C("pid") % 2**31).alias("c"), *r6c("v_sky"))
 
 
 @query("sp02_halo_tiles", """SELECT tr, tc, count(*) AS cells, count(*) FILTER (WHERE r//16=tr AND c//16=tc) AS owned, sum(p_size)::BIGINT AS total FROM
@@ -112,22 +113,21 @@ def candidate_record(s, d):
                                 *r6c("nearest_outside"), "distance_ok", "centre_r", "centre_c")
 
 
-@query("flt14_threshold_predicate", "SELECT kind, r0, c0, edge FROM qual")
+@query("flt14_threshold_predicate", "SELECT min_calibration, min_holdout, min_risk, kind, r0, c0, edge FROM qual")
 def threshold_predicate(s, d):
-    return cd.qualifying(records(s, d), THRESHOLDS[:1]).select("kind", *cd.ID)
+    return cd.qualifying(records(s, d), THRESHOLDS).select(*TRIPLE, "kind", *cd.ID)
 
 
-@query("tk01_top_candidates", """SELECT kind, rank, r0, c0, edge, p AS primary_count FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY p DESC, holdout_land DESC, calibration_land DESC, edge, r0, c0) AS rank
+@query("tk01_top_candidates", """SELECT min_calibration, min_holdout, min_risk, kind, rank, r0, c0, edge, p AS primary_count FROM (SELECT *, row_number() OVER (PARTITION BY min_calibration, min_holdout, min_risk, kind ORDER BY p DESC, holdout_land DESC, calibration_land DESC, edge, r0, c0) AS rank
     FROM (SELECT *, CASE kind WHEN 'shadow' THEN holdout_shadow WHEN 'near_zero' THEN holdout_near_zero WHEN 'combined_risk' THEN holdout_shadow+holdout_near_zero ELSE holdout_land END AS p FROM qual)) WHERE rank<=5""")
 def top_candidates(s, d):
-    t = cd.top_candidates(cd.qualifying(records(s, d), THRESHOLDS[:1]))
-    return t.select("kind", long("rank").alias("rank"), *cd.ID, "primary_count")
+    t = cd.top_candidates(cd.qualifying(records(s, d), THRESHOLDS))
+    return t.select(*TRIPLE, "kind", long("rank").alias("rank"), *cd.ID, "primary_count")
 
 
 @query("sp11_greedy_nonoverlap")
 def greedy_nonoverlap(s, d):
-    q = cd.qualifying(records(s, d), THRESHOLDS[:1])
-    return cd.greedy_nonoverlap(s, q, ["kind"])
+    return cd.greedy_nonoverlap(s, cd.qualifying(records(s, d), THRESHOLDS), [*TRIPLE, "kind"])
 
 
 @query("sp12_maximin_folds")
@@ -141,6 +141,11 @@ def support_matrix(s, d):
     return cd.support_matrix(s, records(s, d), THRESHOLDS)
 
 
+def grid_shape(pts):
+    last = grid.extent(pts).first()
+    return last[0] + 1, last[1] + 1
+
+
 HASH = "(('0x'||substr(md5({}),1,15))::BIGINT)"
 
 
@@ -148,17 +153,18 @@ HASH = "(('0x'||substr(md5({}),1,15))::BIGINT)"
     p AS (SELECT * FROM p0 WHERE i<800), n AS (SELECT count(*) AS n FROM p),
     dr AS (SELECT {HASH.format("'v1|L|'||q::VARCHAR")}%n AS i1, {HASH.format("'v1|R|'||q::VARCHAR")}%n AS i2 FROM range(0,20000) t(q), n),
     pr AS (SELECT 30*sqrt(pow(a.r-b.r,2)+pow(a.c-b.c,2)) AS dist, (a.v-b.v)*(a.v-b.v)/2 AS g FROM dr JOIN p a ON a.i=i1 JOIN p b ON b.i=i2 WHERE i1<>i2)
-    SELECT least(floor(dist/50e0),11)::INT AS lag, count(*) AS pairs, {R('avg(dist)')} AS mean_lag, {R('avg(g)')} AS gamma, count(*)>=30 AS sufficient FROM pr WHERE dist>0 AND dist<=600 GROUP BY 1""")
+    SELECT least(floor(dist/(far/12)),11)::INT AS lag, count(*) AS pairs, {R('avg(dist)')} AS mean_lag, {R('avg(g)')} AS gamma, count(*)>=30 AS sufficient
+    FROM pr, (SELECT least(max(r), max(c))*15e0+15e0 AS far FROM dem WHERE z IS NOT NULL) WHERE dist>0 AND dist<=far GROUP BY 1""")
 def semivariogram(s, d):
     pts = views.dem(s, d).where("z IS NOT NULL").select("r", "c", C("z").alias("v"))
-    g = st.variogram(pts, (40, 50), 30.0, 800, 20000, 12, 0.5, 30, "v1")
+    g = st.variogram(pts, grid_shape(pts), 30.0, 800, 20000, 12, 0.5, 30, "v1")
     return g.select("lag", "pairs", *r6c("mean_lag", "gamma"), "sufficient")
 
 
 @query("sp14_variogram_range")
 def variogram_range(s, d):
     pts = views.dem(s, d).where("z IS NOT NULL").select("r", "c", C("z").alias("v"))
-    g = io.materialize(s, st.variogram(pts, (40, 50), 30.0, 800, 20000, 12, 0.5, 30, "v1"), "bins")
+    g = io.materialize(s, st.variogram(pts, grid_shape(pts), 30.0, 800, 20000, 12, 0.5, 30, "v1"), "bins")
     return st.variogram_range(g, 12, 4).select("populated", "tail_ok", *r6c("sill"), "range_lag", "reason")
 
 

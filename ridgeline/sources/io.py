@@ -21,11 +21,14 @@ SCENE_CSV = "scene_id string, cloud string, sun_az string, sun_el string"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    A local folder is used only where the session names none, as in tests.
+    Where the session names none, a local master gets a temporary folder, as in tests; any
+    other master is refused, since its executors would not see that folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         checkpoint = spark.sparkContext.getCheckpointDir()
+        if not checkpoint and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = checkpoint or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.operators import candidates as cd, joins as jn, lineage as ln, skyview, spatial as st
+from ridgeline.operators import candidates as cd, grid, joins as jn, lineage as ln, skyview, spatial as st
 
 
 def cells(spark, **layers):
@@ -14,12 +14,19 @@ def cells(spark, **layers):
     return spark.createDataFrame(rows, "r long, c long, " + ", ".join(f"{n} double" for n in names))
 
 
-def test_candidates_against_brute_force(spark):
+@pytest.mark.parametrize("absent", [0.0, 0.25])
+def test_candidates_against_brute_force(spark, absent):
     rng = np.random.default_rng(8)
     land = (rng.uniform(size=(70, 22)) < 0.03).astype(int)
     land[5:60] = 0  # sparse on purpose: the nearest cell lies beyond the first search band
     land[65, 20] = land[1, 1] = 1
     df = cells(spark, land=land).withColumn("land", F.col("land").cast("int"))
+    gone = rng.uniform(size=land.shape) < absent
+    gone[69, 21] = False  # the extent is that of the cells present
+    gone[0, 0] = absent > 0
+    keep = [(int(r), int(c)) for r, c in zip(*np.nonzero(~gone))]
+    df = df.join(spark.createDataFrame(keep, "r long, c long"), ["r", "c"])
+    land[gone] = 0
     buf = 4
     cores = cd.scan_cores(df, [5], 7)
     near = {(r["r0"], r["c0"]): r["nearest_outside"] for r in cd.nearest_outside(spark, cores, df.select("r", "c", F.col("land").alias("m")), buf).collect()}
@@ -36,6 +43,23 @@ def test_candidates_against_brute_force(spark):
         assert near[r0, c0] == (pytest.approx(out.min()) if len(out) else None)
 
 
+def test_prefix_sums_with_absent_cells(spark):
+    m = (np.random.default_rng(2).uniform(size=(9, 7)) < 0.5).astype(int)
+    gone = {(3, 3), (7, 5), (0, 4), (0, 0)}
+    rows = [(r, c, int(m[r, c])) for r in range(9) for c in range(7) if (r, c) not in gone]
+    for x in gone:
+        m[x] = 0
+    got = {(r["r"], r["c"]): r["integral"] for r in grid.integral_image(spark.createDataFrame(rows, "r long, c long, m int"), 4).collect()}
+    want = m.cumsum(axis=0).cumsum(axis=1)
+    assert got == {(r, c): want[r, c] for r in range(9) for c in range(7)}
+
+
+def test_descent_has_no_depth_limit(spark):
+    e = spark.createDataFrame([(str(i), str(i + 1)) for i in range(12)], "src string, dst string")
+    roots = spark.createDataFrame([("0",)], "node string")
+    assert {r["node"]: r["depth"] for r in ln.descendants(spark, e, roots).collect()} == {str(i): i for i in range(1, 13)}
+
+
 def overlap(a, b):
     return a[1] < b[1] + b[0] and b[1] < a[1] + a[0] and a[2] < b[2] + b[0] and b[2] < a[2] + a[0]
 

@@ -97,9 +97,30 @@ def test_ledgers_close(spark):
     rows = [(1, True, True, True, True, False, True, 0.5), (1, False, False, False, True, False, False, 0.5), (1, True, True, True, True, True, True, -0.1), (1, True, False, True, False, False, False, None)]
     px = spark.createDataFrame(rows, "a int, msource boolean, clear boolean, inrange boolean, tvalid boolean, water boolean, base boolean, cos_i double")
     px = px.withColumns({"land": F.col("base") & ~F.col("water"), "lit": F.coalesce(F.col("cos_i") > 0.1, F.lit(False))})
-    led, fall = sp.loss_ledger(px, ["a"]).first(), sp.waterfall(px, ["a"]).first()
-    assert led["closes"] and (led["passive"], led["active"], led["several_kinds"]) == (1, 1, 1)
-    assert fall["closes"] and (fall["calibration"], fall["water"], fall["total"]) == (1, 1, 4)
+    grid = spark.createDataFrame([(1, 4), (2, 7)], "a int, grid_cells long")  # nothing was observed in 2
+    led, fall = ({r["a"]: r for r in f(px, ["a"], grid).collect()} for f in (sp.loss_ledger, sp.waterfall))
+    assert led[1]["closes"] and (led[1]["passive"], led[1]["active"], led[1]["several_kinds"]) == (1, 1, 1)
+    assert fall[1]["closes"] and (fall[1]["calibration"], fall[1]["water"], fall[1]["total"]) == (1, 1, 4)
+    wider = spark.createDataFrame([(1, 10)], "a int, grid_cells long")
+    led[3], fall[3] = sp.loss_ledger(px, ["a"], wider).first(), sp.waterfall(px, ["a"], wider).first()
+    assert [(led[k]["passive"], led[k]["active"], led[k]["not_base"], led[k]["closes"]) for k in (2, 3)] == [(7, 0, 7, True), (7, 1, 8, True)]
+    assert [(fall[k]["total"], fall[k]["passive"], fall[k]["closes"]) for k in (2, 3)] == [(7, 7, True), (10, 7, True)]
+    assert sp.support_record(px, ["a"], wider).first()["cells"] == 10
+
+
+def test_cells_never_observed_count(spark):
+    px = spark.createDataFrame([(0, 0, True, True, True)], "r long, c long, msource boolean, clear boolean, land boolean")
+    cells = spark.createDataFrame([(0, 0), (0, 1)], "r long, c long")
+    got = {(r["r"], r["c"]): (r["seen"], r["supported"]) for r in sp.cell_support(px, cells).collect()}
+    assert got == {(0, 0): (1, 1), (0, 1): (0, 0)}
+
+
+def test_identities_can_fail(spark):
+    df = spark.createDataFrame([(10, 8, 4, 2, 0.8, 0.5, 0.25, 0.5), (10, 8, 4, 2, 0.7, 0.5, 0.25, 0.5), (10, 8, 4, 2, 0.8, 0.5, 0.3, 0.5), (10, 8, 9, 2, 0.8, 1.125, 0.25, 2 / 9)],
+                               "t long, b long, s long, a long, ev double, sc double, se double, ac double")
+    v = sp.identity_rules(*[F.col(c) for c in ("t", "b", "s", "a", "ev", "sc", "se", "ac")])
+    got = df.select(v["identities_hold"].alias("i"), v["ordered"].alias("o")).collect()
+    assert [r["i"] for r in got] == [True, False, False, True] and [r["o"] for r in got] == [True, True, True, False]
 
 
 def test_cause_precedence(spark):
