@@ -125,12 +125,13 @@ def range_gate(s, d):
     nmin>=-1 AND nmax<=1 AS ndvi_range_ok, hstd>5 AS hillshade_has_relief, n_terrain FROM
     (SELECT min(slope) smin, max(slope) smax, min(aspect) amin, max(aspect) amax, stddev_pop(hillshade) hstd,
        count(slope) AS n_terrain FROM terrain),
-    (SELECT min(v) nmin, max(v) nmax FROM (SELECT (rho5-rho4)/(rho5+rho4) AS v FROM px0 WHERE abs(rho5+rho4)>5e-2) WHERE v BETWEEN -1 AND 1)""")
+    (SELECT min(v) nmin, max(v) nmax FROM (SELECT (rho5-rho4)/(rho5+rho4) AS v FROM px0 WHERE abs(rho5+rho4)>5e-2))""")
 def layer_gates(s, d):
     t = views.terrain(s, d).agg(
         F.min("slope").alias("smin"), F.max("slope").alias("smax"), F.min("aspect").alias("amin"),
         F.max("aspect").alias("amax"), F.stddev_pop("hillshade").alias("hstd"), F.count("slope").alias("n_terrain"))
-    v = pixel.ndvi(pixel.reflectance(C("dn4")), pixel.reflectance(C("dn5")), 0.05)
+    red, nir = pixel.reflectance(C("dn4")), pixel.reflectance(C("dn5"))
+    v = F.when(F.abs(nir + red) > 0.05, (nir - red) / (nir + red))  # before values out of range are dropped, or the gate could not fail
     n = views.obs(s, d).agg(F.min(v).alias("nmin"), F.max(v).alias("nmax"))
     return t.crossJoin(F.broadcast(n)).select(
         ((C("smin") >= -1e-6) & (C("smax") <= 90 + 1e-6)).alias("slope_range_ok"),

@@ -66,6 +66,9 @@ VERDICT_SQL = """(SELECT *, median_improvement>=5e-2 AS improvement_ok, folds_po
     JOIN (SELECT candidate, count(*) FILTER (WHERE m>0) AS folds_positive, count(*) AS folds FROM (SELECT candidate, k, median(improvement) AS m FROM train GROUP BY 1,2) GROUP BY 1) USING (candidate))"""
 
 
+STATE_SQL = f"""(SELECT *, CASE WHEN improvement_ok AND direction_ok AND boundary_ok AND stability_ok THEN 'qualified' ELSE 'unsupported_by_evidence' END AS terminal_state FROM {VERDICT_SQL})"""
+
+
 @query("md05_verdict_rules", f"""SELECT candidate, train_units, {R('median_improvement')} AS median_improvement, folds_positive, folds, {R('boundary_share')} AS boundary_share, improvement_ok, direction_ok, boundary_ok,
     stability_ok, CASE WHEN improvement_ok AND direction_ok AND boundary_ok AND stability_ok THEN 'qualified' ELSE 'unsupported_by_evidence' END AS terminal_state,
     CASE WHEN NOT (improvement_ok AND direction_ok AND boundary_ok AND stability_ok) THEN 'improvement_below_threshold_on_heldout_core' END AS reason FROM {VERDICT_SQL}""")
@@ -130,18 +133,30 @@ def admission_ledger(s, d):
 
 
 @query("md12_requalification_gate", f"""SELECT a, {R('iqr')} AS iqr, {R('med')} AS median_iqr, CASE WHEN med<1e-1 THEN 'not_established' ELSE 'indeterminate_at_this_measurement_level' END AS g1,
-    'not_satisfied' AS g2, 'not_satisfied' AS g3, 'requalification_not_warranted' AS verdict FROM (SELECT a, iqr, median(iqr) OVER () AS med FROM
-    (SELECT a, quantile_cont(v_sky,0.75)-quantile_cont(v_sky,0.25) AS iqr FROM px JOIN vsky USING (r,c) WHERE land GROUP BY a))""")
+    CASE WHEN anchors>0 THEN 'satisfied' ELSE 'not_satisfied' END AS g2, CASE WHEN operators>0 THEN 'satisfied' ELSE 'not_satisfied' END AS g3,
+    CASE WHEN med>=1e-1 AND anchors>0 AND operators>0 THEN 'requalification_warranted' ELSE 'requalification_not_warranted' END AS verdict FROM (SELECT a, iqr, median(iqr) OVER () AS med FROM
+    (SELECT a, quantile_cont(v_sky,0.75)-quantile_cont(v_sky,0.25) AS iqr FROM px JOIN vsky USING (r,c) WHERE land GROUP BY a)),
+    (SELECT count(*) AS anchors FROM artifact WHERE role='ground_truth'), (SELECT count(*) AS operators FROM {STATE_SQL} WHERE terminal_state='qualified')""")
 def requalification_gate(s, d):
-    # a domain-level range does not bound the range inside a fold, so G1 is never settled here
+    # G1: range of the input, which at this level can only refute; G2: references of the anchor class; G3: operators that qualified
     from ..operators.prefix import exact_quantiles
     q = exact_quantiles(views.px_sky(s, d).where("land"), ["a"], C("v_sky"), {"q1": .25, "q3": .75}, 1 / 4096).select("a", (C("q3") - C("q1")).alias("iqr"))
     q = io.materialize(s, q, "iqr")
     m = q.agg(F.median("iqr").alias("med"))
-    no = F.lit("not_satisfied")
-    return q.crossJoin(F.broadcast(m)).select(
+    anchors = views.artifact(s, d).agg(F.count_if(C("role") == "ground_truth").alias("anchors"))
+    operators = models.verdicts(ablation_pairs(s, d)).agg(F.count_if(C("terminal_state") == "qualified").alias("operators"))
+    return requalify(q.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(anchors)).crossJoin(F.broadcast(operators)))
+
+
+def requalify(j):
+    """Verdict from ``med``, ``anchors`` and ``operators``; all three gates must hold."""
+    def gate(ok):
+        return F.when(ok, "satisfied").otherwise("not_satisfied")
+    a, o = C("anchors") > 0, C("operators") > 0
+    return j.select(
         "a", *rounded(iqr="iqr", median_iqr="med"), F.when(C("med") < 0.1, "not_established").otherwise("indeterminate_at_this_measurement_level").alias("g1"),
-        no.alias("g2"), no.alias("g3"), F.lit("requalification_not_warranted").alias("verdict"))
+        gate(a).alias("g2"), gate(o).alias("g3"),
+        F.when((C("med") >= 0.1) & a & o, "requalification_warranted").otherwise("requalification_not_warranted").alias("verdict"))
 
 
 @query("md13_member_states", """SELECT acq.a, coalesce(n,0) AS base_valid_land, CASE WHEN n>=500 THEN 'eligible_candidate' ELSE 'operation_scoped_unsupported' END AS state,
