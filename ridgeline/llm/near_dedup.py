@@ -3,7 +3,8 @@
 Nodes are distinct shingle sets, so exact copies never meet one another. Banded
 signatures give candidates in two rounds. First every bucket links its members to one hub, the
 member that shares most buckets; that joins large groups with as many pairs as
-members. Then only pairs whose ends are still in different components are looked at.
+members. Then only pairs whose ends are still in different components are looked at,
+and a first batch, the lowest bits of the signatures, is compared within the join.
 Candidates are compared signature batch by batch and dropped once the posterior
 probability of the wanted similarity falls below the chosen miss probability;
 survivors are verified on their full sets of words.
@@ -11,6 +12,7 @@ survivors are verified on their full sets of words.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -29,7 +31,7 @@ class Settings:
     """Shingle length in words, similarity as a fraction, bands of rows, and miss probability of the pruning.
 
     36 bands of 5 rows miss a pair of similarity 0.8 with probability (1 - 0.8^5)^36 = 6e-7.
-    Buckets above ``small`` members that span components are split by a second shared band (miss 1e-5) before pairing.
+    Buckets with over ``small`` pairs a member between components are split by a second shared band (miss 1e-5) before pairing.
     """
     words: int = 5
     similarity: tuple[int, int] = (80, 100)
@@ -37,7 +39,7 @@ class Settings:
     rows: int = 5
     miss: float = 1e-6
     batch: int = 36
-    small: int = 32
+    small: int = 512
 
 
 CONTRACT = Settings(words=2)
@@ -202,18 +204,47 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return members.join(hub, "band").where(C("c") != C("h")).select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b")).distinct()
 
 
-def cross_pairs(members: DataFrame, label: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of a bucket whose ends are in different components."""
-    m = with_component(members, label, "c")
-    mixed = m.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(C("x") != C("y")).select("band")
-    m = common.written(m.join(mixed, "band").select("band", "size", "c", "comp"), "near-mixed")
-    large = m.where(C("size") > s.small)
-    second = large.join(m.select("c", C("band").alias("other")), "c").where(C("band") != C("other"))
+def most_differences(s: Settings) -> int:
+    """Lowest bits of two signatures differ with probability (1 - similarity) / 2; beyond this count the pair is missed with less than ``miss``."""
+    n, p = s.bands * s.rows, (1 - s.similarity[0] / s.similarity[1]) / 2
+    tail, k = 1.0, -1
+    while tail > s.miss:
+        k += 1
+        tail -= math.comb(n, k) * p**k * (1 - p) ** (n - k)
+    return k
+
+
+def bit_sketch():
+    """Lowest bits of a signature in longs: the first batch that is compared, small enough to travel with a bucket."""
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def bits(sig: pd.Series) -> pd.Series:
+        x = (np.frombuffer(b"".join(sig), dtype="<u2").reshape(len(sig), -1) & 1).astype(np.uint8)
+        packed = np.packbits(np.pad(x, ((0, 0), (0, -x.shape[1] % 64))), axis=1)
+        return pd.Series(list(packed.view("<i8").astype(np.int64)))
+    return bits
+
+
+def cross_pairs(members: DataFrame, label: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """Pairs of a bucket whose ends are in different components and may be similar by size and by the bit sketch.
+
+    A bucket with more than ``small`` such pairs a member is first split by a second shared band.
+    """
+    num, den = s.similarity
+    m = with_component(members.select("band", "c"), label, "c")
+    parts = m.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("k"), F.sum(C("k") * C("k")).alias("q"), F.count("*").alias("parts"))
+    mixed = parts.where("parts > 1").select("band", (C("k") * C("k") - C("q") > 2 * s.small * C("k")).alias("large"))
+    m = common.written(m.join(mixed, "band"), "near-mixed")
+    second = m.where("large").join(m.select("c", C("band").alias("other")), "c").where(C("band") != C("other"))
     split = second.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "c", "comp").distinct()
-    rows = common.written(m.where(C("size") <= s.small).select("band", "c", "comp").union(split), "near-buckets")
-    other = rows.select("band", C("c").alias("c2"), C("comp").alias("comp2"))
-    pairs = rows.join(other, "band").where((C("c") < C("c2")) & (C("comp") != C("comp2")))
-    return pairs.select(C("c").alias("a"), C("c2").alias("b")).distinct()
+    rows = m.where(~C("large")).select("band", "c", "comp").union(split)
+    longs = -(-s.bands * s.rows // 64)
+    brief = nodes.select("c", "n", bit_sketch()("sig").alias("k")).select("c", "n", *[C("k")[i].alias(f"k{i}") for i in range(longs)])
+    rows = common.written(rows.join(brief, "c"), "near-buckets")
+    other = rows.select("band", *[C(x).alias(f"{x}_") for x in rows.columns if x != "band"])
+    differ = sum((F.bit_count(C(f"k{i}").bitwiseXOR(C(f"k{i}_"))) for i in range(longs)), F.lit(0))
+    near = (F.least("n", "n_") * den >= F.greatest("n", "n_") * num) & (differ <= most_differences(s))
+    pairs = rows.join(other, (rows["band"] == other["band"]) & (C("c") < C("c_")) & (C("comp") != C("comp_")) & near)
+    return pairs.select(C("c").alias("a"), C("c_").alias("b")).distinct()
 
 
 def group(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -235,7 +266,7 @@ def group(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     able = common.written(texts.dropDuplicates(["key"]).select("c", "n", "sig", "text"), "near-texts")
     seen = common.written(hub_pairs(members), "near-pairs")
     label = components(verify(seen, able, s))
-    rest = common.written(cross_pairs(members, label, s).join(seen, ["a", "b"], "left_anti"), "near-pairs")
+    rest = common.written(cross_pairs(members, label, able, s).join(seen, ["a", "b"], "left_anti"), "near-pairs")
     more = verify(rest, able, s)
     joined = with_component(with_component(more, label, "a").withColumnRenamed("comp", "ca"), label, "b").select(
         C("ca").alias("a"), C("comp").alias("b")).where(C("a") != C("b"))

@@ -234,7 +234,7 @@ def brute_components(sets, num=80, den=100):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("small", [32, 2])
+@pytest.mark.parametrize("small", [512, 1])
 def test_near_duplicates(spark, small):
     draw = random.Random(8)
     docs = []
