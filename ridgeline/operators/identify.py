@@ -75,7 +75,8 @@ def spectrum(df: DataFrame, keys: list[str], cols: list[str], rtol: float = RTOL
             return pd.DataFrame([(*head, rows, "not_applicable", rank, 1.0, sv.tolist(), None)], columns=columns)
         null = None
         if sv[-1] <= sv[0] * rtol:
-            null = vt[-1] * np.sign(vt[-1][np.argmax(np.abs(vt[-1]))])
+            size = np.abs(vt[-1])
+            null = vt[-1] * np.sign(vt[-1][np.flatnonzero(size >= size.max() - 1e-9)[0]])  # the first of equal components is positive
         cond = float(sv[0] / sv[-1]) if sv[-1] > 0 else None
         return pd.DataFrame([(*head, rows, "ok", rank, cond, sv.tolist(), None if null is None else null.tolist())], columns=columns)
 

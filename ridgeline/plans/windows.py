@@ -90,6 +90,17 @@ def fixed_coverage_curve(s, d):
     return g.select(*KEYS, "method", "q", "denominator", "supported", "status", long("selected").alias("selected"), *r6c("maximum_coverage", "actual_coverage", "mae"))
 
 
+@query("wn10_comparison_scope", f"""WITH n AS (SELECT a,k,band,method,count(*) AS den,count(e) AS sup FROM main3 GROUP BY 1,2,3,4), c AS (SELECT a,k,band,min(sup::DOUBLE/den) AS common FROM n GROUP BY 1,2,3)
+    SELECT a,k,band,method,q,{R('common')} AS common_maximum,CASE WHEN (q*den+99)//100<=sup AND q/100e0<=common+1e-12 THEN 'common_reachable' ELSE 'extended_or_unreachable' END AS comparison_scope
+    FROM n JOIN c USING (a,k,band), range(1,101) r(q)""")
+def comparison_scope(s, d):
+    z = zoned(s, d)
+    res = io.derived(s, d, "method_residuals", lambda: models.method_residuals(
+        z, models.method_fits(z, FOLDS), FOLDS, models.MAIN_METHODS).select(*KEYS, "method", "r", "c", "e", "rel"))
+    g = risk.comparison_scope(io.materialize(s, risk.coverage_curve(res, [*KEYS, "method"]), "curve"), KEYS)
+    return g.select(*KEYS, "method", "q", *r6c("common_maximum"), "comparison_scope")
+
+
 @query("wn10_curve_quantiles", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY a,k,band,method ORDER BY rel DESC, r, c) AS pos FROM main3 WHERE e IS NOT NULL),
     n AS (SELECT a,k,band,method,count(*) AS den,count(e) AS sup FROM main3 GROUP BY 1,2,3,4), t AS (SELECT *, (q*den+99)//100 AS need FROM n, (SELECT unnest([20,50,80,100]) AS q))
     SELECT t.a,t.k,t.band,t.method,q,count(*) AS selected,{R('quantile_cont(abs(e),0.5)')} AS median_abs,{R('quantile_cont(abs(e),0.9)')} AS p90_abs FROM t

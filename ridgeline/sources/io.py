@@ -46,15 +46,21 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 REUSE = True  # set False to rebuild derived tables in every query (bench.py does)
-_derived: dict[tuple[str, str, str], DataFrame] = {}
+_derived: dict[tuple, DataFrame] = {}
+
+
+def listing(spark: SparkSession, source: str) -> tuple:
+    """Number of files below a folder and a sum over their names, sizes and times; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select("path", "length", "modificationTime")
+    return tuple(files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
 
 
 def derived(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A derived table of one source folder, written on first use and read by later plans of the session.
 
-    The source folder is taken as immutable for the life of the session.
+    A source folder whose files have changed since is read anew.
     """
-    key = (spark.sparkContext.applicationId, source, name)
+    key = (spark.sparkContext.applicationId, source, name, listing(spark, source) if REUSE else None)
     if not REUSE or key not in _derived:
         _derived[key] = materialize(spark, build(), name)
     return _derived[key]

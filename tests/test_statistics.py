@@ -190,3 +190,19 @@ def test_known_ranks(spark, name):
 def test_too_few_rows_is_no_rank_statement(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0)], "g int, j0 double, j1 double")
     assert idn.spectrum(df, ["g"], ["j0", "j1"]).first()["status"] == "insufficient_data"
+
+
+@pytest.mark.parametrize("good, last", [(lambda a, b: True, ("passed", "4 x 90")), (lambda a, b: False, ("not_converged", None)),
+                                        (lambda a, b: a[0] >= 8, ("passed", "8 x 90")), (lambda a, b: a != (4, 90.0) or b != (8, 180.0), ("cross_check_failed", "4 x 90"))])
+def test_convergence_gate_outcomes(spark, good, last):
+    def compared(lower, upper):
+        return spark.createDataFrame([(5, 1.0, 0.0, 0.0, good(lower, upper))], "n long, rho double, max_abs double, p99_abs double, converged boolean")
+    rows = risk.convergence_gate(spark, compared, [4, 8, 16], [90.0, 180.0, 360.0]).collect()
+    assert (rows[-1]["step"], rows[-1]["lower"]) == last
+
+
+def test_comparison_scope(spark):
+    rows = [(1, "x", 50, 0.8, "reachable"), (1, "y", 50, 0.6, "reachable"), (1, "x", 70, 0.8, "reachable"), (1, "y", 70, 0.6, "not_reachable")]
+    df = spark.createDataFrame(rows, "a int, method string, q int, maximum_coverage double, status string")
+    got = {(r["method"], r["q"]): (r["common_maximum"], r["comparison_scope"]) for r in risk.comparison_scope(df, ["a"]).collect()}
+    assert got["x", 50] == got["y", 50] == (0.6, "common_reachable") and got["x", 70] == got["y", 70] == (0.6, "extended_or_unreachable")
