@@ -95,6 +95,37 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(4 + tag + 2 + body + 4)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
+
+
+def crc_table() -> str:
+    """The 256 steps of the reflected CRC-32 polynomial, from its rule."""
+    def step(n: int) -> int:
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        return n
+    return "[" + ",".join(str(step(n)) for n in range(256)) + "]::BIGINT[]"
+
+
+def feistel_sql(source: str, seed: int = 1) -> str:
+    """One pass of the permutation over ``source`` (u, x, a, b, n)."""
+    prime = sharding.PRIME
+    out = f"SELECT u, a, b, n, x % a AS l, x // a AS r FROM {source}"
+    for i, (m, c, d) in enumerate(sharding.constants(seed)):
+        move, by, side = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        y = f"(({by} * {m} + {c}) % {prime})"
+        out = f"SELECT u, a, b, n, ({move} + ({y} * {y} + {d}) % {prime}) % {side} AS {move}, {by} FROM ({out})"
+    return f"SELECT u, r * a + l AS x, a, b, n FROM ({out})"
+
+
+SHARD_SQL = f"""
+WITH RECURSIVE c AS (SELECT count(*) AS n, greatest(ceil(sqrt(count(*))), 1)::BIGINT AS a FROM documents),
+dims AS (SELECT n, a, greatest((n + a - 1) // a, 1) AS b FROM c),
+d AS (SELECT row_number() OVER (ORDER BY {KEY}) - 1 AS u, doc_id, strlen(coalesce(text, ''))::BIGINT + 16 AS size,
+  xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT),
+    lambda c, x: xor(c >> 8, ({crc_table()})[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM documents),
+w AS ({feistel_sql("(SELECT u, u AS x, a, b, n FROM d, dims)")} UNION ALL {feistel_sql("(SELECT * FROM w WHERE x >= n)")})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (x % 40)::INT AS shard, x // 40 AS slot, NULL::INT AS grown_shard FROM d JOIN w USING (u) WHERE x < n"""
+
 register("op1_quality_rules", quality_rules.op1_quality, sql=QUALITY_SQL)
 register("op2_suffix_dedup", suffix_dedup.op2_suffix)
 QUERIES["op3_decontamination"] = lambda spark, sf_dir: decontaminate.op3_decontamination(
@@ -104,6 +135,6 @@ register("op4_source_mixing", mixing.op4_mixing, sql=MIX_SQL)
 register("op5_secret_scan", secrets.op5_secrets)
 register("op6_html_extraction", html_extract.op6_html, "pages")
 register("op7_chat_formatting", chat.op7_chat, "conversations", CHAT_SQL)
-register("op8_sharding", sharding.op8_sharding)
+register("op8_sharding", sharding.op8_sharding, sql=SHARD_SQL)
 register("op9_near_dedup", near_dedup.op9_near_dedup)
 register("op10_language_id", language_id.op10_language)

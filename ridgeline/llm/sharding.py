@@ -51,12 +51,19 @@ def feistel(x: Column, n: int, seed: int) -> Column:
 
 
 def walk_depth(spark: SparkSession, n: int, seed: int) -> int:
-    """Longest walk outside ``[0, n)``, measured on all cells outside (fewer than sqrt(n) + 1), so the unrolled walk is exact."""
+    """Longest walk outside ``[0, n)``, measured on all cells outside (fewer than sqrt(n) + 1), so the unrolled walk is exact.
+
+    The cells still outside after a step are among those before it. Once their number stays, what
+    is left runs in closed cycles, which no walk from inside enters.
+    """
     a, b = sides(n)
-    out, depth = spark.range(n, a * b).withColumnRenamed("id", "x"), 0
-    while out.limit(1).count():
-        depth += 1
+    out, depth, left = spark.range(n, a * b).withColumnRenamed("id", "x"), 0, a * b - n
+    while left:
         out = out.select(feistel(F.col("x"), n, seed).alias("x")).where(F.col("x") >= n)
+        before, left = left, out.count()
+        if left == before:
+            break
+        depth += 1
     return depth
 
 
