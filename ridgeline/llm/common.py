@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Hand Python at most ``rows`` texts at a time: long texts would make the usual batches of 10,000 too large for a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: ends lineage, survives lost executors."""
     return io.materialize(df.sparkSession, df, name)

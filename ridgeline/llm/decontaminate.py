@@ -157,6 +157,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, block_words: int = 500_000,
     one automaton, which every task gets; beyond, items are dealt to blocks
     by a hash and the documents pass block after block, so memory stays bounded and the result is the same.
     """
+    common.bound_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.regexp_count("t", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_words))

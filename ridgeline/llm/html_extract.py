@@ -222,6 +222,7 @@ def extract_pages(pages: DataFrame, **limits) -> DataFrame:
     text. Repeated pages count once for templates. The table of templates has one row a host that has any:
     it is written first, so Spark broadcasts it only below its size limit.
     """
+    common.bound_batches(pages.sparkSession)
     found = templates_of(pages, **limits)
 
     @F.pandas_udf("string")

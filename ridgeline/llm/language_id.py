@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from . import common
+
 BINS = 4096
 CHUNK = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
@@ -134,6 +136,7 @@ def identify(docs: DataFrame, near: float = 0.55, model: Model | None = None) ->
     Texts that are null or have no letter are ``und`` with score 0 and ambiguous. Without any
     labelled row everything is ``und``. Rows are judged alone, so repeated rows agree.
     """
+    common.bound_batches(docs.sparkSession)
     model = model or fit(docs)
     cols = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     p = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), predictor(model, near)(F.col("text")).alias("p"))

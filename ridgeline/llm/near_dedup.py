@@ -1,10 +1,10 @@
 """Near-duplicate groups: MinHash bands, sequential Bayesian pruning, exact verification.
 
 Nodes are distinct shingle sets, so exact copies never meet one another. Banded
-signatures give candidates in two rounds. First every bucket links its members to one hub, the
-member that shares most buckets; that joins large groups with as many pairs as
-members. Then only pairs whose ends are still in different components are looked at,
-and a first batch, the lowest bits of the signatures, is compared within the join.
+signatures give candidates in two rounds. First every bucket links its members to a few hubs, the
+member that shares most buckets and some drawn by a hash; that joins large groups with a few
+pairs a member. Then only pairs whose ends are still in different components are looked at,
+and a first batch, one bit of each of 4,096 further minima, is compared within the join.
 Candidates are compared signature batch by batch and dropped once the posterior
 probability of the wanted similarity falls below the chosen miss probability;
 survivors are verified on their full sets of words.
@@ -40,6 +40,8 @@ class Settings:
     miss: float = 1e-6
     batch: int = 36
     small: int = 512
+    bits: int = 4096
+    hubs: int = 3
 
 
 CONTRACT = Settings(words=2)
@@ -59,7 +61,7 @@ class WordHash(dict):
     """64-bit hashes of the words seen so far; forgets all when full."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -79,9 +81,8 @@ def hashed_shingles(text: str, k: int, known: WordHash) -> np.ndarray:
     return np.unique(out)
 
 
-def permutations(s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(11)
-    n = s.bands * s.rows
+def permutations(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(seed)
     return (draw.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32),
             draw.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1))
 
@@ -89,8 +90,11 @@ def permutations(s: Settings) -> tuple[np.ndarray, np.ndarray]:
 def signature(u: np.ndarray, flip: np.ndarray, factor: np.ndarray) -> np.ndarray:
     """Upper halves of the minima; slices keep the work within the cache for any set size."""
     h, best = (u >> np.uint64(32)).astype(np.uint32), np.full(len(flip), 2**32 - 1, dtype=np.uint32)
-    for at in range(0, len(h), 1024):
-        x = (h[None, at:at + 1024] ^ flip[:, None]) * factor[:, None]
+    step = max(64, (1 << 18) // len(flip))
+    for at in range(0, len(h), step):
+        x = (h[None, at:at + step] ^ flip[:, None]) * factor[:, None]
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
         np.minimum(best, x.min(axis=1), out=best)
     return (best >> np.uint32(16)).astype("<u2")
 
@@ -98,7 +102,7 @@ def signature(u: np.ndarray, flip: np.ndarray, factor: np.ndarray) -> np.ndarray
 def sketcher(s: Settings):
     @F.pandas_udf("n long, c binary, sig binary")
     def sketch(text: pd.Series) -> pd.DataFrame:
-        flip, factor = permutations(s)
+        flip, factor = permutations(s.bands * s.rows)
         known, rows = WordHash(), []
         for t in text:
             u = hashed_shingles(t or "", s.words, known)
@@ -197,37 +201,43 @@ def with_component(table: DataFrame, label: DataFrame, node: str) -> DataFrame:
     return table.join(label.select(C("v").alias(node), C("comp").alias("_comp")), node, "left").withColumn("comp", F.coalesce("_comp", C(node))).drop("_comp")
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
-    """One pair a member and bucket: with the member that shares most buckets of most members."""
+def hub_pairs(members: DataFrame, hubs: int) -> DataFrame:
+    """Pairs of each member of a bucket with its hubs: the member that shares most buckets of most members, and others drawn by a hash."""
     score = members.groupBy("c").agg(F.sum("size").alias("score"))
-    hub = members.join(score, "c").groupBy("band").agg(F.max(F.struct("score", "c")).alias("h")).select("band", C("h.c").alias("h"))
-    return members.join(hub, "band").where(C("c") != C("h")).select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b")).distinct()
+    drawn = [F.max(F.struct(F.xxhash64("band", "c", F.lit(i)).alias("score"), "c"))["c"] for i in range(1, hubs)]
+    hub = members.join(score, "c").groupBy("band").agg(F.array_distinct(F.array(F.max(F.struct("score", "c"))["c"], *drawn)).alias("h"))
+    each = members.join(hub, "band").select("c", F.explode("h").alias("h")).where(C("c") != C("h"))
+    return each.select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b")).distinct()
 
 
 def most_differences(s: Settings) -> int:
-    """Lowest bits of two signatures differ with probability (1 - similarity) / 2; beyond this count the pair is missed with less than ``miss``."""
-    n, p = s.bands * s.rows, (1 - s.similarity[0] / s.similarity[1]) / 2
+    """Bits of two sketches differ with probability (1 - similarity) / 2; beyond this count the pair is missed with less than ``miss``."""
+    n, p = s.bits, (1 - s.similarity[0] / s.similarity[1]) / 2
     tail, k = 1.0, -1
     while tail > s.miss:
         k += 1
-        tail -= math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        tail -= math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
     return k
 
 
-def bit_sketch():
-    """Lowest bits of a signature in longs: the first batch that is compared, small enough to travel with a bucket."""
+def bit_sketch(s: Settings):
+    """One bit of each of ``bits`` minima, in longs: a batch of rows small enough to travel with a bucket."""
     @F.pandas_udf(T.ArrayType(T.LongType()))
-    def bits(sig: pd.Series) -> pd.Series:
-        x = (np.frombuffer(b"".join(sig), dtype="<u2").reshape(len(sig), -1) & 1).astype(np.uint8)
-        packed = np.packbits(np.pad(x, ((0, 0), (0, -x.shape[1] % 64))), axis=1)
-        return pd.Series(list(packed.view("<i8").astype(np.int64)))
-    return bits
+    def sketch(text: pd.Series) -> pd.Series:
+        flip, factor = permutations(s.bits, 12)
+        known, rows = WordHash(), []
+        for t in text:
+            bits = (signature(hashed_shingles(t, s.words, known), flip, factor) & 1).astype(np.uint8)
+            rows.append(np.packbits(bits).view("<i8").astype(np.int64))
+        return pd.Series(rows)
+    return sketch
 
 
 def cross_pairs(members: DataFrame, label: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of a bucket whose ends are in different components and may be similar by size and by the bit sketch.
+    """Pairs of a bucket whose ends are in different components and may be similar by size and by their bit sketches.
 
-    A bucket with more than ``small`` such pairs a member is first split by a second shared band.
+    A bucket with more than ``small`` such pairs a member is first split by a second shared band. Elsewhere a
+    pair is given by the first of the buckets it shares.
     """
     num, den = s.similarity
     m = with_component(members.select("band", "c"), label, "c")
@@ -235,15 +245,17 @@ def cross_pairs(members: DataFrame, label: DataFrame, nodes: DataFrame, s: Setti
     mixed = parts.where("parts > 1").select("band", (C("k") * C("k") - C("q") > 2 * s.small * C("k")).alias("large"))
     m = common.written(m.join(mixed, "band"), "near-mixed")
     second = m.where("large").join(m.select("c", C("band").alias("other")), "c").where(C("band") != C("other"))
-    split = second.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "c", "comp").distinct()
-    rows = m.where(~C("large")).select("band", "c", "comp").union(split)
-    longs = -(-s.bands * s.rows // 64)
-    brief = nodes.select("c", "n", bit_sketch()("sig").alias("k")).select("c", "n", *[C("k")[i].alias(f"k{i}") for i in range(longs)])
+    split = second.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "c", "comp", F.lit(True).alias("large")).distinct()
+    rows = m.where(~C("large")).select("band", "c", "comp", "large").union(split)
+    longs = s.bits // 64
+    brief = nodes.join(members.groupBy("c").agg(F.collect_list("band").alias("bands")), "c")  # as many as there are bands at most
+    brief = brief.select("c", "n", "bands", *[C("bits")[i].alias(f"k{i}") for i in range(longs)])
     rows = common.written(rows.join(brief, "c"), "near-buckets")
-    other = rows.select("band", *[C(x).alias(f"{x}_") for x in rows.columns if x != "band"])
+    other = rows.select(*[C(x).alias(f"{x}_") for x in rows.columns])
     differ = sum((F.bit_count(C(f"k{i}").bitwiseXOR(C(f"k{i}_"))) for i in range(longs)), F.lit(0))
     near = (F.least("n", "n_") * den >= F.greatest("n", "n_") * num) & (differ <= most_differences(s))
-    pairs = rows.join(other, (rows["band"] == other["band"]) & (C("c") < C("c_")) & (C("comp") != C("comp_")) & near)
+    once = C("large") | (F.array_min(F.array_intersect("bands", "bands_")) == C("band"))
+    pairs = rows.join(other, (C("band") == C("band_")) & (C("c") < C("c_")) & (C("comp") != C("comp_")) & near & once)
     return pairs.select(C("c").alias("a"), C("c_").alias("b")).distinct()
 
 
@@ -254,6 +266,7 @@ def group(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     shingle. The component is the least id of all rows reachable; null ids do not count, and a
     component of null ids only has a null id. Repeated rows stay rows.
     """
+    common.bound_batches(docs.sparkSession)
     src = docs.select("doc_id", "text", F.unhex(common.content_key(C("doc_id"), C("text"))).alias("key"))
     own = common.written(src.select("key", "doc_id", sketcher(s)("text").alias("s")).select("key", "doc_id", "s.*"), "near-sketches")
     nodes = own.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.min(F.struct("key", "n", "sig")).alias("x"))
@@ -263,15 +276,17 @@ def group(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     members = common.written(bands.join(sizes, "band"), "near-members")
     wanted = nodes.join(members.select("c").distinct(), "c").select("c", "key", "n", "sig")
     texts = src.select("key", "text").join(wanted.select("key", "c", "n", "sig"), "key")
-    able = common.written(texts.dropDuplicates(["key"]).select("c", "n", "sig", "text"), "near-texts")
-    seen = common.written(hub_pairs(members), "near-pairs")
+    able = texts.dropDuplicates(["key"]).select("c", "n", "sig", "text", bit_sketch(s)("text").alias("bits"))
+    able = common.written(able, "near-texts")
+    seen = common.written(hub_pairs(members, s.hubs), "near-pairs")
     label = components(verify(seen, able, s))
     rest = common.written(cross_pairs(members, label, able, s).join(seen, ["a", "b"], "left_anti"), "near-pairs")
     more = verify(rest, able, s)
     joined = with_component(with_component(more, label, "a").withColumnRenamed("comp", "ca"), label, "b").select(
         C("ca").alias("a"), C("comp").alias("b")).where(C("a") != C("b"))
     top = components(joined)
-    comp = with_component(label.select("v", C("comp").alias("mid")), top, "mid").select("v", "comp")
+    late = top.select("v", C("v").alias("mid")).join(label.select("v"), "v", "left_anti")  # linked in the second round only
+    comp = with_component(label.select("v", C("comp").alias("mid")).unionByName(late), top, "mid").select("v", "comp")
     least = with_component(nodes.select("c", "least"), comp, "c")
     ids = common.written(least.groupBy("comp").agg(F.min("least").alias("component_id")), "near-components")
     by_node = common.written(least.join(ids, "comp").select("c", "component_id"), "near-classes")

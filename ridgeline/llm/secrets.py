@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from . import common
+
 # Fixed patterns of the contract.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -97,6 +99,7 @@ def scan_documents(docs: DataFrame, classes=CLASSES, allow=ALLOW) -> DataFrame:
     Spans are code points, end exclusive. Base matches always stay; an entropy span is added unless a base
     span holds all of it. Null text is empty and has no span; rows are judged alone.
     """
+    common.bound_batches(docs.sparkSession)
     patterns, allowed = [k.pattern() for k in classes], re.compile("|".join(f"(?:{a})" for a in allow))
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

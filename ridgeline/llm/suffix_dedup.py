@@ -201,6 +201,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
     """
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
+    common.bound_batches(docs.sparkSession)
     text = F.coalesce(C("text"), F.lit(""))
     src = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("t"))
     own = common.written(src.select("doc_id", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "suffix-documents")

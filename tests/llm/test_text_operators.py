@@ -280,3 +280,14 @@ def test_codewords():
         codes = language_id.codewords(n)
         assert len(codes) == n and len({tuple(c) for c in codes}) == n
     assert min((a != b).sum() for i, a in enumerate(language_id.codewords(9)) for b in language_id.codewords(9)[:i]) >= 10
+
+
+def test_links_that_only_the_second_round_finds(spark, monkeypatch):
+    """Without any hub link the pairs between components must do it all."""
+    monkeypatch.setattr(near_dedup, "hub_pairs", lambda members, hubs: members.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0))
+    words = [f"w{i}" for i in range(40)]
+    docs = [" ".join(words[:i] + [f"x{i}"] + words[i + 1:]) for i in (1, 20, 39)] + ["alone here"]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.op9_near_dedup(frame).collect()}
+    want = brute_components({i: near_dedup.shingle_set(t, 2) for i, t in enumerate(docs)})
+    assert got == want and len(set(got.values())) == 2
