@@ -206,3 +206,10 @@ def test_comparison_scope(spark):
     df = spark.createDataFrame(rows, "a int, method string, q int, maximum_coverage double, status string")
     got = {(r["method"], r["q"]): (r["common_maximum"], r["comparison_scope"]) for r in risk.comparison_scope(df, ["a"]).collect()}
     assert got["x", 50] == got["y", 50] == (0.6, "common_reachable") and got["x", 70] == got["y", 70] == (0.6, "extended_or_unreachable")
+
+
+def test_requalification_needs_all_gates(spark):
+    from ridgeline.plans.modeling import requalify
+    df = spark.createDataFrame([(1, 0.2, 0.2, 1, 1), (2, 0.2, 0.2, 0, 1), (3, 0.2, 0.2, 1, 0), (4, 0.05, 0.05, 1, 1)], "a int, iqr double, med double, anchors long, operators long")
+    got = {r["a"]: r["verdict"] for r in requalify(df).collect()}
+    assert [a for a, v in got.items() if v == "requalification_warranted"] == [1]
