@@ -2,8 +2,8 @@
 
 A page becomes a tree. Subtrees that are no content by their nature (scripts,
 menus, forms, sidebars, notices, adverts, comments of readers) go at once. Of what is left, every
-element subtree is hashed, and Spark counts per host how many different pages hold
-each hash; subtrees that recur across many pages of their host are deleted. Then the article, or
+block with text that stands for itself is hashed, and Spark counts per host how many different pages hold
+each hash, near copies as one; blocks that recur across many pages of their host are deleted. Then the article, or
 else main, or else the body is read off block by block.
 """
 
@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
+from .near_dedup import WordHash, components, hashed_shingles, permutations, signature
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -32,6 +33,8 @@ DROPPED = frozenset("head nav aside footer form button select option dialog menu
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
+#: Pieces that mean something only within their table, list or section: they go with the whole or not at all.
+PIECES = frozenset("br hr h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption figcaption summary legend option".split())
 ENDS_P = BLOCK - {"br"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article main body section div select".split())
@@ -49,6 +52,8 @@ class Node:
     dropped: bool = False
     parts: list = field(default_factory=list)  # text or Node
     hash: int = 0
+    text: bool = False  # any below
+    piece: bool = False
 
 
 def no_content(tag: str, attrs: str, inside_article: bool) -> bool:
@@ -152,28 +157,43 @@ def post_order(top: Node) -> list[Node]:
 
 
 def hash_subtrees(top: Node) -> list[Node]:
-    """Set ``hash`` of all kept elements below (tags, texts without surplus space, order); the top comes last."""
+    """Set ``hash`` of all kept elements below (tags, texts without surplus space, order), ``text`` and ``piece``; the top comes last."""
     nodes = post_order(top)
     for node in nodes:
         h = blake2b(node.tag.encode(), digest_size=8)
         for p in node.parts:
             if isinstance(p, Node):
                 h.update(b"" if p.dropped else b"\x01" + p.hash.to_bytes(8, "little"))
+                node.text |= p.text and not p.dropped
             elif s := " ".join(p.split()):
                 h.update(b"\x02" + s.encode("utf-8", "surrogatepass"))
+                node.text = True
         node.hash = int.from_bytes(h.digest(), "little") >> 1
+    for node in reversed(nodes):  # what fills a piece alone is as much a piece
+        node.piece |= node.tag in PIECES
+        if node.piece:
+            inner = [p for p in node.parts if (p.text and not p.dropped if isinstance(p, Node) else p.strip())]
+            if len(inner) == 1 and isinstance(inner[0], Node):
+                inner[0].piece = True
     return nodes
 
 
+def stands_alone(node: Node) -> bool:
+    """Whether a subtree may be a template: a block with text that is no piece. Inline elements belong to their sentence."""
+    return node.text and not node.piece and node.tag in BLOCK
+
+
 def read(top: Node, templates) -> str:
-    """Text of a subtree without template subtrees; blocks are parted by space, inline elements are not."""
+    """Text of a subtree without template subtrees; blocks, removed ones too, are parted by space, inline elements are not."""
     out: list[str] = []
     todo: list = [top]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             out.append(x)
-        elif not x.dropped and (x.hash not in templates or x is top):
+        elif x.dropped or x is not top and x.hash in templates and stands_alone(x):
+            out.append(" " if x.tag in BLOCK else "")
+        else:
             if x.tag in BLOCK:
                 out.append(" ")
                 todo.append(" ")
@@ -185,33 +205,68 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates_of(pages: DataFrame, least_pages: int = 20, share: float = 0.8, body_pages: int = 3, body_share: float = 0.2) -> DataFrame:
-    """host, templates: hashes of subtrees that recur across many different pages of their host.
+BANDS, ROWS, SHINGLE, ALIKE = 24, 4, 2, 0.8
+
 
-    Pages with the same content count once. Within an article a subtree must
-    be on ``share`` of at least ``least_pages`` different pages, so that passages which many articles
-    share stay; outside, on ``body_share`` and ``body_pages``. A row is (host, hash, page content): partial sums
-    meet hot hosts and hot subtrees before the shuffle.
+def near_copies(each: DataFrame) -> DataFrame:
+    """id, comp: groups of different pages of one host with nearly the same text, by their sketches (``each``: id, host, article, sig).
+
+    As in op9, texts are near copies from a similarity of 0.8 of their two-word shingles. Pages that share a band are compared with
+    one page of it, drawn by a hash, so the pairs grow with the pages; 24 bands of 4 rows miss a pair at 0.8 with probability 3e-6.
+    """
+    @F.pandas_udf("array<long>")
+    def keys(sig: pd.Series) -> pd.Series:
+        x = [np.frombuffer(v, dtype="<u2").reshape(BANDS, ROWS).astype(np.int64) for v in sig]
+        return pd.Series([v[:, 0] << 48 | v[:, 1] << 32 | v[:, 2] << 16 | v[:, 3] for v in x])
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        same = [(np.frombuffer(x, dtype="<u2") == np.frombuffer(y, dtype="<u2")).mean() for x, y in zip(a, b, strict=True)]
+        return pd.Series([x >= ALIKE for x in same], dtype=bool)
+
+    bands = each.where("sig IS NOT NULL").select("id", "host", "article", F.posexplode(keys("sig")).alias("i", "k"))
+    bands = common.written(bands.select("id", F.xxhash64("host", "article", "i", "k").alias("band")), "html-bands")
+    hubs = bands.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "id").alias("x"), "id"))["id"].alias("hub"), F.count("*").alias("n")).where("n > 1")
+    pairs = bands.join(hubs, "band").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    side = lambda x: each.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"))
+    links = pairs.join(side("a"), "a").join(side("b"), "b").where(alike("sig_a", "sig_b")).select("a", "b")
+    return components(common.written(links, "html-links")).select(F.col("v").alias("id"), "comp")
+
+
+def templates_of(pages: DataFrame, least_pages: int = 20, share: float = 0.8, body_pages: int = 4) -> DataFrame:
+    """host, templates: hashes of blocks that recur across many different pages of their host.
+
+    Pages with the same content, and near copies (``near_copies``), count once. A block must be on ``share`` of at least
+    ``least_pages`` different pages, so that passages which many articles share stay. Hosts with fewer pages have no templates within
+    articles; outside, a block must then be on every one of at least ``body_pages``. A row is (host, hash, page content):
+    partial sums meet hot hosts and hot blocks before the shuffle.
     """
-    @F.pandas_udf("content long, article boolean, hashes array<long>")
+    @F.pandas_udf("content long, article boolean, hashes array<long>, sig binary")
     def subtrees(page: pd.Series) -> pd.DataFrame:
-        rows = []
+        flip, factor = permutations(BANDS * ROWS)
+        known, rows = WordHash(), []
         for p in page:
             tops = kept_roots(build(p or ""))
             lists = [hash_subtrees(t) for t in tops]
-            own = {x.hash for nodes in lists for x in nodes[:-1]}
+            own = {x.hash for nodes in lists for x in nodes[:-1] if stands_alone(x)}
             whole = int.from_bytes(blake2b(b"".join(t.hash.to_bytes(8, "little") for t in tops), digest_size=8).digest(), "little") >> 1
-            rows.append((whole, tops[0].tag != "html", sorted(own)))
-        return pd.DataFrame(rows, columns=["content", "article", "hashes"])
+            u = hashed_shingles(" ".join(read(t, ()) for t in tops), SHINGLE, known)
+            rows.append((whole, tops[0].tag != "html", sorted(own), signature(u, flip, factor).tobytes() if len(u) else None))
+        return pd.DataFrame(rows, columns=["content", "article", "hashes", "sig"])
 
     # One page for each different content; a hash is then counted by plain sums.
     each = pages.select(host_of(F.col("url")).alias("host"), subtrees(F.col("html")).alias("s")).select("host", "s.*")
-    each = common.written(each.dropDuplicates(["host", "content"]), "html-subtrees")
-    hosts = each.groupBy("host", "article").agg(F.count("*").alias("pages"))
-    many = hosts.where(F.col("pages") >= F.when(F.col("article"), least_pages).otherwise(body_pages))
-    seen = each.select("host", "article", F.explode("hashes").alias("hash")).groupBy("host", "article", "hash").agg(F.count("*").alias("n"))
-    often = seen.where(F.col("n") >= F.when(F.col("article"), least_pages).otherwise(body_pages)).join(many, ["host", "article"])
-    often = often.where(F.col("n") >= F.col("pages") * F.when(F.col("article"), share).otherwise(body_share))
+    each = common.written(each.dropDuplicates(["host", "content"]).withColumn("id", F.xxhash64("host", "content")), "html-subtrees")
+    least = F.when(F.col("article"), least_pages).otherwise(body_pages)
+    able = each.groupBy("host", "article").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("host", "article")
+    each = each.join(able, ["host", "article"])
+    each = common.written(each.join(near_copies(each), "id", "left"), "html-groups")
+    hosts = each.groupBy("host", "article").agg((F.count_if(F.col("comp").isNull()) + F.count_distinct("comp")).alias("pages"))
+    many = hosts.where(F.col("pages") >= least)
+    rows = each.select("host", "article", "comp", F.explode("hashes").alias("hash"))
+    rows = rows.where("comp IS NULL").unionByName(rows.where("comp IS NOT NULL").distinct())
+    often = rows.groupBy("host", "article", "hash").agg(F.count("*").alias("n")).join(many, ["host", "article"])
+    often = often.where(F.col("n") >= F.when(F.col("pages") >= least_pages, F.col("pages") * share).otherwise(F.col("pages")))
     return common.written(often.groupBy("host").agg(F.collect_set("hash").alias("templates")), "html-templates")
 
 

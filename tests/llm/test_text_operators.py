@@ -187,6 +187,34 @@ def test_html_boilerplate_and_templates(spark):
     assert got[201] == "text 1"
 
 
+@pytest.mark.parametrize("article", [True, False])
+def test_html_keeps_pieces_and_near_copies(spark, article):
+    """Line breaks, inline leaves, cells and headings on every page stay; a group of near copies is one page, whatever its size."""
+    top, end = ("<article>", "</article>") if article else ("<body>", "</body>")
+    body = ("<p>one<br>two {0}</p><p>aa{0}<nav>m</nav>bb{0}</p><h2>References</h2><p><b>Note:</b> n{0}</p><table><tr><td>0</td><td><div>1</div></td><td>t{0}</td></tr></table>"
+            "<div>Read more here</div>")
+    text = "one two {0} aa{0} bb{0} References Note: n{0} 0 1 t{0}"
+    copies = [f"Paragraph {k} of a report that was sent to all " + " ".join(f"q{k}w{j}" for j in range(12)) for k in range(6)]
+    pages = [(1000 * n + i, f"http://h{n}.example/", top + body.format(f"{n}x{i}") + end) for n in (19, 20, 200) for i in range(n)]
+    for n in (19, 20, 200):  # all near copies but a tenth, and near copies only
+        for at, host, few in ((300_000, "g", n // 10), (600_000, "o", 0)):
+            for i in range(n):
+                html_ = f"<p>only {i}</p>" + "".join(f"<p>{i} own{i} words{j}{i}</p>" for j in range(9)) if i < few else f"<p>Edition {i}</p>" + "".join(f"<p>{c}</p>" for c in copies)
+                pages.append((at + 1000 * n + i, f"http://{host}{n}.example/", top + html_ + end))
+    got = {r.page_id: r.text for r in html_extract.op6_html(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for n in (19, 20, 200):
+        for i in range(n):
+            assert got[1000 * n + i] == text.format(f"{n}x{i}") + (" Read more here" if article and n == 19 else "")
+            for at, few in ((300_000, n // 10), (600_000, 0)):
+                assert i < few or got[at + 1000 * n + i] == " ".join([f"Edition {i}", *copies])
+
+
+def test_html_shared_passage_of_few_body_pages_stays(spark):
+    pages = [(i, "http://few.example/", f"<body><p>text {i} of its own words{i}</p>" + ("<p>A passage that some pages quote.</p>" if i < 3 else "") + "</body>") for i in range(12)]
+    got = {r.page_id: r.text for r in html_extract.op6_html(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0] == "text 0 of its own words0 A passage that some pages quote." and got[11] == "text 11 of its own words11"
+
+
 def test_chat_round_trip(spark):
     draw = random.Random(5)
     bits = ["</s>", "<s>[", "] ", "]", "&", "&lt;", "&rb;", "&amp;", "[INST]", "[/INST]", "\n", "x", "<", " ", "<s>[BOT] ", "é"]
