@@ -2,7 +2,8 @@
 
 Each character class has its own candidate pattern, window and threshold. Counts of the
 window's characters are updated as it moves, so a candidate costs its length.
-Allow-listed candidates (words, plain numbers, identifiers, placeholders) are suppressed.
+Allow-listed candidates (words, plain numbers, identifiers) are suppressed; a placeholder word suppresses
+only the find, or the part of it between separators, that holds the word.
 """
 
 from __future__ import annotations
@@ -41,9 +42,12 @@ ALLOW = (
     r"[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]*",                                   # words, also joined
     r"[0-9]+([-_/=+][0-9]+)*",                                                 # numbers, dates
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
-    r"(?i:.*(example|sample|dummy|placeholder|xxxx|0123456789|abcdefgh).*)",
     r"[-_/=+]*",
 )
+PLACEHOLDER = r"(?i:example|sample|dummy|placeholder|xxxx|0123456789|abcdefgh)"
+TOKENS, PARTS = re.compile(r"[^-_/=+]+"), "-_/=+"
+#: A longer token holds a placeholder word by chance or by the way, so only the word itself goes.
+LONGEST = 64
 
 
 def hot_spans(s: str, window: int, bits: float) -> list[tuple[int, int]]:
@@ -74,12 +78,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-def entropy_spans(text: str, classes, patterns, allow: re.Pattern) -> list[tuple[int, int]]:
+def remaining(run: str, words: re.Pattern) -> list[tuple[int, int]]:
+    """The run, or what is left of it without the tokens (in long ones, the characters) of placeholder words."""
+    if not words.search(run):
+        return [(0, len(run))]
+    cuts = []
+    for t in TOKENS.finditer(run):
+        held = [(t.start() + w.start(), t.start() + w.end()) for w in words.finditer(t[0])]
+        cuts += held if len(t[0]) > LONGEST else [t.span()] * bool(held)
+    out = []
+    for a, b in zip([0, *[b for _, b in cuts]], [*[a for a, _ in cuts], len(run)], strict=True):
+        s = run[a:b].rstrip(PARTS)
+        out.append((a + len(s) - len(s.lstrip(PARTS)), a + len(s)))
+    return out
+
+
+def entropy_spans(text: str, classes, patterns, allow: re.Pattern, words: re.Pattern) -> list[tuple[int, int]]:
     found = []
     for k, p in zip(classes, patterns, strict=True):
         for m in p.finditer(text):
-            if not allow.fullmatch(m[0]):
-                found += [(m.start() + a, m.start() + b) for a, b in hot_spans(m[0], k.window, k.bits)]
+            if allow.fullmatch(m[0]):
+                continue
+            for x, y in remaining(m[0], words):
+                if y - x >= k.window and not allow.fullmatch(m[0], x, y):
+                    found += [(m.start() + x + a, m.start() + x + b) for a, b in hot_spans(m[0][x:y], k.window, k.bits)]
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if merged and a <= merged[-1][1]:
@@ -93,7 +115,7 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
 
 
-def scan_documents(docs: DataFrame, classes=CLASSES, allow=ALLOW) -> DataFrame:
+def scan_documents(docs: DataFrame, classes=CLASSES, allow=ALLOW, placeholder=PLACEHOLDER) -> DataFrame:
     """All columns of ``docs`` plus n_assign, n_access, n_hex, base_sha256 and spans (replaced if there).
 
     Spans are code points, end exclusive. Base matches always stay; an entropy span is added unless a base
@@ -101,6 +123,7 @@ def scan_documents(docs: DataFrame, classes=CLASSES, allow=ALLOW) -> DataFrame:
     """
     common.bound_batches(docs.sparkSession)
     patterns, allowed = [k.pattern() for k in classes], re.compile("|".join(f"(?:{a})" for a in allow))
+    words = re.compile(placeholder)
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     def scan(text: pd.Series) -> pd.DataFrame:
@@ -108,7 +131,7 @@ def scan_documents(docs: DataFrame, classes=CLASSES, allow=ALLOW) -> DataFrame:
         for t in text:
             t = t or ""
             base = base_spans(t)
-            more = [("entropy", a, b) for a, b in entropy_spans(t, classes, patterns, allowed)
+            more = [("entropy", a, b) for a, b in entropy_spans(t, classes, patterns, allowed, words)
                     if not any(x <= a and b <= y for _, x, y in base)]
             kinds = [k for k, _, _ in base]
             rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"),

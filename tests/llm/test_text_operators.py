@@ -166,6 +166,22 @@ def test_secrets(spark):
     assert got[0].base_sha256 == hashlib.sha256(b"assign:0:23").hexdigest()
 
 
+def test_placeholder_words_hide_no_other_secret(spark):
+    key, draw = "Zx9mQ2vLp8RtY4wKc7BnH1sD", random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    noise = lambda n: "".join(draw.choice(letters) for _ in range(n))
+    left, right = noise(500_000), noise(500_000)
+    lines = [f"DB_SAMPLE_PW={key}", f"sample/{key}", f"{key}-EXAMPLE", f"{left}xxxx{right}", f"{left}/{'sample'}/{right}",
+             "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "sample1/plain-words-with-hyphens-only-and-more", letters, f"{key[:12]}dummy{key[12:]}"]
+    got = {r.doc_id: r.spans for r in secrets.op5_secrets(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    spans = {i: [tuple(map(int, x.split(":")[1:])) for x in t.split(",") if x] for i, t in got.items()}
+    assert spans[0][-1] == (10, 13 + len(key)) and spans[1] == [(7, 7 + len(key))] and spans[2] == [(0, len(key))]
+    for i, gap in ((3, 4), (4, 8)):
+        marked = sum(b - a for a, b in spans[i])
+        assert marked > 990_000 and not any(a < 500_000 + gap and b > 500_000 for a, b in spans[i])
+    assert all(not spans[i] for i in (5, 6, 7, 8))
+
+
 def test_html_of_generated_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.op6_html(pages).collect()}
