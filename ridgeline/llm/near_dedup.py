@@ -260,11 +260,12 @@ def cross_pairs(members: DataFrame, label: DataFrame, nodes: DataFrame, s: Setti
 
 
 def group(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """key (of id and text), doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+    """key (of id and text), doc_id, n_shingles, component_id, comp of every row of ``docs`` (doc_id, text).
 
     Null and empty texts have no shingles and are linked with nothing; a text shorter than a shingle is one
     shingle. The component is the least id of all rows reachable; null ids do not count, and a
-    component of null ids only has a null id. Repeated rows stay rows.
+    component of null ids only has a null id. Ids may be null or repeated, so only ``comp``, a hash of a member's
+    shingles, tells components apart (null without shingles). Repeated rows stay rows.
     """
     common.bound_batches(docs.sparkSession)
     src = docs.select("doc_id", "text", F.unhex(common.content_key(C("doc_id"), C("text"))).alias("key"))
@@ -289,9 +290,9 @@ def group(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     comp = with_component(label.select("v", C("comp").alias("mid")).unionByName(late), top, "mid").select("v", "comp")
     least = with_component(nodes.select("c", "least"), comp, "c")
     ids = common.written(least.groupBy("comp").agg(F.min("least").alias("component_id")), "near-components")
-    by_node = common.written(least.join(ids, "comp").select("c", "component_id"), "near-classes")
+    by_node = common.written(least.join(ids, "comp").select("c", "component_id", "comp"), "near-classes")
     out = own.select("key", "doc_id", C("n").alias("n_shingles"), "c").join(by_node, "c", "left")
-    return out.select("key", "doc_id", "n_shingles", F.when(C("n_shingles") == 0, C("doc_id")).otherwise(C("component_id")).alias("component_id"))
+    return out.select("key", "doc_id", "n_shingles", F.when(C("n_shingles") == 0, C("doc_id")).otherwise(C("component_id")).alias("component_id"), "comp")
 
 
 def deduplicate(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -301,7 +302,7 @@ def deduplicate(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """
     g = group(docs.select("doc_id", "text"), s)
     some = g.where("n_shingles > 0")
-    stay = some.groupBy("component_id").agg(F.min(F.struct(C("doc_id").isNull(), "doc_id", "key")).alias("x")).select(C("x.key").alias("_k"), F.lit(True).alias("_once"))
+    stay = some.groupBy("comp").agg(F.min(F.struct(C("doc_id").isNull(), "doc_id", "key")).alias("x")).select(C("x.key").alias("_k"), F.lit(True).alias("_once"))
     stay = stay.union(g.where("n_shingles = 0").select("key", F.lit(False)).distinct())
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.unhex(common.content_key(C("doc_id"), C("text"))).alias("_k"))
     kept = packed.join(stay, "_k").withColumn("_u", F.when(C("_once"), F.lit(-1)).otherwise(F.monotonically_increasing_id()))

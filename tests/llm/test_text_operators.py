@@ -13,6 +13,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ridgeline.llm import chat, decontaminate, html_extract, language_id, mixing, near_dedup, quality_rules, secrets, sharding, suffix_dedup
 
 DATA = "/root/testdata/sf0.001"
@@ -302,6 +303,64 @@ def test_near_duplicates(spark, small):
     assert sorted(r.doc_id for r in left.collect()) == sorted({c for i, c in want.items() if sets[i]} | {i for i in sets if not sets[i]})
 
 
+def test_deduplicate_null_and_repeated_ids(spark):
+    """Components are told apart by their members, not by ids, which may be null or repeated."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, text(k)) for k in range(5)] + [(7, text(k)) for k in range(5, 9)] + [(None, text(0)), (None, text(1) + " more"), (8, text(2)), (7, text(5)), (None, ""), (None, "")]
+    left = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = collections.Counter((r.doc_id, r.text.removesuffix(" more")) for r in left)
+    assert kept == collections.Counter([(None, text(k)) for k in (0, 1, 3, 4)] + [(8, text(2))] + [(7, text(k)) for k in range(5, 9)] + [(None, "")] * 2)
+
+
+def brute_clean(t, items, span=13):
+    """Text without benchmark spans, or nothing if contaminated."""
+    raw = t.encode()
+    at = [m.span() for m in re.finditer(rb"[0-9a-z\x80-\xff]+", raw.lower())]
+    w = [raw.lower()[a:b] for a, b in at]
+    hit = set()
+    for n in {len(x) for x in items}:
+        hit |= {p + j for p in range(len(w) - n + 1) if tuple(w[p:p + n]) in items for j in range(n)}
+    if hit and 20 * len(hit) >= len(w):
+        return None
+    keep, last = [], 0
+    for i in sorted(hit):
+        if i - 1 not in hit:
+            keep.append(raw[last:at[i][0]])
+        last = at[i][1]
+    return b"".join([*keep, raw[last:]]).decode()
+
+
+def test_pipeline_against_brute_force(spark, folder):
+    """run() on documents of which some have null or repeated ids, stage by stage by plain Python up to the mix."""
+    docs = documents(spark).withColumn("doc_id", F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 5 == 1, 77).otherwise(F.col("doc_id")))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    bench.write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [r.asDict() for r in language_id.keep_identified(docs).collect()]
+    sets = {i: near_dedup.shingle_set(r["text"] or "", 5) for i, r in enumerate(rows)}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    order = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, md5(f"{'-' if r['doc_id'] is None else r['doc_id']}:{'-' if r['text'] is None else md5(r['text'])}"))
+    groups = collections.defaultdict(list)
+    for i, comp in brute_components(sets).items():
+        groups[comp if sets[i] else order(rows[i])].append(rows[i])
+    unique = [r for i, g in groups.items() for r in (g if isinstance(i, tuple) else [min(g, key=order)])]
+    items = set()
+    for r in bench.collect():
+        w = re.findall(rb"[0-9a-z\x80-\xff]+", (r.text or "").encode().lower())
+        items |= {tuple(w[k:k + 13]) for k in range(max(1, len(w) - 12)) if w}
+    clean = []
+    for r in unique:
+        t = brute_clean(r["text"] or "", items)
+        if t is not None:
+            clean.append(r if t == (r["text"] or "") else r | {"text": t, "n_chars": len(t)})
+    assert sum(r["doc_id"] is None for r in clean) > 10 and sum(r["doc_id"] == 77 for r in clean) > 10 and len(clean) < len(unique) < len(rows)
+    mixed = mixing.mix_documents(spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in clean], docs.schema))
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert collections.Counter(tuple(r)[:-2] for r in got) == collections.Counter(map(tuple, mixed.collect()))
+    assert len({(r.shard, r.slot) for r in got}) == len(got)
+
+
 def test_pruning_keeps_what_is_similar():
     s = near_dedup.Settings()
     for n, m in near_dedup.least_matches(s):
