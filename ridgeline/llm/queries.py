@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_extract, language_id, mixing, near_dedup, quality_rules, secrets, sharding, suffix_dedup
+from . import chat, decontaminate, html_extract, language_id, merkle, mixing, near_dedup, pieces, quality_rules, secrets, sharding, suffix_dedup, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +126,34 @@ d AS (SELECT row_number() OVER (ORDER BY {KEY}) - 1 AS u, doc_id, strlen(coalesc
 w AS ({feistel_sql("(SELECT u, u AS x, a, b, n FROM d, dims)")} UNION ALL {feistel_sql("(SELECT * FROM w WHERE x >= n)")})
 SELECT doc_id, size, text_crc32, 'rows' AS law, (x % 40)::INT AS shard, x // 40 AS slot, NULL::INT AS grown_shard FROM d JOIN w USING (u) WHERE x < n"""
 
+MERKLE_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+MERKLE_LEAF = "sha256(" + " || ".join(MERKLE_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+ODD = f"""xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda c, x: xor(c >> 8, ({crc_table()})[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 2"""
+#: Levels are lists ``h`` of nodes; a node's run of three starts at ``i - i % 3``.
+UP = "list_transform(range(0, len(h), 3), lambda i: sha256(array_to_string(h[i + 1:i + 3], '')))"
+SIBLINGS = "array_to_string(t.h[p.i - p.i % 3 + 1:p.i], '') || array_to_string(t.h[p.i + 2:p.i - p.i % 3 + 3], '')"
+FOLD = "sha256(array_to_string(t.h[p.i - p.i % 3 + 1:p.i], '') || p.f || array_to_string(t.h[p.i + 2:p.i - p.i % 3 + 3], ''))"
+
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT source, doc_id, {MERKLE_LEAF.format(text="text")} AS leaf,
+    CASE WHEN {ODD} = 0 THEN {MERKLE_LEAF.format(text="replace(text, chr(10), '')")} ELSE {MERKLE_LEAF.format(text="text")} END AS f FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, row_number() OVER () AS u FROM d),
+t AS (SELECT source, 0 AS k, list(leaf ORDER BY i) AS h FROM l GROUP BY source
+  UNION ALL SELECT source, k + 1, {UP} FROM t WHERE len(h) > 1),
+s AS (SELECT source, h[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM t WHERE len(h) = 1),
+w AS (SELECT 0 AS k, list(subroot ORDER BY i) AS h FROM s UNION ALL SELECT k + 1, {UP} FROM w WHERE len(h) > 1),
+p AS (SELECT u, source, 0 AS k, i, f, '' AS proof FROM l
+  UNION ALL SELECT p.u, p.source, p.k + 1, p.i // 3, {FOLD}, p.proof || {SIBLINGS}
+  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source AND p.k = t.k AND len(t.h) > 1),
+a AS (SELECT u, source, f, proof FROM p QUALIFY row_number() OVER (PARTITION BY u ORDER BY k DESC) = 1),
+o AS (SELECT a.u, 0 AS k, s.i, a.f, a.proof FROM a JOIN s ON a.source IS NOT DISTINCT FROM s.source
+  UNION ALL SELECT p.u, p.k + 1, p.i // 3, {FOLD}, p.proof || {SIBLINGS} FROM o AS p JOIN w AS t ON p.k = t.k AND len(t.h) > 1),
+z AS (SELECT u, f, proof FROM o QUALIFY row_number() OVER (PARTITION BY u ORDER BY k DESC) = 1),
+r AS (SELECT h[1] AS root FROM w WHERE len(h) = 1)
+SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(z.proof) AS proof_sha256, z.f AS folded_root, z.f = r.root AS verified
+FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source JOIN z USING (u), r"""
+
 register("op1_quality_rules", quality_rules.op1_quality, sql=QUALITY_SQL)
 register("op2_suffix_dedup", suffix_dedup.op2_suffix)
 QUERIES["op3_decontamination"] = lambda spark, sf_dir: decontaminate.op3_decontamination(
@@ -138,3 +166,6 @@ register("op7_chat_formatting", chat.op7_chat, "conversations", CHAT_SQL)
 register("op8_sharding", sharding.op8_sharding, sql=SHARD_SQL)
 register("op9_near_dedup", near_dedup.op9_near_dedup)
 register("op10_language_id", language_id.op10_language)
+register("op11_sentencepiece", pieces.op11_pieces)
+register("op12_whitening", whitening.op12_whitening, "embeddings")
+register("op13_merkle_manifest", merkle.op13_merkle, sql=MERKLE_SQL)
