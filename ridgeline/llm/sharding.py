@@ -76,6 +76,21 @@ def permute(spark: SparkSession, x: Column, n: int, seed: int) -> Column:
     return F.aggregate(steps, out, lambda v, _: F.when(v < n, v).otherwise(feistel(v, n, seed)))
 
 
+REPEATS = 10_000
+
+
+def expanded(rows: DataFrame, first: Column, repeats: int = REPEATS) -> DataFrame:
+    """Each of ``rows`` (_row, _n) as often as ``_n`` says, with row numbers ``_x`` from ``first`` on.
+
+    No array holds more than ``repeats`` numbers: a row with more copies is dealt in blocks over all tasks, then expanded.
+    """
+    few = rows.where(F.col("_n") <= repeats).select("_row", first.alias("_x"), "_n")
+    many = rows.where(F.col("_n") > repeats).select("_row", first.alias("_x"), "_n", F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {repeats}"))).alias("_at"))
+    start = F.col("_at") * repeats
+    many = many.select("_row", (F.col("_x") + start).alias("_x"), F.least(F.col("_n") - start, F.lit(repeats)).alias("_n")).repartition("_x")
+    return few.union(many).select("_row", F.explode(F.sequence(F.col("_x"), F.col("_x") + F.col("_n") - 1)).alias("_x"))
+
+
 def shuffle_shards(rows: DataFrame, key: Column, n_shards: int = 40, seed: int = 1, bucket_rows: int = 50_000) -> DataFrame:
     """All columns of ``rows`` plus ``shard`` int and ``slot`` long; columns of these names are replaced.
 
@@ -105,7 +120,7 @@ def shuffle_shards(rows: DataFrame, key: Column, n_shards: int = 40, seed: int =
     earlier = W.partitionBy("_b").orderBy("_k", "_t").rowsBetween(W.unboundedPreceding, -1)
     starts = groups.withColumn("_s", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).join(offsets, "_b")
     first = F.col("_s") + F.col("_o")
-    numbered = starts.select("_row", F.explode(F.sequence(first, first + F.col("_n") - 1)).alias("_x"))
+    numbered = expanded(starts, first)
     out = numbered.withColumn("_x", permute(spark, F.col("_x"), n, seed)) if n else numbered
     return out.select(*[F.col("_row").getField(c).alias(c) for c in cols],
                       (F.col("_x") % n_shards).cast("int").alias("shard"), F.expr(f"_x div {n_shards}").alias("slot"))

@@ -13,7 +13,7 @@ trigger form a phrase, and the parse of a document is its sequence of phrases.
   together first in blocks of neighbours, by the bytes that all of a block have in common, then one by
   one, by (block, hash of these bytes): their class in corpus order. A class with two members or more repeats.
 
-Classes stand in for ranks: no suffix is compared beyond ``length`` bytes and no
+Classes stand in for ranks (128 bits: hash of the trigger's surroundings and hash of the string): no suffix is compared beyond ``length`` bytes and no
 order between classes is used, so nothing is sorted globally. Exact copies of a text are parsed but handled once.
 """
 
@@ -31,31 +31,43 @@ C = F.col
 GRAM = 64
 CHUNK = 1 << 20  # starts a slice of a long text; a phrase is cut there, which the suffix step makes good
 BASE = 0x9E3779B97F4A7C15 | 1
-_tables: dict[str, np.ndarray] = {}
+PRIMES = (2**31 - 1, 2**31 - 19)
+_tables: dict[int, tuple] = {}
 
 
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Value of each byte, powers of the base and of its inverse modulo 2^64."""
+def tables() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each prime: value of each byte, powers of a base and of its inverse."""
     if not _tables:
-        n = CHUNK + 4096
-        _tables["byte"] = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
-        for name, base in (("power", BASE), ("inverse", pow(BASE, -1, 2**64))):
-            p = np.full(n, base, dtype=np.uint64)
-            p[0] = 1
-            _tables[name] = np.multiply.accumulate(p)
-    return _tables["byte"], _tables["power"], _tables["inverse"]
+        draw, n = np.random.default_rng(5), CHUNK + 4096
+        for p in PRIMES:
+            base = int(draw.integers(2, p - 1))
+            rows = [draw.integers(1, p, 256).astype(np.uint64)]
+            for b in (base, pow(base, -1, p)):
+                power = np.array([pow(b, k, p) for k in range(4096)], dtype=np.uint64)
+                leap = np.array([pow(b, 4096 * k, p) for k in range(-(-n // 4096))], dtype=np.uint64)
+                rows.append((leap[:, None] * power % np.uint64(p)).ravel()[:n])
+            _tables[p] = tuple(rows)
+    return list(_tables.values())
 
 
 class Slice:
-    """Prefix sums of a slice of bytes; the hash of any substring is two look-ups."""
+    """Prefix sums of a slice of bytes; the hash of any substring is two look-ups for each prime.
+
+    Polynomials modulo two primes of 31 bits at fixed random bases: two different strings of n bytes agree with
+    probability below (n / 2^31)^2, whatever their pattern (powers of two as moduli have patterns that always agree).
+    """
 
     def __init__(self, raw: np.ndarray):
-        value, power, self.inverse = tables()
-        self.sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(value[raw] * power[:len(raw)], out=self.sums[1:])
+        self.parts = []
+        for p, (value, power, inverse) in zip(PRIMES, tables(), strict=True):
+            sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+            np.cumsum(value[raw] * power[:len(raw)] % np.uint64(p), out=sums[1:])
+            self.parts.append((np.uint64(p), sums, inverse))
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.inverse[start]
+        h = np.zeros(len(start), dtype=np.uint64)
+        for p, sums, inverse in self.parts:
+            h = (h << np.uint64(31)) | ((sums[end] - sums[start]) % p * inverse[start] % p)
         h ^= (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         return h * np.uint64(0xC2B2AE3D27D4EB4F)

@@ -394,3 +394,87 @@ def test_links_that_only_the_second_round_finds(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_dedup.op9_near_dedup(frame).collect()}
     want = brute_components({i: near_dedup.shingle_set(t, 2) for i, t in enumerate(docs)})
     assert got == want and len(set(got.values())) == 2
+
+
+def test_spans_are_merged_in_one_pass():
+    rnd = random.Random(4)
+    for _ in range(200):
+        base = [("hex", a, a + rnd.randrange(1, 9)) for a in rnd.sample(range(80), rnd.randrange(12))]
+        spans, at = [], 0
+        while at < 70:
+            at += rnd.randrange(1, 9)
+            spans.append((at, at := at + rnd.randrange(1, 9)))
+        assert secrets.uncovered(spans, base) == [(a, b) for a, b in spans if not any(x <= a and b <= y for _, x, y in base)]
+
+
+def test_base_spans_of_a_whole_table(spark):
+    """The base part against a scan that walks the text character by character."""
+    def walk(text):
+        out, low = [], "".join(c.lower() if c.isascii() else c for c in text)
+        value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+        names = ("password", "passwd", "secret", "token", "api_key", "apikey")
+        i = 0
+        while i < len(text):
+            end = None
+            for n in names:
+                if low.startswith(n, i):
+                    j = i + len(n)
+                    j += j < len(text) and text[j] in "\"'"
+                    while j < len(text) and text[j] == " ":
+                        j += 1
+                    if j < len(text) and text[j] in ":=":
+                        j += 1
+                        while j < len(text) and text[j] == " ":
+                            j += 1
+                        j += j < len(text) and text[j] in "\"'"
+                        k = j
+                        while k < len(text) and text[k] in value:
+                            k += 1
+                        if k > j:
+                            end = k
+                            if k - j >= 8:
+                                out.append((i, 0, k, "assign"))
+                            break
+            i = end or i + 1
+        for kind, rank, head, chars, least in (("access", 1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", 2, "", set("0123456789abcdef"), 32)):
+            i = 0
+            while i < len(text):
+                k = i + len(head)
+                if text.startswith(head, i) and k < len(text) and text[k] in chars:
+                    while k < len(text) and text[k] in chars:
+                        k += 1
+                    if k - i >= least:
+                        out.append((i, rank, k, kind))
+                    i = k
+                else:
+                    i += 1
+        return out
+    rnd, parts = random.Random(8), ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "a1B2c3D4", "xyz", "AKIA", "AKIAABCDEFGHIJKL", "0f" * 17, "é", "\n", "/+-"]
+    made = [(-i, "".join(rnd.choice(parts) for _ in range(rnd.randrange(60)))) for i in range(1, 400)]
+    docs = documents(spark).select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
+    want = {}
+    for i, t in {**texts(spark), **dict(made)}.items():
+        spans = sorted(walk(t))
+        kinds = [k for *_, k in spans]
+        want[i] = (kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans).encode()).hexdigest())
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.op5_secrets(docs).collect()}
+    assert got == want and all(sum(v[k] for v in want.values()) > 20 for k in range(3))
+
+
+def test_a_row_repeated_often_is_dealt_in_blocks(spark):
+    rows = spark.createDataFrame([("a", 25), ("b", 1), ("c", 10), ("d", 1_000_000)], "_row string, _n long").withColumn("_s", F.lit(7))
+    for repeats in (1, 10, 1000):
+        some = rows.where("_n < 1000") if repeats < 1000 else rows
+        got = sharding.expanded(some, F.col("_s"), repeats).groupBy("_row").agg(F.count("*"), F.min("_x"), F.max("_x"), F.countDistinct("_x")).collect()
+        assert sorted(map(tuple, got)) == [(r._row, r._n, 7, 6 + r._n, r._n) for r in some.orderBy("_row").collect()]
+
+
+def test_string_hashes_withstand_patterns():
+    """Two Thue-Morse texts over two letters agree under any polynomial modulo a power of two."""
+    flip = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = (np.frombuffer(bytes(b"1?"[x ^ y] for x in flip), dtype=np.uint8) for y in (0, 1))
+    ends = np.array([256, 512, 1024])
+    zero = np.zeros(3, dtype=int)
+    assert (suffix_dedup.Slice(a).hashes(zero, ends) != suffix_dedup.Slice(b).hashes(zero, ends)).all()
+    both = suffix_dedup.Slice(np.concatenate((a, b, a)))
+    assert (both.hashes(zero + 2048, ends + 2048) == both.hashes(zero, ends)).all()
