@@ -31,6 +31,7 @@ class Settings:
     """Shingle length in words, similarity as a fraction, bands of rows, and miss probability of the pruning.
 
     36 bands of 5 rows miss a pair of similarity 0.8 with probability (1 - 0.8^5)^36 = 6e-7.
+    Sets up to ``exact`` shingles travel whole with their sketch.
     Buckets with over ``small`` pairs a member between components are split by a second shared band (miss 1e-5) before pairing.
     """
     words: int = 5
@@ -42,6 +43,7 @@ class Settings:
     small: int = 512
     bits: int = 4096
     hubs: int = 3
+    exact: int = 256
 
 
 CONTRACT = Settings(words=2)
@@ -142,11 +144,13 @@ def least_matches(s: Settings) -> list[tuple[int, int]]:
 
 
 def pruner(s: Settings):
+    stops = least_matches(s)
+
     @F.pandas_udf(T.BooleanType())
     def survives(a: pd.Series, b: pd.Series) -> pd.Series:
         x, y = (np.frombuffer(b"".join(v), dtype="<u2").reshape(len(v), -1) for v in (a, b))
         live, matches, done = np.arange(len(a)), np.zeros(len(a), int), 0
-        for upto, least in least_matches(s):
+        for upto, least in stops:
             matches[live] += (x[live, done:upto] == y[live, done:upto]).sum(axis=1)
             live, done = live[matches[live] >= least], upto
         out = np.zeros(len(a), bool)
@@ -202,9 +206,12 @@ def with_component(table: DataFrame, label: DataFrame, node: str) -> DataFrame:
 
 
 def hub_pairs(members: DataFrame, hubs: int) -> DataFrame:
-    """Pairs of each member of a bucket with its hubs: the member that shares most buckets of most members, and others drawn by a hash."""
+    """Pairs of each member of a bucket with its hubs: the member that shares most buckets of most members, and others drawn by a hash.
+
+    The hash is the member's own, so the buckets of one group draw the same few hubs and give each pair again, not new ones.
+    """
     score = members.groupBy("c").agg(F.sum("size").alias("score"))
-    drawn = [F.max(F.struct(F.xxhash64("band", "c", F.lit(i)).alias("score"), "c"))["c"] for i in range(1, hubs)]
+    drawn = [F.max(F.struct(F.xxhash64("c", F.lit(i)).alias("score"), "c"))["c"] for i in range(1, hubs)]
     hub = members.join(score, "c").groupBy("band").agg(F.array_distinct(F.array(F.max(F.struct("score", "c"))["c"], *drawn)).alias("h"))
     each = members.join(hub, "band").select("c", F.explode("h").alias("h")).where(C("c") != C("h"))
     return each.select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b")).distinct()
@@ -221,15 +228,16 @@ def most_differences(s: Settings) -> int:
 
 
 def bit_sketch(s: Settings):
-    """One bit of each of ``bits`` minima, in longs: a batch of rows small enough to travel with a bucket."""
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sketch(text: pd.Series) -> pd.Series:
+    """One bit of each of ``bits`` minima, in longs: a batch of rows small enough to travel with a bucket; of sets up to ``exact`` also the whole set."""
+    @F.pandas_udf("bits array<long>, own array<long>")
+    def sketch(text: pd.Series) -> pd.DataFrame:
         flip, factor = permutations(s.bits, 12)
         known, rows = WordHash(), []
         for t in text:
-            bits = (signature(hashed_shingles(t, s.words, known), flip, factor) & 1).astype(np.uint8)
-            rows.append(np.packbits(bits).view("<i8").astype(np.int64))
-        return pd.Series(rows)
+            u = hashed_shingles(t, s.words, known)
+            bits = (signature(u, flip, factor) & 1).astype(np.uint8)
+            rows.append((np.packbits(bits).view("<i8").astype(np.int64), u.astype(np.int64) if len(u) <= s.exact else None))
+        return pd.DataFrame(rows, columns=["bits", "own"])
     return sketch
 
 
@@ -237,7 +245,8 @@ def cross_pairs(members: DataFrame, label: DataFrame, nodes: DataFrame, s: Setti
     """Pairs of a bucket whose ends are in different components and may be similar by size and by their bit sketches.
 
     A bucket with more than ``small`` such pairs a member is first split by a second shared band. Elsewhere a
-    pair is given by the first of the buckets it shares.
+    pair is given by the first of the buckets it shares. Only members of mixed buckets are sketched. Pairs of
+    small sets that pass are compared whole right there, since near copies just below the similarity pass every sketch.
     """
     num, den = s.similarity
     m = with_component(members.select("band", "c"), label, "c")
@@ -248,14 +257,17 @@ def cross_pairs(members: DataFrame, label: DataFrame, nodes: DataFrame, s: Setti
     split = second.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "c", "comp", F.lit(True).alias("large")).distinct()
     rows = m.where(~C("large")).select("band", "c", "comp", "large").union(split)
     longs = s.bits // 64
-    brief = nodes.join(members.groupBy("c").agg(F.collect_list("band").alias("bands")), "c")  # as many as there are bands at most
-    brief = brief.select("c", "n", "bands", *[C("bits")[i].alias(f"k{i}") for i in range(longs)])
+    brief = nodes.join(m.groupBy("c").agg(F.collect_list("band").alias("bands")), "c")  # as many as there are bands at most
+    brief = common.written(brief.select("c", "n", "bands", bit_sketch(s)("text").alias("b")), "near-bits")
+    brief = brief.select("c", "n", "bands", "b.own", *[C("b.bits")[i].alias(f"k{i}") for i in range(longs)])
     rows = common.written(rows.join(brief, "c"), "near-buckets")
     other = rows.select(*[C(x).alias(f"{x}_") for x in rows.columns])
     differ = sum((F.bit_count(C(f"k{i}").bitwiseXOR(C(f"k{i}_"))) for i in range(longs)), F.lit(0))
     near = (F.least("n", "n_") * den >= F.greatest("n", "n_") * num) & (differ <= most_differences(s))
+    both = F.size(F.array_intersect("own", "own_"))
+    sure = C("own").isNull() | C("own_").isNull() | (both * (num + den) >= (F.size("own") + F.size("own_")) * num)
     once = C("large") | (F.array_min(F.array_intersect("bands", "bands_")) == C("band"))
-    pairs = rows.join(other, (C("band") == C("band_")) & (C("c") < C("c_")) & (C("comp") != C("comp_")) & near & once)
+    pairs = rows.join(other, (C("band") == C("band_")) & (C("c") < C("c_")) & (C("comp") != C("comp_")) & near & once & sure)
     return pairs.select(C("c").alias("a"), C("c_").alias("b")).distinct()
 
 
@@ -277,7 +289,7 @@ def group(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     members = common.written(bands.join(sizes, "band"), "near-members")
     wanted = nodes.join(members.select("c").distinct(), "c").select("c", "key", "n", "sig")
     texts = src.select("key", "text").join(wanted.select("key", "c", "n", "sig"), "key")
-    able = texts.dropDuplicates(["key"]).select("c", "n", "sig", "text", bit_sketch(s)("text").alias("bits"))
+    able = texts.dropDuplicates(["key"]).select("c", "n", "sig", "text")
     able = common.written(able, "near-texts")
     seen = common.written(hub_pairs(members, s.hubs), "near-pairs")
     label = components(verify(seen, able, s))
