@@ -187,29 +187,36 @@ def greedy_nonoverlap(spark: SparkSession, cand: DataFrame, keys: list[str], blo
     return kept if kept is not None else cand.select(*keys, *ID)
 
 
-def maximin(spark: SparkSession, cand: DataFrame, count: int, tie: list) -> DataFrame:
-    """First by the tie key, then repeatedly the core farthest from all chosen and overlapping none.
+def maximin(spark: SparkSession, cand: DataFrame, keys: list[str], count: int, tie: list[Column]) -> DataFrame:
+    """Per key: first the core that is greatest by ``tie``, then repeatedly the one farthest from all chosen and overlapping none.
 
-    The chosen cores number at most ``count``; they enter each round as literals.
+    ``tie``: numbers, greater ones first; they also break equal distances. All keys (config groups such as thresholds and
+    kinds) go through the same ``count`` rounds. A candidate carries its least distance so far, so a round is one
+    maximum per key, with map-side combine, and one update; picks and candidates stay in written tables.
     """
-    chosen: list = []
-    while len(chosen) < count:
-        q = cand
-        if chosen:
-            gaps = [F.hypot(F.col("centre_r") - s["centre_r"], F.col("centre_c") - s["centre_c"]) for s in chosen]
-            q = q.withColumn("gap", F.least(*gaps) if len(gaps) > 1 else gaps[0])
-            for s in chosen:
-                q = q.where((F.col("r0") + F.col("edge") <= s["r0"]) | (F.col("r0") >= s["r0"] + s["edge"])
-                            | (F.col("c0") + F.col("edge") <= s["c0"]) | (F.col("c0") >= s["c0"] + s["edge"]))
-            order = [F.desc("gap"), *tie]
-        else:
-            q, order = q.withColumn("gap", F.lit(None).cast("double")), tie
-        best = q.orderBy(*order).select(*ID, "centre_r", "centre_c", "gap").take(1)
-        if not best:
+    named = {f"_t{i}": t.cast("double") for i, t in enumerate(tie)}
+    live = cand.select(*keys, *ID, "centre_r", "centre_c", *[t.alias(n) for n, t in named.items()], F.lit(None).cast("double").alias("gap"))
+    live, picks = io.materialize(spark, live, "maximin"), None
+    for turn in range(1, count + 1):
+        best = live.groupBy(*keys).agg(F.max(F.struct("gap", *named, *ID, "centre_r", "centre_c")).alias("b")).select(*keys, F.lit(turn).alias("pick"), "b.*")
+        best = io.materialize(spark, best.drop(*named), "maximin-picks")
+        picks = best if picks is None else picks.unionByName(best)
+        if turn == count:
             break
-        chosen.append(best[0])
-    rows = [(i + 1, *(s[c] for c in ID), s["gap"]) for i, s in enumerate(chosen)]
-    return spark.createDataFrame(rows, "pick int, r0 long, c0 long, edge int, gap double")
+        last = best.select(*keys, *[F.col(c).alias(f"_{c}") for c in (*ID, "centre_r", "centre_c")])
+        far = live.join(last, keys)
+        boxes = [[F.col(f"{x}r0"), F.col(f"{x}c0"), F.col(f"{x}r0") + F.col(f"{x}edge"), F.col(f"{x}c0") + F.col(f"{x}edge")] for x in ("", "_")]
+        gap = F.hypot(F.col("centre_r") - F.col("_centre_r"), F.col("centre_c") - F.col("_centre_c"))
+        far = far.where(~geo.half_open_overlap(*boxes)).withColumn("gap", F.least("gap", gap))
+        live = io.materialize(spark, far.select(live.columns), "maximin")
+    return picks.select(*keys, "pick", *ID, "gap")
+
+
+def pick_order() -> list[Column]:
+    """Ties between candidates of a kind: for risk kinds first the scarcer risk and both together, then land, calibration, edge, row, column."""
+    sh, nz = F.col("holdout_shadow"), F.col("holdout_near_zero")
+    risk = F.col("kind") != KINDS[0]
+    return [F.when(risk, F.least(sh, nz)).otherwise(0), F.when(risk, sh + nz).otherwise(0), F.col("holdout_land"), F.col("calibration_land"), -F.col("edge"), -F.col("r0"), -F.col("c0")]
 
 
 def support_matrix(spark: SparkSession, cand: DataFrame, thresholds: list[tuple[int, int, int]]) -> DataFrame:

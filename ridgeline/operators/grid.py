@@ -29,13 +29,17 @@ def dense(cells: DataFrame, names: list[str]) -> DataFrame:
     return full.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in names})
 
 
-def halo_tiles(cells: DataFrame, tile: int, halo: int) -> DataFrame:
+def halo_copies(cells: DataFrame, tile: int, halo: int) -> DataFrame:
     """Copy each cell to every tile whose halo covers it (adds ``_tr``, ``_tc``)."""
     def span(x: str) -> Column:
         low = F.greatest(F.floor((F.col(x) - halo) / tile), F.lit(0))
         return F.explode(F.sequence(low, F.floor((F.col(x) + halo) / tile)))
-    return (cells.withColumn("_tr", span("r")).withColumn("_tc", span("c"))
-            .repartition("_tr", "_tc"))
+    return cells.withColumn("_tr", span("r")).withColumn("_tc", span("c"))
+
+
+def halo_tiles(cells: DataFrame, tile: int, halo: int) -> DataFrame:
+    """``halo_copies``, dealt by tile."""
+    return halo_copies(cells, tile, halo).repartition("_tr", "_tc")
 
 
 def owned(tile: int) -> Column:

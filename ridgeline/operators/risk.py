@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import masks
 from ..functions.numeric import ratio
+from ..sources import io
 from . import folds as fd
 from .prefix import average_ranks, exact_quantiles, running_sums, value_profile
 
@@ -159,31 +162,76 @@ def evaluate_scopes(rows: DataFrame, unit: DataFrame, keys: list[str], minimum:
     return {"summary": summary, "grid": grid, "points": points}
 
 
-def order_positions(rows: DataFrame, keys: list[str]) -> DataFrame:
+def order_positions(rows: DataFrame, keys: list[str], band: int = 64) -> DataFrame:
     """1-based position of each cell by reliability (highest first), then row and column.
 
-    Equal reliabilities may be a whole unit (a hard mask), so the place of a
-    tie group and the place inside it are counted separately, both in buckets.
+    Equal reliabilities may be a whole unit (a hard mask), so a tie group is cut into bands of rows: the place of a
+    band comes from counts, the place inside it from its own rows, and the offset travels by band.
     """
-    ties = rows.groupBy(*keys, "rel").agg(F.count("*").alias("_n"))
-    place = running_sums(ties, keys, [F.desc("rel")], F.floor(-F.col("rel") * 4096), {"_upto": F.col("_n")})
-    place = place.select(*keys, "rel", (F.col("_upto") - F.col("_n")).alias("_before"))
-    inside = running_sums(rows, [*keys, "rel"], ["r", "c"], F.floor(F.col("r") / 64), {"_pos": F.lit(1)})
-    return inside.join(place, [*keys, "rel"]).withColumn("position", F.col("_pos") + F.col("_before")).drop("_pos", "_before")
+    b = rows.withColumn("_b", F.floor(F.col("r") / band))
+    counts = b.groupBy(*keys, "rel", "_b").agg(F.count("*").alias("_n"))
+    place = running_sums(counts, keys, [F.desc("rel"), "_b"], F.floor(-F.col("rel") * 4096), {"_upto": F.col("_n")})
+    place = place.select(*keys, "rel", "_b", (F.col("_upto") - F.col("_n")).alias("_before"))
+    inside = b.withColumn("_pos", F.row_number().over(W.partitionBy(*keys, "rel", "_b").orderBy("r", "c")))
+    return inside.join(place, [*keys, "rel", "_b"]).withColumn("position", F.col("_pos") + F.col("_before")).drop("_b", "_pos", "_before")
 
 
-def curve_quantiles(res: DataFrame, keys: list[str], targets: list[int], width: float = 1 / 4096) -> DataFrame:
-    """Exact median and P90 of |error| at a few coverage targets (percent) of the curve.
+def entered(res: DataFrame, keys: list[str], pop: DataFrame, targets: int) -> DataFrame:
+    """Supported cells with ``q``, the smallest target whose first ceil(q n / targets) cells include them."""
+    ranked = order_positions(res.where(F.col("e").isNotNull()), keys)
+    q = F.floor((F.col("position") - 1) * targets / F.col("denominator").cast("decimal(20,0)")) + 1
+    return ranked.join(pop, keys).withColumn("q", q.cast("long"))
 
-    A cell is copied once per target it belongs to, so the list should be short.
+
+def nested_order_statistics(spark: SparkSession, counted: DataFrame, keys: list[str], wanted: DataFrame, targets: int, width: float, chunk: int = 4096) -> DataFrame:
+    """Values at given ranks within nested sets: the members of target q are all rows that entered at q or before.
+
+    ``counted``: keys, q (entry target), v, _n (rows); ``wanted``: keys, q, name, rank (from 0). Rows are cut by value into
+    chunks of about ``chunk``; counts by chunk and entry target, summed over targets and then over chunks, tell in which
+    chunk a rank lies, and only such chunks are opened, each with the ranks that fall into it. No row is copied per target.
     """
-    pop = res.groupBy(*keys).agg(F.count("*").alias("denominator"), F.count("e").alias("supported"))
-    ranked = order_positions(res.where(F.col("e").isNotNull()), keys).join(pop, keys)
-    need = F.ceil(F.col("q") * F.col("denominator") / F.lit(100).cast("decimal(20,0)"))
-    rows = ranked.withColumn("q", F.explode(F.array(*[F.lit(t) for t in targets])))
-    rows = rows.where((F.col("position") <= need) & (need <= F.col("supported")))
-    p = value_profile(rows, [*keys, "q"], F.abs("e"), {"median_abs": 0.5, "p90_abs": 0.9}, width)
-    return p.select(*keys, "q", F.col("rows").alias("selected"), "median_abs", "p90_abs")
+    run = running_sums(counted, keys, ["v", "q"], F.floor(F.col("v") / width), {"_cum": F.col("_n")})
+    cut = io.materialize(spark, run.withColumn("_chunk", F.floor((F.col("_cum") - 1) / chunk)).drop("_cum"), "chunks")
+    sizes = cut.groupBy(*keys, "_chunk", "q").agg(F.sum("_n").alias("_n"))
+    full = sizes.select(*keys, "_chunk").distinct().withColumn("q", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(targets).cast("long"))))
+    over_q = W.partitionBy(*keys, "_chunk").orderBy("q").rowsBetween(W.unboundedPreceding, 0)
+    held = full.join(sizes, [*keys, "_chunk", "q"], "left").withColumn("_h", F.coalesce(F.sum("_n").over(over_q), F.lit(0)))
+    over_chunk = W.partitionBy(*keys, "q").orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0)
+    held = held.withColumn("_to", F.sum("_h").over(over_chunk)).where("_h > 0")
+    ask = held.join(wanted, [*keys, "q"]).where((F.col("rank") >= F.col("_to") - F.col("_h")) & (F.col("rank") < F.col("_to")))
+    ask = ask.select(*keys, "_chunk", "q", "name", (F.col("rank") - F.col("_to") + F.col("_h")).alias("_at"))
+    ask = io.materialize(spark, ask, "ranks")
+    kind = {f.name: f.dataType for f in cut.schema.fields}
+    schema = T.StructType([*[T.StructField(k, kind[k]) for k in keys], T.StructField("q", T.LongType()), T.StructField("name", T.StringType()), T.StructField("value", T.DoubleType())])
+
+    def look(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if not len(asks):
+            return asks[[*keys, "q", "name"]].assign(value=[])
+        v, q, n = (rows[x].to_numpy() for x in ("v", "q", "_n"))
+        order = np.lexsort((q, v))
+        v, q, n = v[order], q[order], n[order]
+        target, at, out = asks["q"].to_numpy(), asks["_at"].to_numpy(), np.empty(len(asks))
+        for t in np.unique(target):
+            part = target == t
+            out[part] = v[np.searchsorted(np.cumsum(np.where(q <= t, n, 0)), at[part], side="right")]
+        return asks[[*keys, "q", "name"]].assign(value=out)
+    return cut.groupBy(*keys, "_chunk").cogroup(ask.groupBy(*keys, "_chunk")).applyInPandas(look, schema)
+
+
+def curve_quantiles(spark: SparkSession, res: DataFrame, keys: list[str], targets: int = 100, width: float = 1 / 4096) -> DataFrame:
+    """Exact median and P90 of |error| at every reachable coverage target of the curve (linear interpolation)."""
+    pop = io.materialize(spark, res.groupBy(*keys).agg(F.count("*").alias("denominator"), F.count("e").alias("supported")), "curve-units")
+    counted = entered(res, keys, pop, targets).groupBy(*keys, "q", F.abs("e").cast("double").alias("v")).agg(F.count("*").alias("_n"))
+    need = F.ceil(F.col("q") * F.col("denominator") / F.lit(targets).cast("decimal(20,0)")).cast("long")
+    ks = pop.withColumn("q", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(targets).cast("long")))).withColumn("selected", need)
+    ks = io.materialize(spark, ks.where(F.col("selected").between(1, F.col("supported"))).select(*keys, "q", "selected"), "curve-targets")
+    at = {n: (F.col("selected") - 1) * F.lit(p) for n, p in (("median_abs", 0.5), ("p90_abs", 0.9))}
+    ranks = F.array(*[F.struct(F.lit(f"{side}_{n}").alias("name"), f(x).cast("long").alias("rank")) for n, x in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    wanted = ks.select(*keys, "q", F.explode(ranks).alias("_w")).select(*keys, "q", "_w.*")
+    got = nested_order_statistics(spark, counted, keys, wanted, targets, width)
+    wide = got.groupBy(*keys, "q").agg(*[F.max(F.when(F.col("name") == f"{side}_{n}", F.col("value"))).alias(f"{side}_{n}") for n in at for side in ("lo", "hi")])
+    between = {n: F.col(f"lo_{n}") + (F.col(f"hi_{n}") - F.col(f"lo_{n}")) * (x - F.floor(x)) for n, x in at.items()}
+    return ks.join(wide, [*keys, "q"]).select(*keys, "q", "selected", *[v.alias(n) for n, v in between.items()])
 
 
 def coverage_curve(res: DataFrame, keys: list[str], targets: int = 100) -> DataFrame:
@@ -194,13 +242,8 @@ def coverage_curve(res: DataFrame, keys: list[str], targets: int = 100) -> DataF
     rows, so cells are never multiplied by the number of targets.
     """
     pop = res.groupBy(*keys).agg(F.count("*").alias("denominator"), F.count("e").alias("supported"))
-    s = res.where(F.col("e").isNotNull())
-    ranked = order_positions(s, keys)
     n = F.col("denominator")
-    # smallest q with ceil(q n / targets) >= position, in integers
-    q = F.floor((F.col("position") - 1) * targets / n.cast("decimal(20,0)")) + 1
-    entered = ranked.join(pop, keys).withColumn("q", q.cast("long"))
-    per_q = entered.groupBy(*keys, "q").agg(F.count("*").alias("_n"), F.sum(F.abs("e")).alias("_s"))
+    per_q = entered(res, keys, pop, targets).groupBy(*keys, "q").agg(F.count("*").alias("_n"), F.sum(F.abs("e")).alias("_s"))
     ks = pop.withColumn("q", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(targets).cast("long"))))
     w = W.partitionBy(*keys).orderBy("q").rowsBetween(W.unboundedPreceding, 0)
     g = ks.join(per_q, [*keys, "q"], "left").withColumns({"_n": F.sum("_n").over(w), "_s": F.sum("_s").over(w)})

@@ -62,6 +62,86 @@ def sky_view(dem: DataFrame, value: str, res: float, n_az: int, distance: float,
     return out.withColumn("v_sky", F.when(~F.isnan("v_sky"), F.col("v_sky")))
 
 
+def tile_edge(dem: DataFrame, most: int = 256, least: int = 16) -> int:
+    """``most``, or less where a grid is too small to give every core a tile."""
+    last = grid.extent(dem).first()
+    h, w = (0, 0) if last[0] is None else (last[0] + 1, last[1] + 1)
+    edge = most
+    while edge > least and math.ceil(h / edge) * math.ceil(w / edge) < dem.sparkSession.sparkContext.defaultParallelism:
+        edge //= 2
+    return edge
+
+
+def far_sky_view(dem: DataFrame, value: str, res: float, n_az: int, distance: float, curvature: bool = True, tile: int | None = None) -> DataFrame:
+    """v_sky per cell for search distances of many kilometres, on a pyramid of the surface.
+
+    Sight lines step by 1, 2 and 4 cells past 1 and 5 km, so far samples are read from means over 2 x 2 and 4 x 4
+    cells (a plane is read exactly). A tile takes a halo of its own level for each band of distance: some 36 cells,
+    then 5 km of cells twice as wide, then the rest of cells four times as wide. So a group holds a few
+    hundred thousand rows at 20 km, where a halo of full cells would hold over a million. An empty cell near the
+    line, or a coarse cell without any value, makes the value null. ``tile`` (a multiple of 4) does not change the result.
+    """
+    tile = tile or tile_edge(dem)
+    steps = np.asarray(arrays.growing_distances(distance, res))
+    width = np.rint(np.diff(np.concatenate(([0.0], steps))) / res).astype(int)
+    drop = steps ** 2 / (2 * pixel.EARTH_RADIUS_M) if curvature else np.zeros_like(steps)
+    levels = sorted(set(width.tolist()))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        tr, tc, rmax, cmax = (int(pdf[x].iloc[0]) for x in ("_tr", "_tc", "_rmax", "_cmax"))
+        arrays_, own_r, own_c = {}, None, None
+        for f, part in pdf.groupby("_f"):
+            r, c = part["r"].to_numpy(), part["c"].to_numpy()
+            low = int(r.min()), int(c.min())
+            z = np.full((int(r.max()) - low[0] + 1, int(c.max()) - low[1] + 1), np.nan)
+            z[r - low[0], c - low[1]] = part[value].to_numpy(dtype="float64")
+            arrays_[int(f)] = z, low
+            if f == 1:
+                mine = (r // tile == tr) & (c // tile == tc)
+                own_r, own_c = r[mine], c[mine]
+        if own_r is None or not len(own_r):
+            return pd.DataFrame({"r": [], "c": [], "v_sky": []})
+
+        def sample(f, y, x):
+            z, low = arrays_[f]
+            last = rmax // f, cmax // f
+            y = np.clip((np.clip(y, 0, rmax) - (f - 1) / 2) / f, 0, last[0])
+            x = np.clip((np.clip(x, 0, cmax) - (f - 1) / 2) / f, 0, last[1])
+            y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+            wy, wx = y - y0, x - x0
+            total = np.zeros(y.shape)
+            for dy, dx, w in ((0, 0, (1 - wy) * (1 - wx)), (1, 0, wy * (1 - wx)), (0, 1, (1 - wy) * wx), (1, 1, wy * wx)):
+                yy, xx = np.minimum(y0 + dy, last[0]) - low[0], np.minimum(x0 + dx, last[1]) - low[1]
+                total += np.where(w > 0, w * z[np.minimum(yy, z.shape[0] - 1), np.minimum(xx, z.shape[1] - 1)], 0.0)
+            return total
+
+        pr, pc = own_r.astype("float64"), own_c.astype("float64")
+        own, sky, batch = sample(1, pr, pc), np.zeros(len(pr)), max(1, 100_000 // len(pr))
+        for az in np.arange(n_az) * (2 * np.pi / n_az):
+            horizon = np.zeros(len(pr))
+            for f in levels:
+                far, low = steps[width == f], drop[width == f]
+                for at in range(0, len(far), batch):
+                    dist = far[at:at + batch, None]
+                    seen = sample(f, pr - dist * np.cos(az) / res, pc + dist * np.sin(az) / res)
+                    tangent = (seen - own - low[at:at + batch, None]) / dist
+                    horizon = np.maximum(horizon, tangent.max(axis=0))  # keeps NaN
+            sky += 1.0 / (1.0 + horizon ** 2)
+        return pd.DataFrame({"r": own_r, "c": own_c, "v_sky": sky / n_az})
+
+    rows = None
+    for f in levels:
+        cells = dem.select("r", "c", value)
+        if f > 1:
+            cells = cells.groupBy(F.floor(F.col("r") / f).alias("r"), F.floor(F.col("c") / f).alias("c")).agg(F.avg(value).alias(value))
+        halo = int(math.ceil(steps[width == f].max() / (res * f))) + 2
+        part = grid.halo_copies(cells, tile // f, halo).withColumn("_f", F.lit(f))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.crossJoin(F.broadcast(grid.extent(dem)))
+    out = rows.groupBy("_tr", "_tc").applyInPandas(search, "r long, c long, v_sky double")
+    return out.withColumn("v_sky", F.when(~F.isnan("v_sky"), F.col("v_sky")))
+
+
 def sky_view_join(points: DataFrame, dem: DataFrame, value: str, res: float, n_az: int, distance: float,
                   curvature: bool = False) -> DataFrame:
     """The same for a list of points ``(pid, r, c)``: sight lines as rows, sampled by one join."""

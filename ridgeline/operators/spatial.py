@@ -1,10 +1,11 @@
-"""Spatial statistics: sampled variograms, components of a mask."""
+"""Spatial statistics: exact sums over pairs by lag, components of a mask."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from ..functions.numeric import ratio
 from ..sources import io
 
 
@@ -39,15 +40,79 @@ def sample_pairs(sample: DataFrame, keys: list[str], pairs: int, seed: str) -> D
     return j.select(*keys, "p", F.hypot(F.col("r1") - F.col("r2"), F.col("c1") - F.col("c2")).alias("dist"), (d * d * 0.5).alias("half_sq"))
 
 
-def variogram(points: DataFrame, shape: tuple[int, int], res: float, sample: int, pairs: int, bins: int, fraction: float,
-              min_pairs: int, seed: str) -> DataFrame:
-    """Lag bins of the empirical semivariogram of ``points(r, c, v)``."""
-    max_lag = min(shape) * res * fraction
-    s = sample_points(points.withColumn("_k", F.lit(1)), ["_k"], sample, seed)
-    p = sample_pairs(s, ["_k"], pairs, seed).withColumn("dist", F.col("dist") * res).where((F.col("dist") > 0) & (F.col("dist") <= max_lag))
-    b = F.least(F.floor(F.col("dist") / (max_lag / bins)), F.lit(bins - 1))
-    g = p.groupBy(b.cast("int").alias("lag")).agg(F.count("*").alias("pairs"), F.avg("dist").alias("mean_lag"), F.avg("half_sq").alias("gamma"))
-    return g.withColumn("sufficient", F.col("pairs") >= min_pairs)
+def dense_tiles(points: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """One row a key and tile with its values ``v`` as a square of doubles (bytes); absent cells are NaN. The group is one tile."""
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = np.full((tile, tile), np.nan)
+        z[pdf["r"].to_numpy() % tile, pdf["c"].to_numpy() % tile] = pdf["v"].to_numpy(dtype="float64")
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in [*keys, "_tr", "_tc"]}, "_z": [z.tobytes()]})
+    rows = points.select(*keys, "r", "c", "v").where(F.col("v").isNotNull()).withColumns(
+        {"_tr": F.floor(F.col("r") / tile).cast("long"), "_tc": F.floor(F.col("c") / tile).cast("long")})
+    fields = [f for f in rows.schema.fields if f.name in (*keys, "_tr", "_tc")]
+    schema = T.StructType([*fields, T.StructField("_z", T.BinaryType())])
+    return rows.groupBy(*keys, "_tr", "_tc").applyInPandas(pack, schema)
+
+
+def pair_sums(a: bytes, b: bytes, tile: int, down: int, right: int, edges: np.ndarray) -> list[dict]:
+    """Pairs, distances and half squared differences by lag class between two tiles, over all offsets at once.
+
+    Sums over all pairs of one offset are correlations of values and masks: products of transforms. Values are centred first.
+    """
+    x, y = (np.frombuffer(v, dtype="float64").reshape(tile, tile) for v in (a, b))
+    mx, my = ~np.isnan(x), ~np.isnan(y)
+    centre = (x[mx].sum() + y[my].sum()) / (mx.sum() + my.sum())
+    x, y = np.where(mx, x - centre, 0.0), np.where(my, y - centre, 0.0)
+    size = (2 * tile, 2 * tile)
+    fx, fx2, fm = (np.conj(np.fft.rfft2(v, size)) for v in (x, x * x, mx.astype(float)))
+    gy, gy2, gm = (np.fft.rfft2(v, size) for v in (y, y * y, my.astype(float)))
+    pairs = np.rint(np.fft.irfft2(fm * gm, size))
+    half = np.fft.irfft2((fx2 * gm + fm * gy2) / 2 - fx * gy, size)
+    step = np.fft.fftfreq(2 * tile, 1 / (2 * tile))
+    dist = np.hypot(down * tile + step[:, None], right * tile + step[None, :])
+    use = (pairs > 0) & (dist > 0) & (dist >= edges[0]) & (dist <= edges[-1])
+    lag = np.searchsorted(edges[1:-1], dist[use], side="right")
+    share = 0.5 if down == right == 0 else 1.0  # a tile meets itself from both sides
+    n, d, g = (np.bincount(lag, weights=w[use] * share, minlength=len(edges) - 1) for w in (pairs, pairs * dist, half))
+    return [{"lag": i, "pairs": int(round(n[i])), "dist": d[i], "half_sq": max(g[i], 0.0)} for i in range(len(n)) if n[i] > 0]
+
+
+LAGS = T.ArrayType(T.StructType([T.StructField("lag", T.IntegerType()), T.StructField("pairs", T.LongType()),
+                                 T.StructField("dist", T.DoubleType()), T.StructField("half_sq", T.DoubleType())]))
+
+
+def lag_sums(points: DataFrame, keys: list[str], edges: DataFrame, tile: int = 128) -> DataFrame:
+    """Exact pair counts, sums of distances (in cells) and of half squared differences by lag class of all pairs of points of a key.
+
+    ``points``: keys, r, c, v, one row a cell; ``edges``: keys, edges (rising array; classes are half open, the last closed;
+    distance zero never counts). Nothing is drawn: a pair of tiles gives the sums of all its offsets
+    in one task, and only tiles within the last edge meet. Work follows tile pairs, not cell pairs.
+    """
+    tiles = io.materialize(points.sparkSession, dense_tiles(points, keys, tile), "lag-tiles")
+    near = tiles.join(edges, keys).withColumn("_m", F.ceil(F.element_at("edges", -1) / tile).cast("long") + 1)
+    ways = F.expr("flatten(transform(sequence(0L, _m), i -> transform(sequence(IF(i = 0, 0L, -_m), _m), j -> struct(i AS i, j AS j))))")
+    one = near.select(*keys, "edges", F.col("_z").alias("_a"), "_tr", "_tc", F.explode(ways).alias("_w"))
+    one = one.where(F.hypot(F.greatest(F.abs("_w.i") - 1, F.lit(0)), F.greatest(F.abs("_w.j") - 1, F.lit(0))) * tile <= F.element_at("edges", -1))
+    one = one.select(*keys, "edges", "_a", "_w", (F.col("_tr") + F.col("_w.i")).alias("_tr"), (F.col("_tc") + F.col("_w.j")).alias("_tc"))
+
+    @F.pandas_udf(LAGS)
+    def sums(a: pd.Series, b: pd.Series, i: pd.Series, j: pd.Series, edges: pd.Series) -> pd.Series:
+        return pd.Series([pair_sums(*row[:2], tile, int(row[2]), int(row[3]), np.asarray(row[4], dtype=float)) for row in zip(a, b, i, j, edges, strict=True)], dtype=object)
+    both = one.join(tiles.withColumnRenamed("_z", "_b"), [*keys, "_tr", "_tc"])
+    rows = both.select(*keys, F.explode(sums("_a", "_b", "_w.i", "_w.j", "edges")).alias("x")).select(*keys, "x.*")
+    return rows.groupBy(*keys, "lag").agg(F.sum("pairs").alias("pairs"), F.sum("dist").alias("dist"), F.sum("half_sq").alias("half_sq"))
+
+
+def variogram(points: DataFrame, shape: tuple[int, int], res: float, bins: int, fraction: float, min_pairs: int) -> DataFrame:
+    """Lag bins of the semivariogram over all pairs of ``points(r, c, v)``, with the number of points (population).
+
+    Lags reach ``fraction`` of the shorter side of the grid; bins without pairs give no row.
+    """
+    far = min(shape) * fraction
+    p = points.withColumn("_k", F.lit(1))
+    edges = p.sparkSession.range(1).select(F.lit(1).alias("_k"), F.array(*[F.lit(i * (far / bins)) for i in range(bins)], F.lit(far)).alias("edges"))
+    g = lag_sums(p, ["_k"], edges).crossJoin(F.broadcast(points.where(F.col("v").isNotNull()).agg(F.count("*").alias("population"))))
+    return g.select("lag", "pairs", (F.col("dist") / F.col("pairs") * res).alias("mean_lag"), (F.col("half_sq") / F.col("pairs")).alias("gamma"),
+                    (F.col("pairs") >= min_pairs).alias("sufficient"), "population")
 
 
 def variogram_range(bins_df: DataFrame, bins: int, tail: int, share: float = 0.95, tolerance: float = 0.2, min_bins: int = 6) -> DataFrame:
@@ -66,20 +131,21 @@ def variogram_range(bins_df: DataFrame, bins: int, tail: int, share: float = 0.9
                           .when(F.coalesce("sill", F.lit(0.0)) <= 0, "nonpositive_sill").when(F.col("range_lag").isNull(), "no_stable_range"))
 
 
-def two_bin_check(res: DataFrame, keys: list[str], near: float, sample: int, pairs: int, min_support: int, min_pairs: int, seed: str) -> DataFrame:
-    """Semivariance of residuals in two lag bins past ``near`` cells against the variance, with inconclusive states."""
+def two_bin_check(res: DataFrame, keys: list[str], near: float, min_support: int = 200, min_pairs: int = 200) -> DataFrame:
+    """Semivariance of all pairs of residuals in two lag bins past ``near`` cells against the variance, with inconclusive states.
+
+    Gives support (residuals), extent (cells), pairs and semivariance of both bins, sill and status of every key.
+    """
     pts = res.where(F.col("e").isNotNull()).select(*keys, "r", "c", F.col("e").alias("v"))
-    box = pts.groupBy(*keys).agg(F.count("*").alias("support"), F.hypot(F.max("c") - F.min("c"), F.max("r") - F.min("r")).alias("extent"))
+    box = pts.groupBy(*keys).agg(F.count("*").alias("support"), F.hypot(F.max("c") - F.min("c"), F.max("r") - F.min("r")).alias("extent"), F.var_pop("v").alias("sill"))
+    box = io.materialize(res.sparkSession, box, "lag-units")
     ok = box.where((F.col("support") >= min_support) & (F.col("extent") > near))
-    s = sample_points(pts.join(ok.select(*keys), keys, "left_semi"), keys, sample, seed)
-    var = s.groupBy(*keys).agg(F.var_pop("v").alias("sill"))
-    p = sample_pairs(s, keys, pairs, seed).join(ok, keys)
     mid = (F.col("extent") + near) / 2
-    first = (F.col("dist") >= near) & (F.col("dist") < mid)
-    second = (F.col("dist") >= mid) & (F.col("dist") <= F.col("extent"))
-    g = p.groupBy(*keys).agg(F.count_if(first).alias("pairs1"), F.count_if(second).alias("pairs2"),
-                             F.avg(F.when(first, F.col("half_sq"))).alias("gamma1"), F.avg(F.when(second, F.col("half_sq"))).alias("gamma2"))
-    j = box.join(var, keys, "left").join(g, keys, "left")
+    edges = ok.select(*keys, F.array(F.lit(near), mid, F.col("extent")).alias("edges"))
+    g = lag_sums(pts.join(ok.select(*keys), keys, "left_semi"), keys, edges)
+    pick = lambda i, x: F.max(F.when(F.col("lag") == i, x))  # noqa: E731  one row a lag
+    g = g.groupBy(*keys).agg(*[f for i in (0, 1) for f in (pick(i, F.col("pairs")).alias(f"pairs{i + 1}"), pick(i, F.col("half_sq") / F.col("pairs")).alias(f"gamma{i + 1}"))])
+    j = box.join(g, keys, "left")
     enough = (F.col("pairs1") >= min_pairs) & (F.col("pairs2") >= min_pairs) & (F.col("sill") > 0)
     warn = (F.col("gamma1") < 0.95 * F.col("sill")) & (F.col("gamma2") < 0.95 * F.col("sill"))
     return j.withColumn("status", F.when(F.col("support") < min_support, "inconclusive_insufficient_residual_support")

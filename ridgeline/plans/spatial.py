@@ -53,19 +53,50 @@ def halo_tiles(s, d):
         F.count("*").alias("cells"), F.count_if((F.floor(C("r") / 16) == C("_tr")) & (F.floor(C("c") / 16) == C("_tc"))).alias("owned"), F.sum("p_size").alias("total"))
 
 
+def far_sql(settings):
+    """Sight lines of every cell on the pyramid, in long form."""
+    steps = {d: arrays.growing_distances(d, views.RES) for _, d in settings}
+    width = lambda d: [round((x - y) / views.RES) for x, y in zip(steps[d], [0.0, *steps[d]])]
+    rows = ",".join(f"({n},{dist:g}e0,{x:g}e0,{f})" for n, dist in settings for x, f in zip(steps[dist], width(dist)))
+    corner = lambda i, j: f"LEFT JOIN lv l{i}{j} ON l{i}{j}.f=s.f AND l{i}{j}.r=least(y0+{i}, rmax//s.f) AND l{i}{j}.c=least(x0+{j}, cmax//s.f)"
+    part = lambda i, j: f"CASE WHEN {'wy' if i else '(1-wy)'}*{'wx' if j else '(1-wx)'}>0 THEN {'wy' if i else '(1-wy)'}*{'wx' if j else '(1-wx)'}*l{i}{j}.z ELSE 0 END"
+    pairs = [(0, 0), (1, 0), (0, 1), (1, 1)]
+    return f"""WITH lv AS MATERIALIZED (SELECT f, r//f AS r, c//f AS c, avg(zf) AS z FROM dem, (VALUES (1),(2),(4)) q(f) GROUP BY 1,2,3),
+    st AS (SELECT * FROM (VALUES {rows}) q(n_az, distance, dist, f)),
+    w AS (SELECT d.r AS pr, d.c AS pc, d.zf AS z0, st.*, az, d.r-dist*cos(az*(2*pi()/n_az))/30e0 AS y, d.c+dist*sin(az*(2*pi()/n_az))/30e0 AS x FROM dem d, st, range(0,144) t(az) WHERE az<n_az),
+    k AS (SELECT w.*, rmax, cmax, least(greatest((least(greatest(y,0),rmax)-(f-1)/2e0)/f,0),rmax//f) AS yy, least(greatest((least(greatest(x,0),cmax)-(f-1)/2e0)/f,0),cmax//f) AS xx FROM w, ext),
+    s AS (SELECT *, floor(yy)::BIGINT AS y0, floor(xx)::BIGINT AS x0, yy-floor(yy) AS wy, xx-floor(xx) AS wx FROM k),
+    h AS (SELECT pr, pc, n_az, distance, az, greatest(max(({"+".join(part(*p) for p in pairs)}-z0-dist*dist/(2*6371000e0))/dist),0e0) AS t FROM s {" ".join(corner(*p) for p in pairs)} GROUP BY 1,2,3,4,5)
+    SELECT n_az, distance, pr AS r, pc AS c, {R('avg(1e0/(1e0+t*t))')} AS v_sky FROM h GROUP BY 1,2,3,4"""
+
+
+FAR_SETTINGS = [(36, 10000.0), (72, 5000.0)]
+
+
+@query("sp01_far_sky_view", far_sql(FAR_SETTINGS))
+def far_sky_view(s, d):
+    """Two settings of the far search, with curvature."""
+    dem, out = views.dem(s, d), None
+    for n, dist in FAR_SETTINGS:
+        v = skyview.far_sky_view(dem, "zf", views.RES, n, dist).select(F.lit(n).alias("n_az"), F.lit(dist).alias("distance"), "r", "c", *r6c("v_sky"))
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
 @query("sp03_convergence_gate")
 def convergence_gate(s, d):
+    """Azimuth counts 36 to 144 and distances 5 to 20 km, with curvature, over every cell."""
     dem, maps = views.dem(s, d), {}
 
     def compared(lower, upper):
         for k in (lower, upper):
             if k not in maps:
-                maps[k] = io.materialize(s, skyview.sky_view(dem, "zf", views.RES, *k, curvature=True), "sky")
+                maps[k] = io.materialize(s, skyview.far_sky_view(dem, "zf", views.RES, *k), "sky")
         x, y = maps[lower].withColumnRenamed("v_sky", "u"), maps[upper].withColumnRenamed("v_sky", "w")
         g = risk.agreement(x.join(y, ["r", "c"]).where("u IS NOT NULL AND w IS NOT NULL"), "u", "w", 1 / 4096)
         return g.select("n", *r6c("rho", "max_abs", "p99_abs"),
                         F.coalesce((C("max_abs") <= 0.01) & (C("p99_abs") <= 0.005) & (C("rho") >= 0.999), F.lit(False)).alias("converged"))
-    return risk.convergence_gate(s, compared, [4, 8, 16, 32], [90.0, 150.0, 300.0])
+    return risk.convergence_gate(s, compared, [36, 72, 144], [5000.0, 10000.0, 20000.0])
 
 
 @query("sp04_fold_topology", f"""SELECT k, 6e0 AS nearest_other_core, core AS core_cells, buffer AS buffer_cells, dom AS domain_cells, total AS total_cells, {R('mind')} AS min_core_domain_distance,
@@ -130,10 +161,21 @@ def greedy_nonoverlap(s, d):
     return cd.greedy_nonoverlap(s, cd.qualifying(records(s, d), THRESHOLDS), [*TRIPLE, "kind"])
 
 
-@query("sp12_maximin_folds")
+SP12 = """WITH RECURSIVE q AS MATERIALIZED (SELECT min_calibration, min_holdout, min_risk, kind, r0, c0, edge, r0+(edge-1)/2e0+5e-1 AS y, c0+(edge-1)/2e0+5e-1 AS x,
+      CASE WHEN kind='clean' THEN 0 ELSE least(holdout_shadow, holdout_near_zero) END AS t0, CASE WHEN kind='clean' THEN 0 ELSE holdout_shadow+holdout_near_zero END AS t1, holdout_land, calibration_land FROM qual),
+    g AS (SELECT min_calibration, min_holdout, min_risk, kind, 1 AS pick, r0, c0, edge, NULL::DOUBLE AS gap, [{'y': y, 'x': x, 'r': r0, 'c': c0, 'e': edge}] AS s FROM q
+      QUALIFY row_number() OVER (PARTITION BY min_calibration, min_holdout, min_risk, kind ORDER BY t0 DESC, t1 DESC, holdout_land DESC, calibration_land DESC, edge, r0, c0)=1
+      UNION ALL SELECT min_calibration, min_holdout, min_risk, kind, pick, r0, c0, edge, gap, list_append(s, {'y': y, 'x': x, 'r': r0, 'c': c0, 'e': edge}) FROM (
+        SELECT q.*, g.pick+1 AS pick, s, list_min(list_transform(s, lambda p: sqrt((p.y-q.y)*(p.y-q.y)+(p.x-q.x)*(p.x-q.x)))) AS gap FROM g JOIN q USING (min_calibration, min_holdout, min_risk, kind)
+        WHERE g.pick<5 AND len(list_filter(s, lambda p: p.r<q.r0+q.edge AND q.r0<p.r+p.e AND p.c<q.c0+q.edge AND q.c0<p.c+p.e))=0)
+      QUALIFY row_number() OVER (PARTITION BY min_calibration, min_holdout, min_risk, kind ORDER BY gap DESC, t0 DESC, t1 DESC, holdout_land DESC, calibration_land DESC, edge, r0, c0)=1)
+    """
+
+
+@query("sp12_maximin_folds", SP12 + f"SELECT min_calibration, min_holdout, min_risk, kind, pick, r0, c0, edge, {R('gap')} AS gap FROM g")
 def maximin_folds(s, d):
-    q = io.materialize(s, cd.qualifying(records(s, d), THRESHOLDS[:1]).where("kind = 'clean'"), "clean")
-    return cd.maximin(s, q, 5, [F.desc("holdout_land"), F.desc("calibration_land"), "edge", "r0", "c0"])
+    m = cd.maximin(s, cd.qualifying(records(s, d), THRESHOLDS), [*TRIPLE, "kind"], 5, cd.pick_order())
+    return m.select(*TRIPLE, "kind", "pick", *cd.ID, *r6c("gap"))
 
 
 @query("sp13_support_matrix")
@@ -146,33 +188,62 @@ def grid_shape(pts):
     return last[0] + 1, last[1] + 1
 
 
-HASH = "(('0x'||substr(md5({}),1,15))::BIGINT)"
+LAG_SQL = f"""WITH p AS (SELECT r, c, z AS v FROM dem WHERE z IS NOT NULL), f AS (SELECT (least(max(r), max(c))+1)*5e-1 AS far, count(*) AS population FROM p),
+    pr AS (SELECT sqrt(((a.r-b.r)*(a.r-b.r)+(a.c-b.c)*(a.c-b.c))::DOUBLE) AS dist, (a.v-b.v)*(a.v-b.v)/2 AS g FROM p a JOIN p b ON a.r<b.r OR (a.r=b.r AND a.c<b.c)),
+    v AS (SELECT len(list_filter(range(1,12), lambda i: i*(far/12)<=dist))::INT AS lag, count(*) AS pairs, avg(dist)*30 AS mean_lag, avg(g) AS gamma, count(*)>=30 AS sufficient,
+      any_value(population) AS population FROM pr, f WHERE dist<=far GROUP BY 1)"""
 
 
-@query("sp14_semivariogram", f"""WITH p0 AS (SELECT r, c, z AS v, row_number() OVER (ORDER BY {HASH.format("'v1|'||r::VARCHAR||'|'||c::VARCHAR")}, r, c)-1 AS i FROM dem WHERE z IS NOT NULL),
-    p AS (SELECT * FROM p0 WHERE i<800), n AS (SELECT count(*) AS n FROM p),
-    dr AS (SELECT {HASH.format("'v1|L|'||q::VARCHAR")}%n AS i1, {HASH.format("'v1|R|'||q::VARCHAR")}%n AS i2 FROM range(0,20000) t(q), n),
-    pr AS (SELECT 30*sqrt(pow(a.r-b.r,2)+pow(a.c-b.c,2)) AS dist, (a.v-b.v)*(a.v-b.v)/2 AS g FROM dr JOIN p a ON a.i=i1 JOIN p b ON b.i=i2 WHERE i1<>i2)
-    SELECT least(floor(dist/(far/12)),11)::INT AS lag, count(*) AS pairs, {R('avg(dist)')} AS mean_lag, {R('avg(g)')} AS gamma, count(*)>=30 AS sufficient
-    FROM pr, (SELECT least(max(r), max(c))*15e0+15e0 AS far FROM dem WHERE z IS NOT NULL) WHERE dist>0 AND dist<=far GROUP BY 1""")
-def semivariogram(s, d):
+def lag_bins(s, d):
     pts = views.dem(s, d).where("z IS NOT NULL").select("r", "c", C("z").alias("v"))
-    g = st.variogram(pts, grid_shape(pts), 30.0, 800, 20000, 12, 0.5, 30, "v1")
-    return g.select("lag", "pairs", *r6c("mean_lag", "gamma"), "sufficient")
+    return st.variogram(pts, grid_shape(pts), 30.0, 12, 0.5, 30)
 
 
-@query("sp14_variogram_range")
+@query("sp14_semivariogram", f"{LAG_SQL} SELECT lag, pairs, {R('mean_lag')} AS mean_lag, {R('gamma')} AS gamma, sufficient, population FROM v")
+def semivariogram(s, d):
+    return lag_bins(s, d).select("lag", "pairs", *r6c("mean_lag", "gamma"), "sufficient", "population")
+
+
+@query("sp14_variogram_range", f"""{LAG_SQL}, k AS (SELECT i::INT AS lag, coalesce(sufficient, false) AS sufficient, gamma FROM range(0,12) t(i) LEFT JOIN v ON i=lag),
+    s AS (SELECT count(*) FILTER (WHERE sufficient) AS populated, bool_and(sufficient) FILTER (WHERE lag>=8) AS tail_ok, median(gamma) FILTER (WHERE lag>=8) AS sill FROM k),
+    j AS (SELECT *, bool_and(coalesce(sufficient AND abs(gamma-sill)<=sill*2e-1, false)) OVER (ORDER BY lag DESC) AS stable FROM k, s),
+    r AS (SELECT populated, tail_ok, sill, min(lag) FILTER (WHERE stable AND gamma>=sill*95e-2) AS range_lag FROM j GROUP BY 1,2,3)
+    SELECT populated, tail_ok, {R('sill')} AS sill, range_lag, CASE WHEN populated<6 THEN 'too_few_populated_bins' WHEN NOT tail_ok THEN 'tail_bins_insufficient' WHEN coalesce(sill,0)<=0 THEN 'nonpositive_sill'
+      WHEN range_lag IS NULL THEN 'no_stable_range' END AS reason FROM r""")
 def variogram_range(s, d):
-    pts = views.dem(s, d).where("z IS NOT NULL").select("r", "c", C("z").alias("v"))
-    g = io.materialize(s, st.variogram(pts, grid_shape(pts), 30.0, 800, 20000, 12, 0.5, 30, "v1"), "bins")
+    g = io.materialize(s, lag_bins(s, d).drop("population"), "bins")
     return st.variogram_range(g, 12, 4).select("populated", "tail_ok", *r6c("sill"), "range_lag", "reason")
 
 
-@query("sp15_two_bin_check")
-def two_bin_check(s, d):
+def two_bin_sql(unit):
+    on = " AND ".join(f"a.{k}=b.{k}" for k in unit.split(","))
+    return f"""WITH p AS MATERIALIZED (SELECT a,k,band,r,c,e FROM resid WHERE e IS NOT NULL),
+    x AS (SELECT {unit}, count(*) AS support, sqrt(pow(max(r)-min(r),2)+pow(max(c)-min(c),2)) AS extent, var_pop(e) AS sill FROM p GROUP BY {unit}),
+    h AS (SELECT {unit}, extent FROM x WHERE support>=200 AND extent>3), w AS (SELECT p.*, extent FROM p JOIN h USING ({unit})),
+    pr AS (SELECT {",".join("a." + k for k in unit.split(","))}, a.extent, sqrt(((a.r-b.r)*(a.r-b.r)+(a.c-b.c)*(a.c-b.c))::DOUBLE) AS dist, (a.e-b.e)*(a.e-b.e)/2 AS g
+      FROM w a JOIN w b ON {on} AND (a.r<b.r OR (a.r=b.r AND a.c<b.c))),
+    y AS (SELECT {unit}, count(*) FILTER (WHERE dist<(extent+3)/2) AS n1, count(*) FILTER (WHERE dist>=(extent+3)/2) AS n2,
+      avg(g) FILTER (WHERE dist<(extent+3)/2) AS g1, avg(g) FILTER (WHERE dist>=(extent+3)/2) AS g2 FROM pr WHERE dist>=3 AND dist<=extent GROUP BY {unit})
+    SELECT {unit}, support, {R('extent')} AS extent, nullif(n1,0) AS pairs1, nullif(n2,0) AS pairs2, {R('g1')} AS gamma1, {R('g2')} AS gamma2, {R('sill')} AS sill,
+      CASE WHEN support<200 THEN 'inconclusive_insufficient_residual_support' WHEN extent<=3 THEN 'inconclusive_core_extent' WHEN NOT coalesce(n1>=200 AND n2>=200 AND sill>0, false) THEN 'inconclusive_insufficient_lag_support'
+      WHEN g1<95e-2*sill AND g2<95e-2*sill THEN 'spatial_dependence_warning' ELSE 'no_warning_at_resolved_lags' END AS status FROM x LEFT JOIN y USING ({unit})"""
+
+
+def dependence(s, d, unit):
     e = fit.scored_residuals(zoned(s, d), FOLDS, MIN_CALIBRATION).select("a", "k", "band", "r", "c", "e")
-    x = st.two_bin_check(io.materialize(s, e, "residuals"), ["a", "k", "band"], 3.0, 100, 300, 20, 30, "v1")
-    return x.select("a", "k", "band", "support", *r6c("extent"), "status")
+    x = st.two_bin_check(io.materialize(s, e, "residuals"), unit, 3.0)
+    return x.select(*unit, "support", "pairs1", "pairs2", *r6c("extent", "gamma1", "gamma2", "sill"), "status")
+
+
+@query("sp15_two_bin_check", two_bin_sql("a,k,band"))
+def two_bin_check(s, d):
+    return dependence(s, d, ["a", "k", "band"])
+
+
+@query("sp15_two_bin_by_acquisition", two_bin_sql("a,band"))
+def two_bin_by_acquisition(s, d):
+    """The same over all holdout cores of an acquisition: a cell lies in one core at most."""
+    return dependence(s, d, ["a", "band"])
 
 
 @query("sp16_components", """WITH RECURSIVE m AS (SELECT r, c, r*2147483648+c AS id FROM zmask WHERE m=1), reach AS (SELECT r, c, id AS label FROM m UNION

@@ -77,9 +77,10 @@ def risk_coverage_curve(s, d):
     return p.select(*KEYS, "point", "accepted", *r6c("score", "coverage", "mae"))
 
 
-@query("wn10_fixed_coverage_curve", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY a,k,band,method ORDER BY rel DESC, r, c) AS pos FROM main3 WHERE e IS NOT NULL),
-    n AS (SELECT a,k,band,method,count(*) AS den,count(e) AS sup FROM main3 GROUP BY 1,2,3,4), t AS (SELECT *, (q*den+99)//100 AS need FROM n, range(1,101) r(q)),
-    m AS (SELECT t.a,t.k,t.band,t.method,q,avg(abs(e)) AS mae FROM t JOIN p ON p.a=t.a AND p.k=t.k AND p.band=t.band AND p.method=t.method AND pos<=need WHERE need<=sup GROUP BY 1,2,3,4,5)
+@query("wn10_fixed_coverage_curve", f"""WITH x AS MATERIALIZED (SELECT a,k,band,method,r,c,e,rel FROM main3), p AS (SELECT *, row_number() OVER (PARTITION BY a,k,band,method ORDER BY rel DESC, r, c) AS pos FROM x WHERE e IS NOT NULL),
+    n AS (SELECT a,k,band,method,count(*) AS den,count(e) AS sup FROM x GROUP BY 1,2,3,4), t AS (SELECT *, (q*den+99)//100 AS need FROM n, range(1,101) r(q)),
+    o AS (SELECT a,k,band,method,pos,sum(abs(e)) OVER (PARTITION BY a,k,band,method ORDER BY pos) AS s FROM p),
+    m AS (SELECT t.a,t.k,t.band,t.method,q,s/need AS mae FROM t JOIN o ON o.a=t.a AND o.k=t.k AND o.band=t.band AND o.method=t.method AND pos=need WHERE need<=sup)
     SELECT t.a,t.k,t.band,t.method,t.q,den AS denominator,sup AS supported,{R('sup::DOUBLE/den')} AS maximum_coverage,CASE WHEN need<=sup THEN 'reachable' ELSE 'not_reachable' END AS status,
     CASE WHEN need<=sup THEN need ELSE 0 END AS selected,{R('CASE WHEN need<=sup THEN need::DOUBLE/den END')} AS actual_coverage,{R('mae')} AS mae FROM t LEFT JOIN m USING (a,k,band,method,q)""")
 def fixed_coverage_curve(s, d):
@@ -101,15 +102,15 @@ def comparison_scope(s, d):
     return g.select(*KEYS, "method", "q", *r6c("common_maximum"), "comparison_scope")
 
 
-@query("wn10_curve_quantiles", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY a,k,band,method ORDER BY rel DESC, r, c) AS pos FROM main3 WHERE e IS NOT NULL),
-    n AS (SELECT a,k,band,method,count(*) AS den,count(e) AS sup FROM main3 GROUP BY 1,2,3,4), t AS (SELECT *, (q*den+99)//100 AS need FROM n, (SELECT unnest([20,50,80,100]) AS q))
+@query("wn10_curve_quantiles", f"""WITH x AS MATERIALIZED (SELECT a,k,band,method,r,c,e,rel FROM main3), p AS (SELECT *, row_number() OVER (PARTITION BY a,k,band,method ORDER BY rel DESC, r, c) AS pos FROM x WHERE e IS NOT NULL),
+    n AS (SELECT a,k,band,method,count(*) AS den,count(e) AS sup FROM x GROUP BY 1,2,3,4), t AS (SELECT *, (q*den+99)//100 AS need FROM n, range(1,101) r(q))
     SELECT t.a,t.k,t.band,t.method,q,count(*) AS selected,{R('quantile_cont(abs(e),0.5)')} AS median_abs,{R('quantile_cont(abs(e),0.9)')} AS p90_abs FROM t
     JOIN p ON p.a=t.a AND p.k=t.k AND p.band=t.band AND p.method=t.method AND pos<=need WHERE need<=sup GROUP BY 1,2,3,4,5""")
 def curve_quantiles(s, d):
     z = zoned(s, d)
     res = io.derived(s, d, "method_residuals", lambda: models.method_residuals(
         z, models.method_fits(z, FOLDS), FOLDS, models.MAIN_METHODS).select(*KEYS, "method", "r", "c", "e", "rel"))
-    g = risk.curve_quantiles(res, [*KEYS, "method"], [20, 50, 80, 100])
+    g = risk.curve_quantiles(s, res, [*KEYS, "method"])
     return g.select(*KEYS, "method", "q", "selected", *r6c("median_abs", "p90_abs"))
 
 

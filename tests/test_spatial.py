@@ -81,7 +81,7 @@ def test_maximin_selection(spark):
     rng = np.random.default_rng(10)
     cand = sorted({(5, int(r), int(c), int(n)) for r, c, n in zip(rng.integers(0, 60, 40), rng.integers(0, 60, 40), rng.integers(1, 90, 40))})
     df = spark.createDataFrame([(r, c, e, r + 2.5, c + 2.5, n) for e, r, c, n in cand], "r0 long, c0 long, edge int, centre_r double, centre_c double, n long")
-    got = [(r["edge"], r["r0"], r["c0"]) for r in cd.maximin(spark, df, 4, [F.desc("n"), "edge", "r0", "c0"]).orderBy("pick").collect()]
+    got = [(r["edge"], r["r0"], r["c0"]) for r in cd.maximin(spark, df.withColumn("g", F.lit("x")), ["g"], 4, [F.col("n"), -F.col("edge"), -F.col("r0"), -F.col("c0")]).orderBy("pick").collect()]
     chosen = [min(cand, key=lambda k: (-k[3], k[:3]))]
     while len(chosen) < 4:
         free = [k for k in cand if not any(overlap(k, s) for s in chosen)]
@@ -197,3 +197,119 @@ def test_stale_cache_and_wrong_receipt_stop(spark):
     assert ln.rollback(a, a).collect() == a.collect()
     with pytest.raises(Exception, match="receipt"):
         ln.rollback(a, spark.createDataFrame([("n", "quarantined")], "node string, mark string")).collect()
+
+
+def test_maximin_of_many_groups_at_once(spark):
+    """32 groups, some with fewer cores than picks, in one set of rounds."""
+    rng = np.random.default_rng(21)
+    cand = sorted({(g, int(r), int(c), int(n)) for g in range(32) for r, c, n in zip(*rng.integers(0, 40, (2, 1 + g)), rng.integers(1, 4, 1 + g))})
+    df = spark.createDataFrame([(g, r, c, 6, r + 3.0, c + 3.0, n) for g, r, c, n in cand], "g int, r0 long, c0 long, edge int, centre_r double, centre_c double, n long")
+    got = {}
+    for x in cd.maximin(spark, df, ["g"], 5, [F.col("n"), -F.col("r0"), -F.col("c0")]).orderBy("g", "pick").collect():
+        got.setdefault(x["g"], []).append((x["r0"], x["c0"]))
+    for g in range(32):
+        own = [x[1:] for x in cand if x[0] == g]
+        chosen = [min(own, key=lambda k: (-k[2], k[:2]))]
+        while len(chosen) < 5:
+            free = [k for k in own if all(abs(k[0] - s[0]) >= 6 or abs(k[1] - s[1]) >= 6 for s in chosen)]
+            if not free:
+                break
+            chosen.append(min(free, key=lambda k: (-min(np.hypot(k[0] - s[0], k[1] - s[1]) for s in chosen), -k[2], k[:2])))
+        assert got[g] == [k[:2] for k in chosen]
+
+
+def test_lag_sums_equal_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    z = rng.normal(1000, 30, (23, 31))
+    z[rng.random(z.shape) < 0.2] = np.nan
+    pts = [(k, int(r), int(c), float(z[r, c]) if (r + k) % 5 else None) for k in (1, 2) for r, c in np.ndindex(z.shape) if not np.isnan(z[r, c])]
+    df = spark.createDataFrame(pts, "k int, r long, c long, v double")
+    edges = {1: [0.0, 3.0, 5.0, 11.0], 2: [4.0, 4.5, 30.0, 40.0]}
+    e = spark.createDataFrame(list(edges.items()), "k int, edges array<double>")
+    for tile in (8, 64):
+        got = {(r["k"], r["lag"]): (r["pairs"], r["dist"], r["half_sq"]) for r in st.lag_sums(df, ["k"], e, tile).collect()}
+        for k, cuts in edges.items():
+            p = np.array([x[1:] for x in pts if x[0] == k and x[3] is not None])
+            i, j = np.triu_indices(len(p), 1)
+            d, g = np.hypot(*(p[i, :2] - p[j, :2]).T), (p[i, 2] - p[j, 2]) ** 2 / 2
+            for lag in range(3):
+                m = (d > 0) & (d >= cuts[lag]) & ((d < cuts[lag + 1]) | ((lag == 2) & (d <= cuts[3])))
+                assert (k, lag) in got or not m.any()
+                if m.any():
+                    assert got[k, lag][0] == m.sum() and np.allclose(got[k, lag][1:], (d[m].sum(), g[m].sum()), rtol=1e-9)
+
+
+def test_variogram_names_population_and_pairs(spark):
+    df = spark.range(200).select(F.floor(F.col("id") / 20).alias("r"), (F.col("id") % 20).alias("c"), F.when(F.col("id") != 7, F.col("id") % 20).cast("double").alias("v"))
+    rows = st.variogram(df, (10, 20), 30.0, 5, 0.5, 30).collect()
+    assert {r["population"] for r in rows} == {199} and all(r["sufficient"] == (r["pairs"] >= 30) for r in rows)
+    p = [(i // 20, i % 20) for i in range(200) if i != 7]
+    assert sum(r["pairs"] for r in rows) == sum(0 < np.hypot(a[0] - b[0], a[1] - b[1]) <= 5 for n, a in enumerate(p) for b in p[:n])
+
+
+def test_two_bins_of_dependent_and_independent_residuals(spark):
+    rng = np.random.default_rng(6)
+    rows = [("noise", r, c, float(rng.normal())) for r in range(16) for c in range(16)]
+    rows += [("few", r, c, 1.0 * r) for r in range(10) for c in range(10)] + [("flat", r, c, 0.5) for r in range(16) for c in range(16)]
+    rows += [("narrow", 0, c, float(rng.normal())) for c in range(3)] + [("rings", r, c, float((r // 3 + c // 3) % 2 * 0 + (np.hypot(r - 8, c - 8) > 11))) for r in range(16) for c in range(16)]
+    df = spark.createDataFrame(rows, "u string, r long, c long, e double")
+    got = {x["u"]: x for x in st.two_bin_check(df, ["u"], 3.0).collect()}
+    assert got["few"]["status"] == got["narrow"]["status"] == "inconclusive_insufficient_residual_support" and got["few"]["pairs1"] is None
+    assert got["flat"]["status"] == "inconclusive_insufficient_lag_support" and got["flat"]["pairs1"] > 200
+    assert got["noise"]["status"] == "no_warning_at_resolved_lags" and got["noise"]["support"] == 256
+    narrow = st.two_bin_check(df.where("u = 'narrow'"), ["u"], 3.0, min_support=2).first()
+    assert narrow["status"] == "inconclusive_core_extent"
+
+
+def pyramid_sky(z, res, n_az, steps):
+    """Cell by cell on means of 1, 2 and 4 cells, with curvature."""
+    h, w = z.shape
+    level = {f: np.array([[np.nanmean(z[i:i + f, j:j + f]) for j in range(0, w, f)] for i in range(0, h, f)]) for f in (1, 2, 4)}
+
+    def at(f, y, x):
+        a = level[f]
+        y = min(max((min(max(y, 0), h - 1) - (f - 1) / 2) / f, 0), a.shape[0] - 1)
+        x = min(max((min(max(x, 0), w - 1) - (f - 1) / 2) / f, 0), a.shape[1] - 1)
+        i, j = int(y), int(x)
+        return sum(a[min(i + p, a.shape[0] - 1), min(j + q, a.shape[1] - 1)] * (y - i if p else 1 - y + i) * (x - j if q else 1 - x + j) for p in (0, 1) for q in (0, 1))
+    out = {}
+    for r, c in np.ndindex(z.shape):
+        total = 0.0
+        for a in range(n_az):
+            t, before = 0.0, 0.0
+            for d in steps:
+                f = round((d - before) / res)
+                before = d
+                y, x = r - d * np.cos(2 * np.pi * a / n_az) / res, c + d * np.sin(2 * np.pi * a / n_az) / res
+                t = max(t, (at(f, y, x) - z[r, c] - d * d / (2 * 6371000.0)) / d)
+            total += 1 / (1 + t * t)
+        out[r, c] = total / n_az
+    return out
+
+
+def test_far_ridge_is_seen_across_the_steps(spark):
+    """A ridge 8 km to the east of flat land: read from the coarsest level, seen at 10 km, not at 5 km; tiles do not matter."""
+    z = np.zeros((2, 300))
+    z[:, 264:276] = 900.0
+    dem = cells(spark, z=z)
+    near = {(r["r"], r["c"]): r["v_sky"] for r in skyview.far_sky_view(dem, "z", 30.0, 4, 5000.0, tile=64).collect()}
+    far = {(r["r"], r["c"]): r["v_sky"] for r in skyview.far_sky_view(dem, "z", 30.0, 4, 10_000.0, tile=64).collect()}
+    wide = {(r["r"], r["c"]): r["v_sky"] for r in skyview.far_sky_view(dem, "z", 30.0, 4, 10_000.0, tile=256).collect()}
+    assert near[0, 0] == 1.0 and far[0, 0] < 0.999 and far == wide
+    from ridgeline.functions import arrays
+    want = pyramid_sky(z[:, ::1], 30.0, 4, arrays.growing_distances(10_000.0, 30.0))
+    assert all(abs(far[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_far_search_equals_the_plain_one_where_it_must(spark):
+    """Within 1 km both read the same cells; on a plane means are exact at any distance inside the grid."""
+    rng = np.random.default_rng(8)
+    rough = cells(spark, z=rng.uniform(0, 400, (30, 40)))
+    a, b = ({(r["r"], r["c"]): r["v_sky"] for r in f(rough, "z", 30.0, 8, 900.0, curvature=True).collect()} for f in (skyview.sky_view, skyview.far_sky_view))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+    slope = cells(spark, z=np.add.outer(np.arange(120) * 3.0, np.zeros(6)))
+    a, b = ({(r["r"], r["c"]): r["v_sky"] for r in f(slope, "z", 30.0, 2, 1500.0, curvature=True).collect()} for f in (skyview.sky_view, skyview.far_sky_view))
+    assert all(abs(a[k] - b[k]) < 1e-9 for k in a if 51 <= k[0] < 69)
+    gap = rough.withColumn("z", F.when((F.col("r") == 5) & (F.col("c") == 6), None).otherwise(F.col("z")))
+    v = {(r["r"], r["c"]): r["v_sky"] for r in skyview.far_sky_view(gap, "z", 30.0, 8, 90.0).collect()}
+    assert v[5, 6] is None and v[5, 7] is None and v[20, 30] is not None

@@ -213,3 +213,53 @@ def test_requalification_needs_all_gates(spark):
     df = spark.createDataFrame([(1, 0.2, 0.2, 1, 1), (2, 0.2, 0.2, 0, 1), (3, 0.2, 0.2, 1, 0), (4, 0.05, 0.05, 1, 1)], "a int, iqr double, med double, anchors long, operators long")
     got = {r["a"]: r["verdict"] for r in requalify(df).collect()}
     assert [a for a, v in got.items() if v == "requalification_warranted"] == [1]
+
+
+def residual_rows(n, units, share):
+    """Residuals of several units; the first holds ``share`` of the rows, and one method has a single reliability."""
+    rng = np.random.default_rng(17)
+    out = []
+    for u in range(units):
+        size = int(n * share) if u == 0 else max(3, int(n * (1 - share) / (units - 1)))
+        for i in range(size):
+            e = None if rng.random() < 0.15 else float(np.round(rng.normal(0, 0.05), 3))
+            out.append((u, "hard" if u % 2 == 0 else "soft", i // 50, i % 50, e, 1.0 if u % 2 == 0 else float(np.float32(rng.random()))))
+    return out
+
+
+def test_curve_quantiles_at_every_percent(spark):
+    rows = residual_rows(4000, 5, 0.9)
+    df = spark.createDataFrame(rows, "a int, method string, r long, c long, e double, rel double")
+    got = {(r["a"], r["q"]): (r["selected"], r["median_abs"], r["p90_abs"]) for r in risk.curve_quantiles(spark, df, ["a", "method"]).collect()}
+    n = 0
+    for u in range(5):
+        own = [x for x in rows if x[0] == u]
+        order = [abs(x[4]) for x in sorted((x for x in own if x[4] is not None), key=lambda x: (-x[5], x[2], x[3]))]
+        for q in range(1, 101):
+            need = -(-q * len(own) // 100)
+            if need <= len(order):
+                n += 1
+                assert got[u, q][0] == need and np.allclose(got[u, q][1:], np.quantile(order[:need], [0.5, 0.9]), atol=1e-12)
+    assert len(got) == n
+
+
+def test_nested_statistics_open_few_chunks(spark):
+    """Small chunks give the same values, and a hot unit is spread over groups of about the chunk's size."""
+    rows = residual_rows(3000, 2, 0.9)
+    df = spark.createDataFrame(rows, "a int, method string, r long, c long, e double, rel double")
+    pop = df.groupBy("a").agg(F.count("*").alias("denominator"), F.count("e").alias("supported"))
+    counted = risk.entered(df, ["a"], pop, 20).groupBy("a", "q", F.abs("e").alias("v")).agg(F.count("*").alias("_n"))
+    wanted = spark.createDataFrame([(0, q, "x", q * 3) for q in range(1, 16)], "a int, q long, name string, rank long")
+    a, b = (sorted(map(tuple, risk.nested_order_statistics(spark, counted, ["a"], wanted, 20, 1 / 64, chunk).collect())) for chunk in (16, 100_000))
+    assert a == b and len(a) == 15
+
+
+def test_positions_of_one_reliability_are_spread(spark):
+    """A unit of 90 % of the rows with one reliability: places are right and no window holds more than a band of rows."""
+    rows = residual_rows(9000, 3, 0.9)
+    df = spark.createDataFrame(rows, "a int, method string, r long, c long, e double, rel double")
+    got = {(x["a"], x["r"], x["c"]): x["position"] for x in risk.order_positions(df, ["a"], band=8).collect()}
+    for u in range(3):
+        own = sorted((x for x in rows if x[0] == u), key=lambda x: (-x[5], x[2], x[3]))
+        assert [got[u, x[2], x[3]] for x in own] == list(range(1, len(own) + 1))
+    assert df.groupBy("a", "rel", F.floor(F.col("r") / 8)).count().agg(F.max("count")).first()[0] <= 8 * 50
