@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import identity
 from . import folds as fd
 from .prefix import union_all
 
@@ -101,3 +102,91 @@ def symmetric_partners(rows: DataFrame, key: str, partner: str) -> DataFrame:
     back = rows.select(F.col(key).alias(partner), F.col(partner).alias("_back"), F.lit(True).alias("_known"))
     j = rows.where(F.col(partner).isNotNull()).join(back, partner, "left")
     return j.where(F.col("_known").isNull() | ~F.col("_back").eqNullSafe(F.col(key))).select(key, partner)
+
+
+# Fixed names of the identity registry's closed sets.
+IDENTITY_CLASSES = ["G", "X_t", "Z_t", "N_t", "E", "not_applicable"]
+DISPOSITIONS = ["identity_qualified", "identity_qualified_with_fixed_gauge", "non_identifiable_equivalent",
+                "excluded_class_or_path_violation", "deferred_missing_anchor"]
+EVIDENCE_SCOPES = ["local", "profile", "global"]
+JUSTIFICATION_KINDS = ["analytic_proof", "structural_argument", "domain_covering_evidence"]
+QUALITY_PHASES = ["pre_inference", "post_inference"]
+FORBIDDEN_FOR_E = ["可拟合量", "梯度落点"]
+
+
+def registry_rules(entries: DataFrame, deferred: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rules I1-I8 and D1-D3 of a registry of nested records: (check_id, passed, bad), bad = records that break the rule.
+
+    ``entries`` and ``deferred`` have a column ``doc`` with one JSON object a row; ``sources`` has path and sha256 of what
+    records are bound to. Which fields a record must or must not carry depends on its class and outcome; a field counts as carried
+    even if null. Partners and bound hashes are equi-joins, so a registry of any size is checked by two shuffles.
+    """
+    def text(path: str) -> Column:
+        return F.get_json_object("doc", f"$.{path}")
+
+    def carried(name: str) -> Column:
+        return F.coalesce(F.array_contains(F.json_object_keys("doc"), name), F.lit(False))
+
+    def outside(c: Column, names: list[str]) -> Column:
+        return ~F.coalesce(c.isin(*names), F.lit(False))
+    e = entries.select("doc", text("object_id").alias("id"), text("identity_class").alias("cls"), text("disposition").alias("disp"),
+                       text("evidence_scope").alias("scope"), text("equivalence_partner").alias("partner"),
+                       F.coalesce(text("equivalence_watch.object_id"), F.lit("")).alias("watch"),
+                       text("source_binding.relative_path").alias("path"), text("source_binding.sha256").alias("sha"))
+    aside = F.coalesce(F.col("cls") == "not_applicable", F.lit(False))
+    qualified = ~aside & F.coalesce(F.col("disp").isin(*DISPOSITIONS[:2]), F.lit(False))
+    worldwide = qualified & F.coalesce(F.col("scope") == "global", F.lit(False))
+    fixed = ~aside & F.coalesce(text("gauge.fixed") == "true", F.lit(False))
+    phase = text("quality_phase")
+    factor = F.coalesce(~text("architecture_factor").isin("", "false", "0", "[]", "{}"), F.lit(False))
+    lacks = [~F.contains(F.coalesce(text("forbidden_paths"), F.lit("")), F.lit(t)) for t in FORBIDDEN_FOR_E]
+    one = rules(e, {
+        "I1_class": outside(F.col("cls"), IDENTITY_CLASSES),
+        "I1_disposition": ~aside & outside(F.col("disp"), DISPOSITIONS),
+        "I2_no_gradient_for_E": F.coalesce(F.col("cls") == "E", F.lit(False)) & (lacks[0] | lacks[1]),
+        "I3_not_applicable": aside & (carried("disposition") | carried("evidence_scope") | ~carried("not_applicable_reason")
+                                      | (phase.isNotNull() & outside(phase, QUALITY_PHASES)) | (factor & phase.isNull())),
+        "I4_scope": qualified & outside(F.col("scope"), EVIDENCE_SCOPES),
+        "I5_global_proof": worldwide & (outside(text("global_justification_kind"), JUSTIFICATION_KINDS)
+                                        | (F.coalesce(text("evidence_scope_justification"), F.lit("")) == "")),
+        "I7_fixed_gauge": fixed & (outside(F.col("disp"), DISPOSITIONS[1:2]) | (F.coalesce(text("gauge.rule"), F.lit("")) == ""))})
+    back = e.groupBy(F.col("id").alias("partner")).agg(F.collect_set(F.coalesce("partner", F.lit(""))).alias("_p"), F.collect_set("watch").alias("_w"))
+    twin = e.where(~aside & (F.col("disp") == DISPOSITIONS[2])).join(back, "partner", "left")
+    linked = F.coalesce(F.array_contains("_p", F.col("id")) | F.array_contains("_w", F.col("id")), F.lit(False))
+    d = deferred.select("doc", text("disposition").alias("disp"), text("source_binding.relative_path").alias("path"), text("source_binding.sha256").alias("sha"))
+    late = rules(d, {"D1_disposition": outside(F.col("disp"), DISPOSITIONS[4:]), "D2_no_class": carried("identity_class"),
+                     "D3_distinct": F.coalesce(text("distinctness_assertions"), F.lit("[]")).isin("[]", "", "{}")})
+    now = sources.groupBy("path").agg(F.max("sha256").alias("_now"))
+    bound = e.where(~aside).select("path", "sha", F.lit(True).alias("_must")).unionByName(d.where("path IS NOT NULL").select("path", "sha", F.lit(False).alias("_must")))
+    drift = bound.join(now, "path", "left")
+    broken = F.when(F.col("_now").isNull(), F.col("_must")).otherwise(~F.col("sha").eqNullSafe(F.col("_now")))
+    return union_all([unique_keys("I1_unique", e, ["id"]), one, rule("I6_partner", twin, ~linked), rule("I8_bound_hash", drift, broken), late])
+
+
+def manifest_drift(rows: DataFrame, position: str, order: list[str], unique: list[str], constants: dict[str, str], count: int,
+                   paths: str | None = None, digest: str | None = None) -> DataFrame:
+    """Drift of a manifest from what was frozen: (check_id, passed, bad).
+
+    Number of entries; positions gapless from the first; canonical ``order`` of neighbours (an equi-join on the next position, no sort);
+    unique columns (ids, seeds); columns equal to frozen ``constants``; relative paths; and with ``digest`` the ordered digest
+    of (position, order, unique columns): sums of hashes that carry the position, so partitions combine in any way while two swapped rows show.
+    """
+    p = F.col(position)
+    g = rows.agg(F.count("*").alias("n"), F.count_distinct(p).alias("np"), F.coalesce(F.max(p) - F.min(p) + 1, F.lit(0)).alias("span"),
+                 *[(F.count("*") - F.count_distinct(c)).alias(f"u_{c}") for c in unique],
+                 *[F.count_if(~F.col(c).cast("string").eqNullSafe(F.lit(v))).alias(f"k_{c}") for c, v in constants.items()],
+                 *([F.count_if(F.coalesce(F.col(paths).startswith("/") | F.col(paths).contains(".."), F.lit(True))).alias("paths")] if paths else []),
+                 *([order_digest(position, [*order, *unique]).alias("digest")] if digest else []))
+    bad = {"entry_count": F.abs(F.col("n") - count), "gapless_positions": F.col("span") - F.col("np") + F.col("n") - F.col("np"),
+           **{f"unique_{c}": F.col(f"u_{c}") for c in unique}, **{f"frozen_{c}": F.col(f"k_{c}") for c in constants},
+           **({"relative_paths": F.col("paths")} if paths else {}), **({"ordered_digest": (F.col("digest") != digest).cast("long")} if digest else {})}
+    out = F.array(*[F.struct(F.lit(n).alias("check_id"), (b == 0).alias("passed"), b.cast("long").alias("bad")) for n, b in bad.items()])
+    one = g.select(F.explode(out).alias("x")).select("x.*")
+    nxt = rows.select((p - 1).alias(position), F.struct(*[F.col(c) for c in order]).alias("_next"))
+    pairs = rows.select(p, F.struct(*[F.col(c) for c in order]).alias("_here")).join(nxt, position)
+    return one.unionByName(rule("canonical_order", pairs, F.col("_here") > F.col("_next")))
+
+
+def order_digest(position: str, columns: list[str]) -> Column:
+    """Aggregate digest of rows and their places."""
+    return identity.set_digest(identity.row_text(F.col(position), *[F.col(c) for c in columns]))

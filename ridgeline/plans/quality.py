@@ -174,21 +174,53 @@ def leakage_check(s, d):
     return q.leakage(z.withColumn("role", F.when(core < fit.BUFFER_CELLS, fd.BUFFER).otherwise(fd.DOMAIN)), C("land") & C("lit"))
 
 
-REG = """(SELECT c_custkey AS id, CASE WHEN c_custkey%2=0 THEN c_custkey+1 ELSE c_custkey-1 END AS partner, c_mktsegment AS class, c_acctbal AS scope, c_name AS name FROM customer)"""
+#: Registry fields of a customer by arithmetic on its key; most rules have records that break them.
+REG = """(SELECT *, CASE WHEN cls='not_applicable' THEN CASE WHEN id%35=5 THEN 'identity_qualified' END ELSE CASE id%5 WHEN 0 THEN 'identity_qualified' WHEN 1 THEN 'identity_qualified_with_fixed_gauge'
+      WHEN 2 THEN 'non_identifiable_equivalent' WHEN 3 THEN 'excluded_class_or_path_violation' ELSE 'deferred_missing_anchor' END END AS disp,
+    CASE WHEN cls='not_applicable' OR id%89=0 OR id%5>1 THEN NULL WHEN id%4=1 THEN 'profile' WHEN id%4=2 THEN 'global' ELSE 'local' END AS scope,
+    CASE WHEN id%5=2 THEN id+1 END AS partner, CASE WHEN id%5=3 AND id%50<>3 THEN id-1 END AS watch, id%5=1 OR id%53=0 AS fixed, id%41<>0 AS ruled, id%67<>0 AS bound
+  FROM (SELECT c_custkey AS id, CASE WHEN c_custkey%97=0 THEN 'support_mask' WHEN c_custkey%6=0 THEN 'G' WHEN c_custkey%6=1 THEN 'X_t' WHEN c_custkey%6=2 THEN 'Z_t' WHEN c_custkey%6=3 THEN 'N_t'
+    WHEN c_custkey%6=4 THEN 'E' ELSE 'not_applicable' END AS cls, c_name AS name FROM customer))"""
+ASIDE = "cls='not_applicable'"
 
 
 @query("dq07_registry_rules", " UNION ALL ".join([
     line("I1_unique", f"SELECT count(*) FROM (SELECT id FROM {REG} GROUP BY id HAVING count(*)>1)"),
-    line("I1_class", f"SELECT count(*) FROM {REG} WHERE class NOT IN ('AUTOMOBILE','BUILDING','FURNITURE','MACHINERY')"),
-    line("I4_scope", f"SELECT count(*) FROM {REG} WHERE class='BUILDING' AND scope<0"), line("I8_name", f"SELECT count(*) FROM {REG} WHERE name IS NULL OR name=''"),
-    line("I6_partner", f"SELECT count(*) FROM {REG} x LEFT JOIN {REG} y ON x.partner=y.id WHERE y.partner IS DISTINCT FROM x.id")]))
+    line("I1_class", f"SELECT count(*) FROM {REG} WHERE cls='support_mask'"),
+    line("I1_disposition", f"SELECT count(*) FROM {REG} WHERE NOT {ASIDE} AND disp IS NULL"),
+    line("I2_no_gradient_for_E", f"SELECT count(*) FROM {REG} WHERE cls='E' AND (id%46=4 OR id%38=4)"),
+    line("I3_not_applicable", f"SELECT count(*) FROM {REG} WHERE {ASIDE} AND (disp IS NOT NULL OR id%77=5 OR id%30=5)"),
+    line("I4_scope", f"SELECT count(*) FROM {REG} WHERE NOT {ASIDE} AND id%5<2 AND scope IS NULL"),
+    line("I5_global_proof", f"SELECT count(*) FROM {REG} WHERE NOT {ASIDE} AND scope='global' AND (id%22=0 OR id%58=0)"),
+    line("I6_partner", f"SELECT count(*) FROM {REG} x LEFT JOIN {REG} y ON x.partner=y.id WHERE x.cls<>'not_applicable' AND x.disp='non_identifiable_equivalent' AND y.watch IS DISTINCT FROM x.id"),
+    line("I7_fixed_gauge", f"SELECT count(*) FROM {REG} WHERE NOT {ASIDE} AND fixed AND (id%5<>1 OR NOT ruled)"),
+    line("I8_bound_hash", f"SELECT (SELECT count(*) FROM {REG} WHERE NOT {ASIDE} AND (NOT bound OR id%61=0)) + (SELECT count(*) FROM supplier WHERE s_suppkey%7=0)"),
+    line("D1_disposition", "SELECT count(*) FROM supplier WHERE s_suppkey%13=0"), line("D2_no_class", "SELECT count(*) FROM supplier WHERE s_suppkey%17=0"),
+    line("D3_distinct", "SELECT count(*) FROM supplier WHERE s_suppkey%11=0")]))
 def registry_rules(s, d):
-    reg = views.table(s, d, "customer").select(
-        C("c_custkey").alias("id"), F.when(C("c_custkey") % 2 == 0, C("c_custkey") + 1).otherwise(C("c_custkey") - 1).alias("partner"),
-        C("c_mktsegment").alias("class"), C("c_acctbal").alias("scope"), C("c_name").alias("name"))
-    one_pass = q.rules(reg, {"I1_class": ~C("class").isin("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY"), "I4_scope": (C("class") == "BUILDING") & (C("scope") < 0),
-                             "I8_name": C("name").isNull() | (C("name") == "")})
-    return q.union_all([q.unique_keys("I1_unique", reg, ["id"]), one_pass, q.empty("I6_partner", q.symmetric_partners(reg, "id", "partner"))])
+    """A registry of JSON records over customers, deferred ones over suppliers, bound to their names."""
+    r = s.sql("SELECT * FROM " + REG.replace("FROM customer", "FROM {customer}"), customer=views.table(s, d, "customer"))
+    i = C("id")
+    text = lambda x: x.cast("string")
+    sha = F.when(i % 61 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("name", 256))
+    aside = C("cls") == "not_applicable"
+    doc = F.struct(
+        text(i).alias("object_id"), C("cls").alias("identity_class"), C("disp").alias("disposition"), C("scope").alias("evidence_scope"), text(C("partner")).alias("equivalence_partner"),
+        F.when(C("watch").isNotNull(), F.struct(text(C("watch")).alias("object_id"))).alias("equivalence_watch"),
+        F.when(C("cls") == "E", F.array_compact(F.array(F.when(i % 46 != 4, q.FORBIDDEN_FOR_E[0]), F.when(i % 38 != 4, q.FORBIDDEN_FOR_E[1])))).alias("forbidden_paths"),
+        F.when(aside & (i % 77 != 5), "no quantity of the graph").alias("not_applicable_reason"), F.when(aside & (i % 30 == 5), "later").alias("quality_phase"),
+        F.when(C("scope") == "global", F.when(i % 22 == 0, "multi_start").otherwise("analytic_proof")).alias("global_justification_kind"),
+        F.when((C("scope") == "global") & (i % 58 != 0), "shown in closed form").alias("evidence_scope_justification"),
+        F.struct(C("fixed").alias("fixed"), F.when(C("ruled"), "unit sum").alias("rule")).alias("gauge"),
+        F.when(C("bound"), F.struct(C("name").alias("relative_path"), sha.alias("sha256"))).alias("source_binding"))
+    k = C("s_suppkey")
+    late = F.struct(
+        C("s_name").alias("object_id"), F.when(k % 13 == 0, "identity_qualified").otherwise("deferred_missing_anchor").alias("disposition"), F.when(k % 17 == 0, "G").alias("identity_class"),
+        F.when(k % 11 != 0, F.array(F.lit("differs in its anchor"))).alias("distinctness_assertions"),
+        F.struct(C("s_name").alias("relative_path"), F.when(k % 7 == 0, F.lit("x")).otherwise(F.sha2("s_name", 256)).alias("sha256")).alias("source_binding"))
+    sup = views.table(s, d, "supplier")
+    sources = r.select(C("name").alias("path")).union(sup.select("s_name")).distinct().withColumn("sha256", F.sha2("path", 256))
+    return q.registry_rules(r.select(F.to_json(doc).alias("doc")), sup.select(F.to_json(late).alias("doc")), sources)
 
 
 @query("dq08_disposition_ledger", f"""SELECT o_orderpriority AS disposition, count(*) AS n, CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'admitted' ELSE 'blocked' END AS side, {DIGEST} AS members
@@ -226,19 +258,19 @@ def cross_table_rules(s, d):
         q.rule("X10", t["documents"], C("text").rlike("(TODO|TBD|FIXME|<[A-Z_]+>)"))])
 
 
-@query("dq10_manifest_drift", """SELECT field, n AS entries, distinct_values, CASE field WHEN 'page_id' THEN distinct_values=n WHEN 'relative_path' THEN bad=0 ELSE distinct_values<=4 END AS passed, bad FROM
-    (SELECT 'page_id' AS field, count(*) AS n, count(DISTINCT page_id) AS distinct_values, 0::BIGINT AS bad FROM pages UNION ALL
-     SELECT 'relative_path', count(*), count(DISTINCT p), count(*) FILTER (WHERE p LIKE '/%' OR contains(p,'..')) FROM (SELECT regexp_replace(url,'^https?://[^/]+/','') AS p FROM pages) UNION ALL
-     SELECT 'scheme', count(*), count(DISTINCT split_part(url,':',1)), 0 FROM pages)""")
+PAGE_SQL = "(SELECT page_id, regexp_replace(url,'^https?://[^/]+/','') AS relative_path, split_part(url,':',1) AS scheme, page_id//10 AS batch FROM pages)"
+
+
+@query("dq10_manifest_drift", " UNION ALL ".join([
+    line("entry_count", f"SELECT abs(count(*)-1000) FROM {PAGE_SQL}"),
+    line("gapless_positions", f"SELECT max(page_id)-min(page_id)+1-count(DISTINCT page_id)+count(*)-count(DISTINCT page_id) FROM {PAGE_SQL}"),
+    line("unique_page_id", f"SELECT count(*)-count(DISTINCT page_id) FROM {PAGE_SQL}"), line("unique_relative_path", f"SELECT count(*)-count(DISTINCT relative_path) FROM {PAGE_SQL}"),
+    line("frozen_scheme", f"SELECT count(*) FROM {PAGE_SQL} WHERE scheme IS DISTINCT FROM 'https'"),
+    line("relative_paths", f"SELECT count(*) FROM {PAGE_SQL} WHERE coalesce(relative_path LIKE '/%' OR contains(relative_path,'..'), true)"),
+    line("canonical_order", f"SELECT count(*) FROM {PAGE_SQL} x JOIN {PAGE_SQL} y ON y.page_id=x.page_id+1 WHERE (x.batch, x.relative_path) > (y.batch, y.relative_path)")]))
 def manifest_drift(s, d):
-    p = views.table(s, d, "pages").select("page_id", F.regexp_replace("url", "^https?://[^/]+/", "").alias("relative_path"), F.split_part("url", F.lit(":"), F.lit(1)).alias("scheme"))
-    bad = C("relative_path").startswith("/") | C("relative_path").contains("..")
-    g = p.agg(F.count("*").alias("n"), *[F.count_distinct(c).alias(c) for c in ("page_id", "relative_path", "scheme")], F.count_if(bad).alias("bad_path"))
-    def row(field, ok, b):
-        return F.struct(F.lit(field).alias("field"), C("n").alias("entries"), C(field).alias("distinct_values"), ok.alias("passed"), b.alias("bad"))
-    zero = F.lit(0).cast("long")
-    rows = F.array(row("page_id", C("page_id") == C("n"), zero), row("relative_path", C("bad_path") == 0, C("bad_path")), row("scheme", C("scheme") <= 4, zero))
-    return g.select(F.explode(rows).alias("x")).select("x.*")
+    p = views.table(s, d, "pages").select("page_id", F.regexp_replace("url", "^https?://[^/]+/", "").alias("relative_path"), F.split_part("url", F.lit(":"), F.lit(1)).alias("scheme"), F.expr("page_id div 10").alias("batch"))
+    return q.manifest_drift(p, "page_id", ["batch", "relative_path"], ["page_id", "relative_path"], {"scheme": "https"}, 1000, "relative_path")
 
 
 @query("dq11_scene_completeness", """SELECT scene_id, CASE WHEN cloud IS NOT NULL AND sun_az IS NOT NULL AND sun_el IS NOT NULL THEN 'exportable' ELSE 'cataloged' END AS state,
@@ -288,12 +320,15 @@ def source_mask_summary(s, d):
     return mask_causes(s, d).groupBy("primary_cause").agg(F.count("*").alias("acquisitions"), F.bool_and(C("z") == 0).alias("all_valid"))
 
 
-@query("dq16_upstream_binding", """SELECT binding, count(*) AS n FROM (SELECT i.item_id, CASE WHEN count(*)>1 AND false THEN 'bound_twice' WHEN max(x.h) IS NULL THEN 'missing' WHEN max(x.h)<>max(i.h) THEN 'drifted' ELSE 'intact' END AS binding
-    FROM (SELECT item_id, sha256(text) AS h FROM benchmark) i LEFT JOIN (SELECT doc_id, sha256(text) AS h FROM documents) x ON i.item_id=x.doc_id GROUP BY 1) GROUP BY 1""")
+@query("dq16_upstream_binding", """SELECT binding, count(*) AS n FROM (SELECT i.path, CASE WHEN count(*)>1 THEN 'bound_twice' WHEN max(x.h) IS NULL THEN 'missing' WHEN max(x.h)<>max(i.h) THEN 'drifted' ELSE 'intact' END AS binding
+    FROM (SELECT item_id%30 AS path, sha256(text) AS h FROM benchmark UNION ALL SELECT doc_id, sha256(text) FROM documents WHERE doc_id>=25) i
+    LEFT JOIN (SELECT doc_id, sha256(text) AS h FROM documents) x ON i.path=x.doc_id GROUP BY 1) GROUP BY 1""")
 def upstream_binding(s, d):
-    b = views.table(s, d, "benchmark").select(C("item_id").alias("path"), F.sha2("text", 256).alias("recorded"))
-    cur = views.table(s, d, "documents").select(C("doc_id").alias("path"), F.sha2("text", 256).alias("current"))
-    return q.binding_check(b, cur).groupBy("binding").agg(F.count("*").alias("n"))
+    """Benchmark items bind low paths (some twice), documents bind themselves from 25 on."""
+    doc = views.table(s, d, "documents")
+    b = views.table(s, d, "benchmark").select((C("item_id") % 30).alias("path"), F.sha2("text", 256).alias("recorded"))
+    b = b.unionByName(doc.where("doc_id >= 25").select(C("doc_id").alias("path"), F.sha2("text", 256).alias("recorded")))
+    return q.binding_check(b, doc.select(C("doc_id").alias("path"), F.sha2("text", 256).alias("current"))).groupBy("binding").agg(F.count("*").alias("n"))
 
 
 @query("dq17_missing_metadata", """SELECT missing, count(*) AS n FROM (SELECT array_to_string(list_filter([CASE WHEN p_name IS NULL OR p_name='' THEN 'p_name' END, CASE WHEN z IS NULL THEN 'z' END,

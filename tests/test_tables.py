@@ -184,3 +184,69 @@ def test_domain_rules(spark):
     got = {r["d"]: r["failed"] for r in adm.collect()}
     assert got == {1: "A3", 2: "A2", 3: ""}
     assert [r["d"] for r in domains.rank_domains(adm, [F.desc("qualified")], 1).collect()] == [3]
+
+
+GOOD_RECORDS = [
+    {"object_id": "g", "identity_class": "G", "disposition": "identity_qualified", "evidence_scope": "local", "source_binding": {"relative_path": "p", "sha256": "1"}},
+    {"object_id": "e", "identity_class": "E", "disposition": "excluded_class_or_path_violation", "forbidden_paths": ["可拟合量", "梯度落点"], "source_binding": {"relative_path": "p", "sha256": "1"}},
+    {"object_id": "w", "identity_class": "Z_t", "disposition": "identity_qualified", "evidence_scope": "global", "global_justification_kind": "analytic_proof",
+     "evidence_scope_justification": "closed form", "source_binding": {"relative_path": "p", "sha256": "1"}},
+    {"object_id": "a", "identity_class": "X_t", "disposition": "non_identifiable_equivalent", "equivalence_partner": "b", "source_binding": {"relative_path": "p", "sha256": "1"}},
+    {"object_id": "b", "identity_class": "X_t", "disposition": "non_identifiable_equivalent", "equivalence_partner": "a", "source_binding": {"relative_path": "p", "sha256": "1"}},
+    {"object_id": "c", "identity_class": "N_t", "disposition": "identity_qualified_with_fixed_gauge", "evidence_scope": "profile", "gauge": {"fixed": True, "rule": "sum"},
+     "equivalence_watch": {"object_id": "a"}, "source_binding": {"relative_path": "p", "sha256": "1"}},
+    {"object_id": "n", "identity_class": "not_applicable", "not_applicable_reason": "a factor", "architecture_factor": "f", "quality_phase": "pre_inference"}]
+GOOD_DEFERRED = [{"object_id": "d", "disposition": "deferred_missing_anchor", "distinctness_assertions": ["x"]},
+                 {"object_id": "d2", "disposition": "deferred_missing_anchor", "distinctness_assertions": ["x"], "source_binding": {"relative_path": "gone", "sha256": "9"}}]
+BROKEN = [  # rule, number of the record (or -1: deferred), fields to set, fields to drop
+    ("I1_class", 0, {"identity_class": "sensor_quality"}, []), ("I1_disposition", 0, {"disposition": "maybe"}, []), ("I1_unique", 0, {"object_id": "e"}, []),
+    ("I2_no_gradient_for_E", 1, {"forbidden_paths": ["可拟合量"]}, []), ("I3_not_applicable", 6, {"evidence_scope": None}, []), ("I3_not_applicable", 6, {}, ["not_applicable_reason"]),
+    ("I3_not_applicable", 6, {"quality_phase": "later"}, []), ("I3_not_applicable", 6, {}, ["quality_phase"]), ("I4_scope", 0, {"evidence_scope": "regional"}, []),
+    ("I5_global_proof", 2, {"global_justification_kind": "multi_start"}, []), ("I5_global_proof", 2, {}, ["evidence_scope_justification"]),
+    ("I6_partner", 3, {}, ["equivalence_partner"]), ("I6_partner", 3, {"equivalence_partner": "zz"}, []), ("I6_partner", 3, {"equivalence_partner": "g"}, []),
+    ("I7_fixed_gauge", 5, {"gauge": {"fixed": True}}, []), ("I7_fixed_gauge", 0, {"gauge": {"fixed": True, "rule": "r"}}, []),
+    ("I8_bound_hash", 0, {"source_binding": {"relative_path": "p", "sha256": "2"}}, []), ("I8_bound_hash", 0, {}, ["source_binding"]),
+    ("D1_disposition", -1, {"disposition": "identity_qualified"}, []), ("D2_no_class", -1, {"identity_class": None}, []), ("D3_distinct", -1, {"distinctness_assertions": []}, []),
+    ("I8_bound_hash", -1, {"source_binding": {"relative_path": "p", "sha256": "2"}}, [])]
+
+
+def outcome(spark, records, deferred):
+    docs = [spark.createDataFrame([(json.dumps(r, ensure_ascii=False),) for r in x], "doc string") for x in (records, deferred)]
+    return {r["check_id"] for r in q.registry_rules(*docs, spark.createDataFrame([("p", "1")], "path string, sha256 string")).collect() if not r["passed"]}
+
+
+def test_registry_rules_pass_and_fail(spark):
+    assert outcome(spark, GOOD_RECORDS, GOOD_DEFERRED) == set()
+    for rule, at, change, gone in BROKEN:
+        records, deferred = [dict(r) for r in GOOD_RECORDS], [dict(r) for r in GOOD_DEFERRED]
+        rec = deferred[0] if at < 0 else records[at]
+        rec.update(change)
+        for k in gone:
+            rec.pop(k)
+        assert rule in outcome(spark, records, deferred), (rule, change, gone)
+
+
+def test_manifest_drift_sees_order_and_constants(spark):
+    rows = [(i, f"2020-01-{1 + i:02d}", f"id{i}", 100 + i, "v1", f"f/{i}.tif") for i in range(20)]
+    schema = "pos long, day string, id string, seed long, version string, path string"
+
+    def run(data, **more):
+        args = {"position": "pos", "order": ["day", "id"], "unique": ["id", "seed"], "constants": {"version": "v1"}, "count": 20, "paths": "path", **more}
+        return {r["check_id"] for r in q.manifest_drift(spark.createDataFrame(data, schema), **args).collect() if not r["passed"]}
+
+    def digest(df):
+        return df.agg(q.order_digest("pos", ["day", "id", "id", "seed"])).first()[0]
+    frozen = digest(spark.createDataFrame(rows, schema))
+    assert run(rows, digest=frozen) == set() and digest(spark.createDataFrame(rows[::-1], schema).repartition(7)) == frozen
+    swapped = [*rows[:4], (4, *rows[5][1:]), (5, *rows[4][1:]), *rows[6:]]
+    assert run(swapped, digest=frozen) == {"canonical_order", "ordered_digest"}
+    assert run(rows[:-1]) == {"entry_count"} and run(rows[:5] + rows[6:]) == {"entry_count", "gapless_positions"}
+    assert run([*rows[:-1], (19, "2020-01-20", "id3", 119, "v1", "f/x.tif")]) == {"unique_id"}
+    assert run([*rows[:-1], (19, "2020-01-20", "id19", 101, None, "/f.tif")]) == {"unique_seed", "frozen_version", "relative_paths"}
+    assert run([*rows[:-1], (19, "2020-01-20", "id19", 119, "v1", "../f.tif")]) == {"relative_paths"}
+
+
+def test_binding_check_names_every_state(spark):
+    b = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("d", "1"), ("d", "1")], "path string, recorded string")
+    c = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "path string, current string")
+    assert {r["path"]: r["binding"] for r in q.binding_check(b, c).collect()} == {"a": "intact", "b": "drifted", "c": "missing", "d": "bound_twice"}
