@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import identity
+from ..sources import io
 from . import folds as fd
 from .prefix import union_all
 
@@ -190,3 +191,74 @@ def manifest_drift(rows: DataFrame, position: str, order: list[str], unique: lis
 def order_digest(position: str, columns: list[str]) -> Column:
     """Aggregate digest of rows and their places."""
     return identity.set_digest(identity.row_text(F.col(position), *[F.col(c) for c in columns]))
+
+
+def on_a_cycle(spark: SparkSession, links: DataFrame, node: str, to: str) -> DataFrame:
+    """Nodes from which following ``to`` leads back to them, in a column ``node``; of a repeated node the least link counts.
+
+    Each round drops the nodes that no link leads to and doubles the length of the links, so the number of rounds grows with
+    the logarithm of the longest way into a cycle. It ends when nothing drops: every node is then reached by exactly one other.
+    Every table is joined on ids that are unique on the side looked up, also where very many nodes name one partner.
+    """
+    known = links.where(F.col(node).isNotNull() & F.col(to).isNotNull())
+    jump = io.materialize(spark, known.groupBy(F.col(node).alias("x")).agg(F.min(to).alias("y")), "cycle-links")
+    while True:
+        kept = io.materialize(spark, jump.join(jump.select(F.col("y").alias("x")).distinct(), "x", "left_semi"), "cycle-kept")
+        if kept.count() == jump.count():
+            return kept.select(F.col("x").alias(node))
+        twice = kept.join(kept.select(F.col("x").alias("y"), F.col("y").alias("_z")), "y")
+        jump = io.materialize(spark, twice.select("x", F.col("_z").alias("y")), "cycle-links")
+
+
+# Fixed words and states of the cross-table rules.
+PLACEHOLDER = "(TODO|TBD|FIXME|<[A-Z_]+>)"
+OVER, UNDER = "高估", "低估"
+NOT_BLIND, EXPLORATORY = "NOT_BLIND", "post_result_exploratory"
+
+
+def cross_rules(spark: SparkSession, registry: DataFrame, used: DataFrame, candidates: DataFrame, order: DataFrame, gates: DataFrame,
+                declarations: DataFrame, texts: DataFrame, bindings: DataFrame, current: DataFrame, closed: list[str], mapping: dict[str, str],
+                freeze: bool = True) -> DataFrame:
+    """Rules X1-X11 between the tables of an experiment: (check_id, passed, bad), bad = rows that break the rule.
+
+    ``registry``: object_id, disposition, partner. ``used``: object_id of every parameter that a candidate uses.
+    ``candidates``: id, terminal_state, run, constrains (model it restricts, or null), new_parameters (array), mirrors (its object in
+    the registry, or null), partner. ``order``: id of the run sequence. ``gates``: terminal_state, distance, curvature, threshold,
+    buffer, truncation_effect, flat_effect. ``declarations``: status, exposure. ``texts``: text. ``bindings``: path, recorded.
+    ``current``: path, current. ``closed`` and ``mapping`` (candidate state to disposition) are configuration.
+    ``freeze`` also refuses open settings (X7) and placeholders (X10). X4 has four parts: the partner of an equivalent object is
+    known, following partners leads back, a candidate names the partner its object has, and its state maps to its object's disposition.
+    Null states, null texts and candidates whose object is not registered break nothing; of a repeated object the least row counts.
+    """
+    def given(c: str) -> Column:
+        return F.coalesce(F.col(c) != "", F.lit(False))
+
+    def outside(c: str, names: list[str]) -> Column:
+        return given(c) & ~F.col(c).isin(*names)
+    states = candidates.select("terminal_state").unionByName(gates.select("terminal_state"))
+    one = registry.groupBy("object_id").agg(F.min(F.struct("disposition", "partner")).alias("_o")).select("object_id", "_o.*")
+    twins = one.where(F.col("disposition") == DISPOSITIONS[2])
+    ids = one.select(F.col("object_id").alias("partner"), F.lit(True).alias("_known")).where("partner IS NOT NULL")
+    lost = twins.join(ids, "partner", "left")
+    back = on_a_cycle(spark, one, "object_id", "partner")
+    twin = candidates.join(one.select(F.col("object_id").alias("mirrors"), F.col("partner").alias("_partner"), F.col("disposition").alias("_disposition")), "mirrors")
+    expect = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])[F.col("terminal_state")] if mapping else F.lit(None).cast("string")
+    far, open_ = F.col("distance"), F.col("distance").isNull()
+    flat = ~F.coalesce(F.col("curvature"), F.lit(False)) & F.coalesce(far > F.col("threshold"), F.lit(False))
+    narrow = F.coalesce(F.col("buffer") < far, F.lit(True))
+    over, under = ({e: F.coalesce(F.contains(e, F.lit(w)), F.lit(False)) for e in ("truncation_effect", "flat_effect")} for w in (OVER, UNDER))
+    opposite = (over["truncation_effect"] & under["flat_effect"]) | (under["truncation_effect"] & over["flat_effect"])
+    now = current.groupBy("path").agg(F.max("current").alias("current"))
+    bound = bindings.join(now, "path", "left")
+    return union_all([
+        same_ids("X1", registry, used, "object_id"), rule("X2", states, outside("terminal_state", closed)),
+        rule("X3", registry, outside("disposition", DISPOSITIONS)), rule("X4_partner_known", lost, F.col("_known").isNull()),
+        empty("X4_partner_returns", twins.join(back, "object_id", "left_anti")),
+        rules(twin, {"X4_same_partner": ~F.col("partner").eqNullSafe(F.col("_partner")),
+                     "X4_mapped_state": expect.isNull() | ~expect.eqNullSafe(F.col("_disposition"))}),
+        rule("X5", candidates, F.col("constrains").isNotNull() & (F.coalesce(F.size("new_parameters"), F.lit(0)) > 0)),
+        same_ids("X6", order, candidates.where("run"), "id"),
+        rules(gates, {"X7": F.when(open_, F.lit(freeze)).otherwise(flat | narrow), "X8": ~opposite}),
+        rule("X9", declarations, ~F.col("status").eqNullSafe(F.lit(NOT_BLIND)) | ~F.col("exposure").eqNullSafe(F.lit(EXPLORATORY))),
+        rule("X10", texts, F.lit(freeze) & F.coalesce(F.col("text").rlike(PLACEHOLDER), F.lit(False))),
+        rule("X11", bound, ~F.coalesce(F.col("current") == F.col("recorded"), F.lit(False)))])

@@ -240,22 +240,56 @@ def equivalence_pairs(s, d):
     return j.groupBy(p[0].alias("first_id"), p[1].alias("second_id")).agg(F.count("*").alias("relations"))
 
 
-@query("dq09_cross_table_rules", " UNION ALL ".join([
-    line("X1", "SELECT count(*) FROM ((SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation) UNION ALL (SELECT c_nationkey FROM customer EXCEPT SELECT n_nationkey FROM nation))"),
-    line("X2", "SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('O','F','P')"),
-    line("X3", "SELECT count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)"),
-    line("X7", "SELECT count(*) FROM lineitem WHERE l_discount>8e-2 AND l_tax<0"),
-    line("X10", "SELECT count(*) FROM documents WHERE regexp_matches(text, '(TODO|TBD|FIXME|<[A-Z_]+>)')")]))
+#: Equivalent objects (every fifth customer) point in pairs, in rings of three, into a ring or nowhere.
+OBJ = """(SELECT c_custkey AS object_id, CASE WHEN c_custkey%97=0 THEN 'qualified' ELSE CASE c_custkey%5 WHEN 0 THEN 'identity_qualified' WHEN 1 THEN 'identity_qualified_with_fixed_gauge'
+      WHEN 2 THEN 'non_identifiable_equivalent' WHEN 3 THEN 'excluded_class_or_path_violation' ELSE 'deferred_missing_anchor' END END AS disposition,
+    CASE WHEN c_custkey%5=2 AND c_custkey%97<>0 THEN c_custkey+CASE c_custkey%35 WHEN 2 THEN 5 WHEN 7 THEN -5 WHEN 12 THEN 5 WHEN 17 THEN 5 WHEN 22 THEN -10 WHEN 27 THEN -5 ELSE 1000000000 END END AS partner FROM customer)"""
+CAND = """(SELECT s_suppkey AS id, CASE WHEN s_suppkey%19=0 THEN 'undecided' WHEN s_suppkey%3=0 THEN 'equivalent_by_construction' ELSE 'qualified' END AS terminal_state, s_suppkey%4<>0 AS run,
+    CASE WHEN s_suppkey%5=0 THEN s_suppkey-1 END AS constrains, CASE WHEN s_suppkey%35=0 OR s_suppkey%5<>0 THEN s_name END AS parameter,
+    CASE WHEN s_suppkey%3=0 THEN s_suppkey*5+2 END AS mirrors, CASE WHEN s_suppkey%3=0 THEN s_suppkey*5+CASE WHEN s_suppkey%7=0 THEN 7 ELSE -3 END END AS partner FROM supplier)"""
+GATE = """(SELECT o_orderstatus AS terminal_state, CASE WHEN o_orderkey%113=0 THEN NULL ELSE floor(o_totalprice)::BIGINT END AS distance, o_orderstatus<>'P' AS curvature, 150000 AS threshold,
+    floor(o_totalprice)::BIGINT+o_custkey%10-1 AS buffer, o_orderkey%2=0 AS first_over, (o_orderkey%2<>0)<>(o_orderkey%17=0) AS second_over FROM orders)"""
+CLOSED = ["O", "F", "P", "qualified", "equivalent_by_construction"]
+MAPPING = {"qualified": "identity_qualified", "equivalent_by_construction": "non_identifiable_equivalent"}
+S75 = "(" + ",".join(f"'{x}'" for x in q.DISPOSITIONS) + ")"
+TWIN = f"(SELECT x.*, y.partner AS theirs, y.disposition AS settled FROM {CAND} x JOIN {OBJ} y ON x.mirrors=y.object_id)"
+
+
+@query("dq09_cross_table_rules", f"""WITH RECURSIVE walk AS (SELECT object_id AS home, partner AS place FROM {OBJ} WHERE partner IS NOT NULL UNION
+    SELECT home, n.partner FROM walk JOIN {OBJ} n ON n.object_id=place WHERE place<>home AND n.partner IS NOT NULL) """ + " UNION ALL ".join([
+    line("X1", "SELECT count(*) FROM ((SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer))"),
+    line("X2", f"SELECT count(*) FROM (SELECT terminal_state FROM {CAND} UNION ALL SELECT terminal_state FROM {GATE}) WHERE terminal_state NOT IN ('O','F','P','qualified','equivalent_by_construction')"),
+    line("X3", f"SELECT count(*) FROM {OBJ} WHERE disposition NOT IN {S75}"),
+    line("X4_partner_known", f"SELECT count(*) FROM {OBJ} x WHERE disposition='non_identifiable_equivalent' AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey=x.partner)"),
+    line("X4_partner_returns", f"SELECT count(*) FROM {OBJ} x WHERE disposition='non_identifiable_equivalent' AND NOT EXISTS (SELECT 1 FROM walk WHERE home=x.object_id AND place=home)"),
+    line("X4_same_partner", f"SELECT count(*) FROM {TWIN} WHERE partner IS DISTINCT FROM theirs"),
+    line("X4_mapped_state", f"SELECT count(*) FROM {TWIN} WHERE CASE terminal_state WHEN 'qualified' THEN 'identity_qualified' WHEN 'equivalent_by_construction' THEN 'non_identifiable_equivalent' END IS DISTINCT FROM settled"),
+    line("X5", f"SELECT count(*) FROM {CAND} WHERE constrains IS NOT NULL AND parameter IS NOT NULL"),
+    line("X6", f"SELECT count(*) FROM (SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_suppkey%4<>0 OR l_suppkey%31=0) x FULL JOIN (SELECT id FROM {CAND} WHERE run) y USING (id) WHERE x.id IS NULL OR y.id IS NULL"),
+    line("X7", f"SELECT count(*) FROM {GATE} WHERE distance IS NULL OR (distance>threshold AND NOT curvature) OR buffer<distance"),
+    line("X8", f"SELECT count(*) FROM {GATE} WHERE first_over=second_over"),
+    line("X9", "SELECT count(*) FROM labels WHERE toxic=1 OR doc_id%50=0"),
+    line("X10", "SELECT count(*) FROM documents WHERE regexp_matches(text, '(TODO|TBD|FIXME|<[A-Z_]+>)')"),
+    line("X11", """SELECT count(*) FROM (SELECT item_id%30 AS path, sha256(text) AS h FROM benchmark UNION ALL SELECT doc_id, sha256(text) FROM documents WHERE doc_id>=25) b
+        LEFT JOIN (SELECT doc_id, max(sha256(text)) AS now FROM documents GROUP BY 1) x ON b.path=x.doc_id WHERE now IS DISTINCT FROM h""")]))
 def cross_table_rules(s, d):
-    t = {n: views.table(s, d, n) for n in ("supplier", "customer", "nation", "region", "orders", "lineitem", "documents")}
-    n = t["nation"].select(C("n_nationkey").alias("k"))
-    strange = (t["supplier"].select(C("s_nationkey").alias("k")).distinct().join(n, "k", "left_anti")
-               .unionByName(t["customer"].select(C("c_nationkey").alias("k")).distinct().join(n, "k", "left_anti")))
-    return q.union_all([
-        q.empty("X1", strange), q.rule("X2", t["orders"], ~C("o_orderstatus").isin("O", "F", "P")),
-        q.empty("X3", t["nation"].join(t["region"], C("n_regionkey") == C("r_regionkey"), "left_anti")),
-        q.rule("X7", t["lineitem"], (C("l_discount") > 0.08) & (C("l_tax") < 0)),
-        q.rule("X10", t["documents"], C("text").rlike("(TODO|TBD|FIXME|<[A-Z_]+>)"))])
+    """Customers as registry, suppliers as candidates, orders as gates, labels as declarations, documents as bound texts."""
+    t = {n: views.table(s, d, n) for n in ("supplier", "customer", "orders", "lineitem", "labels", "documents", "benchmark")}
+    registry = s.sql("SELECT * FROM " + OBJ.replace("FROM customer", "FROM {customer}"), customer=t["customer"])
+    candidates = s.sql("SELECT * FROM " + CAND.replace("FROM supplier", "FROM {supplier}"), supplier=t["supplier"])
+    candidates = candidates.withColumn("new_parameters", F.array_compact(F.array("parameter")))
+    k, over = C("o_orderkey"), F.floor("o_totalprice")
+    sway = lambda up: F.concat(F.when(up, q.OVER).otherwise(q.UNDER), F.lit(" v_sky"))
+    gates = t["orders"].select(
+        C("o_orderstatus").alias("terminal_state"), F.when(k % 113 != 0, over).alias("distance"), (C("o_orderstatus") != "P").alias("curvature"), F.lit(150000).alias("threshold"),
+        (over + C("o_custkey") % 10 - 1).alias("buffer"), sway(k % 2 == 0).alias("truncation_effect"), sway((k % 2 != 0) != (k % 17 == 0)).alias("flat_effect"))
+    declared = t["labels"].select(F.when(C("toxic") == 1, "BLIND").otherwise(q.NOT_BLIND).alias("status"), F.when(C("doc_id") % 50 == 0, "unseen").otherwise(q.EXPLORATORY).alias("exposure"))
+    sequence = t["lineitem"].where("l_suppkey % 4 <> 0 OR l_suppkey % 31 = 0").select(C("l_suppkey").alias("id"))
+    sha = F.sha2("text", 256)
+    bound = t["benchmark"].select((C("item_id") % 30).alias("path"), sha.alias("recorded")).unionByName(
+        t["documents"].where("doc_id >= 25").select(C("doc_id").alias("path"), sha.alias("recorded")))
+    return q.cross_rules(s, registry, t["orders"].select(C("o_custkey").alias("object_id")), candidates, sequence, gates, declared, t["documents"], bound,
+                         t["documents"].select(C("doc_id").alias("path"), sha.alias("current")), CLOSED, MAPPING)
 
 
 PAGE_SQL = "(SELECT page_id, regexp_replace(url,'^https?://[^/]+/','') AS relative_path, split_part(url,':',1) AS scheme, page_id//10 AS batch FROM pages)"

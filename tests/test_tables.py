@@ -2,6 +2,7 @@
 
 import json
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -250,3 +251,70 @@ def test_binding_check_names_every_state(spark):
     b = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("d", "1"), ("d", "1")], "path string, recorded string")
     c = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "path string, current string")
     assert {r["path"]: r["binding"] for r in q.binding_check(b, c).collect()} == {"a": "intact", "b": "drifted", "c": "missing", "d": "bound_twice"}
+
+
+CROSS = {  # a state of all tables that breaks no rule
+    "registry": [("mu", "identity_qualified", None), ("a", "non_identifiable_equivalent", "b"), ("b", "non_identifiable_equivalent", "a")],
+    "used": [("mu",), ("a",), ("b",), ("b",)],
+    "candidates": [(1, "qualified", True, None, ["mu"], None, None), (2, "twin", True, 1, [], "a", "b"), (3, None, False, 1, None, None, None), (4, "twin", False, None, ["x"], "unregistered", "q")],
+    "order": [(2,), (1,), (1,)],
+    "gates": [("qualified", 10000, True, 5000, 10000, "高估 v", "低估 v"), (None, 5000, False, 5000, 6000, "低估", "高估")],
+    "declarations": [("NOT_BLIND", "post_result_exploratory")],
+    "texts": [("frozen",), (None,)],
+    "bindings": [("p", "1"), ("p", "1")],
+    "current": [("p", "1"), ("q", "2")]}
+CROSS_SCHEMA = {
+    "registry": "object_id string, disposition string, partner string", "used": "object_id string",
+    "candidates": "id int, terminal_state string, run boolean, constrains int, new_parameters array<string>, mirrors string, partner string", "order": "id int",
+    "gates": "terminal_state string, distance long, curvature boolean, threshold long, buffer long, truncation_effect string, flat_effect string",
+    "declarations": "status string, exposure string", "texts": "text string", "bindings": "path string, recorded string", "current": "path string, current string"}
+G0, C1, TWIN = CROSS["gates"][0], CROSS["candidates"][1], "non_identifiable_equivalent"
+CROSS_BROKEN = [  # rules that one more row breaks, table, the row
+    (["X1"], "used", ("new",)), (["X1"], "registry", ("idle", "identity_qualified", None)), (["X2"], "candidates", (9, "settled", False, None, ["mu"], None, None)),
+    (["X2"], "gates", ("open", *G0[1:])), (["X3", "X1"], "registry", ("r3", "qualified", None)),
+    (["X4_partner_known", "X4_partner_returns", "X1"], "registry", ("lost", TWIN, "zz")), (["X4_partner_known", "X4_partner_returns", "X1"], "registry", ("none", TWIN, None)),
+    (["X4_partner_returns", "X1"], "registry", ("tail", TWIN, "a")), (["X4_partner_returns", "X1"], "registry", ("end", TWIN, "mu")),
+    (["X4_same_partner"], "candidates", (*C1[:2], False, *C1[3:6], "mu")), (["X4_same_partner"], "candidates", (*C1[:2], False, *C1[3:6], None)),
+    (["X4_mapped_state"], "candidates", (5, "qualified", False, *C1[3:])), (["X4_mapped_state"], "candidates", (6, None, False, *C1[3:])),
+    (["X5"], "candidates", (7, None, False, 1, ["k"], None, None)), (["X6"], "order", (3,)), (["X6"], "candidates", (8, None, True, None, None, None, None)),
+    (["X7"], "gates", (*G0[:2], False, *G0[3:])), (["X7"], "gates", (*G0[:2], None, *G0[3:])), (["X7"], "gates", (*G0[:4], 9999, *G0[5:])),
+    (["X7"], "gates", (*G0[:4], None, *G0[5:])), (["X7"], "gates", ("qualified", None, *G0[2:])),
+    (["X8"], "gates", (*G0[:5], "高估", "高估")), (["X8"], "gates", (*G0[:5], None, "低估")),
+    (["X9"], "declarations", ("BLIND", "post_result_exploratory")), (["X9"], "declarations", ("NOT_BLIND", None)), (["X10"], "texts", ("sha256: <HASH>",)),
+    (["X11"], "bindings", ("q", "1")), (["X11"], "bindings", ("gone", "1"))]
+
+
+def cross(spark, data, **more):
+    frames = {n: spark.createDataFrame(rows, CROSS_SCHEMA[n]) for n, rows in data.items()}
+    mapping = {"qualified": "identity_qualified", "twin": TWIN}
+    got = q.cross_rules(spark, **frames, closed=["qualified", "twin"], mapping=mapping, **more).collect()
+    assert all(r["passed"] == (r["bad"] == 0) for r in got) and len(got) == 14
+    return {r["check_id"]: r["bad"] for r in got if r["bad"]}
+
+
+def test_cross_rules_pass_and_fail(spark):
+    assert cross(spark, CROSS) == {}
+    # every broken row counts once under each rule it breaks and under no other
+    assert cross(spark, {n: rows + [x for _, t, x in CROSS_BROKEN if t == n] for n, rows in CROSS.items()}) == Counter(r for rules, _, _ in CROSS_BROKEN for r in rules)
+
+
+def test_cross_rules_before_freezing_and_on_empty_tables(spark):
+    early = {**CROSS, "gates": [("qualified", None, *G0[2:])], "texts": [("TODO",)]}
+    assert cross(spark, early) == {"X7": 1, "X10": 1} and cross(spark, early, freeze=False) == {}
+    assert cross(spark, {n: [] for n in CROSS}) == {}
+
+
+def test_nodes_on_a_cycle(spark):
+    import random
+    rnd = random.Random(5)
+    links = {i: rnd.choice([None, rnd.randrange(420), i + 1, i + 1]) for i in range(400)}
+    links.update({i: i + 1 for i in range(500, 564)} | {564: 500} | {i: 500 for i in range(600, 700)} | {700: 700})
+
+    def returns(i):
+        at, seen = links.get(i), set()
+        while at is not None and at not in seen and at != i:
+            seen.add(at)
+            at = links.get(at)
+        return at == i
+    got = q.on_a_cycle(spark, spark.createDataFrame(list(links.items()), "id int, next int"), "id", "next")
+    assert sorted(r["id"] for r in got.collect()) == sorted(i for i in links if returns(i))
