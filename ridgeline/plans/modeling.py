@@ -85,6 +85,20 @@ def tie_rule(s, d):
     return models.tie_rule(v).select("pair", *r6c("gap"), "tie", "chosen")
 
 
+SENSORS, WINDOW = ["L8", "L9"], ("1992-01-01", "2001-12-31")
+#: Centre and footprint of a domain by arithmetic on its number; some lie near domain 0, some at the edge of the grid.
+PLACE = """(SELECT n_nationkey AS d, CASE WHEN n_nationkey%8=1 THEN 103e0+n_nationkey/1e2 ELSE (n_nationkey*37+103)%360-180e0*(((n_nationkey*37+103)%360)//180) END AS lon,
+    CASE WHEN n_nationkey%8=1 THEN 33e0 ELSE 33e0-(n_nationkey%6)*7e0 END AS lat, 3+(n_nationkey%5)*4 AS r0, CASE WHEN n_nationkey%6=5 THEN 0 ELSE 3+(n_nationkey%7)*5 END AS c0 FROM nation)"""
+BUFFER, HEIGHT, BREADTH = 2, 5, 6
+
+
+def scenes(s, d):
+    """Orders of a domain's customers as scenes; in some domains every 13th number comes from another sensor."""
+    o = views.table(s, d, "orders").join(views.table(s, d, "customer"), C("o_custkey") == C("c_custkey"))
+    sensor = F.when((C("c_nationkey") % 9 == 4) & (C("o_orderkey") % 13 == 0), "L7").when(C("o_orderkey") % 2 == 0, "L8").otherwise("L9")
+    return o.select(C("c_nationkey").alias("d"), F.to_date("o_orderdate").alias("day"), sensor.alias("sensor"))
+
+
 def screening(s, d):
     """Per-domain measurements of the three screening stages."""
     led = domains.opportunity_ledger(views.domain_day(s, d), 0.3, 0.6)
@@ -92,26 +106,36 @@ def screening(s, d):
     bal = views.table(s, d, "customer").groupBy(C("c_nationkey").alias("d")).agg(
         (F.max("c_acctbal") - F.min("c_acctbal")).alias("relief"), F.avg(F.round(C("c_acctbal") * 100)).alias("precip"))
     base = cls.where("d = 0").select(C("dominant").alias("base_class")).crossJoin(bal.where("d = 0").select(C("precip").alias("base_precip")))
-    j = bal.join(led, "d", "left").join(cls, "d", "left").crossJoin(F.broadcast(base))
-    return j
+    place = s.sql("SELECT * FROM " + PLACE.replace("FROM nation", "FROM {nation}").replace("//", " div "), nation=views.table(s, d, "nation"))
+    boxes = place.select("d", "r0", "c0", (C("r0") + HEIGHT).alias("r1"), (C("c0") + BREADTH).alias("c1"))
+    stages = [led, cls, domains.sensor_days(scenes(s, d), SENSORS, *WINDOW), domains.cover_share(boxes, views.dem(s, d).where("z IS NOT NULL").select("r", "c"), BUFFER),
+              domains.separation_km(place, place.where("d = 0"))]
+    for x in stages:
+        bal = bal.join(x, "d", "left")
+    return bal.crossJoin(F.broadcast(base))
 
 
 def admitted(s, d):
     j = screening(s, d)
     climate, vegetation = F.abs(C("precip") - C("base_precip")) >= 20000, C("dominant") != C("base_class")
     return domains.admission(j, {
-        "A2_acquisitions": C("qualified") >= 10, "A3_coverage": C("strong") >= 5, "A5_relief": C("relief") >= 8000,
-        "A6_break": climate | vegetation, "A7_human": C("human_share") <= 0.5})
+        "A1_sensor": C("foreign") == 0, "A2_acquisitions": C("qualified") >= 10, "A3_coverage": C("strong") >= 5, "A4_dem_cover": C("cover") >= 0.95, "A5_relief": C("relief") >= 8000,
+        "A6_separation": C("separation_km") >= 200, "A6_break": climate | vegetation, "A7_human": C("human_share") <= 0.5})
 
 
-SCREEN_SQL = """(SELECT *, coalesce(qualified>=10,false) AS a2, coalesce(strong>=5,false) AS a3, relief>=8000 AS a5, abs(precip-bp)>=20000 OR dominant<>bc AS a6, hs<=5e-1 AS a7 FROM
+SCREEN_SQL = f"""(SELECT *, coalesce(qualified>=10,false) AS a2, coalesce(strong>=5,false) AS a3, relief>=8000 AS a5, abs(precip-bp)>=20000 OR dominant<>bc AS a6, hs<=5e-1 AS a7,
+    coalesce(strangers=0,false) AS a1, coalesce(covered*100>=95*{(HEIGHT + 2 * BUFFER) * (BREADTH + 2 * BUFFER)},false) AS a4, coalesce(km>=200,false) AS a6d FROM
     (SELECT c_nationkey AS d, max(c_acctbal)-min(c_acctbal) AS relief, avg(round(c_acctbal*100)) AS precip FROM customer GROUP BY 1)
     LEFT JOIN (SELECT d, count(*) FILTER (WHERE coverage>=3e-1) AS qualified, count(*) FILTER (WHERE coverage>=6e-1) AS strong FROM dday GROUP BY d) USING (d)
     LEFT JOIN (SELECT d, max(CASE WHEN rn=1 THEN class END) AS dominant, sum(CASE WHEN class IN ('BUILDING','MACHINERY') THEN n ELSE 0 END)::DOUBLE/sum(n)::DOUBLE AS hs FROM
-      (SELECT *, row_number() OVER (PARTITION BY d ORDER BY n DESC, class) AS rn FROM dclass) GROUP BY d) USING (d),
+      (SELECT *, row_number() OVER (PARTITION BY d ORDER BY n DESC, class) AS rn FROM dclass) GROUP BY d) USING (d)
+    LEFT JOIN (SELECT c_nationkey AS d, count(*) FILTER (WHERE o_orderdate::DATE NOT BETWEEN '{WINDOW[0]}' AND '{WINDOW[1]}' OR (c_nationkey%9=4 AND o_orderkey%13=0)) AS strangers
+      FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1) USING (d)
+    LEFT JOIN (SELECT x.d, count(*) AS covered FROM {PLACE} x JOIN dem ON r BETWEEN r0-{BUFFER} AND r0+{HEIGHT + BUFFER - 1} AND c BETWEEN c0-{BUFFER} AND c0+{BREADTH + BUFFER - 1} WHERE z IS NOT NULL GROUP BY 1) USING (d)
+    LEFT JOIN (SELECT x.d, 2*6371.0088*asin(sqrt(pow(sin(radians(y.lat-x.lat)/2),2)+cos(radians(x.lat))*cos(radians(y.lat))*pow(sin(radians(y.lon-x.lon)/2),2))) AS km FROM {PLACE} x, {PLACE} y WHERE y.d=0) USING (d),
     (SELECT class AS bc FROM dclass WHERE d=0 ORDER BY n DESC, class LIMIT 1), (SELECT avg(round(c_acctbal*100)) AS bp FROM customer WHERE c_nationkey=0))"""
-FAILED_SQL = """array_to_string(list_filter([CASE WHEN NOT a2 THEN 'A2_acquisitions' END, CASE WHEN NOT a3 THEN 'A3_coverage' END, CASE WHEN NOT a5 THEN 'A5_relief' END,
-    CASE WHEN NOT a6 THEN 'A6_break' END, CASE WHEN NOT a7 THEN 'A7_human' END], lambda x: x IS NOT NULL), ',')"""
+FAILED_SQL = """array_to_string(list_filter([CASE WHEN NOT a1 THEN 'A1_sensor' END, CASE WHEN NOT a2 THEN 'A2_acquisitions' END, CASE WHEN NOT a3 THEN 'A3_coverage' END, CASE WHEN NOT a4 THEN 'A4_dem_cover' END,
+    CASE WHEN NOT a5 THEN 'A5_relief' END, CASE WHEN NOT a6d THEN 'A6_separation' END, CASE WHEN NOT a6 THEN 'A6_break' END, CASE WHEN NOT a7 THEN 'A7_human' END], lambda x: x IS NOT NULL), ',')"""
 
 
 @query("md10_domain_screen", f"SELECT d, qualified, strong, dominant, {FAILED_SQL} AS failed, {FAILED_SQL}='' AS admitted FROM {SCREEN_SQL}")

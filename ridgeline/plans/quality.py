@@ -119,7 +119,7 @@ def result_audit(s, d):
         JOIN (SELECT d, count(*) FILTER (WHERE gap<=3) AS m FROM (SELECT x.d, x.day, min(abs(f.day-x.day)) AS gap FROM (SELECT DISTINCT d, day FROM dday) x LEFT JOIN refday f ON f.d=x.d GROUP BY 1, 2) GROUP BY d) USING (d) WHERE n<>m"""), line("R5", "SELECT count(*) FROM (SELECT DISTINCT d FROM dclass WHERE d NOT IN (SELECT d FROM refday))"),
     line("R6", "SELECT count(*) FROM documents WHERE n_chars IS DISTINCT FROM length(text)"), line("R7", "SELECT count(*) FROM artifact WHERE role NOT IN ('ground_truth','reference_observation','proxy','unavailable')"),
     line("R8", "SELECT CASE WHEN count(*)>0 THEN 0 ELSE 1 END FROM refday"), line("R9", "SELECT count(*) FROM artifact WHERE role='ground_truth'"),
-    line("R10", f"SELECT count(*) FROM (SELECT d, {FAILED_SQL} AS failed, (CASE WHEN NOT a3 OR NOT a7 THEN 1 ELSE 0 END) AS blocked FROM {SCREEN_SQL}) WHERE blocked=1 AND failed=''")]))
+    line("R10", f"SELECT count(*) FROM (SELECT d, {FAILED_SQL} AS failed, (CASE WHEN NOT a1 OR NOT a3 OR NOT a4 OR NOT a6d OR NOT a7 THEN 1 ELSE 0 END) AS blocked FROM {SCREEN_SQL}) WHERE blocked=1 AND failed=''")]))
 def domain_reconciliation(s, d):
     day, cls, ref = views.domain_day(s, d), views.domain_class(s, d), views.ref_day(s, d)
     led = domains.opportunity_ledger(day, 0.3, 0.6)
@@ -140,7 +140,7 @@ def domain_reconciliation(s, d):
         ("R7", "reference class closed", lambda: q.rule("R7", art, ~C("role").isin("ground_truth", "reference_observation", "proxy", "unavailable"))),
         ("R8", "a reference passed the audit", lambda: q.rule("R8", ref.agg(F.count("*").alias("n")), C("n") == 0)),
         ("R9", "no ground truth class", lambda: q.rule("R9", art, C("role") == "ground_truth")),
-        ("R10", "blocked item stays blocked", lambda: q.rule("R10", admitted(s, d), C("admitted") & F.coalesce((C("strong") < 5) | (C("human_share") > 0.5), F.lit(True))))]
+        ("R10", "blocked item stays blocked", lambda: q.rule("R10", admitted(s, d), C("admitted") & F.coalesce((C("strong") < 5) | (C("human_share") > 0.5) | (C("foreign") > 0) | (C("cover") < 0.95) | (C("separation_km") < 200), F.lit(True))))]
     return q.suite(checks).select("check_id", "passed", "bad")
 
 

@@ -187,6 +187,41 @@ def test_domain_rules(spark):
     assert [r["d"] for r in domains.rank_domains(adm, [F.desc("qualified")], 1).collect()] == [3]
 
 
+def test_sensor_days_names_foreign_scenes(spark):
+    import datetime as dt
+    inside, after = dt.date(2014, 5, 1), dt.date(2025, 1, 1)
+    rows = [(1, inside, "L8"), (1, dt.date(2013, 1, 1), "L9"), (2, inside, "L7"), (3, after, "L8"), (4, None, "L8"), (5, inside, None), (6, dt.date(2024, 12, 31), "L9"), (6, inside, "L7")]
+    got = domains.sensor_days(spark.createDataFrame(rows, "d int, day date, sensor string"), ["L8", "L9"], "2013-01-01", "2024-12-31")
+    assert {r["d"]: (r["scenes"], r["foreign"]) for r in got.collect()} == {1: (2, 0), 2: (1, 1), 3: (1, 1), 4: (1, 1), 5: (1, 1), 6: (2, 1)}
+
+
+def test_cover_share_counts_exact_edges(spark):
+    import random
+    rnd = random.Random(3)
+    cells = {(r, c) for r in range(60) for c in range(45) if rnd.random() < 0.97}
+    boxes = [(1, 20, 20, 30, 31), (2, 0, 0, 60, 45), (3, 2, 2, 12, 12), (4, 50, 40, 64, 50), (5, 100, 100, 110, 110), (6, 10, 10, 10, 15), (7, 8, 8, 40, 40), (8, 16, 16, 17, 17)]
+    frames = spark.createDataFrame(boxes, "d int, r0 int, c0 int, r1 int, c1 int"), spark.createDataFrame(sorted(cells), "r int, c int")
+    for buffer, block in ((0, 8), (4, 8), (3, 64), (2, 1)):
+        want = {}
+        for d, r0, c0, r1, c1 in boxes:
+            # a box without cells stays empty unless the buffer opens it
+            rs, cs = range(r0 - buffer, r1 + buffer), range(c0 - buffer, c1 + buffer)
+            n = sum((r, c) in cells for r in rs for c in cs)
+            want[d] = (len(rs) * len(cs), n, n / (len(rs) * len(cs)) if len(rs) * len(cs) else None)
+        assert {r["d"]: (r["places"], r["covered"], r["cover"]) for r in domains.cover_share(*frames, buffer, block).collect()} == want
+
+
+def test_domains_that_fail_one_rule_only(spark):
+    place = spark.createDataFrame([(0, 103.0, 33.0), (1, 103.5, 33.0), (2, 10.0, 46.0), (3, None, 1.0)], "d int, lon double, lat double")
+    km = {r["d"]: r["separation_km"] for r in domains.separation_km(place, place.where("d = 0")).collect()}
+    assert km[0] == 0 and abs(km[1] - 46.63) < 0.01 and km[2] > 7000 and km[3] is None
+    assert [r["separation_km"] for r in domains.separation_km(place, place.where("d = 9")).collect()] == [None] * 4
+    rows = [("all", 0, 0.9995, 300.0), ("sensor", 1, 1.0, 300.0), ("cover", 0, 0.998, 300.0), ("near", 0, 1.0, 199.9), ("unknown", None, None, None)]
+    adm = domains.admission(spark.createDataFrame(rows, "d string, foreign int, cover double, km double"),
+                            {"A1": F.col("foreign") == 0, "A4": F.col("cover") >= 0.999, "A6": F.col("km") >= 200})
+    assert {r["d"]: r["failed"] for r in adm.collect()} == {"all": "", "sensor": "A1", "cover": "A4", "near": "A6", "unknown": "A1,A4,A6"}
+
+
 GOOD_RECORDS = [
     {"object_id": "g", "identity_class": "G", "disposition": "identity_qualified", "evidence_scope": "local", "source_binding": {"relative_path": "p", "sha256": "1"}},
     {"object_id": "e", "identity_class": "E", "disposition": "excluded_class_or_path_violation", "forbidden_paths": ["可拟合量", "梯度落点"], "source_binding": {"relative_path": "p", "sha256": "1"}},
