@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import identity
+from ..functions.numeric import ratio
 from ..sources import io
 from . import folds as fd
 from .prefix import union_all
@@ -262,3 +263,72 @@ def cross_rules(spark: SparkSession, registry: DataFrame, used: DataFrame, candi
         rule("X9", declarations, ~F.col("status").eqNullSafe(F.lit(NOT_BLIND)) | ~F.col("exposure").eqNullSafe(F.lit(EXPLORATORY))),
         rule("X10", texts, F.lit(freeze) & F.coalesce(F.col("text").rlike(PLACEHOLDER), F.lit(False))),
         rule("X11", bound, ~F.coalesce(F.col("current") == F.col("recorded"), F.lit(False)))])
+
+
+def required_fields(check_id: str, tables: dict[str, DataFrame], required: dict[str, list[str]]) -> DataFrame:
+    """Required columns that a table lacks; a name found twice counts as lacking, since it cannot be read."""
+    lacking = sum(tables[n].columns.count(c) != 1 for n, names in required.items() for c in names)
+    return next(iter(tables.values())).limit(0).agg(F.lit(lacking).cast("long").alias("bad")).select(
+        F.lit(check_id).alias("check_id"), (F.col("bad") == 0).alias("passed"), "bad")
+
+
+def not_finite(rows: DataFrame) -> Column:
+    """A row with a NaN or an infinity in any floating column; nulls are allowed."""
+    bad = F.lit(False)
+    for c, kind in rows.dtypes:
+        if kind in ("double", "float"):
+            bad = bad | F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
+    return bad
+
+
+UNIT_TERMINALS = ["unsupported_calibration", "not_scored_no_supported_pixel"]  # fixed values
+
+
+def validate_tables(units: DataFrame, scopes: DataFrame, curve: DataFrame, aggregate: DataFrame, keys: list[str], names: list[str],
+                    verdict_of: dict[str, str], owner_of: dict[str, str], required: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rules between the tables of one experiment before they are published: (check_id, passed, bad).
+
+    ``units`` (one row per key: gate, category, reason, core_total, core_land, core_scored, coverage), ``scopes`` (key and scope: n_scored,
+    gate, verdict, reason, shape), ``curve`` (key, scope, q: accepted, coverage) and ``aggregate`` (any columns of key and scope, verdict, n:
+    how many scopes have a verdict). The first of the closed list ``names`` is the scope that the others divide. ``verdict_of`` a curve
+    shape and ``owner_of`` a reason are configuration. A stored ratio has to equal the quotient of the counts it stands for, and
+    those counts come from the other table; an index has to run from 1 without a gap or a repeat in every group.
+    Keys a table lacks are found from both sides. An empty set of tables breaks no rule. ``required`` names the columns of ``units``, ``scopes``, ``curve`` and ``aggregate`` and is
+    checked alone when a column is lacking, since the other rules could not be read.
+    """
+    tables = {"units": units, "scopes": scopes, "curve": curve, "aggregate": aggregate}
+    fields = required_fields("required_fields", tables, required or {})
+    if any(tables[n].columns.count(c) != 1 for n, cs in (required or {}).items() for c in cs):
+        return fields
+    k, c = [*keys, "scope"], F.col
+
+    def among(x: Column, table: dict[str, str]) -> Column:
+        return F.create_map(*[F.lit(v) for kv in table.items() for v in kv])[x]
+    scored, plain = c("gate") == "scored", c("gate") == "not_scored"
+    terminal = F.when(scored, (c("category") == "scored") & c("reason").isNull()).when(plain, c("category").isin(*UNIT_TERMINALS))
+    unit_rules = rules(units, {
+        "unit_finite": not_finite(units), "unit_terminal": ~F.coalesce(terminal, F.lit(False)),
+        "unit_counts": ~F.coalesce((c("core_scored") >= 0) & (c("core_scored") <= c("core_land")) & (c("core_land") <= c("core_total")), F.lit(False)),
+        "unit_ratio": ~c("coverage").eqNullSafe(ratio(c("core_scored"), c("core_land")))})
+    settled = F.when(c("gate") == "evaluated", c("reason").isNull() & (among(c("shape"), verdict_of) == c("verdict"))).when(
+        c("gate") == "not_evaluable", c("shape").isNull() & (among(c("reason"), owner_of) == c("verdict")))
+    scope_rules = rules(scopes, {"scope_finite": not_finite(scopes), "scope_closed_set": ~F.coalesce(c("scope").isin(*names), F.lit(False)),
+                                 "verdict_owner": ~F.coalesce(settled, F.lit(False))})
+    per = scopes.groupBy(*keys).agg(F.sum(F.when(c("scope") == names[0], c("n_scored"))).alias("_whole"), F.sum(F.when(c("scope") != names[0], c("n_scored"))).alias("_parts"),
+                                    F.count("*").alias("_scopes"), F.count_distinct("scope").alias("_distinct"))
+    j = units.select(*keys, c("core_scored").alias("_scored"), (c("gate") == "scored").alias("_on"), F.lit(True).alias("_unit")).join(per, keys, "full_outer")
+    sums = rules(j, {"scope_identities": c("_unit").isNull() | ~c("_scopes").eqNullSafe(F.lit(len(names))) | ~c("_distinct").eqNullSafe(F.lit(len(names))),
+                     "scope_sum": ~c("_whole").eqNullSafe(c("_parts")), "unit_sum": c("_on") & ~c("_whole").eqNullSafe(c("_scored"))})
+    based = curve.join(units.select(*keys, c("core_land").alias("_base")), keys, "left")
+    quotient = c("accepted").isNotNull() & ~(F.coalesce(c("_base") > 0, F.lit(False)) & c("coverage").eqNullSafe(ratio(c("accepted"), c("_base"))))
+    sequence = curve.groupBy(*k).agg(F.count("*").alias("n"), F.count_distinct("q").alias("nd"), F.min("q").alias("lo"), F.max("q").alias("hi"))
+    drawn = sequence.join(scopes.select(*k, (c("gate") == "evaluated").alias("_drawn")), k, "full_outer")
+    by = [x for x in aggregate.columns if x in k]
+    told = aggregate.groupBy(*by, "verdict").agg(F.sum("n").alias("_told"))
+    found = scopes.groupBy(*by, "verdict").agg(F.count("*").alias("_found"))
+    return union_all([
+        fields, unique_keys("unit_keys", units, keys), unique_keys("scope_keys", scopes, k), unique_keys("curve_keys", curve, [*k, "q"]), unit_rules, scope_rules, sums,
+        rules(based, {"curve_finite": not_finite(curve), "curve_ratio": quotient}),
+        rule("curve_sequence", sequence, (c("lo") != 1) | (c("hi") != c("n")) | (c("nd") != c("n"))),
+        rule("curve_identities", drawn, c("_drawn").isNull() | (c("_drawn") & c("n").isNull())),
+        rule("aggregate_counts", told.join(found, [*by, "verdict"], "full_outer"), ~c("_told").eqNullSafe(c("_found")))])

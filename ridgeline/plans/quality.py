@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, geometry as geo, identity, masks
 from ..functions.numeric import ratio
-from ..operators import domains, fit, folds as fd, joins as jn, journal as jr, models, quality as q, support as sp
+from ..operators import domains, fit, folds as fd, joins as jn, journal as jr, models, quality as q, risk, support as sp
 from ..sources import io, views
 from ..sources.config import FOLDS, MIN_CALIBRATION
 from .aggregates import ablation_pairs, ablation_units, mask_causes, units, zoned
@@ -17,7 +17,7 @@ from .aggregates import CAUSE_SQL
 from .joins import COV, region_coverage
 from .pixels import DIGEST
 from .registry import query
-from .windows import scopes
+from .windows import MIN_SCOPE, scopes
 
 
 def line(cid, bad):
@@ -144,26 +144,43 @@ def domain_reconciliation(s, d):
     return q.suite(checks).select("check_id", "passed", "bad")
 
 
+UNIT_GATE = "CASE WHEN alpha IS NOT NULL AND core_scored>0 THEN 'scored' ELSE 'not_scored' END"
+NONE = "SELECT 0"
+
+
 @query("dq05_output_validator", " UNION ALL ".join([
-    line("unique_keys", "SELECT count(*) FROM (SELECT a,k,band,scope FROM scopeval GROUP BY 1,2,3,4 HAVING count(*)>1)"),
-    line("finite", "SELECT count(*) FROM scopeval WHERE isnan(normalized) OR isinf(normalized)"),
+    line("required_fields", NONE), line("unit_keys", "SELECT count(*) FROM (SELECT a,k,band FROM unit GROUP BY 1,2,3 HAVING count(*)>1)"),
+    line("scope_keys", "SELECT count(*) FROM (SELECT a,k,band,scope FROM scopeval GROUP BY 1,2,3,4 HAVING count(*)>1)"),
+    line("curve_keys", "SELECT count(*) FROM (SELECT a,k,band,scope,q FROM gridr GROUP BY 1,2,3,4,5 HAVING count(*)>1)"),
+    line("unit_finite", "SELECT count(*) FROM unit WHERE isnan(coverage) OR isinf(coverage) OR isnan(mae) OR isinf(mae)"),
+    line("unit_terminal", f"SELECT count(*) FROM unit WHERE {UNIT_GATE}='scored' AND reason IS NOT NULL"),
+    line("unit_counts", "SELECT count(*) FROM unit WHERE NOT (core_scored<=core_land AND core_land<=core_total)"),
+    line("unit_ratio", "SELECT count(*) FROM unit WHERE coverage IS DISTINCT FROM CASE WHEN core_land>0 THEN core_scored::DOUBLE/core_land END"),
+    line("scope_finite", "SELECT count(*) FROM scopeval WHERE isnan(normalized) OR isinf(normalized)"),
+    line("scope_closed_set", "SELECT count(*) FROM scopeval WHERE scope NOT IN ('unit_all_scored','mu_band_low','mu_band_mid','mu_band_high')"),
     line("verdict_owner", "SELECT count(*) FROM scopeval WHERE (gate='evaluated') <> (reason IS NULL AND verdict NOT LIKE 'not_evaluable%')"),
-    line("stratum_sum", "SELECT count(*) FROM (SELECT a,k,band,sum(n_scored) FILTER (WHERE scope='unit_all_scored') AS w,sum(n_scored) FILTER (WHERE scope<>'unit_all_scored') AS p FROM scopeval GROUP BY 1,2,3) WHERE w<>p"),
-    line("scope_identities", "SELECT count(*) FROM (SELECT a,k,band,count(*) AS n FROM scopeval GROUP BY 1,2,3) WHERE n<>4"),
-    line("grid_sequence", "SELECT count(*) FROM (SELECT a,k,band,scope,count(*) AS n,min(q) AS lo,max(q) AS hi FROM gridr GROUP BY 1,2,3,4) WHERE n<>20 OR lo<>1 OR hi<>20")]))
+    line("scope_identities", "SELECT count(*) FROM unit LEFT JOIN (SELECT a,k,band,count(DISTINCT scope) AS n FROM scopeval GROUP BY 1,2,3) USING (a,k,band) WHERE n IS DISTINCT FROM 4"),
+    line("scope_sum", "SELECT count(*) FROM (SELECT a,k,band,sum(n_scored) FILTER (WHERE scope='unit_all_scored') AS w,sum(n_scored) FILTER (WHERE scope<>'unit_all_scored') AS p FROM scopeval GROUP BY 1,2,3) WHERE w<>p"),
+    line("unit_sum", "SELECT count(*) FROM unit JOIN scopeval USING (a,k,band) WHERE scope='unit_all_scored' AND alpha IS NOT NULL AND core_scored>0 AND n_scored<>core_scored"),
+    line("curve_finite", "SELECT count(*) FROM gridr WHERE isnan(coverage) OR isinf(coverage) OR isnan(mae) OR isinf(mae)"),
+    line("curve_ratio", "SELECT count(*) FROM gridr JOIN unit u USING (a,k,band) WHERE accepted IS NOT NULL AND gridr.coverage IS DISTINCT FROM accepted::DOUBLE/u.core_land"),
+    line("curve_sequence", "SELECT count(*) FROM (SELECT a,k,band,scope,count(*) AS n,min(q) AS lo,max(q) AS hi FROM gridr GROUP BY 1,2,3,4) WHERE n<>20 OR lo<>1 OR hi<>20"),
+    line("curve_identities", "SELECT count(*) FROM (SELECT DISTINCT a,k,band,scope FROM gridr) g FULL JOIN scopeval v USING (a,k,band,scope) WHERE v.gate IS NULL"),
+    line("aggregate_counts", NONE)]))
 def output_validator(s, d):
+    """Unit, scope, curve and verdict tables of the selective experiment against each other."""
     out = scopes(s, d)
-    k = ["a", "k", "band"]
     sm = io.materialize(s, out["summary"], "summary")
-    per = sm.groupBy(*k).agg(F.sum(F.when(C("scope") == "unit_all_scored", C("n_scored"))).alias("whole"), F.sum(F.when(C("scope") != "unit_all_scored", C("n_scored"))).alias("parts"),
-                             F.count("*").alias("scopes"))
-    seq = out["grid"].groupBy(*k, "scope").agg(F.count("*").alias("n"), F.min("q").alias("lo"), F.max("q").alias("hi"))
-    bad_float = F.coalesce(F.isnan("normalized") | (F.abs("normalized") == float("inf")), F.lit(False))
-    owner = (C("gate") == "evaluated") != (C("reason").isNull() & C("verdict").startswith("d"))
-    parts = [q.unique_keys("unique_keys", sm, [*k, "scope"]), q.rules(sm, {"finite": bad_float, "verdict_owner": owner}),
-             q.rules(per, {"stratum_sum": C("whole") != C("parts"), "scope_identities": C("scopes") != 4}),
-             q.rule("grid_sequence", seq, (C("n") != 20) | (C("lo") != 1) | (C("hi") != 20))]
-    return q.union_all(parts)
+    scored = (C("state") == "fitted") & (C("core_scored") > 0)
+    category = F.when(scored, "scored").when(C("state") == "fitted", q.UNIT_TERMINALS[1]).otherwise(q.UNIT_TERMINALS[0])
+    u = units(s, d).select("a", "k", "band", F.when(scored, "scored").otherwise("not_scored").alias("gate"), category.alias("category"), "reason", "core_total", "core_land", "core_scored", "coverage", "mae")
+    told = sm.groupBy("band", "scope", "verdict").agg(F.count("*").alias("n"))
+    support = ["unit_gate_not_scored", "zero_base_valid_land_denominator", "zero_scored_denominator", f"N_scored_below_{MIN_SCOPE}"]
+    degenerate = ["score_range_at_or_below_tau_score", "unique_proxy_values_below_3", "admissible_exact_points_below_3", "canonical_reachable_grid_points_below_3", "AURC_nonpositive_span"]
+    owner = {**{r: risk.V_SUPPORT for r in support}, **{r: risk.V_DEGENERATE for r in degenerate}}
+    required = {"units": u.columns, "scopes": ["a", "k", "band", "scope", "n_scored", "gate", "verdict", "reason", "shape", "normalized"],
+                "curve": ["a", "k", "band", "scope", "q", "status", "point", "accepted", "coverage", "mae"], "aggregate": told.columns}
+    return q.validate_tables(u, sm, io.materialize(s, out["grid"], "grid"), told, ["a", "k", "band"], risk.SCOPES, risk.SHAPE_VERDICT, owner, required)
 
 
 @query("dq06_leakage_check", """SELECT a, k, count(*) FILTER (WHERE greatest((k-1)*10-c, c-(k*10-6), 0) < 3) AS violations, count(*) AS used FROM role WHERE land AND lit AND role='domain' GROUP BY a, k""")

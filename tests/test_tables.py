@@ -353,3 +353,58 @@ def test_nodes_on_a_cycle(spark):
         return at == i
     got = q.on_a_cycle(spark, spark.createDataFrame(list(links.items()), "id int, next int"), "id", "next")
     assert sorted(r["id"] for r in got.collect()) == sorted(i for i in links if returns(i))
+
+
+SCOPE_NAMES = ["all", "low", "high"]
+TABLES = {  # unit 1 is scored and has curves, unit 2 is not
+    "units": [(1, "scored", "scored", None, 20, 10, 8, 0.8), (2, "not_scored", "unsupported_calibration", "few", 20, 0, 0, None)],
+    "scopes": [(1, "all", 8, "evaluated", "good", None, "up", 0.1), (1, "low", 5, "evaluated", "bad", None, "down", 0.2), (1, "high", 3, "not_evaluable", "thin", "few", None, None),
+               *[(2, n, 0, "not_evaluable", "thin", "few", None, None) for n in SCOPE_NAMES]],
+    "curve": [(1, n, i, m, m / 10 if m else None) for n in ("all", "low") for i, m in ((1, 3), (2, None), (3, 5))],
+    "aggregate": [("all", "good", 1), ("low", "bad", 1), ("all", "thin", 1), ("low", "thin", 1), ("high", "thin", 2)]}
+TABLES_SCHEMA = {
+    "units": "k int, gate string, category string, reason string, core_total long, core_land long, core_scored long, coverage double",
+    "scopes": "k int, scope string, n_scored long, gate string, verdict string, reason string, shape string, area double",
+    "curve": "k int, scope string, q long, accepted long, coverage double", "aggregate": "scope string, verdict string, n long"}
+U0, S0, S2, P0 = TABLES["units"][0], TABLES["scopes"][0], TABLES["scopes"][2], TABLES["curve"][0]
+TABLES_BROKEN = [  # rules that break, table, row to replace (or None: one more; -1: last left out), the row
+    ("unit_keys", "units", 1, U0), ("unit_keys", "units", 1, (None, *TABLES["units"][1][1:])), ("unit_finite unit_ratio", "units", 0, (*U0[:7], float("nan"))),
+    ("unit_terminal", "units", 0, (1, "scored", "scored", "few", *U0[4:])), ("unit_terminal", "units", 1, (2, "not_scored", "scored", "few", 20, 0, 0, None)), ("unit_terminal", "units", 1, (2, None, "scored", None, 20, 0, 0, None)),
+    ("unit_counts", "units", 0, (*U0[:4], 9, 10, 8, 0.8)), ("unit_ratio", "units", 0, (*U0[:7], 0.8000001)), ("unit_ratio", "units", 1, (*TABLES["units"][1][:7], 0.0)), ("unit_sum unit_ratio", "units", 0, (*U0[:6], 7, 0.8)),
+    ("scope_keys", "scopes", 1, S0), ("scope_finite", "scopes", 0, (*S0[:7], float("inf"))), ("scope_closed_set", "scopes", 2, (1, "middle", *S2[2:])),
+    ("verdict_owner", "scopes", 0, (*S0[:4], "bad", *S0[5:])), ("verdict_owner", "scopes", 0, (*S0[:5], "few", *S0[6:])), ("verdict_owner", "scopes", 2, (*S2[:5], "unknown", None, None)),
+    ("verdict_owner", "scopes", 2, (*S2[:6], "up", None)), ("scope_identities", "scopes", -1, None), ("scope_identities", "units", -1, None),
+    ("scope_sum unit_sum", "scopes", 0, (1, "all", 7, *S0[3:])), ("scope_sum", "scopes", 2, (1, "high", 2, *S2[3:])), ("curve_finite curve_ratio", "curve", 0, (*P0[:4], float("nan"))),
+    ("curve_ratio", "curve", 0, (*P0[:4], 0.31)), ("curve_ratio", "curve", 0, (*P0[:4], None)), ("curve_sequence", "curve", 1, (1, "all", 4, None, None)),
+    ("curve_sequence curve_keys", "curve", 1, (1, "all", 1, None, None)), ("curve_sequence", "curve", 0, (1, "all", 0, 3, 0.3)), ("curve_sequence", "curve", 0, (1, "all", None, 3, 0.3)),
+    ("curve_identities", "curve", None, (2, "none", 1, None, None)), ("aggregate_counts", "aggregate", 0, ("all", "good", 2)), ("aggregate_counts", "aggregate", -1, None), ("aggregate_counts", "aggregate", None, ("all", "fine", 1))]
+
+
+def tables_outcome(spark, data, required=None):
+    frames = {n: spark.createDataFrame(rows, TABLES_SCHEMA[n]) for n, rows in data.items()}
+    got = q.validate_tables(**frames, keys=["k"], names=SCOPE_NAMES, verdict_of={"up": "good", "down": "bad"}, owner_of={"few": "thin"}, required=required)
+    return {r["check_id"] for r in got.collect() if not r["passed"]}
+
+
+def test_validate_tables_pass_and_fail(spark):
+    columns = {n: [x.split()[0] for x in s.split(", ")] for n, s in TABLES_SCHEMA.items()}
+    assert tables_outcome(spark, TABLES, columns) == set() and tables_outcome(spark, {n: [] for n in TABLES}, columns) == set()
+    assert tables_outcome(spark, TABLES, {**columns, "curve": ["q", "point"]}) == {"required_fields"}
+    runs = []  # cases of different tables that break different rules share a run
+    for rules, table, at, row in TABLES_BROKEN:
+        rows = list(TABLES[table])
+        if at == -1:
+            rows.pop()
+        elif at is None:
+            rows.append(row)
+        else:
+            rows[at] = row
+        want = set(rules.split())
+        run = next((r for r in runs if table not in r[1] and not want & r[0]), None)
+        if run is None:
+            run = (set(), {})
+            runs.append(run)
+        run[0].update(want)
+        run[1][table] = rows
+    for want, tables in runs:
+        assert want <= tables_outcome(spark, {**TABLES, **tables}), (want, tables)
