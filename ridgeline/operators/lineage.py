@@ -100,9 +100,38 @@ def load_cached(cache: DataFrame, current: DataFrame) -> DataFrame:
                         .otherwise(F.raise_error(F.lit("cache version differs from the current geometry")).cast("string"))).drop("_now")
 
 
-def rollback(before: DataFrame, receipt: DataFrame) -> DataFrame:
-    """The stored marks, provided the receipt holds exactly the same rows."""
-    same = identity.same_table(before.select("node", "mark"), receipt.select("node", "mark"))
-    j = receipt.select("node", "mark").crossJoin(F.broadcast(same))  # one row
-    return j.select("node", F.when(F.col("identical"), F.col("mark"))
-                    .otherwise(F.raise_error(F.lit("receipt does not match the marks before")).cast("string")).alias("mark"))
+def receipt(marks: DataFrame) -> DataFrame:
+    """One row that stands for a table of marks: number of rows and a digest of (node, mark), the same in any order and partitioning."""
+    return marks.agg(F.count("*").alias("rows"), identity.set_digest(identity.row_text(F.col("node"), F.col("mark"))).alias("digest"))
+
+
+def publish_marks(marks: DataFrame, folder: str, version: int) -> DataFrame:
+    """Write ``marks`` as a new version of the table of marks in ``folder``; returns the receipt of what was written.
+
+    A version that exists is an error, so earlier versions and their receipts stay as they were.
+    """
+    spark = marks.sparkSession
+    path = f"{folder}/marks/version={version}"
+    io.write_new(marks.select("node", "mark"), path)
+    io.write_new(receipt(spark.read.parquet(path)), f"{folder}/receipts/version={version}")
+    return spark.read.parquet(f"{folder}/receipts/version={version}")
+
+
+def marks_of(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    return spark.read.parquet(f"{folder}/marks/version={version}")
+
+
+def agrees(spark: SparkSession, folder: str, version: int, given: DataFrame) -> bool:
+    """Whether the receipt ``given`` is that of the marks stored as ``version`` now, whatever receipt is stored beside them."""
+    return receipt(marks_of(spark, folder, version)).exceptAll(given.select("rows", "digest")).isEmpty()
+
+
+def rollback(spark: SparkSession, folder: str, version: int, given: DataFrame, as_version: int) -> DataFrame:
+    """Publish the marks of an earlier version once more, as the newest, provided ``given`` is their receipt; returns them.
+
+    Otherwise nothing is written. A rollback is a version of its own, so it can be rolled back in turn.
+    """
+    if not agrees(spark, folder, version, given):
+        raise ValueError(f"receipt does not match the marks of version {version}")
+    publish_marks(marks_of(spark, folder, version), folder, as_version)
+    return marks_of(spark, folder, as_version)

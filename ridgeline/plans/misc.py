@@ -9,7 +9,7 @@ from ..functions.numeric import ratio
 from ..operators import fit, folds as fd, identify as idn, journal as jr, models, quality as q, skyview
 from ..sources import io, views
 from ..sources.config import FOLDS, MIN_CALIBRATION
-from ..streaming import journal as sj
+from ..streaming import journal as sj, tasks as stm
 from .aggregates import units, zoned
 from .common import C, long, r6c, rounded, text_list
 from .duck import r6 as R
@@ -191,3 +191,15 @@ def retry_rule_stream(s, d):
 @query("st04_retry_rule", RETRY_SQL)
 def retry_rule(s, d):
     return jr.retry_rule(views.journal(s, d))
+
+
+LIFE_SQL = """SELECT j.*, r.first_final, r.has_second, r.unknown_events, r.verdict FROM (SELECT task_id, CASE WHEN epoch_ms(max(ts))+43200000 < (SELECT epoch_ms(max(ts))-3600000 FROM events) THEN 'final' ELSE 'open' END AS kind,
+    arg_max(state, seq) AS state, max(seq) AS seq, count(*) AS events FROM (SELECT j.*, e.ts FROM journal j JOIN events e ON e.event_id=j.seq) GROUP BY task_id) j JOIN (%s) r USING (task_id)"""
+
+
+@query("st04_task_life_stream", LIFE_SQL % RETRY_SQL)
+def task_life_stream(s, d):
+    """Latest state and retry verdict by one state that forgets a task half a day after its last event."""
+    base = io.shared_dir(s, "life")
+    stm.task_life_stream(sj.as_journal(sj.read_events(s, d)), f"{base}/out", f"{base}/checkpoint", "1 hour", 0.5)
+    return stm.read_life(s, f"{base}/out")

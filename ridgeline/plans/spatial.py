@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import functools
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import arrays, geometry as geo
 from ..functions.numeric import ratio
@@ -260,14 +262,17 @@ def footprint_coverage(s, d):
     return views.scene(s, d).select("scene_id", *rounded(coverage=region_coverage()))
 
 
-@query("sp18_grid_identity", """SELECT a, array_to_string(list_filter([CASE WHEN e='x' THEN 'crs' END, CASE WHEN h<>h0 OR w<>w0 THEN 'shape' END, CASE WHEN abs(o-292230e0)>1e-9 THEN 'transform' END],
-    lambda x: x IS NOT NULL), ',') AS failures FROM (SELECT px.a, 'EPSG' AS e, max(r)+1 AS h, max(c)+1 AS w, 292230e0+min(c)*30 AS o FROM px GROUP BY px.a), (SELECT rmax+1 AS h0, cmax+1 AS w0 FROM ext)""")
+@query("sp18_grid_identity", """SELECT a, array_to_string(list_filter([CASE WHEN e<>32648 THEN 'crs' END, CASE WHEN h<>h0 OR w<>w0 THEN 'shape' END, CASE WHEN abs(o-292230e0)>1e-9 THEN 'transform' END],
+    lambda x: x IS NOT NULL), ',') AS failures FROM (SELECT px.a, max(r)+1 AS h, max(c)+1 AS w, 292230e0+min(c)*30 AS o FROM px GROUP BY px.a)
+    JOIN (SELECT n_nationkey AS a, 32648+(n_regionkey=4)::INT AS e FROM nation) USING (a), (SELECT rmax+1 AS h0, cmax+1 AS w0 FROM ext)""")
 def grid_identity(s, d):
     got = views.obs(s, d).groupBy("a").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"), (F.min("c") * 30.0 + 292230.0).alias("o"))
+    # the zone that each header names: region 4 lies in the next one
+    header = views.table(s, d, "nation").select(C("n_nationkey").alias("a"), (F.lit(32648) + (C("n_regionkey") == 4).cast("int")).alias("epsg"))
     want = grid.extent(views.dem(s, d))
-    j = got.crossJoin(F.broadcast(want))
-    cand = {"crs": F.lit("EPSG"), "shape": F.struct(C("h").alias("h"), C("w").alias("w")), "transform": F.array(F.lit(30.0), C("o"))}
-    ref = {"crs": F.lit("EPSG"), "shape": F.struct((C("_rmax") + 1).alias("h"), (C("_cmax") + 1).alias("w")), "transform": F.array(F.lit(30.0), F.lit(292230.0))}
+    j = got.join(header, "a").crossJoin(F.broadcast(want))
+    cand = {"crs": C("epsg"), "shape": F.struct(C("h").alias("h"), C("w").alias("w")), "transform": F.array(F.lit(30.0), C("o"))}
+    ref = {"crs": F.lit(32648), "shape": F.struct((C("_rmax") + 1).alias("h"), (C("_cmax") + 1).alias("w")), "transform": F.array(F.lit(30.0), F.lit(292230.0))}
     return j.select("a", text_list(grid.grid_failures(cand, ref, 1e-9)).alias("failures"))
 
 
@@ -343,11 +348,29 @@ def unregistered_consumers(s, d):
     return ln.unregistered(views.table(s, d, "lineitem").select(C("l_returnflag").alias("role")), reg).groupBy("role").agg(F.count("*").alias("n"))
 
 
-@query("sp24_rollback", "SELECT node, 'valid' AS mark FROM nodes")
+def versions_of_marks(s, d):
+    """Version 1 of the marks is from before the propagation, version 2 from after it."""
+    g, folder = graph(s, d), io.shared_dir(s, "versions")
+    nodes = g.select(C("src").alias("node")).unionByName(g.select(C("dst").alias("node"))).distinct()
+    return folder, ln.publish_marks(nodes.withColumn("mark", F.lit("valid")), folder, 1), ln.publish_marks(all_marks(s, d), folder, 2)
+
+
+@query("sp24_rollback", "SELECT node, mark AS changed, 'valid' AS mark FROM marks")
 def rollback(s, d):
-    g = graph(s, d)
-    before = g.select(C("src").alias("node")).unionByName(g.select(C("dst").alias("node"))).distinct().withColumn("mark", F.lit("valid"))
-    return ln.rollback(before, io.materialize(s, before, "receipt"))
+    folder, before, _ = versions_of_marks(s, d)
+    back = ln.rollback(s, folder, 1, before, 3)
+    return ln.marks_of(s, folder, 2).withColumnRenamed("mark", "changed").join(back, "node")
+
+
+@query("sp24_receipts", """SELECT v AS version, w AS receipt_of, n AS stored_rows, v=w OR same AS accepted FROM (SELECT count(*) AS n, count(*) FILTER (WHERE mark<>'valid')=0 AS same FROM marks),
+    (VALUES (1),(2)) a(v), (VALUES (1),(2)) b(w)""")
+def receipts(s, d):
+    """Which receipt opens which version."""
+    folder, *given = versions_of_marks(s, d)
+    held = [ln.marks_of(s, folder, v).agg(F.lit(v).alias("version"), F.count("*").alias("stored_rows")) for v in (1, 2)]
+    rows = [held[v - 1].select("version", F.lit(w).alias("receipt_of"), "stored_rows", F.lit(ln.agrees(s, folder, v, given[w - 1])).alias("accepted"))
+            for v in (1, 2) for w in (1, 2)]
+    return functools.reduce(DataFrame.unionByName, rows)
 
 
 @query("sp25_affine_bounds", """SELECT scene_id, 292230e0+x0*30 AS bleft, 3473790e0-y1*30 AS bbottom, 292230e0+x1*30 AS bright, 3473790e0-y0*30 AS btop FROM scene""")

@@ -193,10 +193,26 @@ def test_stale_cache_and_wrong_receipt_stop(spark):
     assert ln.load_cached(now, now).count() == 1
     with pytest.raises(Exception, match="cache"):
         ln.load_cached(spark.createDataFrame([("k", "d0")], "consumer string, digest string"), now).collect()
-    a = spark.createDataFrame([("n", "valid")], "node string, mark string")
-    assert ln.rollback(a, a).collect() == a.collect()
-    with pytest.raises(Exception, match="receipt"):
-        ln.rollback(a, spark.createDataFrame([("n", "quarantined")], "node string, mark string")).collect()
+
+
+def test_rollback_over_versions(spark, tmp_path):
+    schema, f = "node string, mark string", str(tmp_path)
+    first = ln.publish_marks(spark.createDataFrame([("n", "valid"), ("m", "valid"), (None, "valid")], schema).repartition(3), f, 1)
+    second = ln.publish_marks(spark.createDataFrame([("n", "invalidated"), ("m", "quarantined"), (None, "valid")], schema), f, 2)
+    for version, wrong in ((1, second), (2, first)):
+        with pytest.raises(ValueError, match="receipt"):
+            ln.rollback(spark, f, version, wrong, 3)
+    assert not (tmp_path / "marks" / "version=3").exists()
+    back = ln.rollback(spark, f, 1, first, 3)
+    assert sorted(back.collect(), key=str) == sorted(ln.marks_of(spark, f, 1).collect(), key=str)
+    again = ln.rollback(spark, f, 2, second, 4)  # a rollback can be taken back
+    assert {r["node"]: r["mark"] for r in again.collect()} == {"n": "invalidated", "m": "quarantined", None: "valid"}
+    with pytest.raises(Exception, match="(?i)exists"):
+        ln.publish_marks(back, f, 2)
+    spark.createDataFrame([("n", "valid")], schema).write.mode("append").parquet(f"{f}/marks/version=1")  # stored marks changed later
+    assert not ln.agrees(spark, f, 1, first)
+    empty = ln.publish_marks(spark.createDataFrame([], schema), f, 5)
+    assert ln.rollback(spark, f, 5, empty, 6).count() == 0
 
 
 def test_maximin_of_many_groups_at_once(spark):

@@ -1,5 +1,6 @@
 """Sources, sinks, journals, streams and quality rules with a negative control each."""
 
+import datetime
 import json
 import os
 from collections import Counter
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators import domains, journal as jr, quality as q, support as sp
 from ridgeline.sources import io
-from ridgeline.streaming import journal as sj
+from ridgeline.streaming import journal as sj, tasks as stm
 
 
 def test_refuse_overwrite_and_band_order(spark, folder):
@@ -171,6 +172,28 @@ def test_streams_equal_their_batch_twins(spark, folder):
     assert sorted(sj.newest(spark, f"{folder}/retry", "task_id").collect()) == sorted(jr.retry_rule(batch).select("task_id", "first_final", "has_second", "unknown_events", "verdict").collect())
 
 
+def test_task_life_expires_and_keeps_late_events_apart(spark, folder):
+    schema = "seq long, ts timestamp, task_id long, state string, attempt long"
+    at = lambda day: datetime.datetime(2024, 1, day)
+    batches = [
+        [(1, at(1), 1, "FAILED", 1), (2, at(1), 2, "RUNNING", 1), (3, at(2), 1, "READY", 2)],
+        [(4, at(4), 3, "ODD", 1), (5, at(4), 3, "READY", 2), (None, at(4), 3, "READY", 2), (6, None, 3, "READY", 2)],
+        [(7, at(1), 1, "CANCELLED", 1), (8, at(20), 4, "READY", 1)],  # 7 is older than the watermark; day 20 ends tasks 1 to 3
+        [(9, at(5), 2, "COMPLETED", 1), (10, at(20), 2, "READY", 1)]]  # 9 is late, 10 starts task 2 anew
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{i}")
+        j = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        stm.task_life_stream(j, f"{folder}/out", f"{folder}/c", "1 day", 7)
+    assert "providerClass" not in str(spark.conf.get(stm.PROVIDER, ""))
+    got = {r["task_id"]: (r["kind"], r["state"], r["events"], r["verdict"]) for r in stm.read_life(spark, f"{folder}/out").collect()}
+    assert got == {1: ("final", "READY", 2, "retry_ok"), 2: ("open", "READY", 1, "no_retry"), 3: ("final", "READY", 2, "blocked_unknown"), 4: ("open", "READY", 1, "no_retry")}
+    assert sorted((r["task_id"], r["seq"]) for r in stm.read_late(spark, f"{folder}/out").collect()) == [(1, 7), (2, 9)]
+    every = spark.read.parquet(f"{folder}/out").where("kind = 'final'")
+    assert sorted(r["task_id"] for r in every.collect()) == [1, 2, 3]
+    held = spark.read.format("statestore").option("stateVarName", "task").load(f"{folder}/c")
+    assert sorted(r[0] for r in held.select("key.task_id").collect()) == [2, 4]
+
+
 def test_stream_quarantine(spark, folder):
     os.makedirs(f"{folder}/in")
     with open(f"{folder}/in/a.json", "w") as f:
