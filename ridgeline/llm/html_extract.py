@@ -1,10 +1,11 @@
 """Main text of web pages, with site template removal.
 
 A page becomes a tree. Subtrees that are no content by their nature (scripts,
-menus, forms, sidebars, notices, adverts, comments of readers) go at once. Of what is left, every
+menus, forms, sidebars, notices, adverts, comments of readers) go at once, unless one that goes by its name or as a form
+holds the title or most of the page. Of what is left, every
 block with text that stands for itself is hashed, and Spark counts per host how many different pages hold
 each hash, near copies as one; blocks that recur across many pages of their host are deleted. Then the article, or
-else main, or else the body is read off block by block.
+else main, or else the body, where the narrower one holds enough of the text, is read off block by block.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|disp
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed xmp".split())
-DROPPED = frozenset("head nav aside footer form button select option dialog menu svg math object canvas audio video label fieldset".split()) | RAW
+DROPPED = frozenset("head nav aside footer button select option dialog menu svg math object canvas audio video".split()) | RAW
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -45,38 +46,79 @@ NOT_CONTENT = frozenset(
     "pagination pager footer foot masthead topbar toolbar header share sharing social related recommended comment comments commentlist discussion disqus "
     "replies respond login search searchbox complementary contentinfo skip".split())
 
+#: Of these, what readers and advertisers write and what asks for consent: it goes whatever its size.
+SURE = frozenset(
+    "comment comments commentlist discussion disqus replies respond ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored "
+    "cookie cookies consent gdpr".split())
+#: First words of a name that tell what a wrapper has or lacks, not what it is.
+STATE = frozenset("with without has have no not hide show".split())
+KEPT, DOUBTFUL, GONE = 0, 1, 2
+MAIN_SHARE, BODY_SHARE = 2, 8  # articles that hold less than a half of main, or less than an eighth of the page, are teasers
+
 
 @dataclass
 class Node:
     tag: str
+    drop: int = KEPT
+    title: bool = False  # holds the first h1 of the page, or is a form around an article
     dropped: bool = False
+    own: int = 0  # code points of the texts right below
+    size: int = 0  # and of all below that are not dropped
     parts: list = field(default_factory=list)  # text or Node
     hash: int = 0
     text: bool = False  # any below
     piece: bool = False
 
 
-def no_content(tag: str, attrs: str, inside_article: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not inside_article:
-        return True
+def no_content(tag: str, attrs: str, inside_article: bool, inside_form: bool) -> int:
+    """How surely an element is no content: by its tag, hidden, comments or adverts (GONE), by another name or as a form (DOUBTFUL)."""
+    if tag in DROPPED or tag == "header" and not inside_article or tag == "label" and inside_form:
+        return GONE
+    doubt = DOUBTFUL if tag in ("form", "fieldset") else KEPT
     if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs:
-        return False
+        return doubt
     if HIDDEN.search(attrs):
-        return True
-    words = {w for m in NAMES.finditer(attrs) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & NOT_CONTENT) and not (tag == "header" and words <= {"header", ""})
+        return GONE
+    for m in NAMES.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+            named = NOT_CONTENT.intersection(words)
+            if inside_article or tag == "header":
+                named -= {"header"}  # the heading of an article or of its section
+            if named and words[0] not in STATE:
+                if named & SURE:
+                    return GONE
+                doubt = DOUBTFUL
+    return doubt
+
+
+class Judged(dict):
+    """``no_content`` remembered for up to 4,096 tags with attributes of up to 200 characters."""
+
+    def __missing__(self, key: tuple) -> int:
+        if len(self) >= 4096:
+            self.clear()
+        got = no_content(*key)
+        if len(key[1]) <= 200:
+            self[key] = got
+        return got
+
+
+judge = Judged()
 
 
 def build(page: str) -> Node:
     """Tree of a page. Open paragraphs, items and cells end where HTML says they do; stray end tags are ignored."""
     root = Node("html")
     stack = [root]
-    articles, pos, n = 0, 0, len(page)
+    articles, forms, titled, pos, n = 0, 0, False, 0, len(page)
 
     def pop_to(depth: int) -> None:
-        nonlocal articles
+        nonlocal articles, forms
         while len(stack) > depth:
-            articles -= stack.pop().tag in ("article", "main")
+            tag = stack.pop().tag
+            articles -= tag in ("article", "main")
+            forms -= tag == "form"
 
     def close(tags, scope) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -119,31 +161,74 @@ def build(page: str) -> Node:
         if tag in SIBLINGS:
             close(SIBLINGS[tag], SCOPE - {"div"})
         attrs = m["attrs"] or ""
-        if tag in ("article", "main") and not no_content(tag, attrs, False):
+        drop = judge[tag, attrs, articles > 0, forms > 0]
+        if tag in ("article", "main") and not drop:
             for i, open_ in enumerate(stack):  # an unclosed menu or advert does not hold the article
-                if open_.dropped:
+                if open_.tag in ("form", "fieldset"):
+                    open_.title = True
+                elif open_.drop:
                     pop_to(i)
                     break
-        node = Node(tag, no_content(tag, attrs, articles > 0))
+        if tag == "h1" and not titled and not drop and all(x.drop != GONE for x in stack):
+            titled = True
+            for x in stack:
+                x.title = True
+        node = Node(tag, drop)
         stack[-1].parts.append(node)
         if tag not in VOID and not page[m.end() - 2:m.end()] == "/>":
             stack.append(node)
             articles += tag in ("article", "main")
+            forms += tag == "form"
+    settle(root)
     return root
 
 
+def settle(root: Node) -> None:
+    """Set ``dropped`` and ``size``: a doubtful element stays if it holds the title or more than half of the text that is not surely gone."""
+    nodes, todo, doubt = [], [root], False
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        for p in node.parts:
+            if isinstance(p, str):
+                node.own += len(p.strip())
+            elif p.drop == GONE:
+                p.dropped = True
+            else:
+                doubt |= p.drop == DOUBTFUL
+                todo.append(p)
+    for node in reversed(nodes):  # with all that is doubtful
+        node.size = node.own + sum(p.size for p in node.parts if isinstance(p, Node) and not p.dropped)
+    if not doubt:
+        return
+    whole = root.size
+    for node in nodes:
+        node.dropped = node.drop == DOUBTFUL and not node.title and 2 * node.size <= whole
+    for node in reversed(nodes):  # and without what goes
+        node.size = node.own + sum(p.size for p in node.parts if isinstance(p, Node) and not p.dropped)
+
+
+def outermost(root: Node, wanted: str) -> list[Node]:
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == wanted:
+            found.append(node)
+        else:
+            todo += [p for p in reversed(node.parts) if isinstance(p, Node) and not p.dropped]
+    return found
+
+
 def kept_roots(root: Node) -> list[Node]:
-    """Outermost articles that are not dropped, else mains, else the whole page."""
-    for wanted in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if node.tag == wanted and not node.dropped:
-                found.append(node)
-            elif not node.dropped:
-                todo += [p for p in reversed(node.parts) if isinstance(p, Node)]
-        if found:
-            return found
+    """Outermost articles that are not dropped, else mains, else the whole page; ones too small beside what is around them are passed over."""
+    articles, mains = outermost(root, "article"), outermost(root, "main")
+    size = lambda found: sum(x.size for x in found)
+    for found in (articles, mains):
+        if not found or BODY_SHARE * size(found) < root.size:
+            continue
+        if found is articles and mains and MAIN_SHARE * size(articles) < size(mains):
+            continue
+        return found
     return [root]
 
 

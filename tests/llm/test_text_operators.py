@@ -226,6 +226,29 @@ def test_html_keeps_pieces_and_near_copies(spark, article):
                 assert i < few or got[at + 1000 * n + i] == " ".join([f"Edition {i}", *copies])
 
 
+STORY = "<h2>Part</h2><p>" + "The harbour was quiet that morning. " * 6 + "</p>"
+READ = "Part " + " ".join(["The harbour was quiet that morning."] * 6)
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body><div class='page with-sidebar'>{STORY}<div class='sidebar-left'>side</div></div></body>", READ),
+    (f"<body><div class='post no-comments hasSocial'>{STORY}</div><div id='comments'>" + "<p>reader says so and so</p>" * 40 + "</div></body>", READ),
+    (f"<body><form id='aspnetForm' action='x'><input name=v><div id='nav-top'>menu</div>{STORY}<label>Name</label></form></body>", READ),
+    (f"<body>{STORY}<form><p>Your name</p><input></form></body>", READ),
+    (f"<body><form id=f><main>{STORY}</main><select><option>x</select></form><p>Bottom line</p></body>", READ),
+    (f"<body><main>{STORY}<article class='teaser'><p>Next story</p></article></main></body>", READ + " Next story"),
+    (f"<body><div id='story'>{STORY}</div><article><p>Next story</p></article></body>", READ + " Next story"),
+    ("<body><main><article><p>Short story</p></article><div class='ads'>" + "buy " * 9 + "</div></main></body>", "Short story"),
+    (f"<article>{STORY}<p>A <label>labelled</label> word</p><div class='section-header'><h3>More</h3></div></article>", READ + " A labelled word More"),
+    (f"<body><div class='widget-page'><h1>Title</h1></div><div class='promo'>buy</div>{STORY}</body>", "Title " + READ),
+    (f"<body><div class='left-sidebar'>x</div><div class='site-footer'>y</div><div style='display:none'>{STORY}</div>{STORY}</body>", READ),
+    ("<div class=widget>" * 5000 + STORY + "</div>" * 5000, READ)])
+def test_html_no_article_is_lost_to_its_wrapper(page, text):
+    """Names of wrappers, forms around the page, teasers and titles; every page is read alone, so nothing recurs."""
+    tops = html_extract.kept_roots(html_extract.build(page))
+    assert " ".join(" ".join(html_extract.read(x, ()) for x in tops).split()) == text
+
+
 def test_html_shared_passage_of_few_body_pages_stays(spark):
     pages = [(i, "http://few.example/", f"<body><p>text {i} of its own words{i}</p>" + ("<p>A passage that some pages quote.</p>" if i < 3 else "") + "</body>") for i in range(12)]
     got = {r.page_id: r.text for r in html_extract.op6_html(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
