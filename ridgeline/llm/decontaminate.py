@@ -150,17 +150,36 @@ def scanner(automaton: Automaton | None):
     return scan
 
 
+def parts_of(part_words: int, span: int):
+    """Column function: words of a text in parts of ``part_words`` windows; neighbours share ``span`` - 1 words, so every window lies in one part whole."""
+    @F.pandas_udf("array<string>")
+    def parts(text: pd.Series) -> pd.Series:
+        def one(t):
+            words = tokens(t)
+            if len(words) < part_words + span:
+                return [t]
+            return [b" ".join(words[k:k + part_words + span - 1]).decode("utf-8", "replace") for k in range(0, len(words) - span + 1, part_words)]
+        return pd.Series([one(t) for t in text], dtype=object)
+    return parts
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, block_words: int = 500_000, span: int = SPAN) -> DataFrame:
     """``docs`` plus ``hits`` (n_words, runs of hit words, item ids as strings).
 
-    The benchmark's words are counted first. Up to ``block_words`` of them make
-    one automaton, which every task gets; beyond, items are dealt to blocks
+    Repeated items (same id and text) count once. The words of the rest are counted first. Up to ``block_words`` of them make
+    one automaton, which every task gets; beyond, long items are cut into overlapping parts, the parts are dealt to blocks
     by a hash and the documents pass block after block, so memory stays bounded and the result is the same.
+
+    Null or empty texts have no words and no hits; repeated rows get the same hits; without items, or without documents, nothing is
+    hit; items with a null id hit but are not listed. A column ``hits`` is replaced, others pass through.
     """
     common.bound_batches(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).distinct()
     total = items.agg(F.coalesce(F.sum(F.regexp_count("t", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_words))
+    if blocks > 1:  # parts far smaller than a block, so that the hash fills blocks evenly
+        parts = items.select("i", F.explode(parts_of(max(span, block_words // 64), span)(F.col("t"))).alias("t")).distinct()
+        items = common.written(parts, "decontaminate-items")
     empty = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<a:long,b:long>>").alias("runs"), F.array().cast("array<string>").alias("items"))
     out = docs.withColumn("hits", empty)
     for k in range(blocks):

@@ -100,6 +100,27 @@ def test_automaton_against_all_windows(items, doc, span):
     assert {w for s, e in runs for w in range(s, e)} == hit and names == found
 
 
+def test_decontamination_blocks_are_bounded(spark, monkeypatch):
+    """Repeated items count once and a long item is cut, so no block holds much more than its bound; windows across the cuts are found."""
+    draw = random.Random(11)
+    long = [f"w{draw.randrange(10**6)}" for _ in range(6000)]
+    bench = [("long", " ".join(long))] * 200 + [(f"s{i}", " ".join(f"x{i}y{j}" for j in range(5))) for i in range(40)] + [(None, " ".join(long[100:140])), ("e", ""), ("n", None)]
+    docs = [(k, " ".join(["before", *long[at:at + 13], "after"])) for k, at in enumerate(range(0, 5980, 37))] + [(1000, "x3y0 x3y1 x3y2 x3y3 x3y4"), (1001, "x3y0 x3y1"), (1002, None), (1003, " ".join(long))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(bench, "item_id string, text string").repartition(4)
+    sizes = []
+
+    class Counted(decontaminate.Automaton):
+        def __init__(self, items, span):
+            sizes.append(sum(len(w) for _, w in items))
+            super().__init__(items, span)
+
+    monkeypatch.setattr(decontaminate, "Automaton", Counted)
+    one, many = ({r.doc_id: (r.hits.n_words, r.hits.runs, r.hits["items"]) for r in decontaminate.find_hits(docs, bench, block_words=w).collect()} for w in (10**6, 2000))
+    assert one == many and one[5][2] == ["long"] and [tuple(x) for x in one[5][1]] == [(1, 14)] and one[1000][2] == ["s3"] and not one[1001][1] and [tuple(x) for x in one[1003][1]] == [(0, 6000)]
+    assert sizes[0] == 6000 + 200 + 40 and len(sizes) == 1 + 4 and max(sizes[1:]) < 2 * 2000
+
+
 def test_decontamination_blocks_agree_and_spans_go(spark):
     docs = documents(spark).select("doc_id", "text", "n_chars")
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
