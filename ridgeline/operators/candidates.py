@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import geometry as geo
@@ -146,45 +148,55 @@ def top_candidates(q: DataFrame, limit: int = 5) -> DataFrame:
     return q.withColumn("_p", primary).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumnRenamed("_p", "primary_count")
 
 
-def _order(prefix: str = "") -> Column:
-    return F.struct(*[F.col(f"{prefix}{x}") for x in ("edge", "r0", "c0")])
-
-
-def conflicts(cand: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """Pairs (earlier, later) of overlapping cores, found through the blocks they touch."""
-    def blocks(lo: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(lo) / block), F.floor((F.col(lo) + F.col("edge") - 1) / block)))
-    b = cand.select(*keys, *ID).withColumn("_br", blocks("r0")).withColumn("_bc", blocks("c0"))
-    x = b.select(*keys, "_br", "_bc", *[F.col(i).alias(f"x_{i}") for i in ID])
-    y = b.select(*keys, "_br", "_bc", *[F.col(i).alias(f"y_{i}") for i in ID])
-    def box(p: str) -> list[Column]:
-        return [F.col(f"{p}r0"), F.col(f"{p}c0"), F.col(f"{p}r0") + F.col(f"{p}edge"), F.col(f"{p}c0") + F.col(f"{p}edge")]
-    j = x.join(y, [*keys, "_br", "_bc"]).where((_order("x_") < _order("y_")) & geo.half_open_overlap(box("x_"), box("y_")))
-    return j.drop("_br", "_bc").distinct()
-
-
-def greedy_nonoverlap(spark: SparkSession, cand: DataFrame, keys: list[str], block: int = 16) -> DataFrame:
+def greedy_nonoverlap(spark: SparkSession, cand: DataFrame, keys: list[str], tile: int = 512) -> DataFrame:
     """Cores kept when scanned by (edge, row, column) and overlapping none kept before.
 
-    Rounds over the conflict pairs: keep each live core with no earlier live
-    rival, then drop the later rivals of what was kept. Several scans (``keys``)
-    run in the same rounds; each round is written, so lineage stays short.
+    A group is one tile of start cells: it is scanned in order, with the cores that its neighbours keep near the border
+    in their places of the order. Tiles whose border has changed are scanned again until none has. A core
+    depends on earlier ones only, so what holds still everywhere is the one sequential scan; a chain of overlapping cores costs
+    a round per tile that it crosses with effect, not per core. Several scans (``keys``) run in the same rounds.
     """
-    live = io.materialize(spark, cand.select(*keys, *ID), "live")
-    pairs = io.materialize(spark, conflicts(live, keys, block), "pairs")
-    kept = None
-    xk, yk = [*keys, *[f"x_{i}" for i in ID]], [*keys, *[f"y_{i}" for i in ID]]
-    ident = [*keys, *ID]
-    while not live.isEmpty():
-        later = pairs.select(*[F.col(c).alias(n) for c, n in zip(yk, ident)]).distinct()
-        take = io.materialize(spark, live.join(later, ident, "left_anti"), "take")
-        kept = take if kept is None else kept.unionByName(take)
-        hit = pairs.join(take.select(*[F.col(n).alias(c) for c, n in zip(xk, ident)]), xk, "left_semi")
-        drop = io.materialize(spark, hit.select(*[F.col(c).alias(n) for c, n in zip(yk, ident)]).unionByName(take).distinct(), "drop")
-        live = io.materialize(spark, live.join(drop, ident, "left_anti"), "live")
-        gone_x, gone_y = (drop.select(*[F.col(n).alias(c) for c, n in zip(k, ident)]) for k in (xk, yk))
-        pairs = io.materialize(spark, pairs.join(gone_x, xk, "left_anti").join(gone_y, yk, "left_anti"), "pairs")
-    return kept if kept is not None else cand.select(*keys, *ID)
+    ident, group = [*keys, *ID], [*keys, "_tr", "_tc"]
+    place = {"_tr": F.floor(F.col("r0") / tile).cast("long"), "_tc": F.floor(F.col("c0") / tile).cast("long")}
+    live = io.materialize(spark, cand.select(*ident).withColumns(place), "live")
+    most = live.agg(F.max("edge")).first()[0]
+    if most is None:
+        return live.select(*ident)
+
+    def scan(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return own
+        e, r, c = (np.concatenate([own[x].to_numpy(), near[x].to_numpy()]).astype(int) for x in ("edge", "r0", "c0"))
+        r, c = r - r.min(), c - c.min()
+        taken, keep = np.zeros(((r + e).max(), (c + e).max()), dtype=bool), []
+        for i in np.lexsort((c, r, e)).tolist():
+            box = taken[r[i]:r[i] + e[i], c[i]:c[i] + e[i]]
+            if i < len(own):
+                if box.any():
+                    continue
+                keep.append(i)
+            box[:] = True
+        return own.iloc[keep]
+
+    def scanned(own: DataFrame, near: DataFrame) -> DataFrame:
+        return own.groupBy(*group).cogroup(near.groupBy(*group)).applyInPandas(scan, live.schema)
+
+    def borders(kept: DataFrame) -> DataFrame:
+        """Kept cores in each other tile of which a core may overlap them."""
+        def reach(x: str) -> Column:
+            return F.explode(F.sequence(F.floor((F.col(x) - (most - 1)) / tile), F.floor((F.col(x) + F.col("edge") - 1) / tile)))
+        far = kept.withColumn("_r", reach("r0")).withColumn("_c", reach("c0")).where((F.col("_r") != F.col("_tr")) | (F.col("_c") != F.col("_tc")))
+        return io.materialize(spark, far.select(*ident, F.col("_r").alias("_tr"), F.col("_c").alias("_tc")), "border")
+    border = live.where("false")
+    kept = io.materialize(spark, scanned(live, border), "kept")
+    while True:
+        old, border = border, borders(kept)
+        moved = old.unionByName(border).groupBy(*ident, "_tr", "_tc").agg(F.count("*").alias("_n")).where("_n = 1")
+        moved = io.materialize(spark, moved.select(*group).distinct(), "moved")
+        if moved.isEmpty():
+            return kept.select(*ident)
+        again = scanned(*[x.join(moved, group, "left_semi") for x in (live, border)])
+        kept = io.materialize(spark, kept.join(moved, group, "left_anti").unionByName(again), "kept")
 
 
 def maximin(spark: SparkSession, cand: DataFrame, keys: list[str], count: int, tie: list[Column]) -> DataFrame:

@@ -77,6 +77,26 @@ def test_greedy_selection(spark):
         assert sorted((r["edge"], r["r0"], r["c0"]) for r in got if r["kind"] == kind) == sorted(want)
 
 
+def test_greedy_selection_over_tiles(spark, monkeypatch):
+    """A chain of overlapping cores across many small tiles, and a dense field; few writes for a long chain."""
+    written, write = [], cd.io.materialize
+    monkeypatch.setattr(cd.io, "materialize", lambda s, df, name: written.append(name) or write(s, df, name))
+    chain = [(6, 4 * i, 0) for i in range(150)]
+    rng = np.random.default_rng(4)
+    field = sorted({(int(e), int(r), int(c)) for e, r, c in zip(rng.choice([3, 5], 500), rng.integers(0, 60, 500), rng.integers(0, 60, 500))})
+    df = spark.createDataFrame([(k, r, c, e) for k, pool in (("chain", chain), ("field", field)) for e, r, c in pool], "kind string, r0 long, c0 long, edge int")
+    for tile in (16, 512):
+        written.clear()
+        got = cd.greedy_nonoverlap(spark, df, ["kind"], tile).collect()
+        assert tile == 16 or len(written) < 10
+        for kind, pool in (("chain", chain), ("field", field)):
+            want = []
+            for k in pool:
+                if not any(overlap(k, s) for s in want):
+                    want.append(k)
+            assert sorted((r["edge"], r["r0"], r["c0"]) for r in got if r["kind"] == kind) == sorted(want)
+
+
 def test_maximin_selection(spark):
     rng = np.random.default_rng(10)
     cand = sorted({(5, int(r), int(c), int(n)) for r, c, n in zip(rng.integers(0, 60, 40), rng.integers(0, 60, 40), rng.integers(1, 90, 40))})
