@@ -9,6 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..sources import io
 
 
+def bound_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Hand Python at most ``rows`` pairs of tiles at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
 def hash_number(*parts) -> Column:
     """A 60-bit number from md5 of the parts; the same in any engine."""
     text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
@@ -41,37 +48,46 @@ def sample_pairs(sample: DataFrame, keys: list[str], pairs: int, seed: str) -> D
 
 
 def dense_tiles(points: DataFrame, keys: list[str], tile: int) -> DataFrame:
-    """One row a key and tile with its values ``v`` as a square of doubles (bytes); absent cells are NaN. The group is one tile."""
+    """One row a key and tile: its values ``v`` as doubles (bytes) over the box ``_r``, ``_c``, ``_w`` (width) of its cells; absent cells are NaN.
+
+    With count, sum and sum of squares (``n``, ``s``, ``q``). The group is one tile.
+    """
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.full((tile, tile), np.nan)
-        z[pdf["r"].to_numpy() % tile, pdf["c"].to_numpy() % tile] = pdf["v"].to_numpy(dtype="float64")
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in [*keys, "_tr", "_tc"]}, "_z": [z.tobytes()]})
+        r, c, v = pdf["r"].to_numpy(), pdf["c"].to_numpy(), pdf["v"].to_numpy(dtype="float64")
+        z = np.full((r.max() - r.min() + 1, c.max() - c.min() + 1), np.nan)
+        z[r - r.min(), c - c.min()] = v
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in [*keys, "_tr", "_tc"]}, "_z": [z.tobytes()], "_r": [r.min()], "_c": [c.min()], "_w": [z.shape[1]],
+                             "n": [len(v)], "s": [v.sum()], "q": [(v * v).sum()]})
     rows = points.select(*keys, "r", "c", "v").where(F.col("v").isNotNull()).withColumns(
         {"_tr": F.floor(F.col("r") / tile).cast("long"), "_tc": F.floor(F.col("c") / tile).cast("long")})
     fields = [f for f in rows.schema.fields if f.name in (*keys, "_tr", "_tc")]
-    schema = T.StructType([*fields, T.StructField("_z", T.BinaryType())])
+    longs, doubles = ([T.StructField(n, kind) for n in names] for names, kind in ((("_r", "_c", "_w", "n"), T.LongType()), (("s", "q"), T.DoubleType())))
+    schema = T.StructType([*fields, T.StructField("_z", T.BinaryType()), *longs, *doubles])
     return rows.groupBy(*keys, "_tr", "_tc").applyInPandas(pack, schema)
 
 
-def pair_sums(a: bytes, b: bytes, tile: int, down: int, right: int, edges: np.ndarray) -> list[dict]:
+BOX = ["_z", "_r", "_c", "_w"]
+
+
+def pair_sums(a: dict, b: dict, edges: np.ndarray) -> list[dict]:
     """Pairs, distances and half squared differences by lag class between two tiles, over all offsets at once.
 
     Sums over all pairs of one offset are correlations of values and masks: products of transforms. Values are centred first.
     """
-    x, y = (np.frombuffer(v, dtype="float64").reshape(tile, tile) for v in (a, b))
+    x, y = (np.frombuffer(t["_z"], dtype="float64").reshape(-1, t["_w"]) for t in (a, b))
     mx, my = ~np.isnan(x), ~np.isnan(y)
     centre = (x[mx].sum() + y[my].sum()) / (mx.sum() + my.sum())
-    x, y = np.where(mx, x - centre, 0.0), np.where(my, y - centre, 0.0)
-    size = (2 * tile, 2 * tile)
-    fx, fx2, fm = (np.conj(np.fft.rfft2(v, size)) for v in (x, x * x, mx.astype(float)))
-    gy, gy2, gm = (np.fft.rfft2(v, size) for v in (y, y * y, my.astype(float)))
+    fx, fy = np.where(mx, x - centre, 0.0), np.where(my, y - centre, 0.0)
+    size = tuple(-(-(i + j) // 8) * 8 for i, j in zip(x.shape, y.shape))
+    fx, fx2, fm = (np.conj(np.fft.rfft2(v, size)) for v in (fx, fx * fx, mx.astype(float)))
+    gy, gy2, gm = (np.fft.rfft2(v, size) for v in (fy, fy * fy, my.astype(float)))
     pairs = np.rint(np.fft.irfft2(fm * gm, size))
     half = np.fft.irfft2((fx2 * gm + fm * gy2) / 2 - fx * gy, size)
-    step = np.fft.fftfreq(2 * tile, 1 / (2 * tile))
-    dist = np.hypot(down * tile + step[:, None], right * tile + step[None, :])
+    down, right = (np.where(np.arange(n) < j, np.arange(n), np.arange(n) - n) for n, j in zip(size, y.shape))
+    dist = np.hypot(b["_r"] - a["_r"] + down[:, None], b["_c"] - a["_c"] + right[None, :])
     use = (pairs > 0) & (dist > 0) & (dist >= edges[0]) & (dist <= edges[-1])
     lag = np.searchsorted(edges[1:-1], dist[use], side="right")
-    share = 0.5 if down == right == 0 else 1.0  # a tile meets itself from both sides
+    share = 0.5 if (a["_r"], a["_c"]) == (b["_r"], b["_c"]) else 1.0  # a tile meets itself from both sides
     n, d, g = (np.bincount(lag, weights=w[use] * share, minlength=len(edges) - 1) for w in (pairs, pairs * dist, half))
     return [{"lag": i, "pairs": int(round(n[i])), "dist": d[i], "half_sq": max(g[i], 0.0)} for i in range(len(n)) if n[i] > 0]
 
@@ -90,16 +106,64 @@ def lag_sums(points: DataFrame, keys: list[str], edges: DataFrame, tile: int = 1
     tiles = io.materialize(points.sparkSession, dense_tiles(points, keys, tile), "lag-tiles")
     near = tiles.join(edges, keys).withColumn("_m", F.ceil(F.element_at("edges", -1) / tile).cast("long") + 1)
     ways = F.expr("flatten(transform(sequence(0L, _m), i -> transform(sequence(IF(i = 0, 0L, -_m), _m), j -> struct(i AS i, j AS j))))")
-    one = near.select(*keys, "edges", F.col("_z").alias("_a"), "_tr", "_tc", F.explode(ways).alias("_w"))
+    one = near.select(*keys, "edges", "_tr", "_tc", F.explode(ways).alias("_w"))
     one = one.where(F.hypot(F.greatest(F.abs("_w.i") - 1, F.lit(0)), F.greatest(F.abs("_w.j") - 1, F.lit(0))) * tile <= F.element_at("edges", -1))
-    one = one.select(*keys, "edges", "_a", "_w", (F.col("_tr") + F.col("_w.i")).alias("_tr"), (F.col("_tc") + F.col("_w.j")).alias("_tc"))
+    one = one.select(*keys, "edges", "_tr", "_tc", (F.col("_tr") + F.col("_w.i")).alias("_tr2"), (F.col("_tc") + F.col("_w.j")).alias("_tc2"))
+    rows = met(one, tiles, keys).select(*keys, "x.*")
+    return rows.groupBy(*keys, "lag").agg(F.sum("pairs").alias("pairs"), F.sum("dist").alias("dist"), F.sum("half_sq").alias("half_sq"))
+
+
+def met(pairs: DataFrame, tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """``pair_sums`` (``x``, one row a lag class) of the pairs of tiles (keys, _tr, _tc, _tr2, _tc2, edges)."""
+    bound_batches(tiles.sparkSession)
 
     @F.pandas_udf(LAGS)
-    def sums(a: pd.Series, b: pd.Series, i: pd.Series, j: pd.Series, edges: pd.Series) -> pd.Series:
-        return pd.Series([pair_sums(*row[:2], tile, int(row[2]), int(row[3]), np.asarray(row[4], dtype=float)) for row in zip(a, b, i, j, edges, strict=True)], dtype=object)
-    both = one.join(tiles.withColumnRenamed("_z", "_b"), [*keys, "_tr", "_tc"])
-    rows = both.select(*keys, F.explode(sums("_a", "_b", "_w.i", "_w.j", "edges")).alias("x")).select(*keys, "x.*")
-    return rows.groupBy(*keys, "lag").agg(F.sum("pairs").alias("pairs"), F.sum("dist").alias("dist"), F.sum("half_sq").alias("half_sq"))
+    def sums(a: pd.DataFrame, b: pd.DataFrame, edges: pd.Series) -> pd.Series:
+        return pd.Series([pair_sums(x, y, np.asarray(e, dtype=float)) for x, y, e in zip(a.to_dict("records"), b.to_dict("records"), edges, strict=True)], dtype=object)
+    box = F.struct(*BOX)
+    there = tiles.select(*keys, F.col("_tr").alias("_tr2"), F.col("_tc").alias("_tc2"), box.alias("_b"))
+    both = pairs.join(tiles.select(*keys, "_tr", "_tc", box.alias("_a")), [*keys, "_tr", "_tc"]).join(there, [*keys, "_tr2", "_tc2"])
+    return both.withColumn("x", F.explode(sums("_a", "_b", "edges"))).drop("_a", "_b")
+
+
+def pairs_within(points: DataFrame, keys: list[str], radii: DataFrame, tile: int = 128) -> DataFrame:
+    """Exact pairs and sums of half squared differences of all pairs of points of a key nearer than ``radius``: keys, ring, pairs, half_sq.
+
+    ``points``: keys, r, c, v (near zero on average), one row a cell; ``radii``: keys, ring, radius. Two tiles all of whose
+    cells are nearer need their counts, sums and squares only, and these are taken from running sums down each column of
+    tiles; tiles on the rim meet cell by cell. So a tile meets a few others, however many lie within the radius.
+    """
+    spark = points.sparkSession
+    tiles = io.materialize(spark, dense_tiles(points, keys, tile), "lag-tiles")
+    size = tiles.select(*keys, "_tr", "_tc", "n", "s", "q")
+    columns = size.groupBy(*keys, "_tc").agg(F.min("_tr").alias("_lo"), F.max("_tr").alias("_hi"))
+    down = W.partitionBy(*keys, "_tc").orderBy("_tr").rowsBetween(W.unboundedPreceding, 0)
+    run = columns.select(*keys, "_tc", F.explode(F.sequence(F.col("_lo") - 1, F.col("_hi"))).alias("_tr")).join(size, [*keys, "_tc", "_tr"], "left")
+    run = run.select(*keys, F.col("_tc").alias("_tc2"), "_tr", *[F.coalesce(F.sum(x).over(down), F.lit(0)).alias(x) for x in ("n", "s", "q")])
+    run = io.materialize(spark, run, "lag-runs")
+    R, right = F.col("radius"), F.col("_tc2") - F.col("_tc")
+    apart, wide = F.greatest((right - 1) * tile + 1, F.lit(0)), (right + 1) * tile - 1
+    j = size.join(radii, keys).join(columns.withColumnRenamed("_tc", "_tc2"), keys).where((right >= 0) & (apart < R))
+    # tiles up to ``_in`` rows of tiles away lie within the radius whole, those up to ``_rim`` in part
+    last = lambda x: F.sqrt(F.greatest(R * R - x * x, F.lit(0.0)))
+    j = j.withColumns({"_in": F.greatest(F.floor((last(wide) - 1e-6 + 1) / tile) - 1, F.lit(-1)).cast("long"),
+                       "_rim": F.greatest(F.floor((last(apart) - 1) / tile) + 1, F.lit(0)).cast("long")})
+    j = io.materialize(spark, j, "lag-reach")
+    upto = F.least(F.col("_tr") + F.col("_in"), F.col("_hi"))
+    after = F.when(right == 0, F.col("_tr")).otherwise(F.greatest(F.col("_tr") - F.col("_in"), F.col("_lo")) - 1)
+    whole = j.where("_in >= 0").withColumns({"_u": upto, "_f": after})
+    side = lambda x: run.select(*keys, "_tc2", F.col("_tr").alias(f"_{x}"), *[F.col(y).alias(f"{y}_{x}") for y in ("n", "s", "q")])
+    whole = whole.where("_u > _f").join(side("u"), [*keys, "_tc2", "_u"]).join(side("f"), [*keys, "_tc2", "_f"])
+    n, s, q = (F.col(f"{x}_u") - F.col(f"{x}_f") for x in ("n", "s", "q"))
+    inner = whole.select(*keys, "ring", (F.col("n") * n).alias("pairs"), ((F.col("n") * q + n * F.col("q")) / 2 - F.col("s") * s).alias("half_sq"))
+    own = j.where((F.col("_in") >= 0) & (right == 0)).select(
+        *keys, "ring", F.expr("n * (n - 1) div 2").alias("pairs"), ((F.col("n") * F.col("q") - F.col("s") * F.col("s")) / 2).alias("half_sq"))
+    ways = F.sequence(F.col("_in") + 1, F.col("_rim"))
+    both = F.concat(ways, F.transform(F.filter(ways, lambda i: (i > 0) & (right > 0)), lambda i: -i))
+    rim = j.select(*keys, "ring", "_tr", "_tc", "_tc2", "_lo", "_hi", F.array(F.lit(0.0), R, F.lit(float("inf"))).alias("edges"), F.explode(both).alias("_i"))
+    rim = rim.withColumn("_tr2", F.col("_tr") + F.col("_i")).where("_tr2 BETWEEN _lo AND _hi").drop("_lo", "_hi", "_i")
+    rim = met(rim, tiles, keys).where("x.lag = 0").select(*keys, "ring", "x.pairs", "x.half_sq")
+    return inner.unionByName(own).unionByName(rim).groupBy(*keys, "ring").agg(F.sum("pairs").alias("pairs"), F.sum("half_sq").alias("half_sq"))
 
 
 def variogram(points: DataFrame, shape: tuple[int, int], res: float, bins: int, fraction: float, min_pairs: int) -> DataFrame:
@@ -137,15 +201,20 @@ def two_bin_check(res: DataFrame, keys: list[str], near: float, min_support: int
     Gives support (residuals), extent (cells), pairs and semivariance of both bins, sill and status of every key.
     """
     pts = res.where(F.col("e").isNotNull()).select(*keys, "r", "c", F.col("e").alias("v"))
-    box = pts.groupBy(*keys).agg(F.count("*").alias("support"), F.hypot(F.max("c") - F.min("c"), F.max("r") - F.min("r")).alias("extent"), F.var_pop("v").alias("sill"))
+    box = pts.groupBy(*keys).agg(F.count("*").alias("support"), F.hypot(F.max("c") - F.min("c"), F.max("r") - F.min("r")).alias("extent"), F.var_pop("v").alias("sill"), F.avg("v").alias("mean"))
     box = io.materialize(res.sparkSession, box, "lag-units")
     ok = box.where((F.col("support") >= min_support) & (F.col("extent") > near))
     mid = (F.col("extent") + near) / 2
-    edges = ok.select(*keys, F.array(F.lit(near), mid, F.col("extent")).alias("edges"))
-    g = lag_sums(pts.join(ok.select(*keys), keys, "left_semi"), keys, edges)
-    pick = lambda i, x: F.max(F.when(F.col("lag") == i, x))  # noqa: E731  one row a lag
-    g = g.groupBy(*keys).agg(*[f for i in (0, 1) for f in (pick(i, F.col("pairs")).alias(f"pairs{i + 1}"), pick(i, F.col("half_sq") / F.col("pairs")).alias(f"gamma{i + 1}"))])
-    j = box.join(g, keys, "left")
+    mean = io.materialize(res.sparkSession, ok.select(*keys, "support", "extent", "sill", "mean"), "lag-edges")
+    radii = mean.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("ring"), x.alias("radius")) for i, x in ((0, F.lit(near)), (1, mid))])).alias("x")).select(*keys, "x.*")
+    centred = pts.join(mean.select(*keys, "mean"), keys).select(*keys, "r", "c", (F.col("v") - F.col("mean")).alias("v"))
+    g = pairs_within(centred, keys, radii).groupBy(*keys).agg(*[F.max(F.when(F.col("ring") == i, F.col(x))).alias(f"{x}{i}") for i in (0, 1) for x in ("pairs", "half_sq")])
+    g = mean.join(g, keys, "left").withColumns({x: F.coalesce(x, F.lit(0)) for x in ("pairs0", "pairs1", "half_sq0", "half_sq1")})
+    # no pair is farther apart than the extent, so the second bin is what remains of all pairs
+    n1, n2 = F.col("pairs1") - F.col("pairs0"), F.expr("support * (support - 1) div 2") - F.col("pairs1")
+    h1, h2 = F.col("half_sq1") - F.col("half_sq0"), F.col("support").cast("double") * F.col("support") * F.col("sill") / 2 - F.col("half_sq1")
+    g = g.select(*keys, *[x for i, n, h in ((1, n1, h1), (2, n2, h2)) for x in (F.when(n > 0, n).alias(f"pairs{i}"), F.when(n > 0, F.greatest(h, F.lit(0.0)) / n).alias(f"gamma{i}"))])
+    j = box.drop("mean").join(g, keys, "left")
     enough = (F.col("pairs1") >= min_pairs) & (F.col("pairs2") >= min_pairs) & (F.col("sill") > 0)
     warn = (F.col("gamma1") < 0.95 * F.col("sill")) & (F.col("gamma2") < 0.95 * F.col("sill"))
     return j.withColumn("status", F.when(F.col("support") < min_support, "inconclusive_insufficient_residual_support")

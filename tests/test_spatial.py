@@ -275,6 +275,25 @@ def test_lag_sums_equal_all_pairs(spark):
                     assert got[k, lag][0] == m.sum() and np.allclose(got[k, lag][1:], (d[m].sum(), g[m].sum()), rtol=1e-9)
 
 
+def test_pairs_within_a_radius(spark, monkeypatch):
+    """All pairs nearer than a radius, by brute force; on a long strip a tile meets few others cell by cell."""
+    rng = np.random.default_rng(7)
+    pts = [(1, int(r), int(c), float(rng.normal())) for r, c in np.ndindex(60, 40) if rng.random() < 0.3] + [(2, 3 * i, int(rng.integers(5)), float(rng.normal())) for i in range(300)]
+    df = spark.createDataFrame(pts, "k int, r long, c long, v double")
+    radii = {(1, 0): 3.0, (1, 1): 35.5, (2, 0): 4.0, (2, 1): 451.0}
+    rd = spark.createDataFrame([(*k, x) for k, x in radii.items()], "k int, ring int, radius double")
+    counts, meet = [], st.met
+    monkeypatch.setattr(st, "met", lambda pairs, *a: counts.append({tuple(x)[:2]: x[2] for x in pairs.groupBy("k", "ring").count().collect()}) or meet(pairs, *a))
+    for tile in (4, 16):
+        got = {(x["k"], x["ring"]): (x["pairs"], x["half_sq"]) for x in st.pairs_within(df, ["k"], rd, tile).collect()}
+        for k, far in radii.items():
+            p = np.array([x[1:] for x in pts if x[0] == k[0]])
+            i, j = np.triu_indices(len(p), 1)
+            m = np.hypot(*(p[i, :2] - p[j, :2]).T) < far
+            assert got[k][0] == m.sum() and got[k][1] == pytest.approx(((p[i, 2] - p[j, 2]) ** 2 / 2)[m].sum(), rel=1e-9)
+    assert counts[0][2, 1] < 10 * 450  # some 225 rows of tiles, two columns; all pairs of tiles were 25,000 and more
+
+
 def test_variogram_names_population_and_pairs(spark):
     df = spark.range(200).select(F.floor(F.col("id") / 20).alias("r"), (F.col("id") % 20).alias("c"), F.when(F.col("id") != 7, F.col("id") % 20).cast("double").alias("v"))
     rows = st.variogram(df, (10, 20), 30.0, 5, 0.5, 30).collect()
