@@ -73,73 +73,92 @@ def tile_edge(dem: DataFrame, most: int = 256, least: int = 16) -> int:
 
 
 def far_sky_view(dem: DataFrame, value: str, res: float, n_az: int, distance: float, curvature: bool = True, tile: int | None = None) -> DataFrame:
-    """v_sky per cell for search distances of many kilometres, on a pyramid of the surface.
+    """v_sky per cell for search distances of many kilometres; ``far_sky_views`` of one setting."""
+    return far_sky_views(dem, value, res, [n_az], [distance], curvature, tile).select("r", "c", F.col(setting_name(n_az, distance)).alias("v_sky"))
 
-    Sight lines step by 1, 2 and 4 cells past 1 and 5 km, so far samples are read from means over 2 x 2 and 4 x 4
+
+def setting_name(n_az: int, distance: float) -> str:
+    return f"v_{n_az}_{distance:g}".replace(".", "_").replace("+", "")
+
+
+def far_sky_views(dem: DataFrame, value: str, res: float, counts: list[int], distances: list[float], curvature: bool = True, tile: int | None = None) -> DataFrame:
+    """v_sky per cell for all azimuth counts (divisors of the last) and rising search distances, on a pyramid of the surface.
+
+    One search serves all settings: the sight lines of a smaller count are among those of the largest, and a nearer
+    distance is a stage on the way. All cells of a tile look the same way at once, so a sample is an interpolation by rows
+    and then by columns. Sight lines step by 1, 2 and 4 cells past 1 and 5 km, so far samples are read from means over 2 x 2 and 4 x 4
     cells (a plane is read exactly). A tile takes a halo of its own level for each band of distance: some 36 cells,
     then 5 km of cells twice as wide, then the rest of cells four times as wide. So a group holds a few
     hundred thousand rows at 20 km, where a halo of full cells would hold over a million. An empty cell near the
     line, or a coarse cell without any value, makes the value null. ``tile`` (a multiple of 4) does not change the result.
     """
-    tile = tile or tile_edge(dem)
-    steps = np.asarray(arrays.growing_distances(distance, res))
+    tile, most = tile or tile_edge(dem), counts[-1]
+    steps = np.asarray(arrays.growing_distances(distances[-1], res))
     width = np.rint(np.diff(np.concatenate(([0.0], steps))) / res).astype(int)
     drop = steps ** 2 / (2 * pixel.EARTH_RADIUS_M) if curvature else np.zeros_like(steps)
-    levels = sorted(set(width.tolist()))
+    halo = {f: int(math.ceil(steps[width == f].max() / (res * f))) + 2 for f in sorted(set(width.tolist()))}
+    names = [setting_name(n, x) for x in distances for n in counts]
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         tr, tc, rmax, cmax = (int(pdf[x].iloc[0]) for x in ("_tr", "_tc", "_rmax", "_cmax"))
-        arrays_, own_r, own_c = {}, None, None
+        levels, own_r = {}, None
         for f, part in pdf.groupby("_f"):
-            r, c = part["r"].to_numpy(), part["c"].to_numpy()
-            low = int(r.min()), int(c.min())
-            z = np.full((int(r.max()) - low[0] + 1, int(c.max()) - low[1] + 1), np.nan)
+            f, r, c = int(f), part["r"].to_numpy(), part["c"].to_numpy()
+            edge, last = tile // f, (rmax // f, cmax // f)
+            low = [max(t * edge - halo[f], 0) for t in (tr, tc)]
+            z = np.full([min((t + 1) * edge - 1 + halo[f], top) - at + 1 for t, top, at in zip((tr, tc), last, low)], np.nan)
             z[r - low[0], c - low[1]] = part[value].to_numpy(dtype="float64")
-            arrays_[int(f)] = z, low
+            levels[f] = z, low, last
             if f == 1:
                 mine = (r // tile == tr) & (c // tile == tc)
                 own_r, own_c = r[mine], c[mine]
         if own_r is None or not len(own_r):
-            return pd.DataFrame({"r": [], "c": [], "v_sky": []})
+            return pd.DataFrame({x: [] for x in ("r", "c", *names)})
 
-        def sample(f, y, x):
-            z, low = arrays_[f]
-            last = rmax // f, cmax // f
-            y = np.clip((np.clip(y, 0, rmax) - (f - 1) / 2) / f, 0, last[0])
-            x = np.clip((np.clip(x, 0, cmax) - (f - 1) / 2) / f, 0, last[1])
-            y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-            wy, wx = y - y0, x - x0
-            total = np.zeros(y.shape)
-            for dy, dx, w in ((0, 0, (1 - wy) * (1 - wx)), (1, 0, wy * (1 - wx)), (0, 1, (1 - wy) * wx), (1, 1, wy * wx)):
-                yy, xx = np.minimum(y0 + dy, last[0]) - low[0], np.minimum(x0 + dx, last[1]) - low[1]
-                total += np.where(w > 0, w * z[np.minimum(yy, z.shape[0] - 1), np.minimum(xx, z.shape[1] - 1)], 0.0)
-            return total
+        def axis(f, at, top, low, last):
+            """Lower and upper index and weight of the upper one along an axis; without weight both are the lower."""
+            x = np.clip((np.clip(at, 0, top) - (f - 1) / 2) / f, 0, last)
+            i = np.floor(x).astype(int)
+            w = x - i
+            return i - low, np.where(w > 0, np.minimum(i + 1, last), i) - low, w
 
-        pr, pc = own_r.astype("float64"), own_c.astype("float64")
-        own, sky, batch = sample(1, pr, pc), np.zeros(len(pr)), max(1, 100_000 // len(pr))
-        for az in np.arange(n_az) * (2 * np.pi / n_az):
-            horizon = np.zeros(len(pr))
-            for f in levels:
-                far, low = steps[width == f], drop[width == f]
-                for at in range(0, len(far), batch):
-                    dist = far[at:at + batch, None]
-                    seen = sample(f, pr - dist * np.cos(az) / res, pc + dist * np.sin(az) / res)
-                    tangent = (seen - own - low[at:at + batch, None]) / dist
-                    horizon = np.maximum(horizon, tangent.max(axis=0))  # keeps NaN
-            sky += 1.0 / (1.0 + horizon ** 2)
-        return pd.DataFrame({"r": own_r, "c": own_c, "v_sky": sky / n_az})
+        def sample(f, y, x):
+            z, low, last = levels[f]
+            i0, i1, wy = axis(f, y, rmax, low[0], last[0])
+            j0, j1, wx = axis(f, x, cmax, low[1], last[1])
+            left = j0.min()
+            z = z[:, left:j1.max() + 1]
+            rows = z[i0] * (1 - wy)[:, None] + z[i1] * wy[:, None]
+            return rows[:, j0 - left] * (1 - wx) + rows[:, j1 - left] * wx
+
+        pr, pc = (np.arange(x.min(), x.max() + 1).astype("float64") for x in (own_r, own_c))
+        own, sky = sample(1, pr, pc), {x: np.zeros((len(pr), len(pc))) for x in names}
+        for k, az in enumerate(np.arange(most) * (2 * np.pi / most)):
+            use = [n for n in counts if k % (most // n) == 0]
+            if not use:
+                continue
+            horizon, at = np.zeros(own.shape), 0
+            for limit in distances:
+                while at < len(steps) and steps[at] <= limit:
+                    seen = sample(int(width[at]), pr - steps[at] * np.cos(az) / res, pc + steps[at] * np.sin(az) / res)
+                    horizon = np.maximum(horizon, (seen - own - drop[at]) / steps[at])  # keeps NaN
+                    at += 1
+                part = 1.0 / (1.0 + horizon ** 2)
+                for n in use:
+                    sky[setting_name(n, limit)] += part
+        place = own_r - own_r.min(), own_c - own_c.min()
+        return pd.DataFrame({"r": own_r, "c": own_c, **{setting_name(n, x): sky[setting_name(n, x)][place] / n for x in distances for n in counts}})
 
     rows = None
-    for f in levels:
+    for f, reach in halo.items():
         cells = dem.select("r", "c", value)
         if f > 1:
             cells = cells.groupBy(F.floor(F.col("r") / f).alias("r"), F.floor(F.col("c") / f).alias("c")).agg(F.avg(value).alias(value))
-        halo = int(math.ceil(steps[width == f].max() / (res * f))) + 2
-        part = grid.halo_copies(cells, tile // f, halo).withColumn("_f", F.lit(f))
+        part = grid.halo_copies(cells, tile // f, reach).withColumn("_f", F.lit(f))
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.crossJoin(F.broadcast(grid.extent(dem)))
-    out = rows.groupBy("_tr", "_tc").applyInPandas(search, "r long, c long, v_sky double")
-    return out.withColumn("v_sky", F.when(~F.isnan("v_sky"), F.col("v_sky")))
+    out = rows.groupBy("_tr", "_tc").applyInPandas(search, "r long, c long, " + ", ".join(f"{x} double" for x in names))
+    return out.select("r", "c", *[F.when(~F.isnan(x), F.col(x)).alias(x) for x in names])
 
 
 def sky_view_join(points: DataFrame, dem: DataFrame, value: str, res: float, n_az: int, distance: float,

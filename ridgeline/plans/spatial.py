@@ -88,17 +88,15 @@ def far_sky_view(s, d):
 @query("sp03_convergence_gate")
 def convergence_gate(s, d):
     """Azimuth counts 36 to 144 and distances 5 to 20 km, with curvature, over every cell."""
-    dem, maps = views.dem(s, d), {}
+    counts, distances = [36, 72, 144], [5000.0, 10000.0, 20000.0]
+    maps = io.materialize(s, skyview.far_sky_views(views.dem(s, d), "zf", views.RES, counts, distances), "sky")
 
     def compared(lower, upper):
-        for k in (lower, upper):
-            if k not in maps:
-                maps[k] = io.materialize(s, skyview.far_sky_view(dem, "zf", views.RES, *k), "sky")
-        x, y = maps[lower].withColumnRenamed("v_sky", "u"), maps[upper].withColumnRenamed("v_sky", "w")
-        g = risk.agreement(x.join(y, ["r", "c"]).where("u IS NOT NULL AND w IS NOT NULL"), "u", "w", 1 / 4096)
+        pair = maps.select("r", "c", *[C(skyview.setting_name(*k)).alias(n) for k, n in ((lower, "u"), (upper, "w"))])
+        g = risk.agreement(pair.where("u IS NOT NULL AND w IS NOT NULL"), "u", "w", 1 / 4096)
         return g.select("n", *r6c("rho", "max_abs", "p99_abs"),
                         F.coalesce((C("max_abs") <= 0.01) & (C("p99_abs") <= 0.005) & (C("rho") >= 0.999), F.lit(False)).alias("converged"))
-    return risk.convergence_gate(s, compared, [36, 72, 144], [5000.0, 10000.0, 20000.0])
+    return risk.convergence_gate(s, compared, counts, distances)
 
 
 @query("sp04_fold_topology", f"""SELECT k, 6e0 AS nearest_other_core, core AS core_cells, buffer AS buffer_cells, dom AS domain_cells, total AS total_cells, {R('mind')} AS min_core_domain_distance,

@@ -368,3 +368,20 @@ def test_far_search_equals_the_plain_one_where_it_must(spark):
     gap = rough.withColumn("z", F.when((F.col("r") == 5) & (F.col("c") == 6), None).otherwise(F.col("z")))
     v = {(r["r"], r["c"]): r["v_sky"] for r in skyview.far_sky_view(gap, "z", 30.0, 8, 90.0).collect()}
     assert v[5, 6] is None and v[5, 7] is None and v[20, 30] is not None
+
+
+def test_one_far_search_serves_all_settings(spark):
+    rng = np.random.default_rng(3)
+    z = np.add.outer(60 * rng.random(44), 40 * rng.random(30))
+    z[20, 7] = np.nan
+    rows = [(r, c, None if np.isnan(z[r, c]) else float(z[r, c])) for r, c in np.ndindex(z.shape) if (r, c) not in ((0, 0), (43, 29), (12, 3))]
+    dem = spark.createDataFrame(rows, "r long, c long, z double")
+    counts, distances = [4, 8], [300.0, 1500.0]
+    every = skyview.far_sky_views(dem, "z", 30.0, counts, distances, tile=16).collect()
+    for n in counts:
+        for far in distances:
+            one = {(x["r"], x["c"]): x["v_sky"] for x in skyview.far_sky_view(dem, "z", 30.0, n, far, tile=64).collect()}
+            assert len(one) == len(every)
+            for x in every:
+                v = x[skyview.setting_name(n, far)]
+                assert (v is None) == (one[x["r"], x["c"]] is None) and (v is None or v == pytest.approx(one[x["r"], x["c"]], abs=1e-12))
