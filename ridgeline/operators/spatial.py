@@ -232,15 +232,16 @@ def components(spark: SparkSession, mask: DataFrame) -> DataFrame:
     shift = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)])
     near = cells.select(F.col("id").alias("src"), "r", "c", F.explode(shift).alias("s"))
     near = near.select("src", (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c"))
-    edges = io.materialize(spark, near.join(cells, ["r", "c"]).select("src", F.col("id").alias("dst")), "edges")
+    # merge joins: files of labels are small by their coding, but whole in the driver when broadcast
+    edges = io.materialize(spark, near.join(cells.hint("merge"), ["r", "c"]).select("src", F.col("id").alias("dst")), "edges")
     label = io.materialize(spark, cells.select("id", F.col("id").alias("label")), "label")
     while True:
-        low = edges.join(label.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("_n"))
-        step = label.join(low, "id", "left").select("id", F.col("label").alias("_old"), F.least("label", F.coalesce("_n", F.col("label"))).alias("_l"))
+        low = edges.join(label.select(F.col("id").alias("dst"), "label").hint("merge"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("_n"))
+        step = label.join(low.hint("merge"), "id", "left").select("id", F.col("label").alias("_old"), F.least("label", F.coalesce("_n", F.col("label"))).alias("_l"))
         step = io.materialize(spark, step, "step")
         # jump to the label of the label: halves the distance to the root
         to = step.select(F.col("id").alias("_l"), F.col("_l").alias("_jump"))
-        nxt = io.materialize(spark, step.join(to, "_l", "left").select("id", "_old", F.least("_l", F.coalesce("_jump", F.col("_l"))).alias("label")), "label")
+        nxt = io.materialize(spark, step.join(to.hint("merge"), "_l", "left").select("id", "_old", F.least("_l", F.coalesce("_jump", F.col("_l"))).alias("label")), "label")
         if nxt.where(F.col("_old") != F.col("label")).isEmpty():
-            return cells.join(nxt.select("id", "label"), "id").select("r", "c", "label")
+            return cells.join(nxt.select("id", "label").hint("merge"), "id").select("r", "c", "label")
         label = nxt.select("id", "label")

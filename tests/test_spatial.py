@@ -385,3 +385,11 @@ def test_one_far_search_serves_all_settings(spark):
             for x in every:
                 v = x[skyview.setting_name(n, far)]
                 assert (v is None) == (one[x["r"], x["c"]] is None) and (v is None or v == pytest.approx(one[x["r"], x["c"]], abs=1e-12))
+
+
+def test_components_send_no_labels_through_the_driver(spark, monkeypatch):
+    plans, write = [], st.io.materialize
+    monkeypatch.setattr(st.io, "materialize", lambda s, df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(s, df, name))
+    mask = spark.range(200).select(F.col("id").alias("r"), (F.col("id") % 3).alias("c"))
+    assert st.components(spark, mask).select("label").distinct().count() == 67
+    assert plans and not any("Broadcast" in p for p in plans)
