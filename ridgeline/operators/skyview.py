@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import arrays, pixel
 from . import grid
 
+SAMPLES = 1_000_000  # rows of sight lines a task
+
 
 def sky_view(dem: DataFrame, value: str, res: float, n_az: int, distance: float,
              curvature: bool = False, tile: int = 256, half_cell: bool = False) -> DataFrame:
@@ -163,15 +165,35 @@ def far_sky_views(dem: DataFrame, value: str, res: float, counts: list[int], dis
 
 def sky_view_join(points: DataFrame, dem: DataFrame, value: str, res: float, n_az: int, distance: float,
                   curvature: bool = False) -> DataFrame:
-    """The same for a list of points ``(pid, r, c)``: sight lines as rows, sampled by one join."""
-    steps = F.array(*[F.lit(x) for x in arrays.growing_distances(distance, res)])
-    lines = points.withColumn("az", F.explode(arrays.azimuths(n_az))).withColumn("dist", F.explode(steps))
-    lines = lines.withColumns({"fr": F.col("r") - F.col("dist") * F.cos("az") / res, "fc": F.col("c") + F.col("dist") * F.sin("az") / res})
-    z = grid.bilinear(lines, dem, value, "fr", "fc", ["pid", "az", "dist"])
-    own = points.join(dem.select("r", "c", F.col(value).alias("_z0")), ["r", "c"]).select("pid", "_z0")
+    """The same for a list of points ``(pid, r, c)``: sight lines as rows, sampled by one join.
+
+    Every cell is given its three neighbours to the south and east beforehand, so that a sample meets one row and
+    needs no grouping; a corner without a value drops out and the other weights are rescaled. All samples of a point
+    then meet in one exchange. The number of parts follows the number of samples, so a task holds about a million at any size.
+    """
+    dists = arrays.growing_distances(distance, res)
+    n = points.count() * n_az * len(dists)
+    parts = max(dem.sparkSession.sparkContext.defaultParallelism, -(-n // SAMPLES))
+    corners = [(0, 0), (1, 0), (0, 1), (1, 1)]
+    cells = dem.select("r", "c", F.col(value).alias("_v"))
+    to = F.explode(F.array(*[F.struct((F.col("r") - i).alias("r"), (F.col("c") - j).alias("c"), F.lit(k).alias("k")) for k, (i, j) in enumerate(corners)]))
+    quad = cells.select("_v", to.alias("_t")).groupBy("_t.r", "_t.c").agg(*[F.max(F.when(F.col("_t.k") == k, F.col("_v"))).alias(f"_v{k}") for k in range(4)])
+    lines = points.withColumn("az", F.explode(arrays.azimuths(n_az))).withColumn("dist", F.explode(F.array(*[F.lit(x) for x in dists])))
+    lines = lines.crossJoin(F.broadcast(grid.extent(dem)))
+    lines = lines.withColumns({"_y": F.col("r") - F.col("dist") * F.cos("az") / res, "_x": F.col("c") + F.col("dist") * F.sin("az") / res})
+    lines = lines.withColumns({a: F.least(F.greatest(F.col(a).cast("double"), F.lit(0.0)), F.col(b).cast("double")) for a, b in (("_y", "_rmax"), ("_x", "_cmax"))})
+    at = lines.select("pid", "az", "dist", F.floor("_y").alias("r"), F.floor("_x").alias("c"), (F.col("_y") - F.floor("_y")).alias("_wr"), (F.col("_x") - F.floor("_x")).alias("_wc"))
+    hit = at.repartition(parts, "r", "c").join(quad.repartition(parts, "r", "c").hint("merge"), ["r", "c"], "left")
+    total, weight = F.lit(0.0), F.lit(0.0)
+    for k, (i, j) in enumerate(corners):
+        w = (F.col("_wr") if i else 1 - F.col("_wr")) * (F.col("_wc") if j else 1 - F.col("_wc"))
+        there = F.col(f"_v{k}").isNotNull() & (w > 0)
+        total, weight = total + F.when(there, w * F.col(f"_v{k}")).otherwise(0.0), weight + F.when(there, w).otherwise(0.0)
+    z = hit.select("pid", "az", "dist", F.when(weight > 0, total / weight).alias("_z"))
+    own = points.join(cells.withColumnRenamed("_v", "_z0"), ["r", "c"]).select("pid", "_z0")
     drop = pixel.curvature_drop(F.col("dist")) if curvature else F.lit(0.0)
-    tangent = (F.col(value) - F.col("_z0") - drop) / F.col("dist")
-    horizon = z.join(own, "pid").groupBy("pid", "az").agg(
-        F.when(F.count(tangent) == F.count("*"), F.greatest(F.max(tangent), F.lit(0.0))).alias("t"))
+    tangent = (F.col("_z") - F.col("_z0") - drop) / F.col("dist")
+    seen = z.repartition(parts, "pid").join(own.repartition(parts, "pid").hint("merge"), "pid")
+    horizon = seen.groupBy("pid", "az").agg(F.when(F.count(tangent) == F.count("*"), F.greatest(F.max(tangent), F.lit(0.0))).alias("t"))
     return horizon.groupBy("pid").agg(
         F.when(F.count("t") == F.count("*"), F.avg(1 / (1 + F.col("t") * F.col("t")))).alias("v_sky"))

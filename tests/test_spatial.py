@@ -393,3 +393,15 @@ def test_components_send_no_labels_through_the_driver(spark, monkeypatch):
     mask = spark.range(200).select(F.col("id").alias("r"), (F.col("id") % 3).alias("c"))
     assert st.components(spark, mask).select("label").distinct().count() == 67
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_sight_lines_take_more_parts_as_they_grow(spark, monkeypatch):
+    """A part holds a bounded number of samples, and its size changes no value."""
+    rng = np.random.default_rng(12)
+    dem = cells(spark, z=rng.uniform(0, 60, (12, 9)))
+    pts = dem.select((F.col("r") * 100 + F.col("c")).alias("pid"), "r", "c")
+    want = {x["pid"]: x["v_sky"] for x in skyview.sky_view_join(pts, dem, "z", 30.0, 8, 120.0).collect()}
+    monkeypatch.setattr(skyview, "SAMPLES", 200)
+    few = skyview.sky_view_join(pts, dem, "z", 30.0, 8, 120.0)
+    assert f", {-(-108 * 32 // 200)}), REPARTITION_BY_NUM" in few._jdf.queryExecution().executedPlan().toString()
+    assert {x["pid"]: x["v_sky"] for x in few.collect()} == pytest.approx(want, abs=1e-12)
