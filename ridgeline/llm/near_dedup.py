@@ -19,7 +19,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from . import common
 
@@ -32,7 +32,8 @@ class Settings:
 
     36 bands of 5 rows miss a pair of similarity 0.8 with probability (1 - 0.8^5)^36 = 6e-7.
     Sets up to ``exact`` shingles travel whole with their sketch.
-    Buckets with over ``small`` pairs a member between components are split by a second shared band (miss 1e-5) before pairing.
+    Members of buckets with over ``small`` pairs a member between components are paired by their rarest shingles instead,
+    which misses no similar pair. No task compares with more than about ``tile`` sets of a bucket at once.
     """
     words: int = 5
     similarity: tuple[int, int] = (80, 100)
@@ -41,6 +42,7 @@ class Settings:
     miss: float = 1e-6
     batch: int = 36
     small: int = 512
+    tile: int = 4096
     bits: int = 4096
     hubs: int = 3
     exact: int = 256
@@ -241,10 +243,48 @@ def bit_sketch(s: Settings):
     return sketch
 
 
+def shingle_hashes(s: Settings):
+    @F.pandas_udf("array<long>")
+    def hashes(text: pd.Series) -> pd.Series:
+        known = WordHash()
+        return pd.Series([hashed_shingles(t, s.words, known).astype(np.int64) for t in text])
+    return hashes
+
+
+def prefix_blocks(sets: DataFrame, s: Settings) -> DataFrame:
+    """(c, band) of ``sets`` (c, n, text): any two that are similar enough have a band in common.
+
+    Shingles are ordered from rare to frequent. Two sets of the wanted similarity share at least ceil(similarity n)
+    shingles, so the first one they share is among the first n - ceil(similarity n) + 1 of either. Shingles of one set
+    only come first and lead nowhere.
+    """
+    num, den = s.similarity
+    each = common.written(sets.select("c", "n", F.explode(shingle_hashes(s)("text")).alias("band")), "near-shingles")
+    often = each.groupBy("band").agg(F.count("*").alias("df")).where("df > 1")
+    own = W.partitionBy("c")  # the shingles of one text
+    ranked = each.join(often, "band").withColumns({"at": F.row_number().over(own.orderBy("df", "band")), "shared": F.count("*").over(own)})
+    return ranked.where(C("at") <= C("shared") - F.floor((C("n") * num + den - 1) / den) + 1).select("c", "band")
+
+
+def by_tiles(rows: DataFrame, s: Settings) -> DataFrame:
+    """``rows`` (band, c, comp) with ``lead``, ``at`` and ``home``, for a join on band and ``at``.
+
+    Each row has one tile of its band as its home. Rows outside the largest component of the band (not ``lead``) also
+    go to the other tiles, so those on the left and the homes on the right meet once and
+    comparisons are at most twice the pairs of different components.
+    """
+    parts = rows.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy("band").agg(
+        F.sum("k").alias("k"), F.max(F.struct("k", "comp"))["comp"].alias("most"), F.count("*").alias("parts"))
+    tiles = F.ceil(C("k") / s.tile).cast("long")
+    r = rows.join(parts.where("parts > 1"), "band").withColumns({"lead": C("comp") == C("most"), "own": F.pmod(F.xxhash64("c"), tiles), "last": tiles - 1})
+    r = r.withColumn("at", F.explode(F.when(C("lead"), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), "last"))))
+    return r.withColumn("home", C("at") == C("own")).select(*rows.columns, "lead", "at", "home")
+
+
 def cross_pairs(members: DataFrame, label: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     """Pairs of a bucket whose ends are in different components and may be similar by size and by their bit sketches.
 
-    A bucket with more than ``small`` such pairs a member is first split by a second shared band. Elsewhere a
+    Members of buckets with more than ``small`` such pairs a member meet by their rarest shingles instead. Elsewhere a
     pair is given by the first of the buckets it shares. Only members of mixed buckets are sketched. Pairs of
     small sets that pass are compared whole right there, since near copies just below the similarity pass every sketch.
     """
@@ -253,22 +293,24 @@ def cross_pairs(members: DataFrame, label: DataFrame, nodes: DataFrame, s: Setti
     parts = m.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("k"), F.sum(C("k") * C("k")).alias("q"), F.count("*").alias("parts"))
     mixed = parts.where("parts > 1").select("band", (C("k") * C("k") - C("q") > 2 * s.small * C("k")).alias("large"))
     m = common.written(m.join(mixed, "band"), "near-mixed")
-    second = m.where("large").join(m.select("c", C("band").alias("other")), "c").where(C("band") != C("other"))
-    split = second.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "c", "comp", F.lit(True).alias("large")).distinct()
-    rows = m.where(~C("large")).select("band", "c", "comp", "large").union(split)
+    crowd = m.where("large").select("c", "comp").distinct()
+    split = prefix_blocks(nodes.join(crowd.select("c"), "c"), s).join(crowd, "c").select("band", "c", "comp", F.lit(True).alias("large"))
+    rows = by_tiles(m.where(~C("large")).select("band", "c", "comp"), s).withColumn("large", F.lit(False))
+    rows = rows.unionByName(by_tiles(split, s))
     longs = s.bits // 64
     brief = nodes.join(m.groupBy("c").agg(F.collect_list("band").alias("bands")), "c")  # as many as there are bands at most
     brief = common.written(brief.select("c", "n", "bands", bit_sketch(s)("text").alias("b")), "near-bits")
     brief = brief.select("c", "n", "bands", "b.own", *[C("b.bits")[i].alias(f"k{i}") for i in range(longs)])
     rows = common.written(rows.join(brief, "c"), "near-buckets")
-    other = rows.select(*[C(x).alias(f"{x}_") for x in rows.columns])
+    left, right = rows.where(~C("lead")), rows.where("home").select(*[C(x).alias(f"{x}_") for x in rows.columns])
     differ = sum((F.bit_count(C(f"k{i}").bitwiseXOR(C(f"k{i}_"))) for i in range(longs)), F.lit(0))
     near = (F.least("n", "n_") * den >= F.greatest("n", "n_") * num) & (differ <= most_differences(s))
     both = F.size(F.array_intersect("own", "own_"))
     sure = C("own").isNull() | C("own_").isNull() | (both * (num + den) >= (F.size("own") + F.size("own_")) * num)
     once = C("large") | (F.array_min(F.array_intersect("bands", "bands_")) == C("band"))
-    pairs = rows.join(other, (C("band") == C("band_")) & (C("c") < C("c_")) & (C("comp") != C("comp_")) & near & once & sure)
-    return pairs.select(C("c").alias("a"), C("c_").alias("b")).distinct()
+    meet = (C("large") == C("large_")) & (C("band") == C("band_")) & (C("at") == C("at_")) & (C("comp") != C("comp_")) & (C("lead_") | (C("c") < C("c_")))
+    pairs = left.join(right, meet & near & once & sure)
+    return pairs.select(F.least("c", "c_").alias("a"), F.greatest("c", "c_").alias("b")).distinct()
 
 
 def group(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -440,6 +440,21 @@ def test_links_that_only_the_second_round_finds(spark, monkeypatch):
     assert got == want and len(set(got.values())) == 2
 
 
+def test_large_buckets_drop_no_pair(spark):
+    """Members of a large bucket that share no other bucket are still paired, whatever the tiles, and so are unequal components."""
+    words = [f"w{i}" for i in range(40)]
+    docs = [" ".join(words[:i] + [f"x{i}"] + words[i + 1:]) for i in range(2, 38, 5)] + [" ".join(words[:20] + [f"y{k}x{i}" for i in range(20)]) for k in range(12)]
+    s = near_dedup.Settings(words=2, small=0, tile=3)
+    sets = [near_dedup.shingle_set(t, 2) for t in docs]
+    nodes = spark.createDataFrame([(f"c{i:02d}".encode(), len(x), t) for i, (x, t) in enumerate(zip(sets, docs, strict=True))], "c binary, n long, text string")
+    members = nodes.select(F.lit(1).cast("long").alias("band"), "c")
+    for joined in (0, 4, 7):  # the first of the near copies are in one component already
+        comp = lambda i: 0 if i < joined else i  # noqa: E731, B023
+        label = spark.createDataFrame([(f"c{i:02d}".encode(), f"c{comp(i):02d}".encode()) for i in range(joined)], "v binary, comp binary")
+        got = {(int(r.a[1:]), int(r.b[1:])) for r in near_dedup.cross_pairs(members, label, nodes, s).collect()}
+        assert got == {(i, k) for k in range(len(docs)) for i in range(k) if comp(i) != comp(k) and 100 * len(sets[i] & sets[k]) >= 80 * len(sets[i] | sets[k])}
+
+
 def test_spans_are_merged_in_one_pass():
     rnd = random.Random(4)
     for _ in range(200):
