@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import pixel
 from ..functions.numeric import clip, ratio
+from ..sources import io
 from . import folds as fd
-from .prefix import value_profile
+from .prefix import two_pass_profile
 
 BANDS = {"B4": "rho4", "B5": "rho5"}
 ERROR_WIDTH = 1.0 / 4096  # bucket of an absolute reflectance error in exact quantiles
@@ -39,8 +40,8 @@ def through_origin(n: Column, sxy: Column, sxx: Column, minimum: int) -> dict[st
 
 
 def error_metrics(df: DataFrame, keys: list[str], error: str = "e", width: float = ERROR_WIDTH) -> DataFrame:
-    """count, bias, MAE, median and P90 of |error| per key, from one pass."""
-    p = value_profile(df, keys, F.abs(error), {"median_abs": 0.5, "p90_abs": 0.9}, width, {"_e": F.col(error)})
+    """count, bias, MAE, median and P90 of |error| per key; ``df`` is read twice."""
+    p = two_pass_profile(df, keys, F.abs(error), {"median_abs": 0.5, "p90_abs": 0.9}, width, {"_e": F.col(error)})
     return p.where("valid > 0").select(
         *keys, F.col("rows").alias("population"), F.col("valid").alias("count"), (F.col("_e") / F.col("valid")).alias("bias"),
         (F.col("total") / F.col("valid")).alias("mae"), "median_abs", "p90_abs")
@@ -65,6 +66,7 @@ def core_rows(px: DataFrame, folds: list[dict]) -> DataFrame:
 def scored_residuals(px: DataFrame, folds: list[dict], minimum: int) -> DataFrame:
     """predicted - observed on lit land of the core, for fitted units."""
     alpha = fold_alpha(px, folds, minimum).where(F.col("alpha").isNotNull()).select("a", "k", "band", "alpha")
+    alpha = io.materialize(px.sparkSession, alpha, "alpha")  # one value for all readers
     rows = core_rows(px.where(F.col("land") & F.col("lit")), folds)
     rows = by_band(rows, {b: {"rho": F.col(c)} for b, c in BANDS.items()})
     return rows.join(alpha, ["a", "k", "band"]).withColumns({

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import masks, pixel
 from ..functions.numeric import clip, ratio
+from ..sources import io
 from . import fit, folds as fd
-from .prefix import value_profile
+from .prefix import two_pass_profile
 
 BANDS = fit.BANDS
 METHODS = ["hard_mask", "soft_weight_k15", "soft_weight_k30", "soft_weight_k60", "bounded_scene_constant_diffuse"]
@@ -66,6 +67,7 @@ def method_residuals(px: DataFrame, fits: DataFrame, folds: list[dict], methods:
     """
     per_unit = (fits.where(F.col("method").isin(*methods)).groupBy("a", "k", "band")
                 .agg(F.collect_list(F.struct("method", "alpha", "d")).alias("ms")))  # one entry per method
+    per_unit = io.materialize(px.sparkSession, per_unit, "fits")  # residuals may be read more than once
     rows = fd.explode_roles(px.where("land"), folds, (fd.CORE,))
     rows = fit.by_band(rows, {b: {"rho": F.col(r)} for b, r in BANDS.items()})
     rows = rows.join(per_unit, ["a", "k", "band"]).withColumn("m", F.explode("ms")).drop("ms")
@@ -81,7 +83,7 @@ def metric_rows(res: DataFrame, keys: list[str]) -> DataFrame:
     """Population, support and error metrics for all cells and per partition; unsupported cells stay counted."""
     long = res.withColumn("partition", F.explode(F.array(F.lit("all"), F.col("part"))))
     k = [*keys, "partition"]
-    p = value_profile(long, k, F.abs("e"), {"median_abs": 0.5, "p90_abs": 0.9}, fit.ERROR_WIDTH, {"_e": F.col("e")})
+    p = two_pass_profile(long, k, F.abs("e"), {"median_abs": 0.5, "p90_abs": 0.9}, fit.ERROR_WIDTH, {"_e": F.col("e")})
     return p.select(
         *k, F.col("rows").alias("population"), F.col("valid").alias("supported"), (F.col("rows") - F.col("valid")).alias("unsupported"),
         ratio(F.col("valid"), F.col("rows")).alias("coverage"), ratio(F.col("_e"), F.col("valid")).alias("bias"),
@@ -143,7 +145,7 @@ def train_iqr(px: DataFrame, folds: list[dict]) -> DataFrame:
 
 def ablation(px: DataFrame, acq_split: DataFrame, folds: list[dict], minimum: int, min_iqr: float) -> DataFrame:
     """Every acquisition x fold x band x candidate with state, parameters and core scores."""
-    fits = candidate_fits(px, folds, minimum, min_iqr)
+    fits = io.materialize(px.sparkSession, candidate_fits(px, folds, minimum, min_iqr), "fits")
     packed = fits.where("reason IS NULL").groupBy("a", "k", "band").agg(
         F.collect_list(F.struct("candidate", "theta1", "theta2")).alias("ms"))  # at most four
     core = fd.explode_roles(px, folds, (fd.CORE,))

@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources import io
+
 
 def running_sums(
     df: DataFrame, keys: list[str], order: list, bucket: Column, sums: dict[str, Column],
@@ -74,6 +76,39 @@ def value_profile(
         (F.col(f"_lo_{x}") + (F.col(f"_hi_{x}") - F.col(f"_lo_{x}")) * F.col(f"_f_{x}")).alias(x) for x in probs])
 
 
+def two_pass_profile(
+    df: DataFrame, keys: list[str], value: Column, probs: dict[str, float], width: float,
+    extra: dict[str, Column] | None = None, coarse: int = 16,
+) -> DataFrame:
+    """``value_profile`` for rows that are cheap to read twice and the same each time.
+
+    The first pass only counts and sums per bucket of ``coarse`` widths, which tells the buckets that the
+    quantiles lie in; the second opens those alone. So most values are neither kept by a task nor shuffled.
+    Values are added as multiples of 2^-30, which is exact, and the rests apart, so that equal values have equal totals in any order.
+    """
+    extra, spark = extra or {}, df.sparkSession
+    b, n, k = F.col("_b"), F.col("_n"), [*keys, "_b"]
+    rows = df.select(*keys, value.cast("double").alias("_v"), *[c.alias(f"_x_{x}") for x, c in extra.items()])
+    rows = rows.withColumn("_b", F.floor(F.col("_v") / (coarse * width)))
+    high = F.rint(F.col("_v") * 2.0**30) / 2.0**30
+    hist = rows.groupBy(*k).agg(F.count("*").alias("_n"), F.sum(high).alias("_t"), F.sum(F.col("_v") - high).alias("_l"), *[F.sum(f"_x_{x}").alias(f"_x_{x}") for x in extra])
+    hist = io.materialize(spark, hist, "histogram")
+    unit = hist.groupBy(*keys).agg(F.sum("_n").alias("rows"), F.coalesce(F.sum(F.when(b.isNotNull(), n)), F.lit(0)).alias("valid"), (F.sum("_t") + F.sum("_l")).alias("total"),
+                                   *[F.sum(f"_x_{x}").alias(x) for x in extra])
+    upto = F.sum("_n").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, 0))  # buckets of a key, not its rows
+    pos = {x: (F.col("valid") - 1) * F.lit(float(p)) for x, p in probs.items()}
+    ranks = [F.struct(F.lit(f"_{side}_{x}").alias("name"), f(v).alias("rank")) for x, v in pos.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    ask = hist.where(b.isNotNull()).select(*k, "_n", upto.alias("_to")).join(unit.select(*keys, "valid"), keys).withColumn("_w", F.explode(F.array(*ranks)))
+    ask = ask.withColumn("_at", F.col("_w.rank") - F.col("_to") + n).where((F.col("_at") >= 0) & (F.col("_at") < n)).select(*k, F.col("_w.name").alias("name"), "_at")
+    ask = io.materialize(spark, ask, "ranks")
+    picked = rows.select(*k, "_v").join(ask.select(*k).distinct(), k).groupBy(*k, "_v").agg(F.count("*").alias("_n"))
+    run = running_sums(picked, k, ["_v"], F.floor(F.col("_v") / width), {"_cum": n})
+    hit = run.join(ask, k).where((F.col("_cum") - n <= F.col("_at")) & (F.col("_at") < F.col("_cum")))
+    got = hit.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == f"_{side}_{x}", F.col("_v"))).alias(f"_{side}_{x}") for x in probs for side in ("lo", "hi")])
+    return unit.join(got, keys, "left").select(*keys, "rows", "valid", "total", *extra, *[
+        (F.col(f"_lo_{x}") + (F.col(f"_hi_{x}") - F.col(f"_lo_{x}")) * (v - F.floor(v))).alias(x) for x, v in pos.items()])
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict[str, float], width: float) -> DataFrame:
     """Quantile columns of ``value_profile``, one row per key that has a value."""
     return value_profile(df, keys, value, probs, width).where("valid > 0").select(*keys, *probs)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import pixel
 from ridgeline.operators import fit, folds as fd, identify as idn, models, risk, support as sp
 from ridgeline.operators.prefix import average_ranks, exact_quantiles, value_profile
+from ridgeline.sources import io
 
 
 def test_quantiles_with_one_hot_key(spark):
@@ -20,6 +21,30 @@ def test_quantiles_with_one_hot_key(spark):
     assert (q["two"]["rows"], q["two"]["valid"], q["two"]["a"]) == (3, 2, 1.25)
 
 
+def test_error_metrics_keep_few_rows(spark, monkeypatch):
+    """Distinct errors are counted by bucket; only the buckets of the quantiles are opened."""
+    rng, kept = np.random.default_rng(3), []
+    rows = [("hot", float(x)) for x in rng.normal(0, 0.1, 5000)] + [("one", 0.5)] + [("two", None), ("two", -1.0), ("two", 2.0)] + [("none", None)]
+    write = io.materialize
+    monkeypatch.setattr(io, "materialize", lambda s, df, name: kept.append(write(s, df, name)) or kept[-1])
+    got = {r["k"]: r for r in fit.error_metrics(spark.createDataFrame(rows, "k string, e double"), ["k"]).collect()}
+    assert kept and sum(x.count() for x in kept) < 300
+    for k in ("hot", "one", "two"):
+        e = np.array([v for u, v in rows if u == k and v is not None])
+        assert got[k]["count"] == len(e) and got[k]["population"] == sum(u == k for u, _ in rows) and got[k]["bias"] == pytest.approx(e.mean())
+        assert [got[k][x] for x in ("mae", "median_abs", "p90_abs")] == pytest.approx([abs(e).mean(), np.percentile(abs(e), 50), np.percentile(abs(e), 90)])
+    assert set(got) == {"hot", "one", "two"}
+
+
+def test_equal_errors_have_equal_means(spark):
+    """In whatever order they are read, so that a tie between methods stays one."""
+    rng = np.random.default_rng(5)
+    e = rng.normal(0, 0.1, 700)
+    rows = [(k, float(x)) for k in range(12) for x in rng.permutation(e)]
+    got = fit.error_metrics(spark.createDataFrame(rows, "k long, e double").repartition(3), ["k"]).collect()
+    assert len(got) == 12 and len({r["mae"] for r in got}) == 1
+
+
 def test_width_does_not_change_quantiles(spark):
     df = spark.range(500).select(F.lit(1).alias("k"), (F.rand(7) * 10).alias("v")).persist()
     got = [exact_quantiles(df, ["k"], F.col("v"), {"p": 0.37}, w).first()["p"] for w in (1e-4, 0.5, 100.0)]
