@@ -22,6 +22,7 @@ from . import common
 
 BINS = 4096
 CHUNK = 1 << 20
+BLOCK = 128  # rows of the training matrices that are worked on at once
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -72,16 +73,62 @@ class Model:
         return loss.argmin(axis=1), two[:, 1] / np.maximum(two.sum(axis=1), 1e-12)
 
 
+def blocks(n: int) -> list[slice]:
+    return [slice(at, min(n, at + BLOCK)) for at in range(0, n, BLOCK)]
+
+
+def products(x: np.ndarray) -> np.ndarray:
+    """x x' in double precision from single-precision rows, of which only two blocks are widened at a time."""
+    out = np.empty((len(x), len(x)))
+    for i in blocks(len(x)):
+        wide = x[i].astype(float)
+        for j in blocks(i.stop):
+            out[i, j] = wide @ x[j].astype(float).T
+            out[j, i] = out[i, j].T
+    return out
+
+
+def invert(a: np.ndarray) -> np.ndarray:
+    """Turn a positive definite matrix into its inverse in place, block by block, so that the driver holds it once."""
+    for b in blocks(len(a)):
+        pivot = np.linalg.inv(a[b, b])
+        row, column = pivot @ a[b], a[:, b].copy()
+        for i in blocks(len(a)):
+            if i != b:
+                a[i] -= column[i] @ row
+        a[:, b] = -column @ pivot
+        a[b] = row
+        a[b, b] = pivot
+    return a
+
+
 def train(x: np.ndarray, y: list[str], ridge: float = 1e-2) -> Model:
-    """Regularised least squares for all bits in one solve; leave-one-out margins come from the same matrix."""
+    """Regularised least squares for all bits in one solve; leave-one-out margins come from the same matrix.
+
+    Beside the rows, single precision will do, the driver holds one matrix of rows x rows.
+    """
     langs = sorted(set(y))
     codes = codewords(len(langs))
     want = codes[[langs.index(v) for v in y]]
-    inverse = np.linalg.inv(x @ x.T + ridge * np.eye(len(x)))
+    inverse = products(x)
+    inverse[np.diag_indices(len(x))] += ridge
+    invert(inverse)
     dual = inverse @ want
     held = want - dual / np.diag(inverse)[:, None]
     trust = np.maximum(2 * (held * want > 0).mean(axis=0) - 1, 0.05)
-    return Model(langs, codes, x.T @ dual, trust)
+    weights = sum((x[i].astype(float).T @ dual[i] for i in blocks(len(x))), np.zeros((x.shape[1], codes.shape[1])))
+    return Model(langs, codes, weights, trust)
+
+
+def pack(p: np.ndarray) -> bytes:
+    """The bins of a profile that are not zero, each with its value: a text has far fewer than there are bins."""
+    at = np.flatnonzero(p)
+    return at.astype("<u2").tobytes() + p[at].astype("<f4").tobytes()
+
+
+def unpack(raw: bytes, into: np.ndarray) -> None:
+    n = len(raw) // 6
+    into[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<f4", n, 2 * n)
 
 
 def training_rows(docs: DataFrame) -> Column:
@@ -107,11 +154,13 @@ def fit(docs: DataFrame, per_lang: int = 400, most_rows: int = 4000) -> Model |
 
     @F.pandas_udf("binary")
     def packed(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: profile(t).tobytes())
+        return text.map(lambda t: pack(profile(t)))
 
     got = drawn.select("lang", "k", packed("text").alias("x")).collect()
     got.sort(key=lambda r: (r["lang"], r["k"]))
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), dtype=np.float32).reshape(len(got), BINS).astype(float)
+    x = np.zeros((len(got), BINS), np.float32)
+    for r, row in zip(got, x, strict=True):
+        unpack(bytes(r["x"]), row)
     return train(x, [r["lang"] for r in got])
 
 

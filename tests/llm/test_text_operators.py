@@ -429,6 +429,29 @@ def test_codewords():
     assert min((a != b).sum() for i, a in enumerate(language_id.codewords(9)) for b in language_id.codewords(9)[:i]) >= 10
 
 
+def test_language_fit_holds_one_matrix_of_rows_on_the_driver():
+    import tracemalloc
+    draw, n = np.random.default_rng(5), 1500
+    x = (draw.random((n, 512)) * (draw.random((n, 512)) < 0.1)).astype(np.float32)
+    y = ["abcd"[i % 4] for i in range(n)]
+    x[np.arange(n), np.arange(n) % 4] += 1
+    tracemalloc.start()
+    m = language_id.train(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * 8 * n * n
+    wide = x.astype(float)
+    want = language_id.codewords(4)[["abcd".index(v) for v in y]]
+    inverse = np.linalg.inv(wide @ wide.T + 1e-2 * np.eye(n))
+    assert np.allclose(m.weights, wide.T @ inverse @ want, atol=1e-8)
+    held = want - inverse @ want / np.diag(inverse)[:, None]
+    assert np.allclose(m.trust, np.maximum(2 * (held * want > 0).mean(axis=0) - 1, 0.05))
+    p = language_id.profile("Fjords & glyphs vex quick waltz. " * 40)
+    row = np.zeros_like(p)
+    language_id.unpack(language_id.pack(p), row)
+    assert (row == p).all() and len(language_id.pack(p)) < p.nbytes / 4
+
+
 def test_links_that_only_the_second_round_finds(spark, monkeypatch):
     """Without any hub link the pairs between components must do it all."""
     monkeypatch.setattr(near_dedup, "hub_pairs", lambda members, hubs: members.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0))
