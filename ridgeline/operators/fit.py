@@ -8,7 +8,7 @@ from ..functions import pixel
 from ..functions.numeric import clip, ratio
 from ..sources import io
 from . import folds as fd
-from .prefix import two_pass_profile
+from .prefix import sums_profile, two_pass_profile
 
 BANDS = {"B4": "rho4", "B5": "rho5"}
 ERROR_WIDTH = 1.0 / 4096  # bucket of an absolute reflectance error in exact quantiles
@@ -39,12 +39,13 @@ def through_origin(n: Column, sxy: Column, sxx: Column, minimum: int) -> dict[st
         "state": F.when(reason.isNull(), "fitted").otherwise("unsupported_calibration")}
 
 
-def error_metrics(df: DataFrame, keys: list[str], error: str = "e", width: float = ERROR_WIDTH) -> DataFrame:
-    """count, bias, MAE, median and P90 of |error| per key; ``df`` is read twice."""
-    p = two_pass_profile(df, keys, F.abs(error), {"median_abs": 0.5, "p90_abs": 0.9}, width, {"_e": F.col(error)})
+def error_metrics(df: DataFrame, keys: list[str], error: str = "e", width: float = ERROR_WIDTH, quantiles: bool = True) -> DataFrame:
+    """count, bias, MAE, median and P90 of |error| per key; ``df`` is read twice, or once without ``quantiles``."""
+    probs, extra = {"median_abs": 0.5, "p90_abs": 0.9} if quantiles else {}, {"_e": F.col(error)}
+    p = two_pass_profile(df, keys, F.abs(error), probs, width, extra) if quantiles else sums_profile(df, keys, F.abs(error), extra)
     return p.where("valid > 0").select(
         *keys, F.col("rows").alias("population"), F.col("valid").alias("count"), (F.col("_e") / F.col("valid")).alias("bias"),
-        (F.col("total") / F.col("valid")).alias("mae"), "median_abs", "p90_abs")
+        (F.col("total") / F.col("valid")).alias("mae"), *probs)
 
 
 def fold_alpha(px: DataFrame, folds: list[dict], minimum: int) -> DataFrame:
@@ -85,11 +86,11 @@ def core_accounting(px: DataFrame, folds: list[dict]) -> DataFrame:
         F.count_if("lit").alias("core_geometry"), F.count_if(F.col("land") & F.col("lit")).alias("core_scored"))
 
 
-def holdout_units(px: DataFrame, acq_split: DataFrame, folds: list[dict], minimum: int) -> DataFrame:
-    """The spatial-holdout table: one row per unit, unsupported units kept with their reason."""
+def holdout_units(px: DataFrame, acq_split: DataFrame, folds: list[dict], minimum: int, quantiles: bool = True) -> DataFrame:
+    """The spatial-holdout table: one row per unit, unsupported units kept with their reason; median and P90 only with ``quantiles``."""
     z = fd.with_zone(px, folds, BUFFER_CELLS)
     alpha = fold_alpha(z, folds, minimum)
-    metrics = error_metrics(scored_residuals(z, folds, minimum), ["a", "k", "band"]).drop("population")
+    metrics = error_metrics(scored_residuals(z, folds, minimum), ["a", "k", "band"], quantiles=quantiles).drop("population")
     u = unit_universe(acq_split.select("a", "split"), folds)
     u = u.join(alpha, ["a", "k", "band"], "left").join(core_accounting(z, folds), ["a", "k"], "left")
     u = u.join(metrics, ["a", "k", "band"], "left")

@@ -76,6 +76,19 @@ def value_profile(
         (F.col(f"_lo_{x}") + (F.col(f"_hi_{x}") - F.col(f"_lo_{x}")) * F.col(f"_f_{x}")).alias(x) for x in probs])
 
 
+def split_value(v: Column) -> tuple[Column, Column]:
+    """A value as a multiple of 2^-30, whose sums are exact, and the rest; so equal values have equal totals in any order."""
+    high = F.rint(v * 2.0**30) / 2.0**30
+    return high, v - high
+
+
+def sums_profile(df: DataFrame, keys: list[str], value: Column, extra: dict[str, Column] | None = None) -> DataFrame:
+    """``two_pass_profile`` without quantiles: one pass, and a task keeps one row per key."""
+    high, rest = split_value(value.cast("double"))
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.count(value).alias("valid"), (F.sum(high) + F.sum(rest)).alias("total"),
+                                 *[F.sum(c).alias(x) for x, c in (extra or {}).items()])
+
+
 def two_pass_profile(
     df: DataFrame, keys: list[str], value: Column, probs: dict[str, float], width: float,
     extra: dict[str, Column] | None = None, coarse: int = 16,
@@ -84,14 +97,14 @@ def two_pass_profile(
 
     The first pass only counts and sums per bucket of ``coarse`` widths, which tells the buckets that the
     quantiles lie in; the second opens those alone. So most values are neither kept by a task nor shuffled.
-    Values are added as multiples of 2^-30, which is exact, and the rests apart, so that equal values have equal totals in any order.
+    Totals come from ``split_value``.
     """
     extra, spark = extra or {}, df.sparkSession
     b, n, k = F.col("_b"), F.col("_n"), [*keys, "_b"]
     rows = df.select(*keys, value.cast("double").alias("_v"), *[c.alias(f"_x_{x}") for x, c in extra.items()])
     rows = rows.withColumn("_b", F.floor(F.col("_v") / (coarse * width)))
-    high = F.rint(F.col("_v") * 2.0**30) / 2.0**30
-    hist = rows.groupBy(*k).agg(F.count("*").alias("_n"), F.sum(high).alias("_t"), F.sum(F.col("_v") - high).alias("_l"), *[F.sum(f"_x_{x}").alias(f"_x_{x}") for x in extra])
+    high, rest = split_value(F.col("_v"))
+    hist = rows.groupBy(*k).agg(F.count("*").alias("_n"), F.sum(high).alias("_t"), F.sum(rest).alias("_l"), *[F.sum(f"_x_{x}").alias(f"_x_{x}") for x in extra])
     hist = io.materialize(spark, hist, "histogram")
     unit = hist.groupBy(*keys).agg(F.sum("_n").alias("rows"), F.coalesce(F.sum(F.when(b.isNotNull(), n)), F.lit(0)).alias("valid"), (F.sum("_t") + F.sum("_l")).alias("total"),
                                    *[F.sum(f"_x_{x}").alias(x) for x in extra])

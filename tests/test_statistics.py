@@ -292,9 +292,35 @@ def test_positions_of_one_reliability_are_spread(spark):
     assert df.groupBy("a", "rel", F.floor(F.col("r") / 8)).count().agg(F.max("count")).first()[0] <= 8 * 50
 
 
+def recorded(monkeypatch):
+    """Names of the intermediates that are written from here on; tables of earlier tests are not read."""
+    names, write = [], io.materialize
+    monkeypatch.setattr(io, "REUSE", False)
+    monkeypatch.setattr(io, "materialize", lambda s, df, name: names.append((name, df.columns)) or write(s, df, name))
+    return names
+
+
 def test_transferred_slopes_need_no_scores(spark, monkeypatch):
     from ridgeline import plans
     want = sorted(plans.QUERIES["ag28_leave_acquisition_out"](spark, SMALL).collect())
     monkeypatch.setattr(io, "REUSE", False)
     monkeypatch.setattr(fit, "scored_residuals", lambda *a: pytest.fail("scored"))
     assert want and sorted(plans.QUERIES["ag28_leave_acquisition_out"](spark, SMALL).collect()) == want
+
+
+def test_units_are_scored_in_one_pass(spark, monkeypatch):
+    from ridgeline import plans
+    from ridgeline.sources import config, views
+    names = recorded(monkeypatch)
+    rows = plans.QUERIES["ar06_nested_record"](spark, SMALL).collect()
+    assert rows and "histogram" not in [n for n, _ in names]
+    px, split = views.px_table(spark, SMALL), fd.time_split(views.acq(spark, SMALL), ["day", "a"])
+    one, two = ({(r["a"], r["k"], r["band"]): r for r in fit.holdout_units(px, split, config.FOLDS, config.MIN_CALIBRATION, quantiles=q).collect()} for q in (False, True))
+    assert set(one) == set(two) and any(r["mae"] for r in one.values())
+    for k, r in one.items():
+        assert [r[x] for x in ("count", "core_scored", "state")] == [two[k][x] for x in ("count", "core_scored", "state")]
+        assert all((r[x] is None) == (two[k][x] is None) and (r[x] is None or r[x] == pytest.approx(two[k][x], abs=1e-12)) for x in ("mae", "bias"))
+    rng = np.random.default_rng(5)
+    e = rng.normal(0, 0.1, 700)
+    df = spark.createDataFrame([(k, float(x)) for k in range(12) for x in rng.permutation(e)], "k long, e double").repartition(3)
+    assert len({r["mae"] for r in fit.error_metrics(df, ["k"], quantiles=False).collect()}) == 1  # ties stay ties
