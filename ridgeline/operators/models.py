@@ -143,8 +143,11 @@ def train_iqr(px: DataFrame, folds: list[dict]) -> DataFrame:
     return q.select("a", "k", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
-def ablation(px: DataFrame, acq_split: DataFrame, folds: list[dict], minimum: int, min_iqr: float) -> DataFrame:
-    """Every acquisition x fold x band x candidate with state, parameters and core scores."""
+def ablation(px: DataFrame, acq_split: DataFrame, folds: list[dict], minimum: int, min_iqr: float, quantiles: bool = True) -> DataFrame:
+    """Every acquisition x fold x band x candidate with state, parameters and core scores; median and P90 of errors only with ``quantiles``.
+
+    Cells that are not land may be left out of ``px``.
+    """
     fits = io.materialize(px.sparkSession, candidate_fits(px, folds, minimum, min_iqr), "fits")
     packed = fits.where("reason IS NULL").groupBy("a", "k", "band").agg(
         F.collect_list(F.struct("candidate", "theta1", "theta2")).alias("ms"))  # at most four
@@ -157,7 +160,7 @@ def ablation(px: DataFrame, acq_split: DataFrame, folds: list[dict], minimum: in
     second = F.when(cid == "C1p", 1.0).when(cid == "C1", F.col("v_sky")).when(cid == "C2a", 1 - F.col("v_sky")).otherwise(0.0)
     rows = rows.select("a", "k", "band", cid.alias("candidate"),
                        (F.col("m.theta1") * F.col("mu") + F.coalesce("m.theta2", F.lit(0.0)) * second - F.col("rho")).alias("e"))
-    score = fit.error_metrics(rows, ["a", "k", "band", "candidate"]).drop("population")
+    score = fit.error_metrics(rows, ["a", "k", "band", "candidate"], quantiles=quantiles).drop("population")
     u = fit.unit_universe(acq_split.select("a", "split"), folds).withColumn(
         "candidate", F.explode(F.array(*[F.lit(c) for c in CANDIDATES])))
     u = u.join(fits, ["a", "k", "band", "candidate"], "left").join(land, ["a", "k"], "left")
@@ -175,7 +178,7 @@ def pair_with_baseline(units: DataFrame, tolerance: float = 1e-3, baseline: str
     keep = ["a", "k", "band", "split", "candidate", "state", "mae", "bias", "p90_abs", "coverage", "theta1", "theta2", "condition"]
     base = units.where((F.col("candidate") == baseline) & (F.col("state") == "scored")).select(
         "a", "k", "band", F.col("mae").alias("mae_base"), F.col("coverage").alias("coverage_base"), F.col("theta1").alias("alpha_base"))
-    cand = units.where((F.col("candidate") != baseline) & (F.col("state") == "scored")).select(*keep)
+    cand = units.where((F.col("candidate") != baseline) & (F.col("state") == "scored")).select(*[c for c in keep if c in units.columns])
     return cand.join(base, ["a", "k", "band"]).withColumns({
         "comparable": F.abs(F.coalesce("coverage", F.lit(0.0)) - F.coalesce("coverage_base", F.lit(0.0))) <= tolerance,
         "improvement": pixel.relative_improvement(F.col("mae_base"), F.col("mae"))})
@@ -185,7 +188,7 @@ def verdicts(pairs: DataFrame, min_improvement: float = 0.05, min_folds: int = 4
              max_condition: float = 1e10) -> DataFrame:
     """Rule-based outcome per candidate from train units only; one row per candidate.
 
-    Units are a small table (acquisitions x folds x bands), so plain medians serve.
+    Units are a small table (acquisitions x folds x bands), so plain medians serve. ``median_p90`` needs units with quantiles.
     """
     excluded = pairs.groupBy("candidate").agg(F.count_if(~F.col("comparable")).alias("excluded_coverage_mismatch"))
     train = pairs.where((F.col("split") == "train") & F.col("comparable") & F.col("improvement").isNotNull())
@@ -195,7 +198,7 @@ def verdicts(pairs: DataFrame, min_improvement: float = 0.05, min_folds: int = 4
         F.avg("improvement").alias("mean_improvement"), F.avg(outside.cast("double")).alias("boundary_share"),
         F.max("condition").alias("max_condition"), F.median(F.abs("theta2")).alias("median_new_parameter"),
         F.median("mae_base").alias("median_mae_base"), F.median("bias").alias("median_bias"),
-        F.median("p90_abs").alias("median_p90"), F.median("coverage").alias("median_coverage"),
+        *[F.median(x).alias("median_p90") for x in pairs.columns if x == "p90_abs"], F.median("coverage").alias("median_coverage"),
         F.median(F.when(F.col("alpha_base") != 0, (F.col("theta1") - F.col("alpha_base")) / F.col("alpha_base"))).alias("median_alpha_shift"))
     per_fold = train.groupBy("candidate", "k").agg(F.median("improvement").alias("m")).groupBy("candidate").agg(
         F.count_if(F.col("m") > 0).alias("folds_positive"), F.count("*").alias("folds"))

@@ -83,9 +83,8 @@ def obs(spark: SparkSession, d: str) -> DataFrame:
         "l_suppkey")
     order = [(-F.unix_timestamp("l_shipdate")).alias("o1"), "l_orderkey", "l_linenumber", "l_suppkey",
              "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
-    one = (li.groupBy("a", F.floor(F.col("l_partkey") / WIDTH).alias("r"),
-                      F.pmod("l_partkey", F.lit(WIDTH)).alias("c"))
-           .agg(F.min(F.struct(*order)).alias("x")).select("a", "r", "c", "x.*"))
+    one = li.groupBy("a", "l_partkey").agg(F.min(F.struct(*order)).alias("x")).select(  # one cell per part key
+        "a", F.floor(F.col("l_partkey") / WIDTH).alias("r"), F.pmod("l_partkey", F.lit(WIDTH)).alias("c"), "x.*")
     v4 = F.when(F.col("l_linenumber") == 7, 0).otherwise(1)
     v5 = F.when((F.col("l_linenumber") == 6) & (F.col("l_tax") > 0.065), 0).otherwise(1)
     disc = F.round(F.col("l_discount") * 100).cast("int")
@@ -186,8 +185,13 @@ def px_table(spark: SparkSession, d: str) -> DataFrame:
     return io.derived(spark, d, "cells", lambda: px(spark, d).select(*CELL_COLUMNS))
 
 
-def px_sky_table(spark: SparkSession, d: str) -> DataFrame:
-    return io.derived(spark, d, "cells_sky", lambda: px_table(spark, d).join(sky(spark, d), ["r", "c"], "left"))
+LAND_COLUMNS = ["a", "r", "c", "lit", "rho4", "rho5", "mu"]
+
+
+def land_sky_table(spark: SparkSession, d: str) -> DataFrame:
+    """Land cells with their sky view and what the candidate models read; other cells and columns are not joined."""
+    land = px_table(spark, d).where("land").select(*LAND_COLUMNS)
+    return io.derived(spark, d, "land_sky", lambda: land.join(sky(spark, d), ["r", "c"], "left").withColumn("land", F.lit(True)))
 
 
 def px_sky(spark: SparkSession, d: str) -> DataFrame:

@@ -324,3 +324,21 @@ def test_units_are_scored_in_one_pass(spark, monkeypatch):
     e = rng.normal(0, 0.1, 700)
     df = spark.createDataFrame([(k, float(x)) for k in range(12) for x in rng.permutation(e)], "k long, e double").repartition(3)
     assert len({r["mae"] for r in fit.error_metrics(df, ["k"], quantiles=False).collect()}) == 1  # ties stay ties
+
+
+def test_candidates_are_fitted_from_narrow_land_cells(spark, monkeypatch):
+    from ridgeline import plans
+    from ridgeline.sources import config, views
+    names = recorded(monkeypatch)
+    assert len(plans.QUERIES["md05_verdict_rules"](spark, SMALL).collect()) > 0
+    wide = [c for _, c in names if "v_sky" in c]
+    assert wide and all(len(c) <= 9 for c in wide) and "histogram" not in [n for n, _ in names]
+    split = fd.time_split(views.acq(spark, SMALL), ["day", "a"])
+    cells = [views.px_sky(spark, SMALL), views.land_sky_table(spark, SMALL)]
+    assert cells[1].count() == cells[0].where("land").count()
+    full, land = ({(r["a"], r["k"], r["band"], r["candidate"]): r for r in models.ablation(
+        fd.with_zone(c, config.FOLDS, fit.BUFFER_CELLS), split, config.FOLDS, config.MIN_CALIBRATION, 0.05, quantiles=q).collect()} for c, q in zip(cells, (True, False)))
+    assert set(full) == set(land)
+    for k, r in land.items():
+        assert [r[x] for x in ("n", "core_land", "state", "reason", "count")] == [full[k][x] for x in ("n", "core_land", "state", "reason", "count")]
+        assert r["mae"] == (None if full[k]["mae"] is None else pytest.approx(full[k]["mae"], abs=1e-9))
